@@ -5,7 +5,7 @@ _LOWER_WORDS = r"regexp_extract_all(translate({t}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
 _OP8 = r"""
 WITH RECURSIVE w AS (SELECT doc_id, coalesce(%s, []::VARCHAR[]) AS w FROM documents),
 s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) = 1 THEN w
-        ELSE list_distinct(list_transform(range(1, len(w)), i -> w[i] || ' ' || w[i + 1])) END AS s FROM w),
+        ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM w),
 n AS (SELECT doc_id, len(s) AS n FROM s),
 e AS (SELECT doc_id, unnest(s) AS x FROM s),
 common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM e a JOIN e b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY ALL),
