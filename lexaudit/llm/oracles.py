@@ -15,4 +15,15 @@ comp AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
 SELECT n.doc_id, n.n AS n_shingles, component_id, n.doc_id = component_id AS kept FROM n JOIN comp USING (doc_id)
 """ % _LOWER_WORDS.format(t="text")
 
-ORACLES: dict[str, str] = {"op8_minhash_near_dedup": _OP8}
+_OP10 = r"""
+WITH texts AS (SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'i', item_id, text FROM benchmark),
+w AS (SELECT kind, id, coalesce(%s, []::VARCHAR[]) AS w FROM texts),
+s AS (SELECT kind, id, CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))) END AS s FROM w),
+e AS (SELECT kind, id, unnest(s) AS x FROM s),
+shared AS (SELECT d.id AS doc_id, i.id AS item_id, count(*) AS c FROM e d JOIN e i ON d.x = i.x WHERE d.kind = 'd' AND i.kind = 'i' GROUP BY ALL)
+SELECT doc_id, item_id, len(s)::INTEGER AS n_item_shingles, c::INTEGER AS n_shared, c / len(s) AS containment
+FROM shared JOIN s ON s.kind = 'i' AND s.id = item_id WHERE 100 * c >= 80 * len(s)
+""" % _LOWER_WORDS.format(t="text")
+
+ORACLES: dict[str, str] = {"op8_minhash_near_dedup": _OP8, "op10_benchmark_decontamination": _OP10}

@@ -67,8 +67,8 @@ def word_hashes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     return hashes, offsets
 
 
-def shingle_hashes(words: np.ndarray, offsets: np.ndarray, n: int) -> Iterator[np.ndarray]:
-    """For each text its distinct n-word shingles, sorted; with fewer than n words the whole sequence as one shingle; none without words."""
+def shingle_hashes(words: np.ndarray, offsets: np.ndarray, n: int, ordered: bool = False) -> Iterator[np.ndarray]:
+    """For each text its distinct n-word shingles, sorted (``ordered``: all of them, by place); with fewer than n words the whole sequence as one shingle; none without words."""
     if len(words) >= n:
         rolled = words[: len(words) - n + 1] * U64(3)
         for k in range(1, n):
@@ -76,7 +76,7 @@ def shingle_hashes(words: np.ndarray, offsets: np.ndarray, n: int) -> Iterator[n
         rolled = mix(rolled)
     for a, b in zip(offsets[:-1], offsets[1:]):
         if b - a >= n:
-            yield np.unique(rolled[a : b - n + 1])
+            yield rolled[a : b - n + 1] if ordered else np.unique(rolled[a : b - n + 1])
         elif b > a:
             short = words[a : a + 1] * U64(3)
             for k in range(1, b - a):
