@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .bpe import encode_documents
 from .decontaminate import find_items
+from .language_id import fit_language_model, fold, identify_languages
 from .near_dup import near_duplicates
 
 
@@ -17,6 +18,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = fit_language_model(docs, fold(F.col("doc_id"), 5) != 0)
+    found = identify_languages(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def digest_tokens(encoded: DataFrame) -> DataFrame:
     return encoded.select(
         "doc_id",
@@ -39,6 +47,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
     "op7_bpe_encode_decode": op7_bpe_encode_decode,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
