@@ -12,6 +12,7 @@ from .bpe import encode_documents
 from .decontaminate import find_items
 from .language_id import fit_language_model, fold, identify_languages
 from .near_dup import near_duplicates
+from .secrets import scan_secrets, span_text
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +43,13 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), shingle_words=2, percent=80)
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_secrets(_table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(kind).cast("long").alias(f"n_{kind}")
+    base = F.sha2(F.encode(span_text("concat(assign, access, hex)"), "UTF-8"), 256).alias("base_sha256")
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), base, span_text("concat(assign, access, hex, random)").alias("spans"))
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -50,5 +58,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op7_bpe_encode_decode": op7_bpe_encode_decode,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
+    "op9_secret_scan": op9_secret_scan,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
