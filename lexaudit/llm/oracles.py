@@ -26,4 +26,13 @@ SELECT doc_id, item_id, len(s)::INTEGER AS n_item_shingles, c::INTEGER AS n_shar
 FROM shared JOIN s ON s.kind = 'i' AND s.id = item_id WHERE 100 * c >= 80 * len(s)
 """ % _LOWER_WORDS.format(t="text")
 
-ORACLES: dict[str, str] = {"op8_minhash_near_dedup": _OP8, "op10_benchmark_decontamination": _OP10}
+_OP4 = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 100 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM pairs)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
+
+ORACLES: dict[str, str] = {"op4_exact_top_k": _OP4, "op8_minhash_near_dedup": _OP8, "op10_benchmark_decontamination": _OP10}

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .bpe import encode_documents
 from .decontaminate import find_items
+from .knn import top_k
 from .language_id import fit_language_model, fold, identify_languages
 from .near_dup import near_duplicates
 from .secrets import scan_secrets, span_text
@@ -26,6 +27,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 def digest_tokens(encoded: DataFrame) -> DataFrame:
     return encoded.select(
         "doc_id",
@@ -56,6 +61,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op4_exact_top_k": op4_exact_top_k,
     "op7_bpe_encode_decode": op7_bpe_encode_decode,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_secret_scan": op9_secret_scan,
