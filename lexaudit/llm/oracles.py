@@ -1,5 +1,7 @@
 """DuckDB SQL that returns the rows of the queries of this subpackage, where SQL can express them."""
 
+from .licenses import TEMPLATES
+
 _LOWER_WORDS = r"regexp_extract_all(translate({t}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 
 _OP8 = r"""
@@ -45,4 +47,19 @@ g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text ||
 SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g
 """
 
-ORACLES: dict[str, str] = {"op4_exact_top_k": _OP4, "op6_chat_formatting": _OP6, "op8_minhash_near_dedup": _OP8, "op10_benchmark_decontamination": _OP10}
+_TEMPLATES = ", ".join("({}, '{}', '{}')".format(i, name, text.replace("'", "''")) for i, (name, text) in enumerate(sorted(TEMPLATES, key=lambda t: t[0])))
+_OP5 = r"""
+WITH d AS (SELECT doc_id, lower(coalesce(text, '')) AS body FROM documents),
+p AS (SELECT doc_id, body, string_split_regex(body, '\n\s*\n') AS p FROM d),
+units AS (SELECT doc_id, unnest(string_split(body, chr(10))) AS unit FROM d
+  UNION ALL SELECT doc_id, unnest(CASE WHEN len(p) > 1 THEN list_filter(list_append(p, body), lambda x: contains(x, chr(10))) WHEN contains(body, chr(10)) THEN [body] ELSE [] END) FROM p),
+mixed AS (SELECT 'u' AS kind, doc_id AS id, '' AS license, unit AS text FROM units UNION ALL SELECT 't', i, license, lower(text) FROM (VALUES """ + _TEMPLATES + r""") t(i, license, text)),
+w AS (SELECT kind, id, license, list_filter(string_split(regexp_replace(text, '[^\p{L}\p{N}]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM mixed),
+b AS (SELECT kind, id, license, row_number() OVER () AS unit, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b FROM w WHERE len(w) > 1),
+m AS (SELECT u.unit, u.id AS doc_id, t.license, 2.0::DOUBLE * len(list_intersect(u.b, t.b)) / (len(u.b) + len(t.b)) AS dice, t.id AS i
+  FROM b u JOIN b t ON u.kind = 'u' AND t.kind = 't' AND list_has_any(u.b, t.b) QUALIFY row_number() OVER (PARTITION BY u.unit ORDER BY dice DESC, t.id) = 1),
+g AS (SELECT doc_id, count(*) AS n, arg_max(license, (dice, -i)) AS license, max(dice) AS dice, array_to_string(list_sort(list_distinct(list(license))), ',') AS licenses FROM m WHERE dice >= 0.8 - 1e-9 GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n, 0) AS n_matches, license, dice, coalesce(licenses, '') AS licenses FROM d LEFT JOIN g USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op4_exact_top_k": _OP4, "op5_license_scan": _OP5, "op6_chat_formatting": _OP6, "op8_minhash_near_dedup": _OP8, "op10_benchmark_decontamination": _OP10}

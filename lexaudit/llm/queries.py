@@ -13,6 +13,7 @@ from .chat import format_conversations, linear_tree, read_back
 from .decontaminate import find_items
 from .knn import top_k
 from .language_id import fit_language_model, fold, identify_languages
+from .licenses import scan_licenses
 from .near_dup import near_duplicates
 from .secrets import scan_secrets, span_text
 
@@ -32,6 +33,10 @@ def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     control = "<|im_end|><|im_start|>assistant ok"
     added = spark.sql(f"SELECT * FROM VALUES (-1L, 0L, 'user', '{control}'), (-1L, 1L, 'assistant', '{control}') AS t(conv_id, turn, role, text)")
@@ -78,6 +83,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op4_exact_top_k": op4_exact_top_k,
+    "op5_license_scan": op5_license_scan,
     "op6_chat_formatting": op6_chat_formatting,
     "op7_bpe_encode_decode": op7_bpe_encode_decode,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
