@@ -47,15 +47,16 @@ def _paths(nodes: DataFrame, ws: Workspace) -> DataFrame:
     head = F.col("known").isNull() | F.col("fans")
     # jump: the farthest known node up the chain; done: it is the head
     steps = linked.select("conv", "node", F.when(F.col("known"), F.col("parent")).alias("parent"), F.when(head, F.col("node")).otherwise(F.col("parent")).alias("jump"), F.when(head, 0).otherwise(1).cast("long").alias("far"), head.alias("done"))
-    steps, open_before, at = ws.save(steps, "jump-0"), -1, 0
-    while (left := steps.where("not done").count()) and left != open_before:
-        up = steps.select("conv", F.col("node").alias("jump"), F.col("jump").alias("next"), F.col("far").alias("more"), F.col("done").alias("reached"))
-        steps = steps.join(up, ["conv", "jump"]).select("conv", "node", "parent", F.col("next").alias("jump"), (F.col("far") + F.col("more")).alias("far"), F.col("reached").alias("done"))
+    first = ws.save(steps, "jump-0")
+    # a round joins only the nodes that are still open; what they look up also holds the nodes that are done
+    current, settled, open_before, at = first, first.where("done"), -1, 0
+    while (left := current.where("not done").count()) and left != open_before:
+        up = settled.union(current.where("not done")).select("conv", F.col("node").alias("jump"), F.col("jump").alias("next"), F.col("far").alias("more"), F.col("done").alias("reached"))
+        steps = current.where("not done").join(up, ["conv", "jump"]).select("conv", "node", "parent", F.col("next").alias("jump"), (F.col("far") + F.col("more")).alias("far"), F.col("reached").alias("done"))
         open_before, at = left, at + 1
-        steps = ws.save(steps, f"jump-{at}")
-        if at > 1:
-            ws.drop(f"jump-{at - 1}")
-    first = ws.spark.read.schema(steps.schema).parquet(f"{ws.root}/jump-0") if at else steps
+        current = ws.save(steps, f"jump-{at}")
+        settled = settled.union(current.where("done"))
+    steps = settled
     chains = steps.where("done").groupBy("conv", F.col("jump").alias("head")).agg(F.sort_array(F.collect_list(F.struct("far", "node"))).alias("nodes"))
     chains = chains.select("conv", "head", F.transform("nodes", lambda n: n["node"]).alias("nodes"), F.element_at("nodes", -1)["node"].alias("tail"))
     starts = first.where("jump = node").select("conv", F.col("node").alias("head"), "parent")
