@@ -17,6 +17,8 @@ from .licenses import scan_licenses
 from .near_dup import near_duplicates
 from .secrets import scan_secrets, span_text
 
+from .toxicity import fit_toxicity, score_toxicity
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -29,6 +31,17 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def _scored(scores: DataFrame, parts: int, held: int, threshold: float) -> DataFrame:
+    held_out = F.coalesce(fold(F.col("doc_id"), parts) == held, F.lit(False)).alias("held_out")
+    return scores.select("doc_id", held_out, "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = fit_toxicity(docs, _table(spark, sf_dir, "labels"), fold(F.col("doc_id"), 3) != 1)
+    return _scored(score_toxicity(docs, model), 3, 1, 0.7)
+
+
 def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
@@ -82,6 +95,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op2_toxicity": op2_toxicity,
     "op4_exact_top_k": op4_exact_top_k,
     "op5_license_scan": op5_license_scan,
     "op6_chat_formatting": op6_chat_formatting,
