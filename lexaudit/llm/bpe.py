@@ -103,6 +103,10 @@ class TrieEncoder:
         self.young: dict[str, tuple[bytes, str]] = {}
         self.old: dict[str, tuple[bytes, str]] = {}
 
+    def forget(self) -> None:
+        """Drop the cached words and pairs."""
+        self.young, self.old, self.beside = {}, {}, {}
+
     def _spine(self, token: int, side: int) -> list[tuple[int, int]]:
         """(part, rank at which it is merged away) along one edge of a token, from its outermost symbol to the token itself."""
         out, until = [], _NEVER
@@ -239,10 +243,13 @@ def _encoder(shared):
             _LOADED.clear()
             _LOADED[key] = TrieEncoder(file)
         encoder = _LOADED[key]
-        for batch in batches:
-            for start, texts in text_blocks(batch, "text", 1_000_000):
-                found = encoder.encode([(t or b"").decode("utf-8") for t in texts])
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(start, len(texts)), pa.array([x for x, _ in found], pa.binary()), pa.array([y for _, y in found], pa.string())], names=["doc_id", "ids", "decoded"])
+        try:
+            for batch in batches:
+                for start, texts in text_blocks(batch, "text", 1_000_000):
+                    found = encoder.encode([(t or b"").decode("utf-8") for t in texts])
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(start, len(texts)), pa.array([x for x, _ in found], pa.binary()), pa.array([y for _, y in found], pa.string())], names=["doc_id", "ids", "decoded"])
+        finally:
+            encoder.forget()  # the worker may next serve an operator that needs the memory
 
     return run
 

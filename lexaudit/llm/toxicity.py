@@ -239,6 +239,10 @@ class ToxicityModel:
             np.maximum.at(best, np.array(owner), self.decisions(pieces))
             self._young.update(zip(names, best.tolist()))
 
+    def forget(self) -> None:
+        """Drop the cached words."""
+        self._young, self._old = {}, {}
+
     def prepare(self, texts: list[str]) -> None:
         """Cache the decisions on all words of a block at once."""
         if len(self._young) > CACHE_WORDS:
@@ -291,12 +295,16 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            scores = []
-            for _, texts in text_blocks(batch, "text"):
-                own = [(t or b"").decode("utf-8") for t in texts]
-                shared.value.prepare(own)
-                scores += [shared.value.score(t) for t in own]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64())], names=["doc_id", "score"])
+        model = shared.value
+        try:
+            for batch in batches:
+                scores = []
+                for _, texts in text_blocks(batch, "text"):
+                    own = [(t or b"").decode("utf-8") for t in texts]
+                    model.prepare(own)
+                    scores += [model.score(t) for t in own]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64())], names=["doc_id", "score"])
+        finally:
+            model.forget()  # the worker may next serve an operator that needs the memory
 
     return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, score double")
