@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 
 _SEED = np.random.default_rng(20240611)
 _BYTE = _SEED.integers(1, 2**63, 256, dtype=np.uint64)
@@ -41,16 +42,13 @@ def _powers(base: int, n: int) -> np.ndarray:
 def text_blocks(batch: pa.RecordBatch, column: str, max_bytes: int = 2_000_000) -> Iterator[tuple[int, list[bytes | None]]]:
     """(first row, encoded texts) of runs of rows that hold about max_bytes; a longer text is a run of its own."""
     values = batch.column(column).cast(pa.large_binary())
-    start, total, out = 0, 0, []
-    for i, v in enumerate(values.to_pylist()):
-        n = len(v) if v is not None else 0
-        if out and total + n > max_bytes:
-            yield start, out
-            start, total, out = i, 0, []
-        out.append(v)
-        total += n
-    if out:
-        yield start, out
+    ends = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(values), 0).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < len(values):
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + max_bytes, "right")))
+        yield start, values.slice(start, stop - start).to_pylist()
+        start = stop
 
 
 def word_hashes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
