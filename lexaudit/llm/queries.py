@@ -15,6 +15,7 @@ from .knn import top_k
 from .language_id import fit_language_model, fold, identify_languages
 from .licenses import scan_licenses
 from .near_dup import near_duplicates
+from .quality import fit_quality, score_quality
 from .secrets import scan_secrets, span_text
 
 from .toxicity import fit_toxicity, score_toxicity
@@ -42,6 +43,12 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(score_toxicity(docs, model), 3, 1, 0.7)
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = fit_quality(docs, _table(spark, sf_dir, "labels"), fold(F.col("doc_id"), 5) != 0)
+    return _scored(score_quality(docs, model), 5, 0, 0.3)
+
+
 def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
@@ -96,6 +103,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_toxicity": op2_toxicity,
+    "op3_quality_classifier": op3_quality_classifier,
     "op4_exact_top_k": op4_exact_top_k,
     "op5_license_scan": op5_license_scan,
     "op6_chat_formatting": op6_chat_formatting,
