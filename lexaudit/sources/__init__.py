@@ -1 +1 @@
-
+"""Readers of documents, frameworks and catalogues."""
