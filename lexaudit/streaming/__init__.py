@@ -1 +1 @@
-
+"""Audits of arriving documents."""
