@@ -53,8 +53,9 @@ ENCODINGS = (
     ("upper with digits", "^[0-9A-Z]+$", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
     ("base64", "", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_"),
 )
-#: Cost of a character in ordinary text, in 1/64 bit: frequent and other lower-case letters, capitals, and the rest.
-FREQUENT, COSTS = "etaoinshrdlu", (240, 384, 448, 512)
+#: Cost of a character in ordinary text, in 1/64 bit: frequent and other lower-case letters (shares of 0.06 and 0.0125 each),
+#: capitals (0.002) and the rest (0.0035). The shares of all characters of a token add up to 1 at most.
+FREQUENT, COSTS = "etaoinshrdlu", (260, 405, 574, 522)
 SQUARED_LIMIT = 11  # of a normal score: 3.3 squared
 FALSE_DISCOVERIES = 0.01
 MAX_BITS = 1000
