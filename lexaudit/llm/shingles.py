@@ -39,7 +39,7 @@ def _powers(base: int, n: int) -> np.ndarray:
     return _POWERS[base][:n]
 
 
-def text_blocks(batch: pa.RecordBatch, column: str, max_bytes: int = 2_000_000) -> Iterator[tuple[int, list[bytes | None]]]:
+def text_blocks(batch: pa.RecordBatch, column: str, max_bytes: int = 1_000_000) -> Iterator[tuple[int, list[bytes | None]]]:
     """(first row, encoded texts) of runs of rows that hold about max_bytes; a longer text is a run of its own."""
     values = batch.column(column).cast(pa.large_binary())
     ends = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(values), 0).to_numpy(zero_copy_only=False))

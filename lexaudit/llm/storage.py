@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of an Arrow batch while a table is written: whole texts and shingle sets are large.
+BATCH_ROWS = 1_000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _FALLBACK: dict[str, str] = {}
 
 
@@ -26,8 +29,12 @@ class Workspace:
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
     def save(self, df: DataFrame, tag: str) -> DataFrame:
-        path = f"{self.root}/{tag}"
-        df.write.parquet(path)
+        path, rows = f"{self.root}/{tag}", self.spark.conf.get(_BATCH)
+        self.spark.conf.set(_BATCH, min(int(rows), BATCH_ROWS))
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(_BATCH, rows)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, tag: str) -> None:
