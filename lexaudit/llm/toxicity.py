@@ -202,7 +202,7 @@ class ToxicityModel:
             rest = [c for c in clean if c not in used]
             order = np.argsort(-machine.decisions(rest))[:MARGIN_NEGATIVES] if rest else []
             sample = sample + [rest[i] for i in order]
-        x = np.array([machine.text_features(t) for t in texts])
+        x = machine.features_of(texts)
         machine.logistic = _fit_logistic(x, np.array(toxic, dtype=float))
         return machine
 
@@ -243,12 +243,6 @@ class ToxicityModel:
         """Drop the cached words."""
         self._young, self._old = {}, {}
 
-    def prepare(self, texts: list[str]) -> None:
-        """Cache the decisions on all words of a block at once."""
-        if len(self._young) > CACHE_WORDS:
-            self._young, self._old = {}, self._young
-        self._need(set().union(*(tokens(t) for t in texts)))
-
     def _need(self, distinct: set[str]) -> None:
         young, old = self._young, self._old
         new = [t for t in distinct if t not in young]
@@ -257,26 +251,35 @@ class ToxicityModel:
             new = [t for t in new if t not in old]
         self._learn(new)
 
-    def text_features(self, text: str) -> tuple[float, float, float, float]:
+    def _features(self, found: list[str], distinct: set[str]) -> tuple[float, float, float, float]:
         """The decisions on the two most toxic words, and the logarithms of the mass of toxic words and of the number of all."""
-        found = tokens(text)
-        distinct = set(found)
         if not distinct:
             return _BLANK, _BLANK, 0.0, 0.0
-        self._need(distinct)
         young = self._young
         first = max(distinct, key=young.__getitem__)
-        toxic = [t for t in distinct if young[t] > MASS_FROM]
+        toxic = [t for t in distinct if young[t] > MASS_FROM] if young[first] > MASS_FROM else []
         counts = {t: found.count(t) for t in toxic} if len(toxic) < 8 else Counter(found)
         mass = sum(counts[t] * (min(young[t], MASS_TO) - MASS_FROM) for t in toxic)
         second = young[first] if found.count(first) > 1 else max((young[t] for t in distinct if t != first), default=_BLANK)
         return young[first], second, float(np.log1p(mass)), float(np.log1p(len(found)))
 
-    def score(self, text: str | None) -> float:
+    def features_of(self, texts: list[str]) -> np.ndarray:
+        """Features of each text; the words of all of them are looked up together."""
+        if len(self._young) > CACHE_WORDS:
+            self._young, self._old = {}, self._young
+        found = [tokens(t) for t in texts]
+        distinct = [set(f) for f in found]
+        self._need(set().union(*distinct))
+        return np.array([self._features(f, d) for f, d in zip(found, distinct)]).reshape(-1, 4)
+
+    def scores(self, texts: list[str | None]) -> np.ndarray:
         if self.logistic is None:
-            return 0.0
-        z = float(np.dot(self.logistic[:-1], self.text_features(text or "")) + self.logistic[-1])
-        return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+            return np.zeros(len(texts))
+        z = self.features_of([t or "" for t in texts]) @ self.logistic[:-1] + self.logistic[-1]
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+    def score(self, text: str | None) -> float:
+        return float(self.scores([text])[0])
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, training: Column, label_col: str = "toxic") -> ToxicityModel:
@@ -300,9 +303,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
             for batch in batches:
                 scores = []
                 for _, texts in text_blocks(batch, "text"):
-                    own = [(t or b"").decode("utf-8") for t in texts]
-                    model.prepare(own)
-                    scores += [model.score(t) for t in own]
+                    scores += model.scores([(t or b"").decode("utf-8") for t in texts]).tolist()
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64())], names=["doc_id", "score"])
         finally:
             model.forget()  # the worker may next serve an operator that needs the memory
