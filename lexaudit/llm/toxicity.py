@@ -62,7 +62,7 @@ def _plain(token: str) -> str:
 
 
 def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word, subsequence, normalised weight) of all words."""
+    """(word, subsequence, normalised weight) of all words, of which there are fewer than 65,536."""
     padded = [f"^{w}$" for w in words]
     codes = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
     sizes = np.array([len(p) for p in padded], dtype=np.int64)
@@ -78,12 +78,14 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         subs.append(h)
         weights.append(np.full(len(at), DECAY ** (choice[-1] + 1)))
     rows, subs, weights = np.concatenate(rows), mix(np.concatenate(subs)), np.concatenate(weights)
-    order = np.lexsort((subs, rows))
-    rows, subs, weights = rows[order], subs[order], weights[order]
     if not len(rows):
         return rows, subs, weights
-    first = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]) | (subs[1:] != subs[:-1])]))
-    weights, rows, subs = np.add.reduceat(weights, first), rows[first], subs[first]
+    # one sort: the word above 48 bits of the subsequence's hash
+    key = (rows.astype(np.uint64) << U64(48)) | (subs >> U64(16))
+    order = np.argsort(key)
+    key = key[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    weights, rows, subs = np.add.reduceat(weights[order], first), rows[order[first]], subs[order[first]]
     norms = np.sqrt(np.bincount(rows, weights=weights**2, minlength=len(words)))
     return rows, subs, weights / norms[rows]
 
