@@ -42,79 +42,78 @@ def report_json(docs: DataFrame, deduped: DataFrame, framework: str, progressive
     return joined.select("doc_id", F.to_json(body).alias("report"))
 
 
-def _lines(rows: DataFrame, part: int, keys: list[str], lines: list[Column]) -> DataFrame:
-    """doc_id, sort key and line of the non-null lines of each row."""
-    key = F.array(F.lit(part).cast("bigint"), *(F.col(k).cast("bigint") for k in keys), *(F.lit(0).cast("bigint") for _ in range(3 - len(keys))))
-    return rows.select("doc_id", key.alias("at"), F.posexplode(F.filter(F.array(*(x if isinstance(x, Column) else F.lit(x) for x in lines)), lambda x: x.isNotNull())).alias("n", "line"))
+def _lines(rows: DataFrame, groups: list[tuple[list, list]]) -> DataFrame:
+    """doc_id, at, n, line: the non-null lines of each row. A group is a place (columns or numbers) and lines; a row is read once for all groups."""
+    column = lambda x: x if isinstance(x, Column) else F.lit(x)
+    placed = [
+        F.struct(F.array(*(column(k).cast("bigint") for k in [*place, 0, 0, 0][:4])).alias("at"), F.filter(F.array(*map(column, lines)), lambda x: x.isNotNull()).alias("lines"))
+        for place, lines in groups
+    ]
+    return rows.select("doc_id", F.inline(F.array(*placed))).select("doc_id", "at", F.posexplode("lines").alias("n", "line"))
 
 
 def report_lines(docs: DataFrame, chunk_results: DataFrame, raw: DataFrame, deduped: DataFrame, framework: str, date: str, progressive: bool = True) -> DataFrame:
     """doc_id, line_no, line: the text report of every document.
 
     ``docs`` has doc_id, document_type and the two lists of mentions; ``chunk_results`` doc_id, chunk_index, position, text,
-    should_analyze; ``raw`` the findings as parsed, ``deduped`` as merged.
+    should_analyze; ``raw`` the findings as parsed, ``deduped`` as merged. Write expensive inputs to tables first: each is read
+    a few times. The lines come from five row sources (documents, regulations, merged findings, chunks, findings).
     """
-    per_kind = G.confidence_breakdown(deduped)
-    wide = docs.join(G.counts(raw), "doc_id", "left")
-    for kind in TITLES:
-        own = per_kind.where(F.col("kind") == kind).select("doc_id", *(F.col(c).alias(f"{kind}_{c}") for c in ("total", "high", "medium", "low", "analyzed", "skipped")))
-        wide = wide.join(own, "doc_id", "left")
-    wide = wide.na.fill(0)
     say = F.format_string
     count = lambda c: F.col(c).cast("long")
-    mentions = lambda c: F.when(F.size(c) > 0, F.array_join(c, ", ")).otherwise("")
+    levels = ("total", "high", "medium", "low", "analyzed", "skipped")
+    per_kind = G.confidence_breakdown(deduped).groupBy("doc_id").agg(*(F.sum(F.when(F.col("kind") == kind, F.col(c))).alias(f"{kind}_{c}") for kind in TITLES for c in levels))
+    wide = docs.join(G.counts(raw), "doc_id", "left").join(per_kind, "doc_id", "left").na.fill(0)
+    mentions = lambda c: F.array_join(c, ", ")
+    method = ["Analysis Method: Progressive (focused on relevant sections)", say("- From analyzed sections: %d", count("issue_analyzed")), say("- From skipped sections: %d", count("issue_skipped"))]
     head = [
         RULE, f"{framework.upper()} COMPLIANCE ANALYSIS REPORT", RULE, "",
         say("Document: %s", T.basename(F.col("path")) if "path" in docs.columns else F.col("doc_id").cast("string")), say("Document Type: %s", F.col("document_type")), f"Regulation: {framework}", f"Analysis Date: {date}", "",
         "POTENTIAL DATA CONTEXT:", say("Data mentions: %s", mentions("potential_data_mentions")), say("Compliance indicators: %s", mentions("compliance_indicators")), "",
-        say("Total Issues Found: %d", count("issue_total")),
-        *((F.lit("Analysis Method: Progressive (focused on relevant sections)"), say("- From analyzed sections: %d", count("issue_analyzed")), say("- From skipped sections: %d", count("issue_skipped"))) if progressive else ()),
+        say("Total Issues Found: %d", count("issue_total")), *(method if progressive else []),
         "", "PROCESSING SUMMARY:",
         say("- Original issues: %d → Final: %d", count("original_issues"), count("final_issues")), say("- Original compliance points: %d → Final: %d", count("original_points"), count("final_points")),
     ]
-    parts = [_lines(wide, 0, [], head)]
-    described = G.by_description(deduped)
-    regulations = described.groupBy("doc_id", "kind", "regulation").agg(F.min("first_position").alias("group"))
-    placed = described.join(regulations, ["doc_id", "kind", "regulation"])
+    groups = [([0], head), ([30], ["DETAILED ANALYSIS BY SECTION:", RULE, ""])]
     for n, (kind, (title, noun, summary, _)) in enumerate(TITLES.items()):
         some = F.col(f"{kind}_total") > 0
-        opening = [F.when(some, x) for x in [
-            *([F.lit("")] if kind == "issue" else []), F.lit(f"CONFIDENCE BREAKDOWN OF {title}:"),
+        opening = [
+            *([""] if kind == "issue" else []), f"CONFIDENCE BREAKDOWN OF {title}:",
             *(say(f"- {level.title()} Confidence {noun}: %d", count(f"{kind}_{level}")) for level in ("high", "medium", "low")),
-            F.lit(""), F.lit(f"SUMMARY OF COMPLIANCE {summary}:"), F.lit(THIN), F.lit(""),
-        ]]
-        parts.append(_lines(wide, 10 * n + 1, [], opening))
-        own = placed.where(F.col("kind") == kind)
-        heads = regulations.where(F.col("kind") == kind).withColumns({"a": F.col("group"), "b": F.lit(0)})
-        parts.append(_lines(heads, 10 * n + 2, ["a", "b"], [say("%s:", F.col("regulation"))]))
-        bullet = say("  - %s%s (in %s, %s confidence)", F.col("description"), F.when(F.col("should_analyze"), "").otherwise(" (SKIPPED)"), T.display_sections(F.col("sections")), F.col("confidence"))
-        parts.append(_lines(own.withColumns({"a": F.col("group"), "b": F.col("first_position")}), 10 * n + 2, ["a", "b"], [bullet]))
-        parts.append(_lines(heads.withColumn("b", F.lit(1 << 40)), 10 * n + 2, ["a", "b"], [""]))
-        parts.append(_lines(wide, 10 * n + 3, [], [F.when(some, THIN), F.when(some, "")]))
-    parts.append(_lines(docs, 30, [], ["DETAILED ANALYSIS BY SECTION:", RULE, ""]))
-
-    listed = raw.withColumn("place", F.row_number().over(Window.partitionBy("doc_id", "chunk_index", "kind").orderBy("ord")))
+            "", f"SUMMARY OF COMPLIANCE {summary}:", THIN, "",
+        ]
+        groups += [([10 * n + 1], [F.when(some, x) for x in opening]), ([10 * n + 3], [F.when(some, THIN), F.when(some, "")])]
+    parts = [_lines(wide, groups)]
+
+    summary_part = F.when(F.col("kind") == "issue", 2).otherwise(12)
+    described = G.by_description(deduped)
+    regulations = described.groupBy("doc_id", "kind", "regulation").agg(F.min("first_position").alias("group"))
+    parts.append(_lines(regulations, [([summary_part, F.col("group"), 0], [say("%s:", F.col("regulation"))]), ([summary_part, F.col("group"), 1 << 40], [""])]))
+    bullet = say("  - %s%s (in %s, %s confidence)", F.col("description"), F.when(F.col("should_analyze"), "").otherwise(" (SKIPPED)"), T.display_sections(F.col("sections")), F.col("confidence"))
+    parts.append(_lines(described.join(regulations, ["doc_id", "kind", "regulation"]), [([summary_part, F.col("group"), F.col("first_position")], [bullet])]))
+
+    of_chunk = Window.partitionBy("doc_id", "chunk_index", "kind")
+    listed = raw.withColumns({"place": F.row_number().over(of_chunk.orderBy("ord")), "n_kind": F.count("*").over(of_chunk)})
     per_chunk = raw.groupBy("doc_id", "chunk_index").agg(*(F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in TITLES))
     detail = chunk_results.join(per_chunk, ["doc_id", "chunk_index"], "left").na.fill(0, ["n_issue", "n_point"])
-    skipped = F.when(F.col("should_analyze"), "").otherwise(" SKIPPED")
-    opening = [say("SECTION #%d - %s%s", F.col("chunk_index") + 1, F.col("position"), F.when(F.col("should_analyze"), "").otherwise(" [SKIPPED]")), F.lit(THIN), F.lit(""), F.lit("DOCUMENT TEXT:"), F.col("text"), F.lit("")]
     issues, points = F.col("n_issue") > 0, F.col("n_point") > 0
-    no = lambda what: say(f"NO COMPLIANCE {what} DETECTED IN THIS%s SECTION", skipped)
-    at = lambda step: {"a": F.col("chunk_index"), "b": F.lit(step)}
-    parts.append(_lines(detail.withColumns(at(0)), 31, ["a", "b"], [*opening, F.when(issues, "COMPLIANCE ISSUES:"), F.when(issues, "").otherwise(no("ISSUES"))]))
-    parts.append(_lines(detail.withColumns(at(1 << 20)), 31, ["a", "b"], [F.when(issues, ""), F.when(issues, ""), F.when(points, "COMPLIANCE POINTS:"), F.when(points, "").otherwise(no("POINTS"))]))
-    parts.append(_lines(detail.withColumns(at(1 << 30)), 31, ["a", "b"], ["", RULE, ""]))
-    for kind, base in (("issue", 1), ("point", (1 << 20) + 1)):
-        own = listed.where(F.col("kind") == kind).join(per_chunk, ["doc_id", "chunk_index"])
-        last = F.col("place") == F.col(f"n_{kind}")
-        lines = [
-            say(f"{TITLES[kind][3]} %d: %s", F.col("place"), T.without_asterisks(F.col("description"))), say("Regulation: %s", F.col("regulation")), say("Confidence: %s", F.col("confidence")),
-            F.when(F.coalesce("citation", F.lit("")) != "", say("Citation: %s", T.display_citation(F.col("citation")))), F.when(~last, SHORT_RULE), F.when(~last, ""),
-        ]
-        parts.append(_lines(own.withColumns({"a": F.col("chunk_index"), "b": F.lit(base) + F.col("place")}), 31, ["a", "b"], lines))
+    no = lambda what: say(f"NO COMPLIANCE {what} DETECTED IN THIS%s SECTION", F.when(F.col("should_analyze"), "").otherwise(" SKIPPED"))
+    title = say("SECTION #%d - %s%s", F.col("chunk_index") + 1, F.col("position"), F.when(F.col("should_analyze"), "").otherwise(" [SKIPPED]"))
+    chunk = F.col("chunk_index")
+    parts.append(_lines(detail, [
+        ([31, chunk, 0], [title, THIN, "", "DOCUMENT TEXT:", F.col("text"), "", F.when(issues, "COMPLIANCE ISSUES:"), F.when(issues, "").otherwise(no("ISSUES"))]),
+        ([31, chunk, 1 << 20], [F.when(issues, ""), F.when(issues, ""), F.when(points, "COMPLIANCE POINTS:"), F.when(points, "").otherwise(no("POINTS"))]),
+        ([31, chunk, 1 << 30], ["", RULE, ""]),
+    ]))
+    last = F.col("place") == F.col("n_kind")
+    base = F.when(F.col("kind") == "issue", 0).otherwise(1 << 20)
+    named = F.when(F.col("kind") == "issue", TITLES["issue"][3]).otherwise(TITLES["point"][3])
+    parts.append(_lines(listed, [([31, chunk, base + F.col("place")], [
+        say("%s %d: %s", named, F.col("place"), T.without_asterisks(F.col("description"))), say("Regulation: %s", F.col("regulation")), say("Confidence: %s", F.col("confidence")),
+        F.when(F.coalesce("citation", F.lit("")) != "", say("Citation: %s", T.display_citation(F.col("citation")))), F.when(~last, SHORT_RULE), F.when(~last, ""),
+    ])]))
     everything = reduce(DataFrame.unionByName, parts)
-    order = Window.partitionBy("doc_id").orderBy("at", "n")
-    return everything.select("doc_id", F.row_number().over(order).alias("line_no"), "line")
+    return everything.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("at", "n")).alias("line_no"), "line")
 
 
 def report_text(lines: DataFrame) -> DataFrame:
