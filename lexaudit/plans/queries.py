@@ -479,9 +479,11 @@ def report_json(s, d):
 
 @query
 def report_lines(s, d):
-    docs = documents.with_metadata(_docs(s, d))
-    routed, raw = _audit(s, d)
-    return reports.report_lines(docs, routed, raw, findings.deduplicate(raw), "demo", "2024-01-01 00:00:00")
+    docs = documents.with_metadata(_docs(s, d)).persist()
+    routed = _routed(s, d).persist()
+    found = violations.scan_indicators(routed.where("should_analyze").select("doc_id", "chunk_index", "position", "text"), _indicators(s))
+    raw = judges.rule_findings(routed, found).persist()
+    return reports.report_lines(docs, routed, raw, findings.deduplicate(raw).persist(), "demo", "2024-01-01 00:00:00")
 
 
 @query
