@@ -29,6 +29,8 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sampling import hash_share
+
 SCALE, LEAF = 1024, 64
 #: Vectors of a shard at most, on average; and the fewest that are worth a shard of their own.
 SHARD_ROWS, LEAST_SHARD_ROWS = 65_536, 2_048
@@ -179,7 +181,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_
     rows = quantised(vectors, id_col, vector_col)
     total = vectors.count()
     shards = max(1, -(-total // SHARD_ROWS), min(spark.sparkContext.defaultParallelism, total // LEAST_SHARD_ROWS))
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(PILOT_ROWS).toArrow()
+    sample = rows.where(hash_share("vec_id") * total <= 4.0 * PILOT_ROWS).orderBy(F.xxhash64("vec_id"), "vec_id").limit(PILOT_ROWS).toArrow()
     pilot: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for dim in set(sample["dim"].to_pylist()):
         part = sample.filter(pa.compute.equal(sample["dim"], dim)).combine_chunks()

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sampling import bounded_sample
 from .shingles import U64, mix, text_blocks
 
 #: Lengths of the n-grams, and how many are kept of each language and length.
@@ -139,10 +140,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit_language_model(docs: DataFrame, training: Column, sample_docs: int = SAMPLE_DOCS) -> LanguageModel:
     """Learn from text and lang of up to ``sample_docs`` rows of each language that meet ``training``."""
     usable = docs.where(training & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = usable.select("doc_id", "lang").withColumn("at", F.row_number().over(order)).where(F.col("at") <= sample_docs).select("doc_id", "lang")
-    kept = chosen.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).select("lang")
-    rows = usable.select("doc_id", "lang", "text").join(F.broadcast(chosen.join(F.broadcast(kept), "lang", "left_semi").distinct()), ["doc_id", "lang"], "left_semi")
+    chosen = bounded_sample(usable.select("doc_id", "lang"), "doc_id", "lang", sample_docs, MAX_LANGUAGES).distinct()
+    rows = usable.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi")
     counts = rows.select("lang", "text").mapInArrow(_count, "lang string, size int, gram long, c long").groupBy("lang", "size", "gram").agg(F.sum("c").alias("c"))
     best = Window.partitionBy("lang", "size").orderBy(F.desc("c"), "gram")
     top = counts.withColumn("at", F.row_number().over(best)).where(F.col("at") <= GRAMS).select("lang", "gram").toPandas()

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .sampling import bounded_sample
 from .shingles import text_blocks, word_hashes
 
 PASSAGE_WORDS = 64
@@ -164,7 +165,7 @@ class QualityModel:
 def fit_quality(docs: DataFrame, labels: DataFrame, training: Column, label_col: str = "quality") -> QualityModel:
     """Learn from a bounded sample of the labelled documents that meet ``training`` (over doc_id)."""
     known = labels.where(training & F.col(label_col).isin(0, 1)).select("doc_id", F.col(label_col).alias("label"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
+    chosen = bounded_sample(known.withColumn("all", F.lit(True)), "doc_id", "all", SAMPLE_DOCS).drop("all")
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label").toArrow()
     rows = rows.sort_by([("doc_id", "ascending"), ("label", "ascending")])
     return QualityModel.train([None if t is None else t.encode() for t in rows["text"].to_pylist()], rows["label"].to_pylist())

@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .sampling import bounded_sample
 from .shingles import U64, mix, text_blocks
 
 LENGTH, SPAN, DECAY = 3, 5, 0.6
@@ -287,8 +288,7 @@ class ToxicityModel:
 def fit_toxicity(docs: DataFrame, labels: DataFrame, training: Column, label_col: str = "toxic") -> ToxicityModel:
     """Learn from the labelled documents that meet ``training`` (over doc_id), a bounded sample of each label."""
     known = labels.where(training & F.col(label_col).isin(0, 1)).select("doc_id", F.col(label_col).alias("label"))
-    order = F.xxhash64("doc_id")
-    chosen = known.where("label = 1").orderBy(order, "doc_id").limit(SAMPLE_TOXIC).union(known.where("label = 0").orderBy(order, "doc_id").limit(SAMPLE_CLEAN))
+    chosen = bounded_sample(known.where("label = 1"), "doc_id", "label", SAMPLE_TOXIC).union(bounded_sample(known.where("label = 0"), "doc_id", "label", SAMPLE_CLEAN))
     rows = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label").toArrow()
     rows = rows.sort_by([("doc_id", "ascending"), ("label", "ascending")])
     return ToxicityModel.train(rows["text"].to_pylist(), rows["label"].to_pylist())
