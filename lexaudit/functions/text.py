@@ -26,6 +26,11 @@ _KINDS = "|".join(REFERENCE_KINDS)
 _SPACES = r"[\s\x1c-\x1f]"
 
 
+def let(value: Column, f) -> Column:
+    """f(value) with the value computed once, also where f uses it in a lambda."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def strip(c: Column) -> Column:
     """Without white space at both ends."""
     return F.regexp_replace(c, rf"(?U)\A{_SPACES}+|{_SPACES}+\z", "")

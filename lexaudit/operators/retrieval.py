@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import RETRIEVED
@@ -17,17 +17,19 @@ def squared_distance(a: Column, b: Column) -> Column:
     return F.aggregate(difference, F.lit(0.0), lambda acc, d: acc + d * d)
 
 
-def nearest(queries: DataFrame, articles: DataFrame, keys: list[str], k: int = RETRIEVED, max_articles: int = 100_000) -> DataFrame:
+def nearest(queries: DataFrame, articles: DataFrame, keys: list[str], k: int = RETRIEVED, max_articles: int = 10_000) -> DataFrame:
     """keys, rank, art_ord, distance (six decimals): the k nearest articles, ties by art_ord; fewer if there are fewer articles.
 
-    ``queries`` has the keys and ``vector``; ``articles`` has art_ord and ``vector`` and is broadcast after a check of its size.
+    ``queries`` has the keys and ``vector``; ``articles`` has art_ord and ``vector``. After a check of their number the articles
+    travel as one broadcast row, and every query row ranks them within itself: no row per pair, no shuffle of the queries.
     """
     if articles.count() > max_articles:
         raise ValueError(f"more than {max_articles} articles: search them in parts")
-    pairs = queries.select(*keys, "vector").join(F.broadcast(articles.select("art_ord", F.col("vector").alias("article_vector"))))
-    scored = pairs.select(*keys, "art_ord", F.round(squared_distance(F.col("vector"), F.col("article_vector")), 6).alias("distance"))
-    order = Window.partitionBy(*keys).orderBy("distance", "art_ord")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    listed = articles.agg(F.collect_list(F.struct("art_ord", F.col("vector").alias("v"))).alias("articles"))
+    rows = queries.select(*keys, "vector").join(F.broadcast(listed))
+    scored = F.transform("articles", lambda a: F.struct(F.round(squared_distance(F.col("vector"), a["v"]), 6).alias("distance"), a["art_ord"].alias("art_ord")))
+    best = F.slice(F.array_sort(F.filter(scored, lambda s: s["distance"].isNotNull())), 1, k)
+    return rows.select(*keys, F.posexplode(best).alias("at", "hit")).select(*keys, (F.col("at") + 1).alias("rank"), "hit.art_ord", "hit.distance")
 
 
 def with_articles(hits: DataFrame, articles: DataFrame) -> DataFrame:

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import let
 from ..functions.values import LONG_CHUNK, MIN_SCORE, SHORT_CHUNK
 
+#: Characters of a term by which long lists are joined.
+KEY_CHARS = 4
+
 
 def term_score(text: Column, terms) -> Column:
     """How many entries of the list the lower-cased text contains as substrings; entries are compared as they are written."""
     terms = list(terms)
-    return F.size(F.filter(F.array(*map(F.lit, terms)).cast("array<string>"), lambda t: F.contains(F.lower(text), t)))
+    listed = F.array(*map(F.lit, terms)).cast("array<string>")
+    return let(F.lower(text), lambda lowered: F.size(F.filter(listed, lambda t: F.contains(lowered, t))))
 
 
 def should_analyze(text: Column, score: Column) -> Column:
@@ -30,21 +35,23 @@ def route(chunk_rows: DataFrame, data_terms, regulatory_terms) -> DataFrame:
 def join_terms(chunk_rows: DataFrame, terms: DataFrame, max_terms: int = 100_000) -> DataFrame:
     """chunk × (term_type, term) for every term that the lower-cased text contains.
 
-    Substring search has no key to shuffle by, so the term list is broadcast; its size is checked first. Longer lists are
-    joined by the trigrams of the terms, and short terms of them still by search.
+    Substring search has no key to shuffle by, so the term list is broadcast; its size is checked first. A longer list is joined by
+    the first characters of the terms. Terms must be distinct.
     """
+    lowered = chunk_rows.withColumn("lowered", F.lower("text"))
     if terms.count() <= max_terms:
-        return chunk_rows.join(F.broadcast(terms), F.contains(F.lower(chunk_rows["text"]), terms["term"]))
-    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.substring(c, i, F.lit(3))))
-    keyed = terms.withColumn("gram", F.left("term", F.lit(3)))
-    found = chunk_rows.withColumn("gram", F.explode(F.array_union(grams(F.lower("text")), F.transform(F.sequence(F.lit(1), F.length("text")), lambda i: F.substring(F.lower("text"), i, F.lit(2))))))
-    return found.join(keyed, "gram").where(F.contains(F.lower("text"), F.col("term"))).drop("gram").distinct()
+        return lowered.join(F.broadcast(terms), F.contains(lowered["lowered"], terms["term"])).drop("lowered")
+    # a term is found by its first characters, at any place of the text
+    places = F.sequence(F.lit(1), F.greatest(F.length("lowered"), F.lit(1)))
+    starts = F.array_union(F.transform(places, lambda i: F.substring(F.col("lowered"), i, F.lit(KEY_CHARS))), F.array(F.lit("")))
+    short = F.transform(places, lambda i: F.array(*(F.substring(F.col("lowered"), i, F.lit(k)) for k in range(1, KEY_CHARS))))
+    found = lowered.withColumn("term_key", F.explode(F.array_distinct(F.concat(starts, F.flatten(short)))))
+    keyed = terms.withColumn("term_key", F.left("term", F.lit(KEY_CHARS)))
+    return found.join(keyed, "term_key").where(F.contains(F.col("lowered"), F.col("term"))).drop("term_key", "lowered")
 
 
 def batches(chunk_rows: DataFrame, batch_size: int) -> DataFrame:
     """batch_no (from 1) and the number of batches of the document."""
-    from pyspark.sql import Window
-
     total = F.count("*").over(Window.partitionBy("doc_id"))
     return chunk_rows.withColumns({
         "batch_no": (F.floor(F.col("chunk_index") / batch_size) + 1).cast("int"),

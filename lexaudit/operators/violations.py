@@ -22,11 +22,12 @@ def scan_indicators(chunk_rows: DataFrame, indicators: DataFrame, max_rows: int
     if indicators.count() > max_rows:
         raise ValueError(f"more than {max_rows} indicators: scan them in parts")
     lowered = chunk_rows.withColumn("lowered", F.lower("text"))
-    found = lowered.join(F.broadcast(indicators), F.contains(lowered["lowered"], F.lower(indicators["indicator"])))
-    at = F.instr(F.col("lowered"), F.lower("indicator"))
+    wanted = indicators.withColumn("wanted", F.lower("indicator"))
+    found = lowered.join(F.broadcast(wanted), F.contains(lowered["lowered"], wanted["wanted"]))
+    at = F.instr(F.col("lowered"), F.col("wanted"))
     start = F.greatest(at - CONTEXT_CHARS, F.lit(1))
     context = F.substring(F.col("text"), start, at + F.length("indicator") + CONTEXT_CHARS - start)
-    return found.withColumn("context", context).drop("lowered")
+    return found.withColumn("context", context).drop("lowered", "wanted")
 
 
 def top_violations(found: DataFrame, k: int = TOP_VIOLATIONS) -> DataFrame:

@@ -85,3 +85,20 @@ def test_plans(spark):
     routed = QUERIES["route"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert routed.count("Exchange hashpartitioning(doc_id") <= 1 and "Python" not in routed
     assert F is not None
+
+
+def test_long_term_lists_give_the_same_matches(spark):
+    from lexaudit.operators import routing
+
+    rows = spark.createDataFrame([(1, 0, "Personal data of a user; API and pia in dpia"), (2, 0, ""), (3, 0, None), (4, 0, "ab")], "doc_id int, chunk_index int, text string")
+    terms = spark.createDataFrame([("t", x) for x in ("personal data", "user", "API", "pia", "dpia", "a", "ab", "data")], "term_type string, term string")
+    pairs = lambda df: sorted((r.doc_id, r.term) for r in df.collect())
+    assert pairs(routing.join_terms(rows, terms)) == pairs(routing.join_terms(rows, terms, max_terms=0)) == [(1, "a"), (1, "data"), (1, "dpia"), (1, "personal data"), (1, "pia"), (1, "user"), (4, "a"), (4, "ab")]
+
+
+def test_fewer_articles_than_asked_for(spark):
+    queries = spark.createDataFrame([(1, [0.0, 0.0]), (2, None)], "id int, vector array<float>")
+    articles = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [2.0, 0.0])], "art_ord int, vector array<float>")
+    got = [tuple(r) for r in retrieval.nearest(queries, articles, ["id"], 5).orderBy("id", "rank").collect()]
+    assert got == [(1, 1, 0, 1.0), (1, 2, 1, 1.0), (1, 3, 2, 4.0)]
+    assert retrieval.nearest(queries, articles.limit(0), ["id"], 5).count() == 0
