@@ -16,6 +16,8 @@ from ..functions.values import (
     REGULATION_PHRASES,
     STOPWORDS,
 )
+from ..operators.prompts import DEFAULT_TEMPLATE
+from ..operators.reports import RULE, SHORT_RULE, THIN
 from . import corpus as C
 
 
@@ -192,6 +194,61 @@ rules AS (SELECT doc_id, chunk_index, 'issue' AS kind, pattern_ord AS ord, descr
 _SHOWN = "CASE WHEN len(sections) <= 2 THEN array_to_string(sections, ', ') ELSE sections[1] || ', ' || sections[2] || ' and ' || (len(sections) - 2) || ' more' END"
 _MODELS = "(VALUES " + ", ".join(f"({_q(k)}, {_q(n)}, {b}, {c}, {t}::DOUBLE, {_q(x)})" for k, n, b, c, t, x in MODELS) + ") m(key, name, batch_size, context_window, temperature, description)"
 
+_FIELDS = "'" + r'(?is)ISSUE\s*\d+:\s*(.+?)\s*\nArticle:\s*(.+?)\s*\nConfidence:\s*(High|Medium|Low)\s*\nExplanation:\s*(.+?)\s*\n(?:Citation:\s*(?:"(.+?)"|(.+?)))?(?:\n\n|\nISSUE|\z)' + "'"
+_STRUCTURED_ITEMS = f"""WITH {_SPLIT}, a AS (SELECT doc_id, {", ".join(f"regexp_extract_all(issues, {_FIELDS}, {n}) AS f{n}" for n in range(1, 7))} FROM halves),
+u AS (SELECT doc_id, {", ".join(f"unnest(f{n}) AS f{n}" for n in range(1, 7))} FROM a), c AS (SELECT *, {_strip('f2')} AS art, {_strip("CASE WHEN f5 <> '' THEN f5 ELSE f6 END")} AS cit FROM u)
+SELECT doc_id, {_strip('f1')} AS title, {_article('art')} AS regulation, {_strip('f3')} AS confidence, {_strip('f4')} AS explanation, CASE WHEN cit <> '' AND {_citation('cit')} THEN cit END AS citation FROM c"""
+_SIMPLE_ITEMS = rf"""WITH {_SPLIT}, b AS (SELECT doc_id, 'issue' AS kind, string_split(issues, chr(10)) AS ls FROM halves UNION ALL SELECT doc_id, 'point', string_split(points, chr(10)) FROM halves),
+l AS (SELECT doc_id, kind, unnest(ls) AS raw, generate_subscripts(ls, 1) AS n FROM b), s AS (SELECT doc_id, kind, n, {_strip('raw')} AS line FROM l),
+m AS (SELECT *, regexp_matches(line, '^(\d+\.|[-*•])') AS starts FROM s WHERE line <> ''),
+f AS (SELECT *, sum(starts::INTEGER) OVER (PARTITION BY doc_id, kind ORDER BY n)::INTEGER AS item_ord, CASE WHEN starts THEN 'start' WHEN regexp_matches(line, '(?i)^(Article|GDPR Article)') THEN 'article' WHEN regexp_matches(line, '(?i)^Confidence') THEN 'confidence' WHEN regexp_matches(line, '(?i)^Explanation') THEN 'explanation' WHEN regexp_matches(line, '(?i)^Citation') THEN 'citation' ELSE 'other' END AS field,
+  CASE WHEN contains(line, ':') THEN {_strip("substr(line, instr(line, ':') + 1)")} END AS value, regexp_extract(line, '(?i)(High|Medium|Low)', 1) AS level FROM m),
+g AS (SELECT *, trim(value, '"') AS quote, max(CASE WHEN field = 'explanation' AND value IS NOT NULL THEN n END) OVER (PARTITION BY doc_id, kind, item_ord) AS restart FROM f WHERE item_ord > 0)
+SELECT doc_id, kind, item_ord, max(line) FILTER (field = 'start') AS title, coalesce(arg_max(line, n) FILTER (field = 'article'), 'Unknown Article') AS regulation, coalesce(arg_max(level, n) FILTER (field = 'confidence' AND level <> ''), 'Medium') AS confidence,
+  coalesce(arg_max(value, n) FILTER (field = 'explanation' AND value IS NOT NULL), '') || coalesce(string_agg(' ' || line, '' ORDER BY n) FILTER (field = 'other' AND n > coalesce(restart, -1)), '') AS explanation,
+  arg_max(quote, n) FILTER (field = 'citation' AND {_citation('quote')}) AS citation FROM g GROUP BY doc_id, kind, item_ord"""
+_BULLETS = " || chr(10) || ".join(rf"'- Contains {n[4:]} references: ' || CASE WHEN regexp_matches(text, '(?i)\b({'|'.join(w)})\b') THEN 'Yes' ELSE 'No' END" for n, w in CONTENT_INDICATORS.items())
+_VIOLATION = """rank || '. Potential ''' || pattern || ''' pattern detected' || chr(10) || '   Description: ' || description || chr(10) || '   Indicator: ''' || indicator || '''' || chr(10) || '   Context: "...' || context || '..."' || chr(10) || '   Related articles: ' || array_to_string(related_refs, ', ') || chr(10) || chr(10)"""
+_PROMPT = _q(DEFAULT_TEMPLATE)
+for _name, _sql in {"section": "position", "text": "text", "regulations": "''", "indicators": "bullets", "violations": "coalesce(v, '')", "guidance": "''"}.items():
+    _PROMPT = _PROMPT.replace("{" + _name + "}", f"' || {_sql} || '")
+_PROMPTS = f"""WITH {_SCORES}, {_PATTERNS}, {_scan('routed', 'doc_id, chunk_index')}, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, chunk_index ORDER BY pattern_ord, indicator_ord) AS rank FROM found),
+v AS (SELECT doc_id, chunk_index, 'PRE-SCAN DETECTED POTENTIAL VIOLATIONS:' || chr(10) || string_agg({_VIOLATION}, '' ORDER BY rank) AS v FROM r WHERE rank <= 5 GROUP BY ALL),
+c AS (SELECT *, {_BULLETS} AS bullets FROM routed) SELECT doc_id, chunk_index, {_PROMPT} AS prompt FROM c LEFT JOIN v USING (doc_id, chunk_index)"""
+_REPORT = f"""{_RULES}, {_dedup('rules')},
+n AS (SELECT doc_id, count(*) AS total, count(*) FILTER (should_analyze) AS analyzed, count(*) FILTER (upper(confidence) = 'HIGH') AS high, count(*) FILTER (upper(confidence) = 'MEDIUM') AS medium, count(*) FILTER (upper(confidence) = 'LOW') AS low FROM merged GROUP BY doc_id),
+o AS (SELECT doc_id, count(*) AS original FROM rules GROUP BY doc_id),
+w AS (SELECT d.doc_id, coalesce(total, 0) AS total, coalesce(analyzed, 0) AS analyzed, coalesce(high, 0) AS high, coalesce(medium, 0) AS medium, coalesce(low, 0) AS low, coalesce(original, 0) AS original, regexp_extract(path, '[^/]*$') AS name, {_TYPE} AS kind, replace({_words(DATA_MENTIONS)}, '|', ', ') AS mentions, replace({_words(COMPLIANCE_WORDS)}, '|', ', ') AS words
+  FROM docs d LEFT JOIN n USING (doc_id) LEFT JOIN o USING (doc_id)),
+rg AS (SELECT doc_id, regulation, min(place) AS grp FROM placed GROUP BY ALL),
+each AS (SELECT doc_id, regulation, description, place, unnest(sections) AS section, generate_subscripts(sections, 1) AS spot FROM placed),
+once AS (SELECT doc_id, regulation, description, section, min(place * 1000 + spot) AS spot FROM each GROUP BY ALL),
+un AS (SELECT doc_id, regulation, description, list(section ORDER BY spot) AS sections FROM once GROUP BY ALL),
+fs AS (SELECT doc_id, regulation, description, arg_min(confidence, place) AS confidence, arg_min(should_analyze, place) AS sa, min(place) AS place FROM placed GROUP BY ALL),
+pc AS (SELECT doc_id, chunk_index, count(*) AS n_issue FROM rules GROUP BY ALL),
+ls AS (SELECT *, row_number() OVER (PARTITION BY doc_id, chunk_index ORDER BY ord) AS place, count(*) OVER (PARTITION BY doc_id, chunk_index) AS n_issue FROM rules),
+ck AS (SELECT r.*, coalesce(n_issue, 0) AS n_issue, CASE WHEN should_analyze THEN '' ELSE ' SKIPPED' END AS mark FROM routed r LEFT JOIN pc USING (doc_id, chunk_index)),
+blocks_of AS (
+  SELECT doc_id, 0 AS a, 0 AS b, 0 AS c, ['{RULE}', 'DEMO COMPLIANCE ANALYSIS REPORT', '{RULE}', '', 'Document: ' || name, 'Document Type: ' || kind, 'Regulation: demo', 'Analysis Date: 2024-01-01 00:00:00', '', 'POTENTIAL DATA CONTEXT:', 'Data mentions: ' || mentions, 'Compliance indicators: ' || words, '',
+    'Total Issues Found: ' || total, 'Analysis Method: Progressive (focused on relevant sections)', '- From analyzed sections: ' || analyzed, '- From skipped sections: ' || (total - analyzed), '', 'PROCESSING SUMMARY:', '- Original issues: ' || original || ' → Final: ' || total, '- Original compliance points: 0 → Final: 0'] AS lines FROM w
+  UNION ALL SELECT doc_id, 1, 0, 0, ['', 'CONFIDENCE BREAKDOWN OF ISSUES:', '- High Confidence Issues: ' || high, '- Medium Confidence Issues: ' || medium, '- Low Confidence Issues: ' || low, '', 'SUMMARY OF COMPLIANCE CONCERNS:', '{THIN}', ''] FROM w WHERE total > 0
+  UNION ALL SELECT doc_id, 2, grp, 0, [regulation || ':'] FROM rg UNION ALL SELECT doc_id, 2, grp, 1000000, [''] FROM rg
+  UNION ALL SELECT doc_id, 2, grp, place, ['  - ' || description || CASE WHEN sa THEN '' ELSE ' (SKIPPED)' END || ' (in ' || {_SHOWN} || ', ' || confidence || ' confidence)'] FROM fs JOIN un USING (doc_id, regulation, description) JOIN rg USING (doc_id, regulation)
+  UNION ALL SELECT doc_id, 3, 0, 0, ['{THIN}', ''] FROM w WHERE total > 0
+  UNION ALL SELECT doc_id, 30, 0, 0, ['DETAILED ANALYSIS BY SECTION:', '{RULE}', ''] FROM w
+  UNION ALL SELECT doc_id, 31, chunk_index, 0, ['SECTION #' || (chunk_index + 1) || ' - ' || position || CASE WHEN should_analyze THEN '' ELSE ' [SKIPPED]' END, '{THIN}', '', 'DOCUMENT TEXT:', text, ''] || CASE WHEN n_issue > 0 THEN ['COMPLIANCE ISSUES:', ''] ELSE ['NO COMPLIANCE ISSUES DETECTED IN THIS' || mark || ' SECTION'] END FROM ck
+  UNION ALL SELECT doc_id, 31, chunk_index, place, ['Issue ' || place || ': ' || replace(description, '*', ''), 'Regulation: ' || regulation, 'Confidence: ' || confidence, 'Citation: ' || citation] || CASE WHEN place < n_issue THEN ['{SHORT_RULE}', ''] ELSE [] END FROM ls
+  UNION ALL SELECT doc_id, 31, chunk_index, 1000000, CASE WHEN n_issue > 0 THEN ['', ''] ELSE [] END || ['NO COMPLIANCE POINTS DETECTED IN THIS' || mark || ' SECTION', '', '{RULE}', ''] FROM ck),
+un2 AS (SELECT doc_id, a, b, c, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM blocks_of)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY a, b, c, i)::INTEGER AS line_no, line FROM un2"""
+
+_JSON = f"""{_RULES}, {_dedup('rules')},
+e AS (SELECT doc_id, place, '{{"issue":' || to_json(description) || ',"regulation":' || to_json(regulation) || ',"confidence":' || to_json(confidence) || ',"explanation":' || to_json(explanation) || ',"citation":' || to_json(citation)
+  || CASE WHEN len(sections) = 1 THEN ',"section":' || to_json(sections[1]) ELSE ',"sections":' || to_json(sections) END || ',"should_analyze":' || to_json(should_analyze) || '}}' AS entry FROM placed),
+a AS (SELECT doc_id, count(*) AS n, string_agg(entry, ',' ORDER BY place) AS entries FROM e GROUP BY doc_id)
+SELECT doc_id, '{{"document":' || to_json(regexp_extract(path, '[^/]*$')) || ',"document_type":' || to_json({_TYPE}) || ',"regulation_framework":"demo","findings":[' || coalesce(entries, '') || '],"compliance_points":[],"analysis_type":"progressive","summary":"The document contains '
+  || coalesce(n, 0) || ' potential compliance issue(s) and 0 compliance point(s) related to demo."}}' AS report FROM docs LEFT JOIN a USING (doc_id)"""
+
 ORACLES: dict[str, str] = {
     "doc_type": f"WITH {_DOCS} SELECT doc_id, {_TYPE} AS document_type FROM docs",
     "data_mentions": f"WITH {_DOCS} SELECT doc_id, {_words(DATA_MENTIONS)} AS mentions FROM docs",
@@ -258,6 +315,11 @@ ORACLES: dict[str, str] = {
     "summary_sentence": _MERGED + "SELECT doc_id, 'The document contains ' || count(*) FILTER (kind = 'issue') || ' potential compliance issue(s) and ' || count(*) FILTER (kind = 'point') || ' compliance point(s) related to demo.' AS summary FROM merged GROUP BY doc_id",
     "labels_breakdown": "SELECT quality, count(*) AS n, count(*) FILTER (toxic = 1) AS toxic FROM labels GROUP BY quality",
     "format_regulations": f"WITH {_ARTICLES} SELECT 'VIOLATION PATTERNS: 4 patterns available' || string_agg(chr(10) || chr(10) || 'REGULATION ' || (art_ord + 1) || ': ' || id || CASE WHEN title <> '' THEN ' - ' || title ELSE '' END || CASE WHEN len(related_concepts) > 0 THEN chr(10) || 'RELATED CONCEPTS: ' || array_to_string(related_concepts, ', ') ELSE '' END || chr(10) || text, '' ORDER BY art_ord) AS regulations FROM articles WHERE art_ord < 5",
+    "structured_parse": _STRUCTURED_ITEMS,
+    "simple_items": _SIMPLE_ITEMS,
+    "prompt_build": _PROMPTS,
+    "report_lines": _REPORT,
+    "report_json": _JSON,
     "rule_findings": _RULES + " SELECT doc_id, chunk_index, ord, description, regulation, citation, section FROM rules",
     "audit_summary": _RULES + f", {_dedup('rules')} SELECT doc_id, regulation, count(*) AS n_issues, count(*) FILTER (upper(confidence) = 'HIGH') AS high, count(*) FILTER (upper(confidence) = 'MEDIUM') AS medium, count(*) FILTER (upper(confidence) = 'LOW') AS low, sum(len(sections))::BIGINT AS n_sections FROM merged GROUP BY ALL",
 }
