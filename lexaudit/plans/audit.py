@@ -80,15 +80,21 @@ def routed_chunks(docs: DataFrame, rules: Framework, size: int = DEFAULT_CHUNK_S
     return routed if progressive else routed.withColumn("should_analyze", F.lit(True))
 
 
+def _indicators(spark, rules: Framework) -> DataFrame:
+    if rules.patterns is None:
+        return spark.createDataFrame([], "pattern_ord int, indicator_ord int, pattern string, description string, indicator string, related_refs array<string>")
+    return violations.indicator_rows(rules.patterns)
+
+
 def rule_audit(docs: DataFrame, rules: Framework, **options) -> tuple[DataFrame, DataFrame]:
     """(routed chunks, findings) without a model."""
     routed = routed_chunks(docs, rules, **options)
-    indicators = violations.indicator_rows(rules.patterns)
+    indicators = _indicators(docs.sparkSession, rules)
     found = violations.scan_indicators(routed.where("should_analyze").select("doc_id", "chunk_index", "position", "text"), indicators)
     return routed, judges.rule_findings(routed, found)
 
 
-def model_audit(docs: DataFrame, rules: Framework, embed: Callable[[Column], Column], answer: Callable[[list[str]], list[str]], table: str | None = None, progressive: bool = True, **options) -> tuple[DataFrame, DataFrame]:
+def model_audit(docs: DataFrame, rules: Framework, embed: Callable[[Column], Column], answer: Callable[[list[str]], list[str]], table: str | None = None, progressive: bool = True, rows_per_call: int = 4, **options) -> tuple[DataFrame, DataFrame]:
     """(routed chunks, findings) of a judge that answers prompts. ``table``: where the answers are written before they are parsed."""
     spark = docs.sparkSession
     routed = routed_chunks(docs, rules, progressive=progressive, **options)
@@ -96,10 +102,10 @@ def model_audit(docs: DataFrame, rules: Framework, embed: Callable[[Column], Col
     articles = rules.articles.withColumn("vector", embed(F.col("text")))
     nearest = retrieval.nearest(asked.withColumn("vector", embed(F.col("text"))), articles, ["doc_id", "chunk_index"], RETRIEVED if progressive else RETRIEVED_BATCH)
     hits = retrieval.with_articles(nearest, rules.articles)
-    indicators = violations.indicator_rows(rules.patterns) if rules.patterns is not None else spark.createDataFrame([], "pattern_ord int, indicator_ord int, pattern string, description string, indicator string, related_refs array<string>")
+    indicators = _indicators(spark, rules)
     found = violations.scan_indicators(asked.select("doc_id", "chunk_index", "position", "text"), indicators)
     requests = prompts.with_prompts(routed.select("doc_id", "chunk_index", "position", "text", "should_analyze"), hits, found, risk_level=rules.risk_level, template=rules.template)
-    judged = judges.judge(requests, answer)
+    judged = judges.judge(requests, answer, rows_per_call)
     if table:
         judged.write.mode("overwrite").parquet(table)
         judged = spark.read.parquet(table)
