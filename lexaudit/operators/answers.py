@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.values import DEFAULT_CONFIDENCE, UNKNOWN_ARTICLE
 
-_ITEM = "\x01"
+#: Mark of an item: a noncharacter.
+_ITEM = "\ufdd0"
 _KINDS = {"issue": ("ISSUES", "compliance issues", "no issues", "This violates"), "point": ("POINTS", "compliance points", "no points", "This supports")}
 
 

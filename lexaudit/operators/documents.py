@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.values import DEFAULT_CHUNK_OVERLAP, DEFAULT_CHUNK_SIZE, HEADER
 
-_HEAD, _TAIL = "\x01", "\x02"
+#: Marks of headers: noncharacters, which texts for interchange don't hold.
+_HEAD, _TAIL = "\ufdd0", "\ufdd1"
 BLANK_LINE = r"(?U)\n\s*\n"
 
 

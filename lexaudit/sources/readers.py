@@ -102,7 +102,7 @@ def parse_patterns(files: DataFrame) -> DataFrame:
 
     listed = field("Indicators:", "Indicators:")
     parts = lambda c: F.transform(F.split(c, ",", -1), T.strip)
-    related = F.regexp_replace(field("Related", "\x00"), r"\ARelated[^:]*:\s*", "")
+    related = F.regexp_replace(field("Related", ""), r"\ARelated[^:]*:\s*", "")
     indicators = F.when(F.contains(listed, F.lit('"')), F.regexp_extract_all(listed, F.lit('"([^"]*)"'), F.lit(1))).otherwise(parts(listed))
     rows = blocks.select("framework", F.col("pattern_ord").cast("int").alias("pattern_ord"), field("Pattern:", "Pattern:").alias("pattern"), field("Description:", "Description:").alias("description"), F.coalesce(indicators, F.array().cast("array<string>")).alias("indicators"), F.coalesce(parts(related), F.array().cast("array<string>")).alias("related_refs"))
     return rows.where("pattern is not null and size(indicators) > 0")
