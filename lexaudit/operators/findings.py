@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -23,6 +23,24 @@ def ordered_union(values: Column) -> Column:
     return F.array_distinct(F.transform(seen, lambda s: s["value"]))
 
 
+def with_defaults(findings: DataFrame, chunk_rows: DataFrame) -> DataFrame:
+    """Findings with section, text and should_analyze filled from their chunk where they have none (``Unknown``, empty, true without a chunk)."""
+    own = chunk_rows.select("doc_id", "chunk_index", F.col("position").alias("_position"), F.col("text").alias("_text"), F.col("should_analyze").alias("_analyzed"))
+    rows = findings if "text" in findings.columns else findings.withColumn("text", F.lit(None).cast("string"))
+    filled = rows.join(own, ["doc_id", "chunk_index"], "left").withColumns({
+        "section": F.coalesce("section", "_position", F.lit("Unknown")),
+        "text": F.coalesce("text", "_text", F.lit("")),
+        "should_analyze": F.coalesce("should_analyze", "_analyzed", F.lit(True)),
+    })
+    return filled.drop("_position", "_text", "_analyzed")
+
+
+def first_issues(findings: DataFrame, k: int = 3) -> DataFrame:
+    """The first k findings of each chunk and kind."""
+    order = Window.partitionBy("doc_id", "chunk_index", "kind").orderBy("ord")
+    return findings.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+
+
 def with_key(findings: DataFrame, compat: bool = True) -> DataFrame:
     """Findings that have a description, with their key."""
     return findings.where(F.coalesce("description", F.lit("")) != "").withColumn("key", T.dedup_key(F.col("regulation"), F.col("description"), compat))
@@ -63,8 +81,6 @@ def deduplicate(findings: DataFrame, compat: bool = True) -> DataFrame:
 
 def in_order(deduped: DataFrame) -> DataFrame:
     """position: the place of a finding in its document, by confidence, regulation and first appearance."""
-    from pyspark.sql import Window
-
     rank = F.when(T.confidence_rank(F.col("confidence")) == 0, 3).otherwise(3 - T.confidence_rank(F.col("confidence")))
     order = Window.partitionBy("doc_id", "kind").orderBy(rank, "regulation", "first_chunk", "first_ord", "key")
     return deduped.withColumn("position", F.row_number().over(order))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
 from ..functions.values import CONTEXT_CHARS, TOP_VIOLATIONS
 
 
@@ -33,3 +34,12 @@ def scan_indicators(chunk_rows: DataFrame, indicators: DataFrame, max_rows: int
 def top_violations(found: DataFrame, k: int = TOP_VIOLATIONS) -> DataFrame:
     order = Window.partitionBy("doc_id", "chunk_index").orderBy("pattern_ord", "indicator_ord")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def detected_patterns(rows: DataFrame, column: str = "detected") -> DataFrame:
+    """Violations of an array of texts like ``pattern: 'indicator'``: all columns but the array, pattern, indicator, context, related_refs. Texts without a colon are left out."""
+    each = rows.select(*[c for c in rows.columns if c != column], F.explode(column).alias("detected")).where(F.contains("detected", F.lit(":")))
+    parts = F.split("detected", ":", 2)
+    indicator = F.btrim(strip(parts[1]), F.lit("'"))
+    named = each.select(*[c for c in rows.columns if c != column], strip(parts[0]).alias("pattern"), indicator.alias("indicator"))
+    return named.withColumns({"context": F.concat(F.lit("..."), F.col("indicator"), F.lit("...")), "related_refs": F.array().cast("array<string>")})

@@ -26,6 +26,8 @@ class Framework:
     regulatory_terms: list[str] = field(default_factory=lambda: list(DEFAULT_REGULATORY_TERMS))
     articles: DataFrame | None = None
     patterns: DataFrame | None = None
+    context: str = ""
+    n_patterns: int = 0
     template: str = prompts.DEFAULT_TEMPLATE
     risk_level: str = "unknown"
 
@@ -47,7 +49,7 @@ def framework(name: str) -> Framework:
 
 
 def load_framework(spark, name: str, folder: str) -> Framework:
-    """A framework from a folder of articles.txt, common_patterns.txt, data_terms.txt and regulatory_keywords.txt (all but articles optional)."""
+    """A framework from a folder of articles.txt, common_patterns.txt, context.txt, data_terms.txt and regulatory_keywords.txt (all but articles optional)."""
 
     def text(file: str) -> DataFrame | None:
         jvm = spark.sparkContext._jvm
@@ -64,7 +66,12 @@ def load_framework(spark, name: str, folder: str) -> Framework:
         rows = text(f"{kind}.txt")
         parsed = readers.parse_terms(rows.select("framework", F.lit(kind).alias("term_type"), "text")) if rows is not None else None
         lists[kind] = readers.terms_of(parsed, name, kind) if parsed is not None else list(DEFAULT_DATA_TERMS if kind == "data_terms" else DEFAULT_REGULATORY_TERMS)
-    return register(Framework(name, lists["data_terms"], lists["regulatory_keywords"], readers.parse_articles(articles), readers.parse_patterns(patterns) if patterns is not None else None))
+    context = text("context.txt")
+    n_patterns = patterns.select(readers.count_patterns(F.col("text")).alias("n")).first().n if patterns is not None else 0
+    return register(Framework(
+        name, lists["data_terms"], lists["regulatory_keywords"], readers.parse_articles(articles), readers.parse_patterns(patterns) if patterns is not None else None,
+        context.first().text if context is not None else "", n_patterns,
+    ))
 
 
 def routed_chunks(docs: DataFrame, rules: Framework, size: int = DEFAULT_CHUNK_SIZE, overlap: int = DEFAULT_CHUNK_OVERLAP, progressive: bool = True, optimize: bool = True) -> DataFrame:
@@ -104,7 +111,7 @@ def model_audit(docs: DataFrame, rules: Framework, embed: Callable[[Column], Col
     hits = retrieval.with_articles(nearest, rules.articles)
     indicators = _indicators(spark, rules)
     found = violations.scan_indicators(asked.select("doc_id", "chunk_index", "position", "text"), indicators)
-    requests = prompts.with_prompts(routed.select("doc_id", "chunk_index", "position", "text", "should_analyze"), hits, found, risk_level=rules.risk_level, template=rules.template)
+    requests = prompts.with_prompts(routed.select("doc_id", "chunk_index", "position", "text", "should_analyze"), hits, found, context=rules.context, n_patterns=rules.n_patterns, risk_level=rules.risk_level, template=rules.template)
     judged = judges.judge(requests, answer, rows_per_call)
     if table:
         judged.write.mode("overwrite").parquet(table)

@@ -313,6 +313,9 @@ ORACLES: dict[str, str] = {
     "by_regulation_issue": _MERGED + ", each AS (SELECT doc_id, kind, regulation, description, place, unnest(sections) AS section, generate_subscripts(sections, 1) AS spot FROM placed), once AS (SELECT doc_id, kind, regulation, description, section, min(place * 1000 + spot) AS spot FROM each GROUP BY ALL), u AS (SELECT doc_id, kind, regulation, description, string_agg(section, '|' ORDER BY spot) AS sections FROM once GROUP BY ALL), f AS (SELECT doc_id, kind, regulation, description, arg_min(confidence, place) AS confidence, arg_min(should_analyze, place) AS should_analyze, min(place) AS first_position FROM placed GROUP BY ALL) SELECT * FROM u JOIN f USING (doc_id, kind, regulation, description)",
     "sorted_findings": _MERGED + "SELECT doc_id, kind, place AS position, key FROM placed",
     "summary_sentence": _MERGED + "SELECT doc_id, 'The document contains ' || count(*) FILTER (kind = 'issue') || ' potential compliance issue(s) and ' || count(*) FILTER (kind = 'point') || ' compliance point(s) related to demo.' AS summary FROM merged GROUP BY doc_id",
+    "detected_patterns": f"WITH {_FINDINGS}, p AS (SELECT doc_id, chunk_index, unnest([kind, 'a']) AS pattern, unnest([regulation, 'b: ' || section]) AS indicator FROM findings) SELECT *, '...' || indicator || '...' AS context FROM p",
+    "finding_defaults": f"WITH {_FINDINGS}, {_RESPONSES} SELECT f.doc_id, f.chunk_index, CASE WHEN f.chunk_index % 2 = 0 THEN section ELSE position END AS section, response AS text, CASE WHEN f.chunk_index % 3 = 0 THEN false ELSE r.should_analyze END AS should_analyze FROM findings f JOIN responses r USING (doc_id, chunk_index)",
+    "first_issues": f"WITH {_FINDINGS}, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, kind ORDER BY chunk_index)::INTEGER AS place FROM findings) SELECT doc_id, kind, place, chunk_index AS ord, description FROM r WHERE place <= 3",
     "labels_breakdown": "SELECT quality, count(*) AS n, count(*) FILTER (toxic = 1) AS toxic FROM labels GROUP BY quality",
     "format_regulations": f"WITH {_ARTICLES} SELECT 'VIOLATION PATTERNS: 4 patterns available' || string_agg(chr(10) || chr(10) || 'REGULATION ' || (art_ord + 1) || ': ' || id || CASE WHEN title <> '' THEN ' - ' || title ELSE '' END || CASE WHEN len(related_concepts) > 0 THEN chr(10) || 'RELATED CONCEPTS: ' || array_to_string(related_concepts, ', ') ELSE '' END || chr(10) || text, '' ORDER BY art_ord) AS regulations FROM articles WHERE art_ord < 5",
     "structured_parse": _STRUCTURED_ITEMS,

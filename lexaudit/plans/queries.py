@@ -439,6 +439,25 @@ def summary_sentence(s, d):
     return _deduped(s, d).groupBy("doc_id").agg(T.summary_sentence(n("issue"), n("point"), "demo").alias("summary"))
 
 
+@query
+def detected_patterns(s, d):
+    rows = _findings(s, d).select("doc_id", "chunk_index", F.array(F.concat(F.col("kind"), F.lit(": '"), F.col("regulation"), F.lit("' ")), F.lit("no colon"), F.concat(F.lit(" a : b: "), F.col("section"))).alias("detected"))
+    return violations.detected_patterns(rows).select("doc_id", "chunk_index", "pattern", "indicator", "context")
+
+
+@query
+def finding_defaults(s, d):
+    chunks = _responses(s, d).select("doc_id", "chunk_index", F.col("position"), F.col("response").alias("text"), "should_analyze")
+    bare = _findings(s, d).withColumns({"section": F.when(F.col("chunk_index") % 2 == 0, F.col("section")), "should_analyze": F.when(F.col("chunk_index") % 3 == 0, F.lit(False))})
+    return findings.with_defaults(bare, chunks).select("doc_id", "chunk_index", "section", "text", "should_analyze")
+
+
+@query
+def first_issues(s, d):
+    merged = _findings(s, d).withColumns({"ord": F.col("chunk_index"), "chunk_index": F.lit(0)})
+    return findings.first_issues(merged).select("doc_id", "kind", "place", "ord", "description")
+
+
 @query
 def labels_breakdown(s, d):
     return C.table(s, d, "labels").groupBy("quality").agg(F.count("*").alias("n"), F.count_if(F.col("toxic") == 1).alias("toxic"))
