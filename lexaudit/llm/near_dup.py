@@ -204,13 +204,16 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     crossing = near(met.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct())
     closest = stars.groupBy("b").agg(F.min(F.struct("d", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
     pairs = ws.save(closest.union(crossing.select("a", "b")), "pairs")
+    ws.drop("across", "buckets")
 
     involved = ws.save(stars.select(F.explode(F.array("a", "b")).alias("id")).union(pairs.select(F.explode(F.array("a", "b")))).distinct(), "involved")
+    ws.drop("stars")
     wanted = F.broadcast(involved) if involved.count() <= BROADCAST_IDS else involved
     sets = ws.save(source.join(wanted, "id", "left_semi").mapInArrow(_sets(shingle_words), "rep long, shingles binary").dropDuplicates(["rep"]), "sets")
     links = _pairs_with(pairs, sets, "shingles", ("xa", "xb")).mapInArrow(_confirm(percent), "a long, b long")
     first = ws.save(connected_components(links, ws, "first"), "first-labels")
 
+    ws.drop("pairs", "involved")
     members = families.join(first.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     members = ws.save(members.join(reps.select("rep", "n"), "rep"), "members")
     per_label = members.groupBy("family", "component").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
@@ -224,6 +227,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     others = rows.select("family", "component", "shingles", F.lit(False).alias("probe"), own("all_blocks").alias("ab"), every("probe_blocks").alias("pb")).select("family", "component", "shingles", "probe", "pb", "ab")
     more = probes.union(others).groupBy("family", "pb", "ab").applyInArrow(_block_links(percent), "a long, b long")
     second = connected_components(more, ws, "second").select(F.col("node").alias("component"), F.col("component").alias("root"))
+    ws.drop("families", "sets")
     labels = first.select(F.col("node").alias("rep"), "component").union(members.select("rep", "component")).distinct().join(second, "component", "left").select("rep", F.coalesce("root", "component").alias("component_id"))
 
     owner = classes.select("fa", "fb", "n", "rep").join(labels, "rep", "left").select("fa", "fb", "n", F.coalesce("component_id", "rep").alias("c"))

@@ -37,8 +37,9 @@ class Workspace:
             self.spark.conf.set(_BATCH, rows)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, tag: str) -> None:
-        """Delete a table that no later plan reads."""
+    def drop(self, *tags: str) -> None:
+        """Delete tables that no later plan reads. What the result still reads stays until the application's folder is cleared."""
         jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{tag}")
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        for tag in tags:
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{tag}")
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
