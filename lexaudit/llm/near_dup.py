@@ -8,7 +8,7 @@ are at distance D if they differ in D positions. The signature is split into ``C
 is entered once for each choice of ``ERRORS`` positions left out. By the pigeonhole principle two signatures with
 D <= ``MAX_DISTANCE`` have a chunk with at most ``ERRORS`` differing positions, so they meet in a bucket: no pair
 within the distance is lost. Two sets of similarity 0.8 differ in 20 of 100 positions on average and exceed 39 with
-a probability of about 1e-5, which falls steeply above 0.8.
+a probability of about 4e-6, which falls to 1e-9 at 0.85.
 
 Buckets are not expanded into all pairs. (1) Each member meets its bucket's smallest member; the pairs within the
 distance span families. (2) Members of one bucket that lie in different families meet each other. (3) Each member's
