@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 from ..functions.values import DEFAULT_CONFIDENCE
 
 
-def rule_findings(routed: DataFrame, found: DataFrame) -> DataFrame:
-    """Findings without a model: an issue for every pattern that an analysed chunk shows, cited by its first indicator."""
-    analysed = found.join(routed.where("should_analyze").select("doc_id", "chunk_index"), ["doc_id", "chunk_index"], "left_semi")
-    first = analysed.groupBy("doc_id", "chunk_index", "position", "pattern_ord").agg(F.min_by(F.struct("pattern", "description", "indicator", "related_refs"), "indicator_ord").alias("v"))
+def rule_findings(found: DataFrame) -> DataFrame:
+    """Findings without a model: an issue for every pattern that an analysed chunk shows, cited by its first indicator.
+
+    ``found`` are the indicators of the chunks to analyse: filter chunks before the scan, so that no join is needed here. Chunks
+    that were numbered by doc_id keep that partitioning, and the grouping adds no shuffle.
+    """
+    first = found.groupBy("doc_id", "chunk_index", "position", "pattern_ord").agg(F.min_by(F.struct("pattern", "description", "indicator", "related_refs"), "indicator_ord").alias("v"))
     return first.select(
         "doc_id", "chunk_index", F.lit("issue").alias("kind"), F.col("pattern_ord").alias("ord"),
         F.coalesce(F.col("v")["description"], F.col("v")["pattern"]).alias("description"),

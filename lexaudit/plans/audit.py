@@ -98,7 +98,7 @@ def rule_audit(docs: DataFrame, rules: Framework, **options) -> tuple[DataFrame,
     routed = routed_chunks(docs, rules, **options)
     indicators = _indicators(docs.sparkSession, rules)
     found = violations.scan_indicators(routed.where("should_analyze").select("doc_id", "chunk_index", "position", "text"), indicators)
-    return routed, judges.rule_findings(routed, found)
+    return routed, judges.rule_findings(found)
 
 
 def model_audit(docs: DataFrame, rules: Framework, embed: Callable[[Column], Column], answer: Callable[[list[str]], list[str]], table: str | None = None, progressive: bool = True, rows_per_call: int = 4, **options) -> tuple[DataFrame, DataFrame]:

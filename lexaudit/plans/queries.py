@@ -473,7 +473,7 @@ def _audit(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """(routed chunks, merged findings) of the rule judge."""
     routed = _routed(s, d)
     found = violations.scan_indicators(routed.where("should_analyze").select("doc_id", "chunk_index", "position", "text"), _indicators(s))
-    return routed, judges.rule_findings(routed, found)
+    return routed, judges.rule_findings(found)
 
 
 @query
@@ -501,7 +501,7 @@ def report_lines(s, d):
     docs = documents.with_metadata(_docs(s, d)).persist()
     routed = _routed(s, d).persist()
     found = violations.scan_indicators(routed.where("should_analyze").select("doc_id", "chunk_index", "position", "text"), _indicators(s))
-    raw = judges.rule_findings(routed, found).persist()
+    raw = judges.rule_findings(found).persist()
     return reports.report_lines(docs, routed, raw, findings.deduplicate(raw).persist(), "demo", "2024-01-01 00:00:00")
 
 

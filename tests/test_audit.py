@@ -82,6 +82,8 @@ def test_plans(spark):
     assert "Exchange" not in plan and "Python" not in plan and "c_acctbal" not in plan
     routed = QUERIES["route"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert routed.count("Exchange hashpartitioning(doc_id") <= 1 and "Python" not in routed
+    whole = QUERIES["audit_summary"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert whole.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in whole
 
 
 def test_long_term_lists_give_the_same_matches(spark):
