@@ -151,24 +151,27 @@ class ToxicityModel:
 
     @classmethod
     def train(cls, texts: list[str], toxic: list[int]) -> ToxicityModel:
-        seen: set[str] = set()
-        docs: list[tuple[list[list[str]], int]] = []
+        seen: set[int] = set()
+        names: dict[str, str] = {}  # one copy of each word
+        held, sizes, toxic_sets = [Counter(), Counter()], [0, 0], []
         for text, label in zip(texts, toxic):
-            if text not in seen:
-                seen.add(text)
-                docs.append(([[p for t in tokens(s) if len(p := _plain(t)) > 1] for s in text.split("\n")], label))
-        if len({label for _, label in docs}) < 2:
+            if hash(text) in seen:
+                continue
+            seen.add(hash(text))
+            words = {names.setdefault(p, p) for s in text.split("\n") for t in tokens(s) if len(p := _plain(t)) > 1}
+            held[label].update(words)
+            sizes[label] += 1
+            if label:
+                toxic_sets.append(words)
+        clean_docs, toxic_docs = sizes
+        if not clean_docs or not toxic_docs:
             return cls(np.empty(0, np.uint64), np.empty(0), _BLANK, None)
-        held = [Counter(), Counter()]
-        for sentences, label in docs:
-            held[label].update({w for s in sentences for w in s})
-        clean_docs, toxic_docs = (sum(label == k for _, label in docs) for k in (0, 1))
         odds = lambda w: (held[1][w] / toxic_docs) / ((held[0][w] + 0.5) / clean_docs)
         least = 3 if toxic_docs >= 60 else 2
         witnesses = [w for w in held[1] if held[1][w] >= least and odds(w) >= 12]
         # a toxic document needs one witness: words that only go with others' witnesses must be frequent themselves
         able = set(witnesses)
-        uncovered = [{w for s in sentences for w in s} & able for sentences, label in docs if label]
+        uncovered = [words & able for words in toxic_sets]
         strong: list[str] = []
         while True:
             cover = Counter(w for d in uncovered for w in d)
@@ -205,7 +208,8 @@ class ToxicityModel:
             rest = [c for c in clean if c not in used]
             order = np.argsort(-machine.decisions(rest))[:MARGIN_NEGATIVES] if rest else []
             sample = sample + [rest[i] for i in order]
-        x = machine.features_of(texts)
+        x = np.concatenate([machine.features_of(texts[i : i + 200]) for i in range(0, len(texts), 200)])
+        machine.forget()
         machine.logistic = _fit_logistic(x, np.array(toxic, dtype=float))
         return machine
 
