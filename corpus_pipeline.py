@@ -1,6 +1,7 @@
 """The corpus pipeline: five stages over ``documents``, each calling one operator of lexaudit.llm.
 
-1. language_id drops texts without a determined language (no letter, or a score below ``MIN_LANGUAGE_SCORE``).
+1. language_id drops texts without a determined language (no letter, or a rate of the winning language
+   below ``MIN_LANGUAGE_RATE``; that rate doesn't depend on how many other languages are learned).
 2. near_dedup keeps the document with the smallest doc_id of each group of near duplicates (five-word shingles, 0.8).
    Rows that repeat a doc_id are one document and stay together; rows without a doc_id stay.
 3. decontamination drops documents that hold a benchmark item (five-word shingles, 0.8 of the item).
@@ -21,14 +22,14 @@ from lexaudit.llm.near_dup import BROADCAST_IDS, near_duplicates
 from lexaudit.llm.secrets import redact_secrets
 from lexaudit.llm.storage import Workspace
 
-MIN_LANGUAGE_SCORE = 0.35
+MIN_LANGUAGE_RATE = 0.05
 TOKENIZER = "word_bpe_49k.json"
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = fit_language_model(docs, fold(F.col("doc_id"), 5) != 0)
-    found = identify_languages(docs, model, "pipeline_lang", "pipeline_score")
-    return found.where((F.col("pipeline_lang") != UNDETERMINED) & (F.col("pipeline_score") >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
+    found = identify_languages(docs, model, "pipeline_lang", "pipeline_score", "pipeline_rate")
+    return found.where((F.col("pipeline_lang") != UNDETERMINED) & (F.col("pipeline_rate") >= MIN_LANGUAGE_RATE)).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

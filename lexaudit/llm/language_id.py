@@ -7,7 +7,7 @@ frequent ones. All languages share one table of slots; bit l of a slot belongs t
 ANDs the slots of an n-gram's hashes, which returns the mask of all languages that contain it. For a document,
 the bits are counted per language, and the count is corrected for the false positives that the fill of the language's
 slice predicts: rate = (hits / n-grams - fpr) / (1 - fpr). The language with the highest rate wins; the score is its
-share of the sum of rates.
+share of the sum of rates, which falls as more languages are learned; its own rate doesn't, and is what to reject texts by.
 
 N-grams are taken over the whole lower-cased text, in which every run of characters that are not letters is one space.
 
@@ -115,14 +115,15 @@ class LanguageModel:
         fpr = self.false_positive_rates()
         return np.maximum(0.0, (hits / np.maximum(total, 1)[:, None] - fpr) / (1 - fpr)), has_letter
 
-    def predict(self, texts: list[bytes | None]) -> tuple[list[str], np.ndarray]:
+    def predict(self, texts: list[bytes | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Language, score and own rate of the winner."""
         if not self.languages:
-            return [UNDETERMINED] * len(texts), np.zeros(len(texts))
+            return [UNDETERMINED] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
         rates, has_letter = self.rates(texts)
         best = rates.argmax(axis=1)
         top, total = rates[np.arange(len(texts)), best], rates.sum(axis=1)
         score = np.where(has_letter & (total > 0), top / np.where(total > 0, total, 1), 0.0)
-        return [self.languages[b] if ok else UNDETERMINED for b, ok in zip(best, has_letter)], score
+        return [self.languages[b] if ok else UNDETERMINED for b, ok in zip(best, has_letter)], score, np.where(has_letter, top, 0.0)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,21 +149,25 @@ def fit_language_model(docs: DataFrame, training: Column, sample_docs: int = SAM
     return LanguageModel.build({name: part["gram"].to_numpy(np.int64).view(np.uint64) for name, part in top.groupby("lang")})
 
 
-def identify_languages(docs: DataFrame, model: LanguageModel, pred: str = "lang_pred", score: str = "score") -> DataFrame:
-    """All columns of ``docs`` with the predicted language and its score."""
+def identify_languages(docs: DataFrame, model: LanguageModel, pred: str = "lang_pred", score: str = "score", rate: str | None = None) -> DataFrame:
+    """All columns of ``docs`` with the predicted language and its score, and with its own rate if that is named."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    added = [pred, score] + ([rate] if rate else [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, scores = [], []
+            names, scores, rates = [], [], []
             for _, texts in text_blocks(batch, "text", 1_000_000):
-                own, own_scores = shared.value.predict(texts)
+                own, own_scores, own_rates = shared.value.predict(texts)
                 names += own
                 scores += own_scores.tolist()
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, pred, score])
+                rates += own_rates.tolist()
+            found = [pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(rates, pa.float64())][: len(added)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *found], names=[*batch.schema.names, *added])
 
-    kept = docs.drop(pred, score)
-    return kept.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + f", `{pred}` string, `{score}` double")
+    kept = docs.drop(*added)
+    kinds = [f"`{c}` {kind}" for c, kind in zip(added, ("string", "double", "double"))]
+    return kept.mapInArrow(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema] + kinds))
 
 
 def fold(column: Column, parts: int) -> Column:

@@ -1,3 +1,4 @@
+import random
 import re
 
 import corpus_pipeline
@@ -49,3 +50,15 @@ def test_empty_and_odd_rows(spark, tmp_path):
         for _, stage in corpus_pipeline.STAGES:
             docs = stage(spark, docs, str(tmp_path))
         assert docs.count() == (3 if given else 0)
+
+
+def test_many_languages_drop_no_clean_document(spark):
+    """A dozen languages that share three words in ten."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6))
+    shared = [word() for _ in range(25)]
+    own = {f"l{k:02d}": [word() for _ in range(55)] for k in range(12)}
+    rows = [(100 * k + i, " ".join(rng.choice(shared if rng.random() < 0.3 else own[lang]) for _ in range(150)), lang, "s", 0) for k, lang in enumerate(own) for i in range(20)]
+    noise = [(9000 + i, " ".join(word() for _ in range(150)), None, "s", 0) for i in range(5)]
+    docs = spark.createDataFrame(rows + noise, spark.read.parquet(TABLE).schema)
+    assert {r.doc_id for r in corpus_pipeline.language_id(spark, docs, "").collect()} == {r[0] for r in rows}
