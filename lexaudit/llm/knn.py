@@ -40,7 +40,7 @@ _EXACT = 2.0**53
 
 class KDTree:
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
-        self.ids, self.vectors = ids, vectors
+        self.repeats = len(np.unique(ids)) < len(ids)
         self.low: list[np.ndarray] = []
         self.high: list[np.ndarray] = []
         self.parts: list[tuple[int, int]] = []
@@ -70,7 +70,7 @@ class KDTree:
         self.reach = np.maximum(np.abs(self.low[0]), np.abs(self.high[0])).astype(np.float64)
 
     def search(self, query_ids: np.ndarray, queries: np.ndarray, floors: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        """(ids, scores) of each query's best k here; ``floors``: scores that k other vectors are known to reach."""
+        """(ids, scores) of each query's best k ids here; ``floors``: scores that k other ids are known to reach."""
         exact = bool((np.abs(queries).astype(np.float64) @ self.reach < _EXACT).all())
         kind = np.float64 if exact else np.int64
         q, vectors = queries.astype(kind), self.vectors.astype(kind)
@@ -92,8 +92,10 @@ class KDTree:
                 good = (s >= kth) & (self.ids[a:b] != query_ids[i])
                 if good.any():
                     ids, scores = np.concatenate([ids, self.ids[a:b][good]]), np.concatenate([scores, s[good]])
-                    best = np.lexsort((ids, -scores))[:k]
-                    ids, scores = ids[best], scores[best]
+                    best = np.lexsort((ids, -scores))
+                    if self.repeats:  # the best row of each id
+                        best = best[np.sort(np.unique(ids[best], return_index=True)[1])]
+                    ids, scores = ids[best[:k]], scores[best[:k]]
                     if len(ids) == k:
                         kth = max(kth, scores[-1])
             out.append((ids, scores.astype(np.int64)))

@@ -39,6 +39,17 @@ def test_top_k_equals_brute_force(spark, monkeypatch, shard_rows):
     assert top_k(df.limit(0), F.col("vec_id") % 10 == 0).count() == 0
 
 
+@pytest.mark.parametrize("pilot_rows", [1, 4_000])
+def test_an_id_with_more_than_k_vectors(spark, monkeypatch, pilot_rows):
+    """Its rows neither fill the list nor raise the floor, in a shard or in the pilot."""
+    monkeypatch.setattr(knn, "PILOT_ROWS", pilot_rows)
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(0, 1, 4).round(1).tolist()) for i in range(200)]
+    rows += [(7, [5.0 + j, 5.0, 5.0, 5.0 + j % 3]) for j in range(300)] + [(20, [float(-j), 1.0, 2.0, 3.0]) for j in range(100)]
+    got = [tuple(r) for r in top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 10 == 0, 5).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(rows, lambda i: i % 10 == 0, 5)
+
+
 def test_boxes_are_tight_and_large_values_exact():
     rng = np.random.default_rng(3)
     vectors = rng.integers(-(2**29), 2**29, (500, 4))
