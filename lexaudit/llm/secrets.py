@@ -5,8 +5,8 @@ Method
 Base kinds are patterns whose matches are kept with their places. Places come from the lengths of the matches and of the
 text between them (prefix sums), in code points. The kind ``random`` covers other tokens of ``MIN_TOKEN`` or more characters:
 
-* the encoding is inferred from the characters (decimal, hex, one-case letters or letters with digits, base64), which
-  gives an alphabet of A symbols;
+* the encoding is inferred from the characters (decimal, hex, one-case letters or letters with digits, letters of both cases
+  with digits, base64, base64url, else all of their symbols), which gives an alphabet of A symbols;
 * the token must not be rejected as uniform over its alphabet by any of three tests at about 1 in 1,000: chi-squared
   on the symbol counts, runs above and below the middle of the alphabet, and lag-1 serial correlation;
 * the evidence against ordinary text is the likelihood ratio of uniform symbols to a text model with fixed costs of
@@ -51,7 +51,10 @@ ENCODINGS = (
     ("upper", "^[A-Z]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
     ("lower with digits", "^[0-9a-z]+$", "0123456789abcdefghijklmnopqrstuvwxyz"),
     ("upper with digits", "^[0-9A-Z]+$", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
-    ("base64", "", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_"),
+    ("letters with digits", "^[A-Za-z0-9]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"),
+    ("base64", "^[A-Za-z0-9+/]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
+    ("base64url", "^[A-Za-z0-9_-]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
+    ("mixed", "", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_"),
 )
 #: Cost of a character in ordinary text, in 1/64 bit: frequent and other lower-case letters (shares of 0.06 and 0.0125 each),
 #: capitals (0.002) and the rest (0.0035). The shares of all characters of a token add up to 1 at most.

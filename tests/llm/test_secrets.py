@@ -33,6 +33,16 @@ def test_random_tokens_are_found_and_words_are_not(spark):
     assert not [i for i in found if i >= 100]
 
 
+def test_long_random_tokens_are_found(spark):
+    rng = random.Random(11)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    tokens = ["".join(rng.choices(letters + extra, k=n)) for extra in ("", "+/", "-_") for n in (1_000, 2_000, 5_000, 10_000) for _ in range(5)]
+    rows = spark.createDataFrame([(i, f"x {t} y") for i, t in enumerate(tokens)], "doc_id long, text string")
+    got = {r.doc_id: [(s.start, s.end) for s in r.random] for r in scan_secrets(rows).collect()}
+    assert sum(got[i] == [(2, 2 + len(t))] for i, t in enumerate(tokens)) >= 58  # three tests at about 1 in 1,000
+    assert all(r.text == "x [SECRET] y" for r in redact_secrets(rows).collect() if got[r.doc_id])
+
+
 def test_redaction(spark):
     key = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
     rows = [(1, f'é token = "{key}" z', "en", 99), (2, "clean", "en", 5), (3, None, None, None), (4, "", "en", 0), (1, f'é token = "{key}" z', "en", 99)]
