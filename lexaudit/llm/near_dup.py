@@ -2,8 +2,8 @@
 
 Method
 ------
-A document is the set of its distinct n-word shingles. Documents with the same set form a class, whose smallest
-doc_id represents it. Each representative gets a signature of ``POSITIONS`` b-bit minima (b = 16); two signatures
+A document is the set of its distinct n-word shingles. Rows with the same set form a class, which has a number of its own
+and a row with its smallest doc_id. Classes that share a doc_id are linked. Each class gets a signature of ``POSITIONS`` b-bit minima (b = 16); two signatures
 are at distance D if they differ in D positions. The signature is split into ``CHUNKS`` chunks, and every chunk
 is entered once for each choice of ``ERRORS`` positions left out. By the pigeonhole principle two signatures with
 D <= ``MAX_DISTANCE`` have a chunk with at most ``ERRORS`` differing positions, so they meet in a bucket: no pair
@@ -18,7 +18,8 @@ sets, and only confirmed links leave a task. Pairs inside a component need no lo
 components is lost.
 
 Defined results: null text, or no word: n_shingles 0, linked with nothing, kept. Null doc_id: component_id null,
-kept. Rows that repeat a doc_id are one node. An empty table gives an empty table. Extra columns are ignored.
+kept. Rows that repeat a doc_id are one node, also if their texts
+differ: the links of each text are the node's, and a row without a word goes with the others. An empty table gives an empty table. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -66,19 +67,22 @@ def _nibbles(sig: np.ndarray) -> np.ndarray:
     return (padded.reshape(len(sig), _SKETCH_WORDS, 16) << shifts).sum(axis=2, dtype=np.uint64).view(np.int64)
 
 
+def _fingerprints(sets: list[np.ndarray]) -> tuple[pa.Array, pa.Array]:
+    """Two sums over each set, which with its size stand for it."""
+    fa = [int(s.sum(dtype=np.uint64)) for s in sets]
+    fb = [int(mix(s ^ U64(0xA5A5A5A5)).sum(dtype=np.uint64)) for s in sets]
+    return pa.array(np.array(fa, np.uint64).view(np.int64)), pa.array(np.array(fb, np.uint64).view(np.int64))
+
+
 def _sketcher(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, texts in text_blocks(batch, "text"):
                 words, offsets = word_hashes(texts)
-                count, fa, fb, sigs = [], [], [], []
-                for s in shingle_hashes(words, offsets, n):
-                    count.append(len(s))
-                    fa.append(int(s.sum(dtype=np.uint64)))
-                    fb.append(int(mix(s ^ U64(0xA5A5A5A5)).sum(dtype=np.uint64)))
-                    sigs.append(signature(s).tobytes() if len(s) else None)
+                sets = list(shingle_hashes(words, offsets, n))
+                sigs = [signature(s).tobytes() if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id").slice(start, len(texts)), pa.array(count, pa.int64()), pa.array(np.array(fa, np.uint64).view(np.int64)), pa.array(np.array(fb, np.uint64).view(np.int64)), pa.array(sigs, pa.binary())],
+                    [batch.column("id").slice(start, len(texts)), pa.array([len(s) for s in sets], pa.int64()), *_fingerprints(sets), pa.array(sigs, pa.binary())],
                     names=["id", "n", "fa", "fb", "sig"],
                 )
 
@@ -123,8 +127,9 @@ def _sets(n: int):
         for batch in batches:
             for start, texts in text_blocks(batch, "text"):
                 words, offsets = word_hashes(texts)
-                sets = pa.array([s.tobytes() for s in shingle_hashes(words, offsets, n)], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(start, len(texts)), sets], names=["rep", "shingles"])
+                sets = list(shingle_hashes(words, offsets, n))
+                fa, fb = _fingerprints(sets)
+                yield pa.RecordBatch.from_arrays([fa, fb, pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["fa", "fb", "n", "shingles"])
 
     return run
 
@@ -180,8 +185,15 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sketch = ws.save(source.mapInArrow(_sketcher(shingle_words), "id long, n long, fa long, fb long, sig binary"), "sketch")
     classes = sketch.where("id is not null and n > 0").groupBy("fa", "fb", "n").agg(F.min(F.struct("id", "sig")).alias("m"))
-    classes = ws.save(classes.select("fa", "fb", "n", F.col("m.id").alias("rep"), F.col("m.sig").alias("sig")), "classes")
-    reps = classes.select("rep", "n", "sig").dropDuplicates(["rep"])
+    classes = ws.save(classes.select("fa", "fb", "n", F.col("m.id").alias("first_id"), F.col("m.sig").alias("sig"), F.monotonically_increasing_id().alias("rep")), "classes")
+    reps = classes.select("rep", "n", "sig")
+    small = lambda table: F.broadcast(table) if table.count() <= BROADCAST_IDS else table
+    # ids whose rows differ: their classes are one node
+    differing = sketch.where("id is not null").groupBy("id").agg(F.min(F.struct("fa", "fb", "n")).alias("lo"), F.max(F.struct("fa", "fb", "n")).alias("hi")).where("lo <> hi").select("id")
+    differing = ws.save(differing, "differing")
+    split_ids = ws.save(sketch.where("n > 0").join(small(differing), "id", "left_semi").select("id", "fa", "fb", "n").distinct().join(classes.select("fa", "fb", "n", "rep"), ["fa", "fb", "n"]).select("id", "rep"), "split-ids")
+    heads = ws.save(split_ids.groupBy("id").agg(F.min("rep").alias("head")), "heads")
+    same_id = split_ids.join(small(heads), "id").where("rep <> head").select(F.col("head").alias("a"), F.col("rep").alias("b"))
 
     keys = lambda: reps.select("rep", "sig").mapInArrow(_keys, "key long, rep long")
     shared = keys().groupBy("key").agg(F.count("*").alias("members"), F.min("rep").alias("leader")).where("members > 1")
@@ -206,10 +218,13 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     pairs = ws.save(closest.union(crossing.select("a", "b")), "pairs")
     ws.drop("across", "buckets")
 
-    involved = ws.save(stars.select(F.explode(F.array("a", "b")).alias("id")).union(pairs.select(F.explode(F.array("a", "b")))).distinct(), "involved")
+    involved = stars.select(F.explode(F.array("a", "b")).alias("rep")).union(pairs.select(F.explode(F.array("a", "b")))).distinct()
+    involved = ws.save(classes.join(involved, "rep", "left_semi").select("rep", "fa", "fb", "n", F.col("first_id").alias("id")), "involved")
     ws.drop("stars")
-    wanted = F.broadcast(involved) if involved.count() <= BROADCAST_IDS else involved
-    sets = ws.save(source.join(wanted, "id", "left_semi").mapInArrow(_sets(shingle_words), "rep long, shingles binary").dropDuplicates(["rep"]), "sets")
+    # a text is read by the smallest doc_id of its class; a row of that id with another text has other sums
+    texts = source.join(small(involved.select("id").distinct()), "id", "left_semi")
+    sets = texts.mapInArrow(_sets(shingle_words), "fa long, fb long, n long, shingles binary").dropDuplicates(["fa", "fb", "n"])
+    sets = ws.save(sets.join(involved.select("rep", "fa", "fb", "n"), ["fa", "fb", "n"]).select("rep", "shingles"), "sets")
     links = _pairs_with(pairs, sets, "shingles", ("xa", "xb")).mapInArrow(_confirm(percent), "a long, b long")
     first = ws.save(connected_components(links, ws, "first"), "first-labels")
 
@@ -228,9 +243,19 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     more = probes.union(others).groupBy("family", "pb", "ab").applyInArrow(_block_links(percent), "a long, b long")
     second = connected_components(more, ws, "second").select(F.col("node").alias("component"), F.col("component").alias("root"))
     ws.drop("families", "sets")
-    labels = first.select(F.col("node").alias("rep"), "component").union(members.select("rep", "component")).distinct().join(second, "component", "left").select("rep", F.coalesce("root", "component").alias("component_id"))
-
-    owner = classes.select("fa", "fb", "n", "rep").join(labels, "rep", "left").select("fa", "fb", "n", F.coalesce("component_id", "rep").alias("c"))
-    out = sketch.select("id", "n", "fa", "fb").join(owner, ["fa", "fb", "n"], "left")
-    component = F.when(F.col("id").isNotNull(), F.coalesce("c", "id"))
+    labels = first.select(F.col("node").alias("rep"), "component").union(members.select("rep", "component")).distinct().join(second, "component", "left").select("rep", F.coalesce("root", "component").alias("root"))
+    labels = ws.save(labels, "labels")
+    # a class of a differing id may have no other link; components meet at the labels of its classes
+    met = same_id
+    for end in "ab":
+        met = met.join(labels.select(F.col("rep").alias(end), F.col("root").alias(f"root_{end}")), end, "left").withColumn(f"root_{end}", F.coalesce(f"root_{end}", end))
+    third = connected_components(met.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")), ws, "third").select(F.col("node").alias("root"), F.col("component").alias("top"))
+
+    owner = classes.select("fa", "fb", "n", "rep", "first_id").join(labels, "rep", "left").withColumn("root", F.coalesce("root", "rep")).join(third, "root", "left").withColumn("root", F.coalesce("top", "root"))
+    owner = ws.save(owner.select("fa", "fb", "n", "rep", "first_id", "root"), "owner")
+    least = ws.save(owner.groupBy("root").agg(F.min("first_id").alias("c"), F.count("*").alias("classes")).where("classes > 1").select("root", "c"), "least")
+    owner = owner.join(small(least), "root", "left").select("fa", "fb", "n", "rep", F.coalesce("c", "first_id").alias("c"))
+    wordless = heads.join(owner.select(F.col("rep").alias("head"), F.col("c").alias("of_id")), "head").select("id", "of_id")
+    out = sketch.select("id", "n", "fa", "fb").join(owner.drop("rep"), ["fa", "fb", "n"], "left").join(F.broadcast(wordless) if heads.count() <= BROADCAST_IDS else wordless, "id", "left")
+    component = F.when(F.col("id").isNotNull(), F.coalesce("c", "of_id", "id"))
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))

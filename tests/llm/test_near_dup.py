@@ -83,6 +83,17 @@ def test_edge_cases(spark):
     assert near_duplicates(rows.limit(0), 2).count() == 0
 
 
+def test_an_id_with_different_texts(spark):
+    """One node: each of its texts keeps its links, also those that the smallest id of a class shares with others."""
+    words = lambda k: " ".join(f"v{k}w{i}" for i in range(60))
+    rows = [(k, words(k)) for k in range(5, 25)] + [(k + 100, words(k) + " x") for k in range(5, 25)]
+    rows += [(1, words(k)) for k in range(5, 15)] + [(1, None), (30, None), (30, words(24) + " y"), (40, words(40)), (40, words(41)), (41, words(41))]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), 2).collect()
+    want = {1: 1} | {k: 1 if k < 15 else k for k in range(5, 25)} | {k + 100: 1 if k < 15 else k for k in range(5, 25)} | {30: 24, 40: 40, 41: 40}
+    assert len(got) == len(rows) and {(r.doc_id, r.component_id) for r in got} == set(want.items())
+    assert all(r.kept == (r.doc_id == r.component_id) for r in got)
+
+
 def test_signature_distance_is_guaranteed():
     """Every pair within the distance shares a key."""
     import numpy as np
