@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .shingles import U64, mix, shingle_hashes, text_blocks, word_hashes
 
@@ -148,6 +149,7 @@ def find_items(docs: DataFrame, items: DataFrame, shingle_words: int = 5, percen
     spark = docs.sparkSession
     source = docs.select(F.col(doc_col).alias("doc_id"), F.col(text_col).alias("text"))
     kinds = source.schema["doc_id"].dataType.simpleString(), items.schema[item_col].dataType.simpleString()
+    id_type = to_arrow_type(items.schema[item_col].dataType)
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, n_item_shingles int, n_shared int, containment double"
     out = None
     for ids, texts in _item_blocks(items, item_col, text_col):
@@ -161,8 +163,9 @@ def find_items(docs: DataFrame, items: DataFrame, shingle_words: int = 5, percen
                     found = index.matches(own)
                     if found:
                         sizes = [len(index.sets[i]) for _, i, _ in found]
+                        doc_ids, item_ids = batch.column("doc_id").take(pa.array([start + t for t, _, _ in found])), pa.array([ids[i] for _, i, _ in found], id_type)
                         yield pa.RecordBatch.from_arrays(
-                            [batch.column("doc_id").take(pa.array([start + t for t, _, _ in found])), pa.array([ids[i] for _, i, _ in found], pa.int64() if kinds[1] == "bigint" else None), pa.array(sizes, pa.int32()), pa.array([c for _, _, c in found], pa.int32()), pa.array([c / n for (_, _, c), n in zip(found, sizes)])],
+                            [doc_ids, item_ids, pa.array(sizes, pa.int32()), pa.array([c for _, _, c in found], pa.int32()), pa.array([c / n for (_, _, c), n in zip(found, sizes)])],
                             names=["doc_id", "item_id", "n_item_shingles", "n_shared", "containment"],
                         )
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,10 +15,12 @@ _FALLBACK: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; a temporary folder where it is unset (local tests)."""
+    """The session's spark.checkpoint.dir. Where it is unset a local master gets a temporary folder (tests); a cluster, whose machines share none, is refused."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return _FALLBACK.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="lexaudit-"))
 
 

@@ -1,5 +1,9 @@
 import random
 import re
+from datetime import date
+from decimal import Decimal
+
+import pytest
 
 from lexaudit.llm import decontaminate
 from lexaudit.llm.decontaminate import drop_contaminated, find_items
@@ -61,3 +65,13 @@ def test_edge_cases(spark):
     assert left.columns == docs.columns and sorted(r.doc_id for r in left.collect()) == [1, 2]
     assert find_items(docs, items.limit(0)).count() == 0 and find_items(docs.limit(0), items).count() == 0
     assert drop_contaminated(docs, items.limit(0)).count() == docs.count()
+
+
+@pytest.mark.parametrize("kind,ids", [("int", [1, 2, None]), ("string", ["a", "b", None]), ("decimal(6,2)", [Decimal("1.50"), Decimal("-2.00"), None]), ("smallint", [1, 2, None]), ("date", [date(2020, 1, 1), date(1960, 1, 1), None])])
+def test_ids_of_any_type(spark, kind, ids):
+    texts = ["a b c d e f", "g h i j k l", "m n o p q r"]
+    docs = spark.createDataFrame(list(zip(ids, texts)), f"doc_id {kind}, text string")
+    items = spark.createDataFrame(list(zip(ids, texts)), f"item_id {kind}, text string")
+    found = find_items(docs, items)
+    assert found.schema["item_id"].dataType == items.schema["item_id"].dataType
+    assert sorted(((r.doc_id, r.item_id) for r in found.collect()), key=str) == sorted(((i, i) for i in ids), key=str)
