@@ -39,7 +39,7 @@ UNDETERMINED = "und"
 _LETTER = np.zeros(0, dtype=bool)
 
 
-def _letters() -> np.ndarray:
+def letters() -> np.ndarray:
     global _LETTER
     if not len(_LETTER):
         _LETTER = np.fromiter((chr(c).isalpha() for c in range(0x110000)), dtype=bool, count=0x110000)
@@ -48,7 +48,7 @@ def _letters() -> np.ndarray:
 
 def grams(texts: list[bytes | None]) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
     """For each n-gram length the hashes of all n-grams and the text of each; and whether each text has a letter."""
-    letter = _letters()
+    letter = letters()
     parts = [f" {(t or b'').decode('utf-8').lower()} " for t in texts]
     codes = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), dtype="<u4")
     owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])

@@ -1,10 +1,13 @@
 import random
+from itertools import combinations
 
 import numpy as np
+from pyspark.sql import functions as F
 
+from lexaudit.llm import toxicity
 from lexaudit.llm.quality import QualityModel, describe, score_quality
 from lexaudit.llm.queries import op2_toxicity, op3_quality_classifier
-from lexaudit.llm.toxicity import DECAY, LENGTH, SPAN, ToxicityModel, kernel, score_toxicity, tokens
+from lexaudit.llm.toxicity import BUCKET_BITS, DECAY, LENGTH, SPAN, WINDOWS, Sentences, ToxicityModel, embed, fit_toxicity, kernel, place_scores, score_toxicity
 
 DATA = "/root/testdata/sf0.01"
 
@@ -26,30 +29,60 @@ def test_quality_held_out(spark):
     assert sum(r[2] == r[0] for r in rows) >= 0.95 * len(rows)
 
 
+def subsequences(window):
+    """(subsequence, weight) of every occurrence, straight from the definition."""
+    for at in combinations(range(len(window)), LENGTH):
+        if at[-1] - at[0] < SPAN:
+            yield "".join(window[i] for i in at), DECAY ** (at[-1] - at[0] + 1)
+
+
 def brute_kernel(a, b):
-    from itertools import combinations
+    norm = lambda size: np.sqrt(sum(w * w for _, w in subsequences("x" * size)))
+    return sum(v * w for u, v in subsequences(a) for x, w in subsequences(b) if u == x) / norm(len(a)) / norm(len(b))
 
-    def count(w):
-        w, out = f"^{w}$", {}
-        for at in combinations(range(len(w)), LENGTH):
-            if at[-1] - at[0] < SPAN:
-                u = "".join(w[i] for i in at)
-                out[u] = out.get(u, 0) + DECAY ** (at[-1] - at[0] + 1)
-        return out
 
-    x, y = count(a), count(b)
-    dot = lambda p, q: sum(v * q.get(u, 0) for u, v in p.items())
-    return dot(x, y) / np.sqrt(dot(x, x) * dot(y, y))
+def embedded(windows):
+    padded = np.zeros((len(windows), WINDOWS[-1]), dtype=np.uint32)
+    for i, w in enumerate(windows):
+        padded[i, : len(w)] = [ord(c) for c in w]
+    return embed(padded, np.array([len(w) for w in windows]))
 
 
 def test_kernel_equals_brute_force():
-    words = ["idiot", "idiiot", "i", "stupid", "aaaa", "été", "worthless"]
-    got = kernel(words, words)
-    for i, a in enumerate(words):
-        for j, b in enumerate(words):
+    windows = [" idiot", " idiiot l", " id iot a ", "stupid", "a a a a a", " été là s", " worthless "]
+    windows = [w.ljust(next(s for s in WINDOWS if s >= len(w)), "z") for w in windows]
+    got = kernel(embedded(windows), embedded(windows))
+    for i, a in enumerate(windows):
+        for j, b in enumerate(windows):
             assert abs(got[i, j] - brute_kernel(a, b)) < 1e-9
 
 
+def test_collapsed_decisions_equal_a_loop_over_windows():
+    rng = np.random.default_rng(5)
+    text = "You id iot, i.d.i.o.t! Été à Paris.\nx\n" + " ".join("".join(rng.choice(list("abio"), rng.integers(1, 9))) for _ in range(60)) + ". End"
+    block = Sentences(["", text, "!!", "tail of it"])
+    landmarks, alpha = embedded([" idiot", " paris en", "abioabioabio"]), np.array([0.7, -0.4, 1.1])
+    table = np.bincount(landmarks[0].ravel(), weights=(landmarks[1] * alpha[:, None]).ravel(), minlength=1 << BUCKET_BITS)
+    sentences = ["".join(map(chr, block.codes[a:b])) for a, b in zip(block.start, block.stop)]
+    assert sentences[:4] == [" you id iot idiot ", " été à paris ", " x ", sentences[3]] and sentences[-2:] == [" end ", " tail of it "] and set(block.text) == {1, 3}
+    got = place_scores(block, table)
+    for a, sentence in zip(block.start, sentences):
+        for k in range(len(sentence)):
+            cut = sentence[k : k + WINDOWS[-1]]
+            padded = np.zeros((1, WINDOWS[-1]), dtype=np.uint32)
+            padded[0, : len(cut)] = [ord(c) for c in cut]
+            want = max(float((kernel(embed(padded, np.array([size])), landmarks) @ alpha)[0]) for size in WINDOWS)
+            assert abs(got[a + k] - want) < 1e-9
+
+
+def test_pieces_of_a_long_text(monkeypatch):
+    texts = ["one line of words. another\n" * 50, "word " * 300, "x" * 3_000, "", "\n\n"]
+    monkeypatch.setattr(toxicity, "_PIECE", 100)
+    for t in texts:
+        pieces = list(toxicity._pieces(t))
+        assert "".join(pieces) == t and all(len(p) <= 100 for p in pieces) and all(p[-1] in "\n x" for p in pieces[:-1])
+
+
 def toy():
     rng = random.Random(1)
     syllables = ["la", "mo", "ri", "te", "nu", "sa", "ko"]
@@ -67,20 +100,25 @@ def toy():
 
 def test_gapped_and_inserted_insults():
     model = ToxicityModel.train(*toy())
-    for text in ("you idiot idiot", "you i d i o t and st-upid", "a worrthless la mo idiiot", "WORTHLESS!! IDIOT$$$"):
+    for text in ("you idiot idiot", "you i d i o t and st-upid", "a worrthless la mo idiiot", "WORTHLESS!! IDIOT$$$", "la mo wort hless. you id iot ri"):
         assert model.score(text) >= 0.7, text
     for text in ("la mori te nusa", "", None, "!!! 123", "mo " * 30_000):
         assert model.score(text) < 0.7
-    assert "idiot" in tokens("an i.d.i.o.t here")
+    assert model.score("la mo. " * 300_000 + "you idiot idiot") > model.score("la mo. " * 300_000)
+    assert np.allclose(model.scores(["you idiot", "la", None]), [model.score(t) for t in ("you idiot", "la", None)])
 
 
 def test_toxicity_edge_cases(spark):
     rows = [(1, None), (2, ""), (None, "idiot idiot"), (4, "idiot" * 30_000), (4, "idiot" * 30_000)]
     docs = spark.createDataFrame([(i, t, 9.0) for i, t in rows], "doc_id long, text string, score double")
-    got = {r.doc_id: r.score for r in score_toxicity(docs, ToxicityModel.train(*toy())).collect()}
+    model = ToxicityModel.train(*toy())
+    got = {r.doc_id: r.score for r in score_toxicity(docs, model).collect()}
     assert set(got) == {1, 2, None, 4} and all(0 <= s <= 1 for s in got.values()) and got[None] > 0.7 and got[1] < 0.7
     assert {r.score for r in score_toxicity(docs, ToxicityModel.train(["a"], [0])).collect()} == {0.0}
     assert score_toxicity(docs.limit(0), ToxicityModel.train([], [])).count() == 0
+    texts, labels = toy()
+    learnt = fit_toxicity(spark.createDataFrame(list(enumerate([*texts, None])), "doc_id int, text string"), spark.createDataFrame([*enumerate(labels), (400, 1), (3, None)], "doc_id int, toxic int"), F.lit(True))
+    assert learnt.score("you idiot idiot") >= 0.7
 
 
 def test_quality_edge_cases(spark):
