@@ -25,10 +25,10 @@ def brute(rows, is_query, k):
     return out
 
 
-@pytest.mark.parametrize("shard_rows", [40, 65_536])
+@pytest.mark.parametrize("shard_rows", [40, 16_384])
 def test_top_k_equals_brute_force(spark, monkeypatch, shard_rows):
     monkeypatch.setattr(knn, "SHARD_ROWS", shard_rows)
-    monkeypatch.setattr(knn, "PILOT_ROWS", 30)
+    monkeypatch.setattr(knn, "PILOT_ROWS", 120)
     rng = np.random.default_rng(2)
     rows = [(i, rng.normal(0, 1, 6).round(1).tolist()) for i in range(300)]
     rows += [(1000 + i, [0.5] * 6) for i in range(200)]  # ties
@@ -50,6 +50,37 @@ def test_an_id_with_more_than_k_vectors(spark, monkeypatch, pilot_rows):
     assert len(got) == len(set(got)) and set(got) == brute(rows, lambda i: i % 10 == 0, 5)
 
 
+def clustered(count, dim, seed):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(0, 1, (12, dim))
+    return (3 * centres[rng.integers(12, size=count)] + rng.normal(0, 0.05, (count, dim))).round(3)
+
+
+def test_clustered_vectors_are_pruned(spark, monkeypatch):
+    """Cells are cells of the global split, queries reach few of them, and the result is that of brute force."""
+    monkeypatch.setattr(knn, "SHARD_ROWS", 60)
+    rows = [(i, v.tolist()) for i, v in enumerate(clustered(1_200, 8, 6))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    inner = knn.Layout.reached
+    layout = {}
+    monkeypatch.setattr(knn.Layout, "__init__", lambda self, found, old=knn.Layout.__init__: (old(self, found), layout.setdefault("it", self))[0])
+    got = [tuple(r) for r in top_k(df, F.col("vec_id") % 20 == 0, 5).collect()]
+    assert set(got) == brute(rows, lambda i: i % 20 == 0, 5) and len(got) == len(set(got))
+    plan = layout["it"]
+    queries = np.floor(1024 * np.array([v for i, v in rows if i % 20 == 0])).astype(np.int64)
+    kth = {q: s for q, r, _, s in got if r == 5}
+    dealt = inner(plan, 8, queries, np.array([kth[i] for i, _ in rows if i % 20 == 0], dtype=float))
+    assert plan.shards >= 12 and dealt.mean() < 0.5
+
+
+def test_leaves_opened():
+    """Of clustered vectors a tree opens few leaves."""
+    vectors = np.floor(1024 * clustered(8_000, 16, 7)).astype(np.int64)
+    tree = KDTree(np.arange(8_000), vectors)
+    tree.search(np.arange(50), vectors[:50], np.full(50, -np.inf), 10)
+    assert tree.opened < 0.35 * 50 * sum(c is None for c in tree.children)
+
+
 def test_boxes_are_tight_and_large_values_exact():
     rng = np.random.default_rng(3)
     vectors = rng.integers(-(2**29), 2**29, (500, 4))
