@@ -22,6 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .arrays import running
 from .storage import Workspace
 
 START, END = "<|im_start|>", "<|im_end|>"
@@ -93,11 +94,9 @@ def format_conversations(tree: DataFrame, branches: int = 1) -> DataFrame:
     best = Window.partitionBy("conv").orderBy(F.desc("score"), F.desc("n_turns"), "leaf")
     chosen = whole.withColumn("branch", F.row_number().over(best)).where(F.col("branch") <= branches)
     formatted = F.expr(f"array_join(transform(pieces, p -> concat(p.opening, p.body, '{END}\n')), '')")
-    loss = F.expr(
-        "aggregate(pieces, struct(0L AS at, cast(array() AS array<struct<start:bigint,end:bigint>>) AS spans), (acc, p) -> struct("
-        f"acc.at + length(p.opening) + length(p.body) + {len(END) + 1} AS at, CASE WHEN p.learned THEN concat(acc.spans, array(struct("
-        "acc.at + length(p.opening) AS start, acc.at + length(p.opening) + length(p.body) AS end))) ELSE acc.spans END AS spans), acc -> acc.spans)"
-    )
+    chosen = chosen.withColumn("ends", F.expr(running(f"transform(pieces, p -> cast(length(p.opening) + length(p.body) + {len(END) + 1} as bigint))", "acc + x", "0L")))
+    spans = f"zip_with(pieces, ends, (p, e) -> struct(p.learned, e - {len(END) + 1} - length(p.body) AS start, e - {len(END) + 1} AS end))"
+    loss = F.expr(f"transform(filter({spans}, s -> s.learned), s -> struct(s.start, s.end))")
     return chosen.select("conv_id", "branch", "score", "n_turns", formatted.alias("formatted"), loss.alias("loss"))
 
 
@@ -107,7 +106,12 @@ def read_back(formatted: DataFrame) -> DataFrame:
     role = r"array_join(transform(split(substring_index(t, '\n', 1), '\\\\\\\\', -1), x -> replace(replace(x, '\\n', '\n'), '\\|', '|')), '\\')"
     text = plain(rf"substring(t, length(substring_index(t, '\n', 1)) + 2, length(t) - length(substring_index(t, '\n', 1)) - 1 - {len(END) + 1})")
     pieces = r"slice(split(formatted, '<\\|im_start\\|>', -1), 2, n_turns_int)"
-    loss = plain("substring(formatted, cast(s.start as int) + 1, cast(s.end - s.start as int))")
+    # spans are read from parts of the text that hold about the root of their number
+    width = "cast(ceil(sqrt(size(loss))) as int)"
+    blocks = f"filter(transform(sequence(0, {width} - 1), c -> slice(loss, c * {width} + 1, {width})), b -> size(b) > 0)"
+    held = f"transform({blocks}, b -> struct(substring(formatted, cast(b[0].start as int) + 1, cast(element_at(b, -1).end - b[0].start as int)) AS held, b[0].start AS at, b AS spans))"
+    parts = f"transform({held}, p -> transform(p.spans, s -> substring(p.held, cast(s.start - p.at as int) + 1, cast(s.end - s.start as int))))"
     out = formatted.withColumn("n_turns_int", F.col("n_turns").cast("int"))
     out = out.withColumn("turns", F.expr(f"transform({pieces}, t -> struct({role} AS role, {text} AS text))"))
-    return out.withColumn("loss_text", F.expr(f"array_join(transform(loss, s -> {loss}), '')")).drop("n_turns_int")
+    joined = f"array_join(transform(flatten({parts}), t -> {plain('t')}), '')"
+    return out.withColumn("loss_text", F.expr(f"CASE WHEN size(loss) > 0 THEN {joined} ELSE '' END")).drop("n_turns_int")
