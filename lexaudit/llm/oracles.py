@@ -68,8 +68,9 @@ SELECT d.doc_id, coalesce(n, 0) AS n_matches, license, dice, coalesce(licenses,
 _P = {k: "'" + p.replace("'", "''") + "'" for k, p in secrets.KINDS.items()}
 _SIZES = sorted({len(x) for _, _, x in secrets.ENCODINGS})
 _ALPHABET = "CASE " + " ".join(f"WHEN regexp_matches(m, '{p}') THEN '{x}'" for _, p, x in secrets.ENCODINGS if p) + f" ELSE '{secrets.ENCODINGS[-1][2]}' END"
-_COST = f"CASE WHEN contains('{secrets.FREQUENT}', c) THEN {secrets.COSTS[0]} WHEN c BETWEEN 'a' AND 'z' THEN {secrets.COSTS[1]} WHEN c BETWEEN 'A' AND 'Z' THEN {secrets.COSTS[2]} ELSE {secrets.COSTS[3]} END"
+_COST = f"CASE WHEN contains('{secrets.FREQUENT}', c) THEN {secrets.COSTS[0]} WHEN c BETWEEN 'a' AND 'z' THEN {secrets.COSTS[1]} WHEN c BETWEEN 'A' AND 'Z' THEN {secrets.COSTS[2]} WHEN c BETWEEN '0' AND '9' THEN {secrets.COSTS[3]} ELSE {secrets.COSTS[4]} END"
 _CHOOSE = lambda cases: "CASE size " + " ".join(f"WHEN {k} THEN {v}" for k, v in cases.items()) + " END"
+_TAIL = lambda z: f"floor(64 * ({math.log2(secrets.POWER + 1)}::DOUBLE + {secrets.POWER} * (1.0::DOUBLE - log2(1 + exp(least(700.0::DOUBLE, 1.5976::DOUBLE * {z} + 0.07056::DOUBLE * {z} * {z} * {z}))))))::BIGINT"
 _OP9 = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 k AS ({" UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, {i} AS ord, regexp_extract_all(t, {_P[k]}) AS ms, regexp_extract_all(t, {_P[k]}, {2 if k == 'assign' else 0}) AS vs, string_split_regex(t, {_P[k]}) AS gs FROM d" for i, k in enumerate(secrets.KINDS))}),
@@ -80,13 +81,14 @@ t1 AS (SELECT doc_id, kind, ord, start, stop, len(m)::BIGINT AS n, string_split(
 t2 AS (SELECT *, len(a) AS size, list_transform(chars, lambda c: (2 * instr(a, c) - 1 - len(a))::BIGINT) AS y FROM t1),
 t3 AS (SELECT *, list_sum(list_transform(list_distinct(y), lambda s: len(list_filter(y, lambda v: v = s)) * len(list_filter(y, lambda v: v = s)))) AS squares,
   1 + len(list_filter(range(2, n + 1), lambda i: (y[i - 1] > 0) <> (y[i] > 0))) AS runs, list_sum(list_transform(range(2, n + 1), lambda i: y[i - 1] * y[i])) AS neighbours,
-  list_sum(list_transform(y, lambda v: v * v)) AS power, list_sum(list_transform(chars, lambda c: {_COST})) - n * {_CHOOSE({a: round(64 * math.log2(a)) for a in _SIZES})} AS evidence FROM t2),
-t4 AS (SELECT *, greatest(0, least({secrets.MAX_BITS}, evidence // 64)) AS bits, size * squares - n * n <= n * {_CHOOSE({a: f"{secrets._chi_limit(a)}::DOUBLE" for a in _SIZES})}
-  AND (2 * runs - n - 1) * (2 * runs - n - 1) <= {secrets.SQUARED_LIMIT} * (n - 1) AND neighbours::DOUBLE * neighbours * (n - 1) <= {secrets.SQUARED_LIMIT} * (power::DOUBLE * power) AS passes FROM t3),
-h AS (SELECT bits, count(*) AS c, count(*) FILTER (passes) AS good FROM t4 GROUP BY bits),
-r AS (SELECT bits, sum(c) OVER () AS tests, sum(good) OVER (ORDER BY bits DESC) AS reached FROM h),
-bound AS (SELECT coalesce(min(bits), {secrets.MAX_BITS + 1}) AS b FROM r WHERE reached > 0 AND tests * pow(2.0, -bits) <= {secrets.FALSE_DISCOVERIES} * reached),
-kept AS (SELECT doc_id, kind, ord, start, stop FROM spans WHERE kind <> 'random' UNION ALL SELECT doc_id, kind, ord, start, stop FROM t4, bound WHERE passes AND bits >= b),
+  list_sum(list_transform(y, lambda v: v * v)) AS power, list_sum(list_transform(chars, lambda c: {_COST})) - n * {_CHOOSE({a: round(64 * math.log2(a)) for a in _SIZES})} - {round(64 * math.log2(len(secrets.ENCODINGS)))} AS evidence FROM t2),
+t4 AS (SELECT *, abs(power((size::DOUBLE * squares / n - n) / (size - 1), 1.0::DOUBLE / 3) - (1 - 2.0::DOUBLE / (9 * (size - 1)))) / sqrt(2.0::DOUBLE / (9 * (size - 1))) AS chi,
+  abs(2 * runs - n - 1) / sqrt(n - 1.0::DOUBLE) AS even, abs(neighbours::DOUBLE) * n / (power * sqrt(n - 1.0::DOUBLE)) AS independent FROM t3),
+t5 AS (SELECT *, greatest(0, least({secrets.MAX_BITS}, (evidence + {_TAIL("chi")} + {_TAIL("even")} + {_TAIL("independent")}) // 64)) AS bits FROM t4),
+h AS (SELECT bits, count(*) AS c FROM t5 GROUP BY bits),
+r AS (SELECT bits, sum(c) OVER () AS tests, sum(c) OVER (ORDER BY bits DESC) AS reached FROM h),
+bound AS (SELECT coalesce(min(bits), {secrets.MAX_BITS + 1}) AS b FROM r WHERE tests * pow(2.0, -bits) <= {secrets.FALSE_DISCOVERIES} * reached),
+kept AS (SELECT doc_id, kind, ord, start, stop FROM spans WHERE kind <> 'random' UNION ALL SELECT doc_id, kind, ord, start, stop FROM t5, bound WHERE bits >= b),
 g AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
   string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, ord) FILTER (kind <> 'random') AS base, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, ord) AS spans FROM kept GROUP BY doc_id)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (doc_id)

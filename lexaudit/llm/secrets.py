@@ -7,15 +7,17 @@ text between them (prefix sums), in code points. The kind ``random`` covers othe
 
 * the encoding is inferred from the characters (decimal, hex, one-case letters or letters with digits, letters of both cases
   with digits, base64, base64url, else all of their symbols), which gives an alphabet of A symbols;
-* the token must not be rejected as uniform over its alphabet by any of three tests at about 1 in 1,000: chi-squared
-  on the symbol counts, runs above and below the middle of the alphabet, and lag-1 serial correlation;
-* the evidence against ordinary text is the likelihood ratio of uniform symbols to a text model with fixed costs of
-  characters. Its inverse is a valid p-value, and it falls with the length of the token, so that a short token needs
-  improbable symbols. Benjamini-Hochberg over all tokens of the table keeps the share of false discoveries below
-  ``FALSE_DISCOVERIES``.
-
-All quantities are integers (costs are in 1/64 bit), so results don't depend on the engine. One scan writes each
-document's spans and the tokens that pass the battery; the threshold comes from a histogram of evidence in whole bits.
+* three tests of the token being uniform over its alphabet give a p-value each: chi-squared on the symbol counts
+  (Wilson and Hilferty), runs above and below the middle of the alphabet, and lag-1 serial correlation, all two-sided;
+* the hypothesis to reject is that the token is ordinary text. The evidence against it is an e-value: the likelihood ratio of
+  uniform symbols to a text model with fixed costs of characters, divided by the number of encodings, times 4 p^3 for each of
+  the three p-values. That factor has mean 1 over uniform tokens, so the product stays an e-value; sorted, repeated or
+  patterned tokens lose by it what their symbols gain. The evidence grows with the length, so a short token needs improbable symbols;
+* the e-value Benjamini-Hochberg procedure over all tokens of the table keeps the share of false discoveries below
+  ``FALSE_DISCOVERIES``, however the tokens depend on each other.
+
+Evidence is counted in whole 1/64 bits. One scan writes each document's spans and the evidence of its tokens; the threshold comes
+from a histogram of evidence in whole bits.
 
 Defined results: null text is empty and gives no span. Overlapping spans of different kinds are all reported.
 Extra columns are ignored by ``scan_secrets`` and passed on by ``redact_secrets``.
@@ -28,6 +30,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .arrays import running
 from .storage import Workspace
 
 
@@ -56,27 +59,19 @@ ENCODINGS = (
     ("base64url", "^[A-Za-z0-9_-]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
     ("mixed", "", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_"),
 )
-#: Cost of a character in ordinary text, in 1/64 bit: frequent and other lower-case letters (shares of 0.06 and 0.0125 each),
-#: capitals (0.002) and the rest (0.0035). The shares of all characters of a token add up to 1 at most.
-FREQUENT, COSTS = "etaoinshrdlu", (260, 405, 574, 522)
-SQUARED_LIMIT = 11  # of a normal score: 3.3 squared
+#: Cost of a character in ordinary text, in 1/64 bit: frequent and other lower-case letters (shares of 0.055 and 0.0125 each),
+#: capitals (0.002), digits (0.0095) and the rest (0.0035). The shares of all characters of a token add up to 1 at most.
+FREQUENT, COSTS = "etaoinshrdlu", (268, 405, 574, 430, 522)
+#: The factor of a p-value is (POWER + 1) * p ** POWER.
+POWER = 3
 FALSE_DISCOVERIES = 0.01
 MAX_BITS = 1000
 
 
-def _chi_limit(a: int) -> float:
-    """Upper 1 in 1,000 of chi-squared with a - 1 degrees of freedom (Wilson and Hilferty)."""
-    k = a - 1
-    return round(k * (1 - 2 / (9 * k) + 3.09 * math.sqrt(2 / (9 * k))) ** 3, 3)
-
-
-def _sums(array: str) -> str:
-    """SQL of the sums of all proper prefixes of an int array, by blocks of about its root, so that no long array is copied per element."""
-    fold = lambda a, base: f"slice(aggregate({a}, array({base}), (acc, x) -> concat(acc, array(element_at(acc, -1) + x))), 1, size({a}))"
-    width = f"cast(ceil(sqrt(size({array}))) as int)"
-    blocks = f"transform(sequence(0, {width} - 1), c -> slice({array}, c * {width} + 1, {width}))"
-    totals = f"transform({blocks}, b -> aggregate(b, 0, (acc, x) -> acc + x))"
-    return f"flatten(zip_with({blocks}, {fold(totals, '0')}, (b, base) -> {fold('b', 'base')}))"
+def _tail_bits(z: str) -> str:
+    """SQL of the 1/64 bits that a test adds whose statistic is ``z`` >= 0 on the normal scale: of (POWER + 1) * p ** POWER, with p = 2 / (1 + exp(1.5976 z + 0.07056 z^3))."""
+    e = f"exp(least(700D, 1.5976D * {z} + 0.07056D * {z} * {z} * {z}))"
+    return f"cast(floor(64 * ({math.log2(POWER + 1)}D + {POWER} * (1D - log2(1 + {e})))) as bigint)"
 
 
 def _choose(value: str, cases: dict) -> str:
@@ -84,27 +79,28 @@ def _choose(value: str, cases: dict) -> str:
 
 
 def _battery(df: DataFrame) -> DataFrame:
-    """``battery``: for each token its place, the bits of evidence against text, and whether it passes the three tests."""
+    """``battery``: for each token its place and the bits of evidence against text."""
     alphabet = "CASE " + " ".join(f"WHEN t.token RLIKE '{p}' THEN '{s}'" for _, p, s in ENCODINGS if p) + f" ELSE '{ENCODINGS[-1][2]}' END"
     sizes = sorted({len(s) for _, _, s in ENCODINGS})
-    limit = _choose("t.size", {a: f"{_chi_limit(a)}D" for a in sizes})
     bits = _choose("t.size", {a: round(64 * math.log2(a)) for a in sizes})
-    cost = f"CASE WHEN instr('{FREQUENT}', c) > 0 THEN {COSTS[0]}L WHEN c BETWEEN 'a' AND 'z' THEN {COSTS[1]}L WHEN c BETWEEN 'A' AND 'Z' THEN {COSTS[2]}L ELSE {COSTS[3]}L END"
+    cost = f"CASE WHEN instr('{FREQUENT}', c) > 0 THEN {COSTS[0]}L WHEN c BETWEEN 'a' AND 'z' THEN {COSTS[1]}L WHEN c BETWEEN 'A' AND 'Z' THEN {COSTS[2]}L WHEN c BETWEEN '0' AND '9' THEN {COSTS[3]}L ELSE {COSTS[4]}L END"
     total = lambda array: f"aggregate({array}, 0L, (acc, v) -> acc + v)"
     squares = total("transform(array_distinct(t.y), s -> cast(size(filter(t.y, v -> v = s)) as bigint) * size(filter(t.y, v -> v = s)))")
     runs = "1 + size(filter(sequence(1, t.n - 1), i -> (t.y[i - 1] > 0) <> (t.y[i] > 0)))"
     neighbours = total("transform(sequence(1, t.n - 1), i -> cast(t.y[i - 1] as bigint) * t.y[i])")
     power = total("transform(t.y, v -> cast(v as bigint) * v)")
-    evidence = f"{total(f'transform(t.chars, c -> {cost})')} - t.n * {bits}"
-    uniform = f"t.size * t.squares - cast(t.n as bigint) * t.n <= t.n * ({limit})"
-    even = f"power(2 * t.runs - t.n - 1, 2) <= {SQUARED_LIMIT} * (t.n - 1)"
-    independent = f"cast(t.neighbours as double) * t.neighbours * (t.n - 1) <= {SQUARED_LIMIT} * (cast(t.power as double) * t.power)"
+    evidence = f"{total(f'transform(t.chars, c -> {cost})')} - t.n * {bits} - {round(64 * math.log2(len(ENCODINGS)))}"
+    chi = "abs(power((cast(t.size as double) * t.squares / t.n - t.n) / (t.size - 1), 1D / 3) - (1 - 2D / (9 * (t.size - 1)))) / sqrt(2D / (9 * (t.size - 1)))"
+    even = "abs(2 * t.runs - t.n - 1) / sqrt(t.n - 1D)"
+    independent = "abs(cast(t.neighbours as double)) * t.n / (t.power * sqrt(t.n - 1D))"
+    tests = " + ".join((_tail_bits("t.chi"), _tail_bits("t.even"), _tail_bits("t.independent")))
     for step in (
         f"t.start, t.end, length(t.token) AS n, split(t.token, '') AS chars, {alphabet} AS alphabet",
         # y: places in the alphabet, doubled and centred, so that they stay whole numbers
         "t.start, t.end, t.n, length(t.alphabet) AS size, t.chars, transform(t.chars, c -> 2 * instr(t.alphabet, c) - 1 - length(t.alphabet)) AS y",
         f"t.start, t.end, t.n, t.size, {squares} AS squares, {runs} AS runs, {neighbours} AS neighbours, {power} AS power, {evidence} AS evidence",
-        f"t.start, t.end, cast(greatest(0, least({MAX_BITS}, t.evidence div 64)) as int) AS bits, {uniform} AND {even} AND {independent} AS passes",
+        f"t.start, t.end, t.evidence, {chi} AS chi, {even} AS even, {independent} AS independent",
+        f"t.start, t.end, cast(greatest(0, least({MAX_BITS}, (t.evidence + {tests}) div 64)) as int) AS bits",
     ):
         df = df.withColumn("battery", F.expr(f"transform({'battery' if 'battery' in df.columns else 'spans_random'}, t -> struct({step}))"))
     return df
@@ -122,7 +118,7 @@ def _scan(docs: DataFrame, text: Column) -> DataFrame:
         df = df.withColumn(f"g_{kind}", F.when(has, F.expr(f"transform(split(body, {_quoted(pattern)}, -1), g -> length(g))")).otherwise(F.array().cast("array<int>")))
     for kind in KINDS:
         m, g = f"m_{kind}", f"g_{kind}"
-        df = df.withColumn(f"at_{kind}", F.expr(f"CASE WHEN size({m}) > 0 THEN zip_with({_sums(f'zip_with(slice({g}, 1, size({m})), {m}, (a, b) -> a + length(b))')}, slice({g}, 1, size({m})), (s, a) -> s + a) ELSE array() END"))
+        df = df.withColumn(f"at_{kind}", F.expr(f"CASE WHEN size({m}) > 0 THEN zip_with({running(f'zip_with(slice({g}, 1, size({m})), {m}, (a, b) -> a + length(b))', 'acc + x', '0')}, {m}, (s, m) -> s - length(m)) ELSE array() END"))
         span = "struct(cast(at.start as bigint) AS start, cast(at.start + length(at.m) as bigint) AS end, at.m AS token, at.v AS value)"
         least = MIN_VALUE if kind == "assign" else 0
         zipped = f"zip_with(zip_with(at_{kind}, {m}, (s, m) -> struct(s AS start, m)), v_{kind}, (p, v) -> struct(p.start, p.m, v))"
@@ -135,13 +131,13 @@ def _quoted(pattern: str) -> str:
 
 
 def _evidence_limit(found: DataFrame) -> int:
-    """Benjamini-Hochberg: the fewest bits b with tokens * 2^-b <= FALSE_DISCOVERIES * (tokens of b bits or more that pass)."""
-    histogram = found.select(F.explode("battery").alias("t")).groupBy("t.bits").agg(F.count("*").alias("c"), F.count_if("t.passes").alias("passing")).collect()  # at most MAX_BITS + 1 rows
+    """The fewest bits b with tokens * 2^-b <= FALSE_DISCOVERIES * (tokens of b bits or more)."""
+    histogram = found.select(F.explode("battery").alias("t")).groupBy("t.bits").agg(F.count("*").alias("c")).collect()  # at most MAX_BITS + 1 rows
     tests = sum(r.c for r in histogram)
     reached, limit = 0, MAX_BITS + 1
     for r in sorted(histogram, key=lambda r: -r.bits):
-        reached += r.passing
-        if reached and tests * 2.0**-r.bits <= FALSE_DISCOVERIES * reached:
+        reached += r.c
+        if tests * 2.0**-r.bits <= FALSE_DISCOVERIES * reached:
             limit = r.bits
     return limit
 
@@ -154,7 +150,7 @@ def _found(docs: DataFrame, keep: list[str], text_col: str, ws: Workspace) -> tu
 
 def _with_random(found: DataFrame, limit: int) -> DataFrame:
     kind = list(KINDS).index("random")
-    return found.withColumn("random", F.expr(f"transform(filter(battery, t -> t.passes AND t.bits >= {limit}), t -> struct(t.start, {kind} AS kind, t.end))")).drop("battery")
+    return found.withColumn("random", F.expr(f"transform(filter(battery, t -> t.bits >= {limit}), t -> struct(t.start, {kind} AS kind, t.end))")).drop("battery")
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -176,9 +172,11 @@ def redact_secrets(docs: DataFrame, mark: str = "[SECRET]", text_col: str = "tex
     kept = [f"`{c}`" for c in docs.columns]
     own = docs.select(F.struct(*kept).alias("doc"), F.col(text_col).alias("text"))
     found, limit = _found(own, ["doc"], "text", ws)
-    spans = f"array_sort(concat({', '.join(KINDS)}))"
-    merged = f"aggregate({spans}, cast(array() as array<struct<a:bigint,b:bigint>>), (acc, s) -> CASE WHEN size(acc) > 0 AND element_at(acc, -1).b >= s.start THEN concat(slice(acc, 1, size(acc) - 1), array(struct(element_at(acc, -1).a AS a, greatest(element_at(acc, -1).b, s.end) AS b))) ELSE concat(acc, array(struct(s.start AS a, s.end AS b))) END)"
-    df = _with_random(found, limit).withColumn("cuts", F.expr(f"CASE WHEN size(assign) + size(access) + size(hex) + size(random) > 0 THEN {merged} END"))
+    df = _with_random(found, limit).withColumn("spans", F.expr(f"array_sort(concat({', '.join(KINDS)}))"))
+    df = df.withColumn("reach", F.expr(running("transform(spans, s -> s.end)", "greatest(acc, x)", "0L")))
+    # a run of overlapping spans starts where a span lies beyond all before it
+    df = df.withColumn("heads", F.expr("CASE WHEN size(spans) > 0 THEN filter(sequence(0, size(spans) - 1), i -> i = 0 OR spans[i].start > reach[i - 1]) END"))
+    df = df.withColumn("cuts", F.expr("zip_with(heads, concat(slice(heads, 2, size(heads)), array(size(spans))), (h, following) -> struct(spans[h].start AS a, reach[following - 1] AS b))"))
     body = f"doc.`{text_col}`"
     pieces = f"concat(transform(sequence(0, size(cuts) - 1), i -> concat(substring({body}, cast(CASE WHEN i = 0 THEN 0 ELSE cuts[i - 1].b END as int) + 1, cast(cuts[i].a - CASE WHEN i = 0 THEN 0 ELSE cuts[i - 1].b END as int)), '{mark}')), array(substring({body}, cast(element_at(cuts, -1).b as int) + 1)))"
     text = F.expr(f"CASE WHEN size(cuts) > 0 THEN array_join({pieces}, '') ELSE {body} END")
