@@ -3,7 +3,7 @@
 import math
 
 from . import secrets
-from .licenses import TEMPLATES
+from .licenses import PARAGRAPH, TEMPLATES, placements, usable_templates
 
 _LOWER_WORDS = r"regexp_extract_all(translate({t}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 
@@ -50,18 +50,23 @@ g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text ||
 SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g
 """
 
-_TEMPLATES = ", ".join("({}, '{}', '{}')".format(i, name, text.replace("'", "''")) for i, (name, text) in enumerate(sorted(TEMPLATES, key=lambda t: t[0])))
+_USABLE = usable_templates(TEMPLATES)
+_TEMPLATES = ", ".join("({}, '{}', '{}')".format(i, name, text.replace("'", "''")) for i, (name, text) in enumerate(_USABLE))
+_ANCHORS = ", ".join(f"('{w}', {i}, {k})" for w, i, k in placements(_USABLE))
 _OP5 = r"""
 WITH d AS (SELECT doc_id, lower(coalesce(text, '')) AS body FROM documents),
-p AS (SELECT doc_id, body, string_split_regex(body, '\n\s*\n') AS p FROM d),
+p AS (SELECT doc_id, body, string_split_regex(body, '""" + PARAGRAPH + r"""') AS p FROM d),
 units AS (SELECT doc_id, unnest(string_split(body, chr(10))) AS unit FROM d
   UNION ALL SELECT doc_id, unnest(CASE WHEN len(p) > 1 THEN list_filter(list_append(p, body), lambda x: contains(x, chr(10))) WHEN contains(body, chr(10)) THEN [body] ELSE [] END) FROM p),
-mixed AS (SELECT 'u' AS kind, doc_id AS id, '' AS license, unit AS text FROM units UNION ALL SELECT 't', i, license, lower(text) FROM (VALUES """ + _TEMPLATES + r""") t(i, license, text)),
+mixed AS (SELECT 'u' AS kind, doc_id AS id, '' AS license, unit AS text FROM units UNION ALL SELECT 'd', doc_id, '', body FROM d UNION ALL SELECT 't', i, license, lower(text) FROM (VALUES """ + _TEMPLATES + r""") t(i, license, text)),
 w AS (SELECT kind, id, license, list_filter(string_split(regexp_replace(text, '[^\p{L}\p{N}]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM mixed),
-b AS (SELECT kind, id, license, row_number() OVER () AS unit, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b FROM w WHERE len(w) > 1),
-m AS (SELECT u.unit, u.id AS doc_id, t.license, 2.0::DOUBLE * len(list_intersect(u.b, t.b)) / (len(u.b) + len(t.b)) AS dice, t.id AS i
-  FROM b u JOIN b t ON u.kind = 'u' AND t.kind = 't' AND list_has_any(u.b, t.b) QUALIFY row_number() OVER (PARTITION BY u.unit ORDER BY dice DESC, t.id) = 1),
-g AS (SELECT doc_id, count(*) AS n, arg_max(license, (dice, -i)) AS license, max(dice) AS dice, array_to_string(list_sort(list_distinct(list(license))), ',') AS licenses FROM m WHERE dice >= 0.8 - 1e-9 GROUP BY doc_id)
+t AS (SELECT id AS t, license, len(w) AS m, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b FROM w WHERE kind = 't'),
+words AS (SELECT id AS doc_id, w, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS i FROM w WHERE kind = 'd'),
+starts AS (SELECT DISTINCT doc_id, w, a.t, greatest(words.i - a.k, 0) AS start FROM words JOIN (VALUES """ + _ANCHORS + r""") a(word, t, k) ON words.word = a.word),
+u AS (SELECT id AS doc_id, NULL::INTEGER AS t, w FROM w WHERE kind = 'u' UNION ALL SELECT doc_id, t, list_slice(w, start + 1, start + m) FROM starts JOIN t USING (t)),
+b AS (SELECT doc_id, t, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b FROM u WHERE len(w) > 1),
+m AS (SELECT doc_id, t.t, t.license, len(list_intersect(b.b, t.b)) AS shared, 2.0::DOUBLE * len(list_intersect(b.b, t.b)) / (len(b.b) + len(t.b)) AS dice FROM b JOIN t ON (b.t IS NULL OR b.t = t.t) AND list_has_any(b.b, t.b)),
+g AS (SELECT doc_id, count(DISTINCT t) AS n, arg_max(license, (shared, dice, -t)) AS license, arg_max(dice, (shared, dice, -t)) AS dice, array_to_string(list_sort(list_distinct(list(license))), ',') AS licenses FROM m WHERE dice >= 0.8 - 1e-9 GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n, 0) AS n_matches, license, dice, coalesce(licenses, '') AS licenses FROM d LEFT JOIN g USING (doc_id)
 """
 

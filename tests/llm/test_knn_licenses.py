@@ -1,10 +1,12 @@
+from itertools import zip_longest
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lexaudit.llm import knn
 from lexaudit.llm.knn import KDTree, top_k
-from lexaudit.llm.licenses import TEMPLATES, anchors_of, bigrams_of, scan_licenses
+from lexaudit.llm.licenses import _BSD, _BSD_CLAUSES, _BSD_REST, _BSD_THIRD, _MIT, _MIT_REST, TEMPLATES, anchors_of, bigrams_of, hints_of, scan_licenses
 
 
 def brute(rows, is_query, k):
@@ -101,13 +103,33 @@ def test_licenses(spark):
     docs = spark.createDataFrame([(i, t, "z", 1) for i, t in rows], "doc_id long, text string, license string, dice int")
     got = {r.doc_id: r for r in scan_licenses(docs).collect()}
     assert [got[i].n_matches for i in (1, 2, 3, 8)] == [0] * 4 and got[3].license is None and got[3].licenses == ""
-    assert (got[4].n_matches, got[4].license, got[4].licenses) == (2, "all-rights-reserved", "all-rights-reserved,mit")
+    assert (got[4].n_matches, got[4].license, got[4].licenses) == (2, "mit", "all-rights-reserved,mit")
     assert got[5].license == got[6].license == "mit" and got[5].dice == 1.0
     assert got[7].n_matches == 0 and got[None].license == "cc-by-nc-4.0"
     assert scan_licenses(docs.limit(0)).count() == 0
 
 
-def test_anchors_are_needed_for_a_match():
+def test_anchors_and_hints_are_needed_for_a_match():
+    hints = hints_of([text for _, text in TEMPLATES])
+    assert len(hints) < 80
     for _, text in TEMPLATES:
-        free = [b for b in bigrams_of(text) if not anchors_of(text) & set(b.split())]
-        assert 2 * len(free) / (len(free) + len(bigrams_of(text))) < 0.8
+        for needed in (anchors_of(text), hints):
+            free = [b for b in bigrams_of(text) if not needed & set(b.split())]
+            assert 2 * len(free) / (len(free) + len(bigrams_of(text))) < 0.8
+
+
+def test_licenses_as_they_are_written(spark):
+    """Whole licences in comments, with other words around them, and notices within a line."""
+    comment = lambda text, width=9: "\n".join(f" * {' '.join(w)}" for w in zip_longest(*[iter(text.split())] * width, fillvalue=""))
+    parts = {"mit": [_MIT, _MIT_REST], "bsd-2-clause": [_BSD, _BSD_CLAUSES, _BSD_REST], "bsd-3-clause": [_BSD, _BSD_CLAUSES, _BSD_THIRD, _BSD_REST]}
+    texts = {name: "/*\n * Copyright (c) 2020 Foo, Inc.\n *\n" + "\n *\n".join(map(comment, own)) + "\n */\nint main() { return 0; }\n" + "int x;\n" * 50 for name, own in parts.items()}
+    texts["mit-paragraph"] = "a b c " * 40 + _MIT + " d e f" * 40
+    texts["rights"] = "Copyright 2020 Foo Inc. All rights reserved. Some more prose follows on this line."
+    texts["gpl-3.0"] = "# foo.py\n#\n# This program is free software: you can redistribute it and/or modify it under the\n# terms of the GNU General Public License as published by the Free Software\n# Foundation, either version 3 of the License, or (at your option) any later version.\n#\nimport os"
+    texts["repeated"] = "noninfringement software " * 3_000
+    docs = spark.createDataFrame(list(texts.items()), "doc_id string, text string")
+    got = {r.doc_id: r for r in scan_licenses(docs).collect()}
+    for name in ("mit", "bsd-2-clause", "bsd-3-clause", "gpl-3.0"):
+        assert got[name].license == name and got[name].dice > 0.9, name
+    assert got["mit-paragraph"].license == "mit" and got["mit-paragraph"].dice > 0.95 and got["rights"].license == "all-rights-reserved" and got["rights"].dice == 1.0
+    assert got["repeated"].n_matches == 0
