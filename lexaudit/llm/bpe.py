@@ -21,10 +21,11 @@ little-endian unsigned 32-bit integers. Extra columns are ignored; an empty tabl
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,21 @@ MAX_FILE_BYTES = 64_000_000
 END = "</w>"
 _NEVER = 1 << 60
 _ONE = (1,)
+# Code points that Unicode 16 added, which the library knows and this Python's tables may not: letters, numbers, and
+# (first, last, distance) of the lower case of capitals, of which the library also knows those of Unicode 17.
+_ADDED = {
+    r"\p{L}": (
+        (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4),
+        (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3),
+        (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
+    ),
+    r"\p{N}": ((0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA)),
+}
+_LOWER = (
+    (0x1C89, 0x1C89, 1), (0xA7CB, 0xA7CB, 0x264 - 0xA7CB), (0xA7CC, 0xA7CC, 1), (0xA7CE, 0xA7CE, 1), (0xA7D2, 0xA7D2, 1), (0xA7D4, 0xA7D4, 1),
+    (0xA7DA, 0xA7DA, 1), (0xA7DC, 0xA7DC, 0x19B - 0xA7DC), (0x10D50, 0x10D65, 0x20), (0x16EA0, 0x16EB8, 0x1B),
+)
+_LOWER_MAP = {c: c + d for first, last, d in _LOWER for c in range(first, last + 1)}
 _BEYOND_LATIN = re.compile("[^\x00-\u024f]").search
 
 
@@ -59,13 +75,32 @@ def _latin(pattern: str) -> re.Pattern[str]:
     return re.compile(pattern)
 
 
-def _wide(pattern: str) -> regex.Pattern:
-    """The splitting pattern for all texts. Code points that the Unicode tables of this Python don't assign are neither letters nor numbers."""
-    for name in (r"\p{L}", r"\p{N}"):
-        own = regex.compile(name)
-        odd = "".join(f"\\U{c:08x}" for c in range(0x250, 0x110000) if unicodedata.category(chr(c)) == "Cn" and own.match(chr(c)))
-        pattern = pattern.replace(name, f"[{name}--[{odd}]]" if odd else name)
-    return regex.compile(pattern, regex.V1)
+@functools.cache
+def _stand_ins() -> dict[int, int]:
+    """A code point of the right class for each one that this Python's regex module puts in another class than Unicode 16 does."""
+    beyond = [c for c in range(0x250, 0x110000) if not 0xD800 <= c < 0xE000]
+    every = "".join(map(chr, beyond))
+    old = {c for c in beyond if unicodedata.category(chr(c)) == "Cn"}
+    out: dict[int, int] = {}
+    for name, ranges in _ADDED.items():
+        added = {c for first, last in ranges for c in range(first, last + 1)}
+        known = {ord(c) for c in regex.findall(name, every)}
+        out.update(dict.fromkeys((known & old) - added, ord("#")))
+        out.update(dict.fromkeys(added - known, ord("a") if "L" in name else ord("1")))
+    return out
+
+
+def _wide(pattern: str) -> Callable[[str], list[str]]:
+    """Splits any text, with the classes of Unicode 16 whatever the versions of this Python and of its regex module are."""
+    own, stand_ins = regex.compile(pattern), _stand_ins()
+    odd = re.compile("[" + "".join(map(chr, sorted(stand_ins))) + "]").search if stand_ins else lambda text: None
+
+    def split(text: str) -> list[str]:
+        if not odd(text):
+            return own.findall(text)
+        return [text[m.start() : m.end()] for m in own.finditer(text.translate(stand_ins))]
+
+    return split
 
 
 class TrieEncoder:
@@ -194,8 +229,9 @@ class TrieEncoder:
         part = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
         if not _BEYOND_LATIN(part):
             return self.latin_pieces(part)
+        part = part.translate(_LOWER_MAP)
         if self._wide_pieces is None:
-            self._wide_pieces = _wide(self.pattern).findall
+            self._wide_pieces = _wide(self.pattern)
         return self._wide_pieces(part)
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, str]]:

@@ -25,6 +25,14 @@ def test_chosen_texts():
     same(["", "  ", "It's don't I'LL 3½ ²x ΑΣ ΣΑΣ. İstanbul ﬁ", "<|endoftext|>a<|startoftext|><|endoftext|", "<|ENDOFTEXT|> hi", "\x1c a\x85b c", "日本語 한국어 😀👍🏽", "a" * 3000 + "!" * 2000])
 
 
+def test_all_code_points():
+    """Every assigned code point, and some others, between letters, next to itself and next to other characters."""
+    known = [c for c in range(0x20, 0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x3400 or 0xA000 <= c < 0xAC00 or 0xF900 <= c < 0x17000 or 0x18C00 <= c < 0x20000 or c % 503 == 0)]
+    for at in range(0, len(known), 20_000):
+        same([" ".join("a{0}b{0}1{0} {0}!{0}{0}!".format(chr(c)) for c in known[i : i + 20]) for i in range(at, min(at + 20_000, len(known)), 20)])
+        OWN.forget()
+
+
 def test_random_texts():
     rng = random.Random(5)
     same(["".join(rng.choice("aabcdethinrs'  .!#12éÉßñΣσİı́\n\t日ﬀ🙂") for _ in range(rng.randint(1, 60))) for _ in range(1500)])
