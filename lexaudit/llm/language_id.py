@@ -13,7 +13,9 @@ N-grams are taken over the whole lower-cased text, in which every run of charact
 
 Defined results: ``und`` with score 0 if the text is null or has no letter. Ties go to the first language in order. If
 no n-gram is known the first language is given with score 0. Without training rows every text is ``und``. Rows with a null
-doc_id are predicted like others and never used for training. Extra columns are ignored.
+doc_id are predicted like others and never used for training. Repeated rows are predicted each, and counted each if they are in the sample. A
+text of any length is read in pieces with the same result. An empty table gives no rows. Other columns are passed on; columns with the
+names of the results are replaced.
 """
 
 from __future__ import annotations
@@ -35,6 +37,8 @@ SIZES, GRAMS = (3, 4), 600
 SAMPLE_DOCS, MAX_LANGUAGES = 400, 256
 SLOTS, HASHES = 1 << 18, 3
 UNDETERMINED = "und"
+#: Characters that are read at a time.
+_PIECE = 1 << 20
 
 _LETTER = np.zeros(0, dtype=bool)
 
@@ -46,30 +50,41 @@ def letters() -> np.ndarray:
     return _LETTER
 
 
-def grams(texts: list[bytes | None]) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
-    """For each n-gram length the hashes of all n-grams and the text of each; and whether each text has a letter."""
+def grams(texts: list[bytes | None]) -> Iterator[tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]]:
+    """Piece by piece: for each n-gram length the hashes of the n-grams that end in the piece and the text of each; and the letters of each text in it.
+
+    The texts are lower-cased whole and read in pieces of ``_PIECE`` characters, whose last places are carried into the next.
+    """
     letter = letters()
     parts = [f" {(t or b'').decode('utf-8').lower()} " for t in texts]
-    codes = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), dtype="<u4")
-    owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-    is_letter = letter[codes]
-    has_letter = np.bincount(owner, weights=is_letter, minlength=len(parts)) > 0
-    codes = np.where(is_letter, codes, 32).astype(np.uint64)
-    keep = np.ones(len(codes), dtype=bool)
-    keep[1:] = is_letter[1:] | is_letter[:-1] | (owner[1:] != owner[:-1])
-    codes, owner = codes[keep], owner[keep]
-    out = []
-    for n in SIZES:
-        count = len(codes) - n + 1
-        if count <= 0:
-            out.append((np.empty(0, np.uint64), np.empty(0, np.int64)))
-            continue
-        h = np.full(count, n, dtype=np.uint64)
-        for k in range(n):
-            h = h * U64(0x100000001B3) + codes[k : k + count]
-        inside = owner[:count] == owner[n - 1 :]
-        out.append((mix(h[inside]), owner[:count][inside]))
-    return out, has_letter
+    joined, stops = "".join(parts), np.cumsum([len(p) for p in parts])
+    longest = max(SIZES) - 1
+    old_codes, old_owner = np.empty(0, np.uint64), np.empty(0, np.int64)
+    after_letter, last_owner = False, -1
+    for at in range(0, len(joined), _PIECE):
+        codes = np.frombuffer(joined[at : at + _PIECE].encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        owner = np.searchsorted(stops, np.arange(at, at + len(codes)), "right")
+        is_letter = letter[codes]
+        counts = np.bincount(owner, weights=is_letter, minlength=len(parts))
+        keep = is_letter | np.append(after_letter, is_letter[:-1]) | (owner != np.append(last_owner, owner[:-1]))
+        after_letter, last_owner = bool(is_letter[-1]), int(owner[-1])
+        codes = np.append(old_codes, np.where(is_letter, codes, 32).astype(np.uint64)[keep])
+        owner = np.append(old_owner, owner[keep])
+        out = []
+        for n in SIZES:
+            skip = max(0, len(old_codes) - n + 1)
+            own, of = codes[skip:], owner[skip:]
+            count = len(own) - n + 1
+            if count <= 0:
+                out.append((np.empty(0, np.uint64), np.empty(0, np.int64)))
+                continue
+            h = np.full(count, n, dtype=np.uint64)
+            for k in range(n):
+                h = h * U64(0x100000001B3) + own[k : k + count]
+            inside = of[:count] == of[n - 1 :]
+            out.append((mix(h[inside]), of[:count][inside]))
+        old_codes, old_owner = codes[-longest:], owner[-longest:]
+        yield out, counts
 
 
 def _slots(hashes: np.ndarray) -> Iterator[np.ndarray]:
@@ -99,11 +114,18 @@ class LanguageModel:
 
     def rates(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """Corrected rate of each text and language; whether each text has a letter."""
-        found, has_letter = grams(texts)
         hits = np.zeros((len(texts), len(self.languages)))
-        total = np.zeros(len(texts))
+        total, letters_of = np.zeros(len(texts)), np.zeros(len(texts))
+        for found, counts in grams(texts):
+            letters_of += counts
+            self._add(found, hits, total)
+        fpr = self.false_positive_rates()
+        return np.maximum(0.0, (hits / np.maximum(total, 1)[:, None] - fpr) / (1 - fpr)), letters_of > 0
+
+    def _add(self, found: list[tuple[np.ndarray, np.ndarray]], hits: np.ndarray, total: np.ndarray) -> None:
+        """Count the n-grams of a piece, and those that each language holds."""
         for hashes, owner in found:
-            total += np.bincount(owner, minlength=len(texts))
+            total += np.bincount(owner, minlength=len(total))
             slots = list(_slots(hashes))
             for w in range(self.table.shape[1]):
                 column = self.table[:, w]
@@ -111,9 +133,7 @@ class LanguageModel:
                 for slot in slots[1:]:
                     mask &= column[slot]
                 for l in range(64 * w, min(64 * w + 64, len(self.languages))):
-                    hits[:, l] += np.bincount(owner, weights=(mask >> U64(l % 64)) & U64(1), minlength=len(texts))
-        fpr = self.false_positive_rates()
-        return np.maximum(0.0, (hits / np.maximum(total, 1)[:, None] - fpr) / (1 - fpr)), has_letter
+                    hits[:, l] += np.bincount(owner, weights=(mask >> U64(l % 64)) & U64(1), minlength=len(total))
 
     def predict(self, texts: list[bytes | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, score and own rate of the winner."""
@@ -130,9 +150,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         langs = batch.column("lang").to_pylist()
         for start, texts in text_blocks(batch, "text"):
-            found, _ = grams(texts)
             names, code = np.unique(np.array(langs[start : start + len(texts)], dtype=object), return_inverse=True)
-            for size, (hashes, owner) in zip(SIZES, found):
+            for size, (hashes, owner) in ((n, part) for found, _ in grams(texts) for n, part in zip(SIZES, found)):
                 for l, name in enumerate(names):
                     values, counts = np.unique(hashes[code[owner] == l], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([name] * len(values), pa.string()), pa.array(np.full(len(values), size, np.int32)), pa.array(values.view(np.int64)), pa.array(counts)], names=["lang", "size", "gram", "c"])

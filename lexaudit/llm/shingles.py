@@ -19,6 +19,8 @@ _BASE_INV = pow(_BASE, -1, 2**64)
 _WORD_BYTE = np.ones(256, dtype=np.int8)
 _WORD_BYTE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = 0
 _POWERS: dict[int, np.ndarray] = {}
+#: Bytes that are hashed at a time.
+_PIECE = 1 << 20
 U64 = np.uint64
 
 
@@ -52,17 +54,39 @@ def text_blocks(batch: pa.RecordBatch, column: str, max_bytes: int = 1_000_000)
 
 
 def word_hashes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words in order, and the offsets of each text's words in them (len(texts) + 1)."""
+    """Hashes of all words in order, and the offsets of each text's words in them (len(texts) + 1).
+
+    The bytes are read in pieces; a word that goes on in the next piece is carried over, so memory beyond the texts and the
+    words' hashes is bounded.
+    """
     parts = [t or b"" for t in texts]
     sizes = np.fromiter((len(p) + 1 for p in parts), np.int64, len(parts))
     data = np.frombuffer((b" ".join(parts) + b" ").lower(), dtype=np.uint8)
-    edge = np.diff(_WORD_BYTE[data], prepend=np.int8(0), append=np.int8(0))
-    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(_BYTE[data] * _powers(_BASE, len(data)), out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * _powers(_BASE_INV, len(data))[starts])
+    found, places = [], []
+    carried, length, place = U64(0), 0, 0  # of the word that is open at the end of a piece
+    for at in range(0, len(data), _PIECE):
+        piece = data[at : at + _PIECE]
+        edge = np.diff(_WORD_BYTE[piece], prepend=np.int8(0), append=np.int8(0))
+        starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        sums = np.zeros(len(piece) + 1, dtype=np.uint64)
+        np.cumsum(_BYTE[piece] * _powers(_BASE, len(piece)), out=sums[1:])
+        hashes = (sums[ends] - sums[starts]) * _powers(_BASE_INV, len(piece))[starts]
+        starts = starts + at
+        if length and len(starts) and starts[0] == at:
+            hashes[0] = (int(carried) + int(hashes[0]) * pow(_BASE, length, 2**64)) % 2**64
+            starts[0] = place
+        elif length:
+            hashes, starts, ends = np.append(carried, hashes), np.append(place, starts), np.append(0, ends)
+        length = 0
+        if len(ends) and ends[-1] == len(piece):
+            carried, place = hashes[-1], int(starts[-1])
+            length = at + len(piece) - place
+            hashes, starts = hashes[:-1], starts[:-1]
+        found.append(hashes)
+        places.append(starts)
+    starts = np.concatenate(places)
     offsets = np.searchsorted(starts, np.concatenate([[0], np.cumsum(sizes)]))
-    return hashes, offsets
+    return mix(np.concatenate(found)), offsets
 
 
 def shingle_hashes(words: np.ndarray, offsets: np.ndarray, n: int, ordered: bool = False) -> Iterator[np.ndarray]:

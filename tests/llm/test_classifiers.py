@@ -4,7 +4,7 @@ from itertools import combinations
 import numpy as np
 from pyspark.sql import functions as F
 
-from lexaudit.llm import toxicity
+from lexaudit.llm import quality, toxicity
 from lexaudit.llm.quality import QualityModel, describe, score_quality
 from lexaudit.llm.queries import op2_toxicity, op3_quality_classifier
 from lexaudit.llm.toxicity import BUCKET_BITS, DECAY, LENGTH, SPAN, WINDOWS, Sentences, ToxicityModel, embed, fit_toxicity, kernel, place_scores, score_toxicity
@@ -138,3 +138,26 @@ def test_passages_of_a_block_equal_those_of_single_texts():
     alone = [describe([t]) for t in texts]
     assert sizes.tolist() == [int(n[0]) for _, n in alone] == [1, 1, 4, 1]
     assert np.allclose(block, np.concatenate([x for x, _ in alone]))
+
+
+def test_a_long_text_in_pieces(monkeypatch):
+    texts = [" ".join(f"w{i}" for i in range(1_000)).encode(), b"a" * 700 + b" b\n| c! " * 300, b"", None, b"  x\n" * 400, b"y" * 900]
+    want, sizes = describe(texts)
+    monkeypatch.setattr(quality, "_PIECE", 200)
+    assert all(b"".join(quality._pieces(t or b"")) == (t or b"") for t in texts) and len(list(quality._pieces(texts[0]))) > 5
+    got, pieces = describe(texts)
+    assert pieces.tolist() == sizes.tolist() and np.allclose(got, want)
+
+
+def test_quality_equals_a_loop_over_passages():
+    rng = np.random.default_rng(8)
+    words = ["plain", "words", "Stand", "here,", "###", "|", "9", "été"]
+    texts = [" ".join(rng.choice(words, rng.integers(1, 400))).encode() for _ in range(60)]
+    model = QualityModel.train(texts, [i % 2 for i in range(60)])
+    p = model.weights
+    for text, score in zip(texts[:20], model.score(texts[:20])):
+        x, _ = describe([text])
+        h = [np.tanh(np.clip((row - model.mean) / model.scale, -8, 8) @ p["W"] + p["b"]) for row in x]
+        gate = [np.exp((np.tanh(v @ p["V"]) / (1 + np.exp(-(v @ p["U"])))) @ p["w"]) for v in h]
+        z = sum(g * v for g, v in zip(gate, h)) / sum(gate)
+        assert abs(score - 1 / (1 + np.exp(-(z @ p["c"] + p["d"])))) < 1e-5

@@ -3,7 +3,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from lexaudit.llm import near_dup
+from lexaudit.llm import near_dup, shingles
 from lexaudit.llm.components import connected_components
 from lexaudit.llm.near_dup import near_duplicates
 from lexaudit.llm.storage import Workspace
@@ -115,3 +115,12 @@ def test_components_of_a_long_path(spark):
     got = connected_components(links, Workspace(spark, "test"), "path").collect()
     assert len(got) == 300 and {r.component for r in got} == {0}
     assert connected_components(links.limit(0), Workspace(spark, "test"), "none").count() == 0
+
+
+def test_words_across_pieces(monkeypatch):
+    texts = [b"one two  three\n", None, b"", b"a" * 50, b" x ", "Été à Paris".encode(), b"end"]
+    want = shingles.word_hashes(texts)
+    for piece in (1, 2, 3, 7, 20):
+        monkeypatch.setattr(shingles, "_PIECE", piece)
+        got = shingles.word_hashes(texts)
+        assert got[0].tolist() == want[0].tolist() and got[1].tolist() == want[1].tolist()
