@@ -136,14 +136,19 @@ def regulation_reference(text: Column) -> Column:
     return F.when(text.rlike(inner), by_inner).when(text.rlike(bare), by_bare).otherwise(UNKNOWN_REGULATION)
 
 
-def describe_item(item: Column, dismissed: str) -> Column:
+def describe_item(item: Column, dismissed: Column | str) -> Column:
     """The description of an answer's item: what stands before its quotation, joined with an explanation unless that starts with ``dismissed``."""
-    quote = first_quote(item)
-    cut = lambda c: F.when((quote != "") & (F.instr(c, quote) > 0), strip(F.split_part(c, quote, F.lit(1)))).otherwise(c)
-    parts = F.split(item, "(?i)EXPLANATION:", 2)
-    head, tail = cut(strip(parts[0])), strip(F.get(parts, 1))
-    joined = F.when((tail != "") & ~F.startswith(tail, F.lit(dismissed)) & ~F.endswith(head, F.lit(".")), F.concat(head, F.lit(". "), tail)).otherwise(head)
-    return F.when(F.size(parts) > 1, joined).otherwise(cut(item))
+    if isinstance(dismissed, str):
+        dismissed = F.lit(dismissed)
+
+    def described(v: Column) -> Column:
+        cut = lambda c: F.when((v["quote"] != "") & (F.instr(c, v["quote"]) > 0), strip(F.split_part(c, v["quote"], F.lit(1)))).otherwise(c)
+        explained = (v["tail"] != "") & ~F.startswith(v["tail"], v["dismissed"])
+        with_tail = lambda head: F.when(explained & ~F.endswith(head, F.lit(".")), F.concat(head, F.lit(". "), v["tail"])).otherwise(head)
+        return F.when(v["n"] > 1, let(cut(v["head"]), with_tail)).otherwise(cut(v["item"]))
+
+    parts = let(F.split(item, "(?i)EXPLANATION:", 2), lambda p: F.struct(F.size(p).alias("n"), strip(p[0]).alias("head"), strip(F.get(p, 1)).alias("tail"), first_quote(item).alias("quote"), item.alias("item"), dismissed.alias("dismissed")))
+    return let(parts, described)
 
 
 def format_article(article: Column) -> Column:

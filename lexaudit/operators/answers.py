@@ -36,19 +36,21 @@ def _numbered(kind: str):
     return lambda item, n: F.struct(F.lit(kind).alias("kind"), n.alias("ord"), item.alias("item"))
 
 
-def parse_answers(responses: DataFrame) -> DataFrame:
-    """Findings of both kinds: doc_id, chunk_index, kind, ord, description, regulation, confidence, citation, explanation, section, should_analyze.
+def parse_answers(responses: DataFrame, kinds: tuple[str, ...] = tuple(_KINDS)) -> DataFrame:
+    """Findings of the kinds asked for: doc_id, chunk_index, kind, ord, description, regulation, confidence, citation, explanation, section, should_analyze.
 
     ``responses`` has doc_id, chunk_index, position, should_analyze, response.
     """
     clean = responses.withColumn("response", without_fences(F.coalesce("response", F.lit(""))))
     arrays = []
-    for kind, (_, heading, none, _) in _KINDS.items():
+    for kind in kinds:
+        _, heading, none, _ = _KINDS[kind]
         names = (heading, none)
         good = F.filter(items(block(F.col("response"), kind)), lambda i: (F.length(i) >= 10) & ~F.lower(i).isin(*names))
         arrays.append(F.transform(good, _numbered(kind)))
     rows = clean.select("doc_id", "chunk_index", "position", "should_analyze", F.inline(F.concat(*arrays)))
-    description = F.when(F.col("kind") == "issue", T.describe_item(F.col("item"), _KINDS["issue"][3])).otherwise(T.describe_item(F.col("item"), _KINDS["point"][3]))
+    dismissed = F.when(F.col("kind") == "issue", _KINDS["issue"][3]).otherwise(_KINDS["point"][3])
+    description = T.describe_item(F.col("item"), dismissed)
     return rows.select(
         "doc_id", "chunk_index", "kind", F.col("ord").cast("int").alias("ord"), description.alias("description"), T.regulation_reference(F.col("item")).alias("regulation"),
         F.lit(DEFAULT_CONFIDENCE).alias("confidence"), T.first_quote(F.col("item")).alias("citation"), F.lit("").alias("explanation"), F.col("position").alias("section"), "should_analyze",

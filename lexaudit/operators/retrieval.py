@@ -6,30 +6,79 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.values import RETRIEVED
 
 
-def squared_distance(a: Column, b: Column) -> Column:
-    difference = F.zip_with(a, b, lambda x, y: x.cast("double") - y.cast("double"))
-    return F.aggregate(difference, F.lit(0.0), lambda acc, d: acc + d * d)
-
-
-def nearest(queries: DataFrame, articles: DataFrame, keys: list[str], k: int = RETRIEVED, max_articles: int = 10_000) -> DataFrame:
+#: Articles that travel together, and bytes of the differences of a batch with them.
+BLOCK_ARTICLES, BLOCK_BYTES = 10_000, 32_000_000
+
+
+def _by_size(ids: list, vectors: list) -> dict[int, tuple[list, np.ndarray]]:
+    """Rows whose vector has no null, by its length."""
+    sizes: dict[int, list[int]] = {}
+    for i, v in enumerate(vectors):
+        if v is not None and None not in v:
+            sizes.setdefault(len(v), []).append(i)
+    return {n: ([ids[i] for i in at], np.array([vectors[i] for i in at], dtype=np.float64).reshape(len(at), n)) for n, at in sizes.items()}
+
+
+def _search(block, keys: list[str], k: int, id_type: pa.DataType):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        articles = _by_size(*block.value)
+        for batch in batches:
+            rows, hits, distances = [], [], []
+            for n, (at, own) in _by_size(list(range(len(batch))), batch.column("vector").to_pylist()).items():
+                if n not in articles:
+                    continue
+                ids, vectors = articles[n]
+                step = max(1, BLOCK_BYTES // (8 * max(1, n) * len(ids)))
+                for i in range(0, len(own), step):
+                    squared = ((own[i : i + step, None, :] - vectors) ** 2).sum(axis=2).round(6)
+                    for row, d in zip(at[i : i + step], squared):
+                        near = np.flatnonzero(d <= np.partition(d, min(k, len(d)) - 1)[min(k, len(d)) - 1])
+                        best = sorted(near, key=lambda j: (d[j], ids[j]))[:k]
+                        rows += [row] * len(best)
+                        hits += [ids[j] for j in best]
+                        distances += [float(d[j]) for j in best]
+            take = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in keys), pa.array(hits, id_type), pa.array(distances, pa.float64())], names=[*keys, "art_ord", "distance"])
+
+    return run
+
+
+def nearest(queries: DataFrame, articles: DataFrame, keys: list[str], k: int = RETRIEVED) -> DataFrame:
     """keys, rank, art_ord, distance (six decimals): the k nearest articles, ties by art_ord; fewer if there are fewer articles.
 
-    ``queries`` has the keys and ``vector``; ``articles`` has art_ord and ``vector``. After a check of their number the articles
-    travel as one broadcast row, and every query row ranks them within itself: no row per pair, no shuffle of the queries.
+    ``queries`` has the keys, which name a row, and ``vector``; ``articles`` has art_ord and ``vector``. Vectors that are null, hold a null or are
+    of another length don't meet. The articles travel in blocks of bounded number, and each block gives a row's k best; so no row per pair is made, and only hits
+    are shuffled, to be ranked over the blocks.
     """
-    if articles.count() > max_articles:
-        raise ValueError(f"more than {max_articles} articles: search them in parts")
-    listed = articles.agg(F.collect_list(F.struct("art_ord", F.col("vector").alias("v"))).alias("articles"))
-    rows = queries.select(*keys, "vector").join(F.broadcast(listed))
-    scored = F.transform("articles", lambda a: F.struct(F.round(squared_distance(F.col("vector"), a["v"]), 6).alias("distance"), a["art_ord"].alias("art_ord")))
-    best = F.slice(F.array_sort(F.filter(scored, lambda s: s["distance"].isNotNull())), 1, k)
-    return rows.select(*keys, F.posexplode(best).alias("at", "hit")).select(*keys, (F.col("at") + 1).alias("rank"), "hit.art_ord", "hit.distance")
+    spark, source = queries.sparkSession, queries.select(*keys, "vector")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.drop("vector").schema)
+    id_kind = articles.schema["art_ord"].dataType
+    found, ids, vectors = None, [], []
+
+    def search() -> DataFrame:
+        block = spark.sparkContext.broadcast((list(ids), list(vectors)))
+        hits = source.mapInArrow(_search(block, keys, k, to_arrow_type(id_kind)), f"{kinds}, art_ord {id_kind.simpleString()}, distance double")
+        ids.clear()
+        vectors.clear()
+        return hits if found is None else found.union(hits)
+
+    for r in articles.where("art_ord is not null").select("art_ord", "vector").toLocalIterator():
+        ids.append(r.art_ord)
+        vectors.append(None if r.vector is None else list(r.vector))
+        if len(ids) == BLOCK_ARTICLES:
+            found = search()
+    if ids or found is None:
+        found = search()
+    order = Window.partitionBy(*keys).orderBy("distance", "art_ord")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(*keys, "rank", "art_ord", "distance")
 
 
 def with_articles(hits: DataFrame, articles: DataFrame) -> DataFrame:

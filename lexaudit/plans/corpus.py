@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.readers import spread
+
 NL = "chr(10)"
 
 INTROS = ("Privacy Policy", "Terms of Service", "Service Agreement", "Project Proposal", "Annual Report", "Storage Notes")
@@ -171,9 +173,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def build(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    """A corpus table."""
-    name = "customer" if "{customer}" in sql else "orders"
-    return spark.sql(sql, **{name: table(spark, sf_dir, name)})
+    """A corpus table. Its long texts are built after the short rows are spread over the cores."""
+    name, key = ("customer", "c_custkey") if "{customer}" in sql else ("orders", "o_orderkey")
+    return spark.sql(sql, **{name: spread(table(spark, sf_dir, name), key)})
 
 
 def literal(spark: SparkSession, **columns: str) -> DataFrame:

@@ -281,7 +281,7 @@ ORACLES: dict[str, str] = {
     "concept_bag": f"WITH {_ARTICLES} SELECT art_ord, array_to_string(related_concepts, '|') AS related_concepts FROM articles",
     "indicator_scan": f"WITH {_CHUNKS}, {_PATTERNS}, {_scan('chunks', 'doc_id, chunk_index')} SELECT doc_id, chunk_index, pattern_ord, indicator_ord, pattern, description, indicator, context, array_to_string(related_refs, '|') AS related_refs FROM found",
     "top5_violations": f"WITH {_DOCS}, {_PATTERNS}, {_scan('docs', 'doc_id')}, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pattern_ord, indicator_ord)::INTEGER AS rank FROM found) SELECT doc_id, rank, pattern_ord, indicator_ord, indicator FROM r WHERE rank <= 5",
-    "benchmark_needles": f"WITH inds AS (SELECT item_id AS pattern_ord, 0 AS indicator_ord, '' AS pattern, '' AS description, left(text, 60) AS indicator, [] AS related_refs FROM benchmark), {_scan('documents', 'doc_id')} SELECT doc_id, pattern_ord, context FROM found",
+    "benchmark_needles": f"WITH inds AS (SELECT item_id AS pattern_ord, 0 AS indicator_ord, '' AS pattern, '' AS description, text AS indicator, [] AS related_refs FROM benchmark), {_scan('documents', 'doc_id')} SELECT doc_id, pattern_ord, context FROM found",
     "knn_top3": f"WITH {_KNN} SELECT vec_id, rank, art_ord, distance FROM ranked WHERE rank <= 3",
     "knn_top5": f"WITH {_KNN} SELECT vec_id, rank, art_ord, distance FROM ranked WHERE rank <= 5",
     "knn_join_meta": f"WITH {_KNN} SELECT vec_id, rank, 'Article ' || art_ord AS id, '' AS title, 'data' AS related_concepts FROM ranked WHERE rank <= 5",

@@ -234,7 +234,7 @@ def top5_violations(s, d):
 @query
 def benchmark_needles(s, d):
     """benchmark items as indicators over raw documents."""
-    needles = C.table(s, d, "benchmark").select(F.col("item_id").alias("pattern_ord"), F.lit(0).alias("indicator_ord"), F.lit("item").alias("pattern"), F.lit("").alias("description"), F.left("text", F.lit(60)).alias("indicator"), F.array().cast("array<string>").alias("related_refs"))
+    needles = C.table(s, d, "benchmark").select(F.col("item_id").alias("pattern_ord"), F.lit(0).alias("indicator_ord"), F.lit("item").alias("pattern"), F.lit("").alias("description"), F.col("text").alias("indicator"), F.array().cast("array<string>").alias("related_refs"))
     rows = C.table(s, d, "documents").select("doc_id", F.lit(0).alias("chunk_index"), "text")
     return violations.scan_indicators(rows, needles).select("doc_id", "pattern_ord", "context")
 
@@ -351,12 +351,12 @@ _PARSED = ("doc_id", "chunk_index", "ord", "description", "regulation", "confide
 
 @query
 def parse_issues(s, d):
-    return answers.parse_answers(_responses(s, d)).where("kind = 'issue'").select(*_PARSED)
+    return answers.parse_answers(_responses(s, d), ("issue",)).select(*_PARSED)
 
 
 @query
 def parse_points(s, d):
-    return answers.parse_answers(_responses(s, d)).where("kind = 'point'").select(*_PARSED)
+    return answers.parse_answers(_responses(s, d), ("point",)).select(*_PARSED)
 
 
 @query

@@ -11,6 +11,19 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.values import ARTICLE_STARTS, CONCEPTS, DEFAULT_DATA_TERMS, DEFAULT_REGULATORY_TERMS, FRAMEWORK_FILES, MODELS
 
+#: Fewer bytes are not worth a shuffle.
+SPREAD_BYTES = 100_000
+
+
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """The rows over at least as many partitions as there are cores; unchanged where the scan gives as many, or holds less than ``SPREAD_BYTES``.
+
+    For a few files or row groups that hold many documents, before costly work on each of them.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return rows.repartition(cores, *keys) if size >= SPREAD_BYTES and rows.rdd.getNumPartitions() < cores else rows
+
 
 def read_documents(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """doc_id (the path), path, n_bytes, text of whole UTF-8 text and Markdown files. A missing path is an error of Spark."""
