@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,14 +65,18 @@ def build_prompt(section: Column, text: Column, regulations: Column, indicators:
     return F.concat(*(values[p] if i % 2 else F.lit(p) for i, p in enumerate(pieces)))
 
 
-def with_prompts(chunk_rows: DataFrame, hits: DataFrame, violations: DataFrame, label: str = "REGULATION", context: str = "", n_patterns: int = 0, **options) -> DataFrame:
-    """``chunk_rows`` with a prompt column. Hits carry rank, id, title, text, related_concepts; both sides are grouped per chunk first."""
+def with_prompts(chunk_rows: DataFrame, hits: DataFrame, violations: DataFrame, label: str = "REGULATION", context: str = "", n_patterns: int = 0, regulations: Callable[[Column], Column] | None = None, indicators: Callable[[Column], Column] | None = None, **options) -> DataFrame:
+    """``chunk_rows`` with a prompt column. Hits carry rank, id, title, text, related_concepts; both sides are grouped per chunk first.
+
+    ``regulations`` (array of hits to text) and ``indicators`` (text to map) replace the default formats.
+    """
     keys = ["doc_id", "chunk_index"]
     ordered = lambda cols, by: F.sort_array(F.collect_list(F.struct(*by, F.struct(*cols).alias("v"))))
     regs = hits.groupBy(*keys).agg(F.transform(ordered(["id", "title", "text", "related_concepts"], ["rank"]), lambda s: s["v"]).alias("hits"))
     found = violations.groupBy(*keys).agg(F.transform(ordered(["pattern", "description", "indicator", "context", "related_refs"], ["pattern_ord", "indicator_ord"]), lambda s: s["v"]).alias("violations"))
     rows = chunk_rows.join(regs, keys, "left").join(found, keys, "left")
     kind = "array<struct<pattern:string,description:string,indicator:string,context:string,related_refs:array<string>>>"
-    regulations = F.coalesce(format_regulations(F.coalesce("hits", F.array().cast("array<struct<id:string,title:string,text:string,related_concepts:array<string>>>")), label, context, n_patterns), F.lit(""))
-    prompt = build_prompt(F.col("position"), F.col("text"), regulations, T.content_indicators(F.col("text")), format_violations(F.coalesce("violations", F.array().cast(kind))), **options)
+    listed = F.coalesce("hits", F.array().cast("array<struct<id:string,title:string,text:string,related_concepts:array<string>>>"))
+    shown = F.coalesce(regulations(listed) if regulations else format_regulations(listed, label, context, n_patterns), F.lit(""))
+    prompt = build_prompt(F.col("position"), F.col("text"), shown, (indicators or T.content_indicators)(F.col("text")), format_violations(F.coalesce("violations", F.array().cast(kind))), **options)
     return rows.withColumn("prompt", prompt).drop("hits", "violations")

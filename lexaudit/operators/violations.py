@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import strip
 from ..functions.values import CONTEXT_CHARS, TOP_VIOLATIONS
+from .routing import substring_join
 
 
 def indicator_rows(patterns: DataFrame) -> DataFrame:
@@ -18,13 +19,9 @@ def indicator_rows(patterns: DataFrame) -> DataFrame:
 def scan_indicators(chunk_rows: DataFrame, indicators: DataFrame, max_rows: int = 100_000) -> DataFrame:
     """Every indicator that a chunk holds in any case, with the text around its first place.
 
-    The pattern list is parsed once and broadcast after a check of its size; a longer list is an error, to be split.
+    Up to ``max_rows`` indicators are broadcast; a longer list is joined by the first characters of the indicators.
     """
-    if indicators.count() > max_rows:
-        raise ValueError(f"more than {max_rows} indicators: scan them in parts")
-    lowered = chunk_rows.withColumn("lowered", F.lower("text"))
-    wanted = indicators.withColumn("wanted", F.lower("indicator"))
-    found = lowered.join(F.broadcast(wanted), F.contains(lowered["lowered"], wanted["wanted"]))
+    found = substring_join(chunk_rows.withColumn("lowered", F.lower("text")), indicators.withColumn("wanted", F.lower("indicator")), "wanted", max_rows)
     at = F.instr(F.col("lowered"), F.col("wanted"))
     start = F.greatest(at - CONTEXT_CHARS, F.lit(1))
     context = F.substring(F.col("text"), start, at + F.length("indicator") + CONTEXT_CHARS - start)

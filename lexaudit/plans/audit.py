@@ -18,7 +18,9 @@ from ..sources import readers
 class Framework:
     """A rule framework: its vocabulary and, optionally, its articles and patterns.
 
-    A framework may replace the content indicators and the prompt template; whatever it leaves out falls back to the defaults.
+    A framework may replace the content indicators (text to a map), the scan for violations (chunk rows to the columns of
+    ``scan_indicators``), the format of regulations (array of hits to text) and the prompt template; whatever it leaves out falls
+    back to the defaults.
     """
 
     name: str
@@ -30,6 +32,9 @@ class Framework:
     n_patterns: int = 0
     template: str = prompts.DEFAULT_TEMPLATE
     risk_level: str = "unknown"
+    content_indicators: Callable[[Column], Column] | None = None
+    scan_violations: Callable[[DataFrame], DataFrame] | None = None
+    format_regulations: Callable[[Column], Column] | None = None
 
 
 #: Frameworks by name.
@@ -87,31 +92,40 @@ def routed_chunks(docs: DataFrame, rules: Framework, size: int = DEFAULT_CHUNK_S
     return routed if progressive else routed.withColumn("should_analyze", F.lit(True))
 
 
-def _indicators(spark, rules: Framework) -> DataFrame:
+def _violations(routed: DataFrame, rules: Framework) -> DataFrame:
+    """The violations of the chunks to analyse, by the framework's own scan or by its patterns."""
+    rows = routed.where("should_analyze").select("doc_id", "chunk_index", "position", "text")
+    if rules.scan_violations:
+        return rules.scan_violations(rows)
     if rules.patterns is None:
-        return spark.createDataFrame([], "pattern_ord int, indicator_ord int, pattern string, description string, indicator string, related_refs array<string>")
-    return violations.indicator_rows(rules.patterns)
+        none = routed.sparkSession.createDataFrame([], "pattern_ord int, indicator_ord int, pattern string, description string, indicator string, related_refs array<string>")
+        return violations.scan_indicators(rows, none)
+    return violations.scan_indicators(rows, violations.indicator_rows(rules.patterns))
 
 
 def rule_audit(docs: DataFrame, rules: Framework, **options) -> tuple[DataFrame, DataFrame]:
     """(routed chunks, findings) without a model."""
     routed = routed_chunks(docs, rules, **options)
-    indicators = _indicators(docs.sparkSession, rules)
-    found = violations.scan_indicators(routed.where("should_analyze").select("doc_id", "chunk_index", "position", "text"), indicators)
-    return routed, judges.rule_findings(found)
+    return routed, judges.rule_findings(_violations(routed, rules))
+
+
+def prompt_rows(routed: DataFrame, rules: Framework, embed: Callable[[Column], Column], k: int = RETRIEVED) -> DataFrame:
+    """doc_id, chunk_index, position, text, should_analyze, prompt of the chunks to analyse: nearest articles, violations and indicators in one request."""
+    asked = routed.where("should_analyze").select("doc_id", "chunk_index", "position", "text", "should_analyze")
+    articles = rules.articles.withColumn("vector", embed(F.col("text")))
+    nearest = retrieval.nearest(asked.withColumn("vector", embed(F.col("text"))), articles, ["doc_id", "chunk_index"], k)
+    hits = retrieval.with_articles(nearest, rules.articles)
+    return prompts.with_prompts(
+        asked, hits, _violations(routed, rules), context=rules.context, n_patterns=rules.n_patterns, risk_level=rules.risk_level, template=rules.template,
+        regulations=rules.format_regulations, indicators=rules.content_indicators,
+    )
 
 
 def model_audit(docs: DataFrame, rules: Framework, embed: Callable[[Column], Column], answer: Callable[[list[str]], list[str]], table: str | None = None, progressive: bool = True, rows_per_call: int = 4, **options) -> tuple[DataFrame, DataFrame]:
     """(routed chunks, findings) of a judge that answers prompts. ``table``: where the answers are written before they are parsed."""
     spark = docs.sparkSession
     routed = routed_chunks(docs, rules, progressive=progressive, **options)
-    asked = routed.where("should_analyze")
-    articles = rules.articles.withColumn("vector", embed(F.col("text")))
-    nearest = retrieval.nearest(asked.withColumn("vector", embed(F.col("text"))), articles, ["doc_id", "chunk_index"], RETRIEVED if progressive else RETRIEVED_BATCH)
-    hits = retrieval.with_articles(nearest, rules.articles)
-    indicators = _indicators(spark, rules)
-    found = violations.scan_indicators(asked.select("doc_id", "chunk_index", "position", "text"), indicators)
-    requests = prompts.with_prompts(routed.select("doc_id", "chunk_index", "position", "text", "should_analyze"), hits, found, context=rules.context, n_patterns=rules.n_patterns, risk_level=rules.risk_level, template=rules.template)
+    requests = prompt_rows(routed, rules, embed, RETRIEVED if progressive else RETRIEVED_BATCH)
     judged = judges.judge(requests, answer, rows_per_call)
     if table:
         judged.write.mode("overwrite").parquet(table)

@@ -168,6 +168,16 @@ FROM {{orders}}
 """
 
 
+#: Findings of chunks that hold several: the columns of parsed findings, four chunks a document.
+REPORT_FINDINGS = f"SELECT doc_id, CAST(chunk_index % 4 AS INT) AS chunk_index, kind, chunk_index AS ord, description, regulation, confidence, citation, explanation, section, should_analyze FROM ({AUDIT_FINDINGS}) t"
+
+#: The chunks of those findings.
+REPORT_CHUNKS = """
+SELECT c_custkey AS doc_id, i AS chunk_index, 'Section ' || CAST(i AS VARCHAR(9)) AS position, c_name || ' of ' || c_mktsegment AS text, (c_custkey + i) % 4 <> 0 AS should_analyze
+FROM {customer} CROSS JOIN (SELECT 0 AS i UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) n
+"""
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

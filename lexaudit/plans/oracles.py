@@ -7,6 +7,8 @@ from ..functions.values import (
     CONCEPTS,
     CONTENT_INDICATORS,
     DATA_MENTIONS,
+    DEFAULT_DATA_TERMS,
+    DEFAULT_REGULATORY_TERMS,
     DOCUMENT_TYPES,
     FRAMEWORK_FILES,
     HEADER,
@@ -16,7 +18,7 @@ from ..functions.values import (
     REGULATION_PHRASES,
     STOPWORDS,
 )
-from ..operators.prompts import DEFAULT_TEMPLATE
+from ..operators.prompts import DEFAULT_TEMPLATE, GUIDANCE
 from ..operators.reports import RULE, SHORT_RULE, THIN
 from . import corpus as C
 
@@ -209,45 +211,82 @@ SELECT doc_id, kind, item_ord, max(line) FILTER (field = 'start') AS title, coal
   arg_max(quote, n) FILTER (field = 'citation' AND {_citation('quote')}) AS citation FROM g GROUP BY doc_id, kind, item_ord"""
 _BULLETS = " || chr(10) || ".join(rf"'- Contains {n[4:]} references: ' || CASE WHEN regexp_matches(text, '(?i)\b({'|'.join(w)})\b') THEN 'Yes' ELSE 'No' END" for n, w in CONTENT_INDICATORS.items())
 _VIOLATION = """rank || '. Potential ''' || pattern || ''' pattern detected' || chr(10) || '   Description: ' || description || chr(10) || '   Indicator: ''' || indicator || '''' || chr(10) || '   Context: "...' || context || '..."' || chr(10) || '   Related articles: ' || array_to_string(related_refs, ', ') || chr(10) || chr(10)"""
-_PROMPT = _q(DEFAULT_TEMPLATE)
-for _name, _sql in {"section": "position", "text": "text", "regulations": "''", "indicators": "bullets", "violations": "coalesce(v, '')", "guidance": "''"}.items():
-    _PROMPT = _PROMPT.replace("{" + _name + "}", f"' || {_sql} || '")
-_PROMPTS = f"""WITH {_SCORES}, {_PATTERNS}, {_scan('routed', 'doc_id, chunk_index')}, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, chunk_index ORDER BY pattern_ord, indicator_ord) AS rank FROM found),
+_SHAPE = lambda x: f"[len({x}) % 13, len({x}) // 40]"
+
+
+def _prompt(risk: str) -> str:
+    sql = _q(DEFAULT_TEMPLATE)
+    for name, value in {"section": "position", "text": "text", "regulations": "regs", "indicators": "bullets", "violations": "coalesce(v, '')", "guidance": _q(GUIDANCE.get(risk, ""))}.items():
+        sql = sql.replace("{" + name + "}", f"' || {value} || '")
+    return sql
+
+
+_NEAREST = f"""asked AS (SELECT * FROM routed WHERE should_analyze), vs AS (SELECT a.doc_id, a.chunk_index, art_ord, id, title, r.text AS body, related_concepts, {_SHAPE('a.text')} AS x, {_SHAPE('r.text')} AS y FROM asked a, articles r),
+near AS (SELECT *, row_number() OVER (PARTITION BY doc_id, chunk_index ORDER BY (x[1] - y[1]) * (x[1] - y[1]) + (x[2] - y[2]) * (x[2] - y[2]), art_ord) AS place FROM vs)"""
+_PROMPTS = f"""WITH {_SCORES}, {_PATTERNS}, {_ARTICLES}, {_NEAREST}, {_scan('asked', 'doc_id, chunk_index')},
+h AS (SELECT doc_id, chunk_index, 'REGULATION CONTEXT:' || chr(10) || 'Rules on data.' || chr(10) || chr(10) || 'VIOLATION PATTERNS: 4 patterns available' || string_agg(chr(10) || chr(10) || 'REGULATION ' || place || ': ' || id || CASE WHEN title <> '' THEN ' - ' || title ELSE '' END
+  || CASE WHEN len(related_concepts) > 0 THEN chr(10) || 'RELATED CONCEPTS: ' || array_to_string(related_concepts, ', ') ELSE '' END || chr(10) || body, '' ORDER BY place) AS regs FROM near WHERE place <= 5 GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, chunk_index ORDER BY pattern_ord, indicator_ord) AS rank FROM found),
 v AS (SELECT doc_id, chunk_index, 'PRE-SCAN DETECTED POTENTIAL VIOLATIONS:' || chr(10) || string_agg({_VIOLATION}, '' ORDER BY rank) AS v FROM r WHERE rank <= 5 GROUP BY ALL),
-c AS (SELECT *, {_BULLETS} AS bullets FROM routed) SELECT doc_id, chunk_index, {_PROMPT} AS prompt FROM c LEFT JOIN v USING (doc_id, chunk_index)"""
-_REPORT = f"""{_RULES}, {_dedup('rules')},
-n AS (SELECT doc_id, count(*) AS total, count(*) FILTER (should_analyze) AS analyzed, count(*) FILTER (upper(confidence) = 'HIGH') AS high, count(*) FILTER (upper(confidence) = 'MEDIUM') AS medium, count(*) FILTER (upper(confidence) = 'LOW') AS low FROM merged GROUP BY doc_id),
-o AS (SELECT doc_id, count(*) AS original FROM rules GROUP BY doc_id),
-w AS (SELECT d.doc_id, coalesce(total, 0) AS total, coalesce(analyzed, 0) AS analyzed, coalesce(high, 0) AS high, coalesce(medium, 0) AS medium, coalesce(low, 0) AS low, coalesce(original, 0) AS original, regexp_extract(path, '[^/]*$') AS name, {_TYPE} AS kind, replace({_words(DATA_MENTIONS)}, '|', ', ') AS mentions, replace({_words(COMPLIANCE_WORDS)}, '|', ', ') AS words
+c AS (SELECT *, {_BULLETS} AS bullets FROM asked), p AS (SELECT doc_id, chunk_index, position, @ AS prompt FROM c JOIN h USING (doc_id, chunk_index) LEFT JOIN v USING (doc_id, chunk_index))"""
+_HOOKS = f"""WITH {_SCORES}, {_ARTICLES}, {_NEAREST}, h AS (SELECT doc_id, chunk_index, string_agg(upper(id), ';' ORDER BY place) AS regs FROM near WHERE place <= 5 GROUP BY ALL)
+SELECT doc_id, chunk_index, position || '|' || regs || '|- Contains mail references: ' || CASE WHEN contains(lower(text), 'email') THEN 'Yes' ELSE 'No' END || '|' || CASE WHEN contains(lower(text), 'encryption') THEN 'PRE-SCAN DETECTED POTENTIAL VIOLATIONS:' || chr(10) || '1. Potential ''Own scan'' pattern detected' || chr(10)
+  || '   Indicator: ''encryption''' || chr(10) || '   Context: "...own..."' || chr(10) || chr(10) ELSE '' END || '|' || {_q(GUIDANCE['low'])} AS prompt FROM asked JOIN h USING (doc_id, chunk_index)"""
+_MODEL_AUDIT = _PROMPTS.replace("@", _prompt("unknown")) + """, k AS (SELECT *, len(prompt) AS n FROM p)
+SELECT doc_id, chunk_index, 'issue' AS kind, 'The request has ' || n || ' characters (Article ' || (n % 9 + 1) || ').' AS description, 'Article ' || (n % 9 + 1) AS regulation, '"' || n || ' of them"' AS citation, position AS section FROM k
+UNION ALL SELECT doc_id, chunk_index, 'point', 'It was read as a whole. nothing is cut (Rule ' || (n % 7) || ').', 'Rule ' || (n % 7), '', position FROM k"""
+_CANNED = f"""WITH {_SCORES}, e AS (SELECT doc_id, should_analyze, should_analyze AND contains(text, 'audit') AS failed, len(text) AS n FROM routed)
+SELECT doc_id, count(*) FILTER (failed) AS n_errors, count(*) AS n_chunks, count(DISTINCT n) FILTER (should_analyze AND NOT failed) AS n_findings FROM e GROUP BY doc_id"""
+_REPORT_ROWS = f"{_DOCS}, rules AS ({C.REPORT_FINDINGS.format(orders='orders')}), chunk_rows AS ({C.REPORT_CHUNKS.format(customer='customer')}), {_dedup('rules')}"
+_CITED = "CASE WHEN starts_with(citation, '\"') OR ends_with(citation, '\"') THEN citation ELSE '\"' || citation || '\"' END"
+
+
+def _overview(kind: str, part: int, title: str, noun: str, summary: str, before: str) -> str:
+    """Lines of the summary of a kind: its confidences, and its regulations with the findings of each."""
+    return f"""
+  UNION ALL SELECT doc_id, {part + 1}, 0, 0, [{before}'CONFIDENCE BREAKDOWN OF {title}:', '- High Confidence {noun}: ' || {kind}_high, '- Medium Confidence {noun}: ' || {kind}_medium, '- Low Confidence {noun}: ' || {kind}_low, '', 'SUMMARY OF COMPLIANCE {summary}:', '{THIN}', ''] FROM w WHERE {kind}_total > 0
+  UNION ALL SELECT doc_id, {part + 2}, grp, 0, [regulation || ':'] FROM rg WHERE kind = '{kind}' UNION ALL SELECT doc_id, {part + 2}, grp, 1000000, [''] FROM rg WHERE kind = '{kind}'
+  UNION ALL SELECT doc_id, {part + 2}, grp, place, ['  - ' || description || CASE WHEN sa THEN '' ELSE ' (SKIPPED)' END || ' (in ' || {_SHOWN} || ', ' || confidence || ' confidence)'] FROM fs JOIN un USING (doc_id, kind, regulation, description) JOIN rg USING (doc_id, kind, regulation) WHERE kind = '{kind}'
+  UNION ALL SELECT doc_id, {part + 3}, 0, 0, ['{THIN}', ''] FROM w WHERE {kind}_total > 0"""
+
+
+def _per_kind(kind: str) -> str:
+    of = f"kind = '{kind}'"
+    return f"count(*) FILTER ({of}) AS {kind}_total, count(*) FILTER ({of} AND should_analyze) AS {kind}_analyzed, " + ", ".join(f"count(*) FILTER ({of} AND upper(confidence) = '{level.upper()}') AS {kind}_{level}" for level in ("high", "medium", "low"))
+
+
+_WIDE = [f"{kind}_{c}" for kind in ("issue", "point") for c in ("total", "analyzed", "high", "medium", "low")] + ["issues_before", "points_before"]
+_REPORT = f"""WITH {_REPORT_ROWS},
+n AS (SELECT doc_id, {_per_kind('issue')}, {_per_kind('point')} FROM merged GROUP BY doc_id),
+o AS (SELECT doc_id, count(*) FILTER (kind = 'issue') AS issues_before, count(*) FILTER (kind = 'point') AS points_before FROM rules GROUP BY doc_id),
+w AS (SELECT d.doc_id, {", ".join(f"coalesce({c}, 0) AS {c}" for c in _WIDE)}, regexp_extract(path, '[^/]*$') AS name, {_TYPE} AS type, replace({_words(DATA_MENTIONS)}, '|', ', ') AS mentions, replace({_words(COMPLIANCE_WORDS)}, '|', ', ') AS words
   FROM docs d LEFT JOIN n USING (doc_id) LEFT JOIN o USING (doc_id)),
-rg AS (SELECT doc_id, regulation, min(place) AS grp FROM placed GROUP BY ALL),
-each AS (SELECT doc_id, regulation, description, place, unnest(sections) AS section, generate_subscripts(sections, 1) AS spot FROM placed),
-once AS (SELECT doc_id, regulation, description, section, min(place * 1000 + spot) AS spot FROM each GROUP BY ALL),
-un AS (SELECT doc_id, regulation, description, list(section ORDER BY spot) AS sections FROM once GROUP BY ALL),
-fs AS (SELECT doc_id, regulation, description, arg_min(confidence, place) AS confidence, arg_min(should_analyze, place) AS sa, min(place) AS place FROM placed GROUP BY ALL),
-pc AS (SELECT doc_id, chunk_index, count(*) AS n_issue FROM rules GROUP BY ALL),
-ls AS (SELECT *, row_number() OVER (PARTITION BY doc_id, chunk_index ORDER BY ord) AS place, count(*) OVER (PARTITION BY doc_id, chunk_index) AS n_issue FROM rules),
-ck AS (SELECT r.*, coalesce(n_issue, 0) AS n_issue, CASE WHEN should_analyze THEN '' ELSE ' SKIPPED' END AS mark FROM routed r LEFT JOIN pc USING (doc_id, chunk_index)),
+rg AS (SELECT doc_id, kind, regulation, min(place) AS grp FROM placed GROUP BY ALL),
+each AS (SELECT doc_id, kind, regulation, description, place, unnest(sections) AS section, generate_subscripts(sections, 1) AS spot FROM placed),
+once AS (SELECT doc_id, kind, regulation, description, section, min(place * 1000 + spot) AS spot FROM each GROUP BY ALL),
+un AS (SELECT doc_id, kind, regulation, description, list(section ORDER BY spot) AS sections FROM once GROUP BY ALL),
+fs AS (SELECT doc_id, kind, regulation, description, arg_min(confidence, place) AS confidence, arg_min(should_analyze, place) AS sa, min(place) AS place FROM placed GROUP BY ALL),
+pc AS (SELECT doc_id, chunk_index, count(*) FILTER (kind = 'issue') AS n_issue, count(*) FILTER (kind = 'point') AS n_point FROM rules GROUP BY ALL),
+ls AS (SELECT *, CASE kind WHEN 'issue' THEN 0 ELSE 1000000 END + row_number() OVER k AS spot, row_number() OVER k AS place, count(*) OVER (PARTITION BY doc_id, chunk_index, kind) AS n_kind FROM rules WINDOW k AS (PARTITION BY doc_id, chunk_index, kind ORDER BY ord)),
+ck AS (SELECT r.*, coalesce(n_issue, 0) AS n_issue, coalesce(n_point, 0) AS n_point, CASE WHEN should_analyze THEN '' ELSE ' SKIPPED' END AS mark FROM chunk_rows r LEFT JOIN pc USING (doc_id, chunk_index)),
 blocks_of AS (
-  SELECT doc_id, 0 AS a, 0 AS b, 0 AS c, ['{RULE}', 'DEMO COMPLIANCE ANALYSIS REPORT', '{RULE}', '', 'Document: ' || name, 'Document Type: ' || kind, 'Regulation: demo', 'Analysis Date: 2024-01-01 00:00:00', '', 'POTENTIAL DATA CONTEXT:', 'Data mentions: ' || mentions, 'Compliance indicators: ' || words, '',
-    'Total Issues Found: ' || total, 'Analysis Method: Progressive (focused on relevant sections)', '- From analyzed sections: ' || analyzed, '- From skipped sections: ' || (total - analyzed), '', 'PROCESSING SUMMARY:', '- Original issues: ' || original || ' → Final: ' || total, '- Original compliance points: 0 → Final: 0'] AS lines FROM w
-  UNION ALL SELECT doc_id, 1, 0, 0, ['', 'CONFIDENCE BREAKDOWN OF ISSUES:', '- High Confidence Issues: ' || high, '- Medium Confidence Issues: ' || medium, '- Low Confidence Issues: ' || low, '', 'SUMMARY OF COMPLIANCE CONCERNS:', '{THIN}', ''] FROM w WHERE total > 0
-  UNION ALL SELECT doc_id, 2, grp, 0, [regulation || ':'] FROM rg UNION ALL SELECT doc_id, 2, grp, 1000000, [''] FROM rg
-  UNION ALL SELECT doc_id, 2, grp, place, ['  - ' || description || CASE WHEN sa THEN '' ELSE ' (SKIPPED)' END || ' (in ' || {_SHOWN} || ', ' || confidence || ' confidence)'] FROM fs JOIN un USING (doc_id, regulation, description) JOIN rg USING (doc_id, regulation)
-  UNION ALL SELECT doc_id, 3, 0, 0, ['{THIN}', ''] FROM w WHERE total > 0
+  SELECT doc_id, 0 AS a, 0 AS b, 0 AS c, ['{RULE}', 'DEMO COMPLIANCE ANALYSIS REPORT', '{RULE}', '', 'Document: ' || name, 'Document Type: ' || type, 'Regulation: demo', 'Analysis Date: 2024-01-01 00:00:00', '', 'POTENTIAL DATA CONTEXT:', 'Data mentions: ' || mentions, 'Compliance indicators: ' || words, '',
+    'Total Issues Found: ' || issue_total, 'Analysis Method: Progressive (focused on relevant sections)', '- From analyzed sections: ' || issue_analyzed, '- From skipped sections: ' || (issue_total - issue_analyzed), '', 'PROCESSING SUMMARY:', '- Original issues: ' || issues_before || ' → Final: ' || issue_total, '- Original compliance points: ' || points_before || ' → Final: ' || point_total] AS lines FROM w
+  {_overview('issue', 0, 'ISSUES', 'Issues', 'CONCERNS', "'', ")}{_overview('point', 10, 'COMPLIANCE POINTS', 'Points', 'STRENGTHS', '')}
   UNION ALL SELECT doc_id, 30, 0, 0, ['DETAILED ANALYSIS BY SECTION:', '{RULE}', ''] FROM w
   UNION ALL SELECT doc_id, 31, chunk_index, 0, ['SECTION #' || (chunk_index + 1) || ' - ' || position || CASE WHEN should_analyze THEN '' ELSE ' [SKIPPED]' END, '{THIN}', '', 'DOCUMENT TEXT:', text, ''] || CASE WHEN n_issue > 0 THEN ['COMPLIANCE ISSUES:', ''] ELSE ['NO COMPLIANCE ISSUES DETECTED IN THIS' || mark || ' SECTION'] END FROM ck
-  UNION ALL SELECT doc_id, 31, chunk_index, place, ['Issue ' || place || ': ' || replace(description, '*', ''), 'Regulation: ' || regulation, 'Confidence: ' || confidence, 'Citation: ' || citation] || CASE WHEN place < n_issue THEN ['{SHORT_RULE}', ''] ELSE [] END FROM ls
-  UNION ALL SELECT doc_id, 31, chunk_index, 1000000, CASE WHEN n_issue > 0 THEN ['', ''] ELSE [] END || ['NO COMPLIANCE POINTS DETECTED IN THIS' || mark || ' SECTION', '', '{RULE}', ''] FROM ck),
+  UNION ALL SELECT doc_id, 31, chunk_index, spot, [CASE kind WHEN 'issue' THEN 'Issue ' ELSE 'Point ' END || place || ': ' || replace(description, '*', ''), 'Regulation: ' || regulation, 'Confidence: ' || confidence] || CASE WHEN citation <> '' THEN ['Citation: ' || {_CITED}] ELSE [] END || CASE WHEN place < n_kind THEN ['{SHORT_RULE}', ''] ELSE [] END FROM ls
+  UNION ALL SELECT doc_id, 31, chunk_index, 1000000, CASE WHEN n_issue > 0 THEN ['', ''] ELSE [] END || CASE WHEN n_point > 0 THEN ['COMPLIANCE POINTS:', ''] ELSE ['NO COMPLIANCE POINTS DETECTED IN THIS' || mark || ' SECTION'] END FROM ck
+  UNION ALL SELECT doc_id, 31, chunk_index, 2000000, ['', '{RULE}', ''] FROM ck),
 un2 AS (SELECT doc_id, a, b, c, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM blocks_of)
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY a, b, c, i)::INTEGER AS line_no, line FROM un2"""
 
-_JSON = f"""{_RULES}, {_dedup('rules')},
-e AS (SELECT doc_id, place, '{{"issue":' || to_json(description) || ',"regulation":' || to_json(regulation) || ',"confidence":' || to_json(confidence) || ',"explanation":' || to_json(explanation) || ',"citation":' || to_json(citation)
+_JSON = f"""WITH {_REPORT_ROWS},
+e AS (SELECT doc_id, kind, place, '{{"' || kind || '":' || to_json(description) || ',"regulation":' || to_json(regulation) || ',"confidence":' || to_json(confidence) || ',"explanation":' || to_json(explanation) || ',"citation":' || to_json(citation)
   || CASE WHEN len(sections) = 1 THEN ',"section":' || to_json(sections[1]) ELSE ',"sections":' || to_json(sections) END || ',"should_analyze":' || to_json(should_analyze) || '}}' AS entry FROM placed),
-a AS (SELECT doc_id, count(*) AS n, string_agg(entry, ',' ORDER BY place) AS entries FROM e GROUP BY doc_id)
-SELECT doc_id, '{{"document":' || to_json(regexp_extract(path, '[^/]*$')) || ',"document_type":' || to_json({_TYPE}) || ',"regulation_framework":"demo","findings":[' || coalesce(entries, '') || '],"compliance_points":[],"analysis_type":"progressive","summary":"The document contains '
-  || coalesce(n, 0) || ' potential compliance issue(s) and 0 compliance point(s) related to demo."}}' AS report FROM docs LEFT JOIN a USING (doc_id)"""
+a AS (SELECT doc_id, count(*) FILTER (kind = 'issue') AS n, count(*) FILTER (kind = 'point') AS m, string_agg(entry, ',' ORDER BY place) FILTER (kind = 'issue') AS entries, string_agg(entry, ',' ORDER BY place) FILTER (kind = 'point') AS others FROM e GROUP BY doc_id)
+SELECT doc_id, '{{"document":' || to_json(regexp_extract(path, '[^/]*$')) || ',"document_type":' || to_json({_TYPE}) || ',"regulation_framework":"demo","findings":[' || coalesce(entries, '') || '],"compliance_points":[' || coalesce(others, '') || '],"analysis_type":"progressive","summary":"The document contains '
+  || coalesce(n, 0) || ' potential compliance issue(s) and ' || coalesce(m, 0) || ' compliance point(s) related to demo."}}' AS report FROM docs LEFT JOIN a USING (doc_id)"""
 
 ORACLES: dict[str, str] = {
     "doc_type": f"WITH {_DOCS} SELECT doc_id, {_TYPE} AS document_type FROM docs",
@@ -257,7 +296,7 @@ ORACLES: dict[str, str] = {
     "indicator_bullets": f"WITH {_DOCS} SELECT doc_id, " + " || chr(10) || ".join(rf"'- Contains {n[4:]} references: ' || CASE WHEN regexp_matches(text, '(?i)\b({'|'.join(w)})\b') THEN 'Yes' ELSE 'No' END" for n, w in CONTENT_INDICATORS.items()) + " AS bullets FROM docs",
     "chunk_params": "WITH n AS (SELECT doc_id, strlen(text) AS b FROM documents) SELECT doc_id, b AS n_bytes, CASE WHEN b < 10000 THEN 10000 WHEN b < 50000 THEN 5000 WHEN b < 200000 THEN 2500 ELSE 500 END AS chunk_size, CASE WHEN b < 10000 THEN 0 WHEN b < 50000 THEN 500 WHEN b < 200000 THEN 250 ELSE 100 END AS chunk_overlap FROM n",
     "preview": "SELECT doc_id, left(text, 100) || CASE WHEN len(text) > 100 THEN '...' ELSE '' END AS preview FROM documents",
-    "file_dispatch": f"WITH {_DOCS} SELECT doc_id, 'text' AS kind, regexp_extract(path, '[^/]*$') AS document, n_bytes FROM docs",
+    "file_dispatch": f"WITH {_DOCS}, n AS (SELECT doc_id, n_bytes, path || CASE WHEN doc_id % 5 = 0 THEN '.Pdf' ELSE '' END AS path FROM docs) SELECT doc_id, CASE WHEN path ILIKE '%.pdf' THEN 'pdf' ELSE 'text' END AS kind, regexp_extract(path, '[^/]*$') AS document, n_bytes FROM n",
     "sections": f"WITH {_SECTIONS} SELECT doc_id, section_ord, title, text, level FROM sections",
     "section_levels": f"WITH {_SECTIONS} SELECT level, count(*) AS n_sections, count(DISTINCT doc_id) AS n_docs FROM sections GROUP BY level",
     "intro_sections": f"WITH {_SECTIONS} SELECT doc_id, title, text FROM sections WHERE title IN ('Introduction/Header', 'Document')",
@@ -269,7 +308,7 @@ ORACLES: dict[str, str] = {
     "term_scan": f"WITH {_TERMS} SELECT * FROM terms",
     "term_score": f"WITH {_SCORES} SELECT doc_id, chunk_index, data_score, regulatory_score, total_score FROM routed",
     "route": f"WITH {_SCORES} SELECT doc_id, chunk_index, should_analyze FROM routed",
-    "route_documents": "SELECT len(text) > 1500 AS should_analyze, count(*) AS n, min(len(text))::INTEGER AS shortest, max(len(text))::INTEGER AS longest FROM documents GROUP BY 1",
+    "route_documents": f"WITH s AS (SELECT text, len(list_filter({_list(DEFAULT_DATA_TERMS)}, lambda t: contains(lower(text), t))) + len(list_filter({_list(DEFAULT_REGULATORY_TERMS)}, lambda t: contains(lower(text), t))) AS n FROM documents) SELECT n::INTEGER AS total_score, len(text) >= 100 AND (n >= 3 OR len(text) > 1500) AS should_analyze, count(*) AS n, min(len(text))::INTEGER AS shortest, max(len(text))::INTEGER AS longest FROM s GROUP BY 1, 2",
     "route_partition": f"WITH {_SCORES} SELECT doc_id, count(*) FILTER (should_analyze) AS analyzed, count(*) FILTER (NOT should_analyze) AS skipped, bool_or(should_analyze) AS any_analyzed FROM routed GROUP BY doc_id",
     "skip_union": f"WITH {_SCORES} SELECT doc_id, chunk_index, position, should_analyze, CASE WHEN should_analyze THEN 1 ELSE 0 END AS n_issues FROM routed",
     "batching": f"WITH {_CHUNKS} SELECT doc_id, chunk_index, (chunk_index // 4 + 1)::INTEGER AS batch_no, ((count(*) OVER (PARTITION BY doc_id) + 3) // 4)::INTEGER AS n_batches FROM chunks",
@@ -320,7 +359,10 @@ ORACLES: dict[str, str] = {
     "format_regulations": f"WITH {_ARTICLES} SELECT 'VIOLATION PATTERNS: 4 patterns available' || string_agg(chr(10) || chr(10) || 'REGULATION ' || (art_ord + 1) || ': ' || id || CASE WHEN title <> '' THEN ' - ' || title ELSE '' END || CASE WHEN len(related_concepts) > 0 THEN chr(10) || 'RELATED CONCEPTS: ' || array_to_string(related_concepts, ', ') ELSE '' END || chr(10) || text, '' ORDER BY art_ord) AS regulations FROM articles WHERE art_ord < 5",
     "structured_parse": _STRUCTURED_ITEMS,
     "simple_items": _SIMPLE_ITEMS,
-    "prompt_build": _PROMPTS,
+    "prompt_build": _PROMPTS.replace("@", _prompt("high")) + " SELECT doc_id, chunk_index, prompt FROM p",
+    "prompt_hooks": _HOOKS,
+    "model_audit": _MODEL_AUDIT,
+    "canned_judge": _CANNED,
     "report_lines": _REPORT,
     "report_json": _JSON,
     "rule_findings": _RULES + " SELECT doc_id, chunk_index, ord, description, regulation, citation, section FROM rules",

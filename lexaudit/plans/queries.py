@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.values import CONTENT_INDICATORS, DEFAULT_MODEL
+from ..functions.values import CONTENT_INDICATORS, DEFAULT_DATA_TERMS, DEFAULT_MODEL, DEFAULT_REGULATORY_TERMS
 from ..operators import answers, documents, findings, judges, prompts, reports, retrieval, routing, violations
 from ..sources import readers
+from . import audit
 from . import corpus as C
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -99,7 +100,9 @@ def preview(s, d):
 
 @query
 def file_dispatch(s, d):
-    return _docs(s, d).select("doc_id", T.file_kind(F.col("path")).alias("kind"), T.basename(F.col("path")).alias("document"), "n_bytes")
+    """Every fifth document is a PDF file by its name."""
+    named = _docs(s, d).withColumn("path", F.when(F.col("doc_id") % 5 == 0, F.concat("path", F.lit(".Pdf"))).otherwise(F.col("path")))
+    return named.select("doc_id", T.file_kind(F.col("path")).alias("kind"), T.basename(F.col("path")).alias("document"), "n_bytes")
 
 
 @query
@@ -166,8 +169,8 @@ def route(s, d):
 @query
 def route_documents(s, d):
     """The router over raw documents with the default term lists."""
-    routed = routing.route(C.table(s, d, "documents").select("doc_id", "text"), [], [])
-    return routed.groupBy("should_analyze").agg(F.count("*").alias("n"), F.min(F.length("text")).alias("shortest"), F.max(F.length("text")).alias("longest"))
+    routed = routing.route(C.table(s, d, "documents").select("doc_id", "text"), DEFAULT_DATA_TERMS, DEFAULT_REGULATORY_TERMS)
+    return routed.groupBy("total_score", "should_analyze").agg(F.count("*").alias("n"), F.min(F.length("text")).alias("shortest"), F.max(F.length("text")).alias("longest"))
 
 
 @query
@@ -490,27 +493,69 @@ def audit_summary(s, d):
     return merged.groupBy("doc_id", "regulation").agg(F.count("*").alias("n_issues"), level("HIGH"), level("MEDIUM"), level("LOW"), F.sum(F.size("sections")).alias("n_sections"))
 
 
+def _report_findings(s: SparkSession, d: str) -> DataFrame:
+    """Issues and points of all confidences, of analysed and skipped chunks, several in a chunk."""
+    return C.build(s, d, C.REPORT_FINDINGS)
+
+
 @query
 def report_json(s, d):
     docs = _docs(s, d).withColumn("document_type", T.document_type(F.col("text")))
-    return reports.report_json(docs, findings.deduplicate(_audit(s, d)[1]), "demo")
+    return reports.report_json(docs, findings.deduplicate(_report_findings(s, d)), "demo")
 
 
 @query
 def report_lines(s, d):
-    docs = documents.with_metadata(_docs(s, d)).persist()
-    routed = _routed(s, d).persist()
-    found = violations.scan_indicators(routed.where("should_analyze").select("doc_id", "chunk_index", "position", "text"), _indicators(s))
-    raw = judges.rule_findings(found).persist()
-    return reports.report_lines(docs, routed, raw, findings.deduplicate(raw).persist(), "demo", "2024-01-01 00:00:00")
+    raw = _report_findings(s, d)
+    return reports.report_lines(documents.with_metadata(_docs(s, d)), C.build(s, d, C.REPORT_CHUNKS), raw, findings.deduplicate(raw), "demo", "2024-01-01 00:00:00")
+
+
+def _rules(s: SparkSession, **options) -> audit.Framework:
+    articles = readers.parse_articles(C.literal(s, framework="demo", text=C.ARTICLES))
+    patterns = readers.parse_patterns(C.literal(s, framework="demo", text=C.PATTERNS))
+    return audit.Framework("demo", articles=articles, patterns=patterns, context="Rules on data.", n_patterns=4, **options)
+
+
+def _shape(text: F.Column) -> F.Column:
+    """A vector of a text that every engine computes alike: its length in two parts."""
+    n = F.length(text)
+    return F.array((n % 13).cast("double"), (n / 40).cast("long").cast("double"))
 
 
 @query
 def prompt_build(s, d):
-    routed = _routed(s, d)
-    none = s.createDataFrame([], "doc_id long, chunk_index int, rank int, id string, title string, text string, related_concepts array<string>")
-    found = violations.scan_indicators(routed.select("doc_id", "chunk_index", "position", "text"), _indicators(s))
-    return prompts.with_prompts(routed.select("doc_id", "chunk_index", "position", "text"), none, found).select("doc_id", "chunk_index", "prompt")
+    """Routed chunks with their five nearest articles, violations and the guidance for high risk."""
+    return audit.prompt_rows(_routed(s, d), _rules(s, risk_level="high"), _shape).select("doc_id", "chunk_index", "prompt")
+
+
+@query
+def prompt_hooks(s, d):
+    """A framework with its own content indicators, scan for violations, format of regulations and template."""
+
+    def scan(rows: DataFrame) -> DataFrame:
+        none = F.array().cast("array<string>")
+        hit = rows.where(F.contains(F.lower("text"), F.lit("encryption")))
+        return hit.select("*", F.lit(0).alias("pattern_ord"), F.lit(0).alias("indicator_ord"), F.lit("Own scan").alias("pattern"), F.lit("").alias("description"), F.lit("encryption").alias("indicator"), F.lit("own").alias("context"), none.alias("related_refs"))
+
+    rules = _rules(
+        s, template="{section}|{regulations}|{indicators}|{violations}|{guidance}", risk_level="low", scan_violations=scan,
+        content_indicators=lambda text: F.create_map(F.lit("has_mail"), F.when(F.contains(F.lower(text), F.lit("email")), "Yes").otherwise("No")),
+        format_regulations=lambda hits: F.array_join(F.transform(hits, lambda h: F.upper(h["id"])), ";"),
+    )
+    return audit.prompt_rows(_routed(s, d), rules, _shape).select("doc_id", "chunk_index", "prompt")
+
+
+@query
+def model_audit(s, d):
+    """Sections to findings with a judge that names the length of its request, so that the whole request counts."""
+
+    def answer(texts: list[str]) -> list[str]:
+        return [f'COMPLIANCE ISSUES:\n1. The request has {len(t)} characters (Article {len(t) % 9 + 1}). "{len(t)} of them"\nCOMPLIANCE POINTS:\n1. It was read as a whole EXPLANATION: nothing is cut (Rule {len(t) % 7}).' for t in texts]
+
+    rules = _rules(s)
+    rules.data_terms, rules.regulatory_terms = (readers.terms_of(_terms(s), "demo", kind) for kind in ("data_terms", "regulatory_keywords"))
+    _, raw = audit.model_audit(_docs(s, d), rules, _shape, answer, size=500, overlap=100, optimize=False)
+    return raw.select("doc_id", "chunk_index", "kind", "description", "regulation", "citation", "section")
 
 
 @query
