@@ -60,11 +60,11 @@ def analyze(spark: SparkSession, args) -> int:
         print(f"framework '{args.framework}' not found; available: {names}", file=sys.stderr)
         return 1
     rules = audit.load_framework(spark, args.framework, folder)
-    if args.files[0].lower().endswith(".pdf"):
-        pages = readers.read_pdf_pages(spark, args.files)
-        docs = readers.join_pages(pages).withColumn("path", F.col("doc_id"))
-    else:
-        docs = readers.read_documents(spark, args.files)
+    try:
+        docs = readers.read_files(spark, args.files)
+    except ValueError as e:
+        print(e, file=sys.stderr)
+        return 1
     options = {"size": args.chunk_size, "overlap": args.overlap, "optimize": not args.no_optimize_chunks, "progressive": not args.no_progressive}
     if args.judge:
         judge = _callable(args.judge)

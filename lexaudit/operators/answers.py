@@ -111,3 +111,23 @@ def simple_items(blocks: DataFrame, keys: list[str]) -> DataFrame:
     )
     tail = F.transform(F.filter("others", lambda o: o["line_no"] > F.col("restart")), lambda o: F.concat(F.lit(" "), o["line"]))
     return items_of.select(*keys, F.col("item_ord").cast("int").alias("item_ord"), "title", "regulation", "confidence", F.concat("head", F.array_join(tail, "")).alias("explanation"), "citation")
+
+
+def structured_findings(responses: DataFrame) -> DataFrame:
+    """Findings of answers in fields: the columns of ``parse_answers``.
+
+    ``responses`` has doc_id, chunk_index, position, should_analyze, response, and ``in_fields``: whether the fields are looked for. A block without
+    fields, and every block of an answer that isn't in fields, is read line by line. A block that says there is nothing gives nothing.
+    """
+    issues, points = split_blocks(F.coalesce("response", F.lit("")))
+    keys = ["doc_id", "chunk_index", "position", "should_analyze", "kind"]
+    of = lambda kind, text: F.struct(F.lit(kind).alias("kind"), text.alias("block"), structured_items(text, kind).alias("fields"))
+    rows = responses.select(*keys[:-1], "in_fields", F.inline(F.array(of("issue", issues), of("point", points))))
+    rows = rows.where(~F.col("block").rlike("No compliance (issues|points) found|No (issues|points) found"))
+    has_fields = F.col("in_fields") & (F.size("fields") > 0)
+    fielded = rows.where(has_fields).select(*keys, F.posexplode("fields").alias("ord", "v")).select(*keys, "ord", "v.*")
+    plain = simple_items(rows.where(~has_fields), keys).withColumn("ord", F.col("item_ord") - 1).drop("item_ord")
+    return fielded.unionByName(plain).select(
+        "doc_id", "chunk_index", "kind", F.col("ord").cast("int").alias("ord"), F.col("title").alias("description"), "regulation", "confidence",
+        F.coalesce("citation", F.lit("")).alias("citation"), "explanation", F.col("position").alias("section"), "should_analyze",
+    )

@@ -27,6 +27,34 @@ def rule_findings(found: DataFrame) -> DataFrame:
     )
 
 
+#: The request of a second stage; ``{response}`` is the first answer.
+SECOND_TEMPLATE = """Put the findings of this audit into fields.
+
+{response}
+
+Under COMPLIANCE ISSUES: write ISSUE 1: and a title, then the lines Article:, Confidence: (High, Medium or Low), Explanation: and Citation: "...".
+Under COMPLIANCE POINTS: do the same with POINT 1:. Without any, write No compliance issues found or No compliance points found.
+"""
+
+
+def restructure(judged: DataFrame, answer: Callable[[list[str]], list[str]], table: str | None = None, rows_per_call: int = 4, template: str = SECOND_TEMPLATE) -> DataFrame:
+    """Findings of a second request that puts each answer into fields. ``table``: where the second answers are written.
+
+    Where the second request fails, the first answer is read line by line instead. Answers with an error are not asked about.
+    """
+    from . import answers
+
+    first = judged.where("should_analyze and error is null").select("doc_id", "chunk_index", "position", "should_analyze", "response")
+    before, after = (F.lit(part) for part in template.split("{response}", 1))
+    second = judge(first.withColumn("prompt", F.concat(before, F.col("response"), after)), answer, rows_per_call)
+    if table:
+        second.write.mode("overwrite").parquet(table)
+        second = judged.sparkSession.read.parquet(table)
+    done = second.where("error is null").drop("error").withColumn("in_fields", F.lit(True))
+    failed = first.join(second.where("error is not null").select("doc_id", "chunk_index"), ["doc_id", "chunk_index"], "left_semi").withColumn("in_fields", F.lit(False))
+    return answers.structured_findings(done.unionByName(failed))
+
+
 def judge(prompts: DataFrame, answer: Callable[[list[str]], list[str]], rows_per_call: int = 4) -> DataFrame:
     """doc_id, chunk_index, position, should_analyze, response, error, for the rows to analyse; the others get an empty response.
 

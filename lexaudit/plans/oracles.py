@@ -198,7 +198,7 @@ _MODELS = "(VALUES " + ", ".join(f"({_q(k)}, {_q(n)}, {b}, {c}, {t}::DOUBLE, {_q
 
 _FIELDS = "'" + r'(?is)ISSUE\s*\d+:\s*(.+?)\s*\nArticle:\s*(.+?)\s*\nConfidence:\s*(High|Medium|Low)\s*\nExplanation:\s*(.+?)\s*\n(?:Citation:\s*(?:"(.+?)"|(.+?)))?(?:\n\n|\nISSUE|\z)' + "'"
 _STRUCTURED_ITEMS = f"""WITH {_SPLIT}, a AS (SELECT doc_id, {", ".join(f"regexp_extract_all(issues, {_FIELDS}, {n}) AS f{n}" for n in range(1, 7))} FROM halves),
-u AS (SELECT doc_id, {", ".join(f"unnest(f{n}) AS f{n}" for n in range(1, 7))} FROM a), c AS (SELECT *, {_strip('f2')} AS art, {_strip("CASE WHEN f5 <> '' THEN f5 ELSE f6 END")} AS cit FROM u)
+u AS (SELECT doc_id, {", ".join(f"unnest(f{n}) AS f{n}" for n in range(1, 7))}, (generate_subscripts(f1, 1) - 1)::INTEGER AS ord FROM a), c AS (SELECT *, {_strip('f2')} AS art, {_strip("CASE WHEN f5 <> '' THEN f5 ELSE f6 END")} AS cit FROM u)
 SELECT doc_id, {_strip('f1')} AS title, {_article('art')} AS regulation, {_strip('f3')} AS confidence, {_strip('f4')} AS explanation, CASE WHEN cit <> '' AND {_citation('cit')} THEN cit END AS citation FROM c"""
 _SIMPLE_ITEMS = rf"""WITH {_SPLIT}, b AS (SELECT doc_id, 'issue' AS kind, string_split(issues, chr(10)) AS ls FROM halves UNION ALL SELECT doc_id, 'point', string_split(points, chr(10)) FROM halves),
 l AS (SELECT doc_id, kind, unnest(ls) AS raw, generate_subscripts(ls, 1) AS n FROM b), s AS (SELECT doc_id, kind, n, {_strip('raw')} AS line FROM l),
@@ -359,6 +359,7 @@ ORACLES: dict[str, str] = {
     "format_regulations": f"WITH {_ARTICLES} SELECT 'VIOLATION PATTERNS: 4 patterns available' || string_agg(chr(10) || chr(10) || 'REGULATION ' || (art_ord + 1) || ': ' || id || CASE WHEN title <> '' THEN ' - ' || title ELSE '' END || CASE WHEN len(related_concepts) > 0 THEN chr(10) || 'RELATED CONCEPTS: ' || array_to_string(related_concepts, ', ') ELSE '' END || chr(10) || text, '' ORDER BY art_ord) AS regulations FROM articles WHERE art_ord < 5",
     "structured_parse": _STRUCTURED_ITEMS,
     "simple_items": _SIMPLE_ITEMS,
+    "restructure": f"WITH f AS ({_STRUCTURED_ITEMS.replace('SELECT doc_id, ' + _strip('f1'), 'SELECT doc_id, ord, ' + _strip('f1'))}), l AS ({_SIMPLE_ITEMS}) SELECT doc_id, 'issue' AS kind, ord, title AS description, regulation, confidence, coalesce(citation, '') AS citation, explanation FROM f UNION ALL SELECT doc_id, kind, item_ord - 1, title, regulation, confidence, coalesce(citation, ''), explanation FROM l WHERE NOT (kind = 'issue' AND doc_id IN (SELECT doc_id FROM f))",
     "prompt_build": _PROMPTS.replace("@", _prompt("high")) + " SELECT doc_id, chunk_index, prompt FROM p",
     "prompt_hooks": _HOOKS,
     "model_audit": _MODEL_AUDIT,

@@ -384,6 +384,19 @@ def simple_items(s, d):
     return answers.simple_items(blocks, ["doc_id", "kind"])
 
 
+@query
+def restructure(s, d):
+    """A second request puts answers into fields; where it fails, the first answer is read line by line."""
+
+    def answer(texts: list[str]) -> list[str]:
+        if any("All good" in t for t in texts):
+            raise RuntimeError("the judge is down")
+        return texts
+
+    judged = C.build(s, d, C.AUDIT_STRUCTURED).select("doc_id", F.lit(0).alias("chunk_index"), F.lit("Document").alias("position"), F.lit(True).alias("should_analyze"), "response", F.lit(None).cast("string").alias("error"))
+    return judges.restructure(judged, answer, template="{response}").select("doc_id", "kind", "ord", "description", "regulation", "confidence", "citation", "explanation")
+
+
 def _deduped(s: SparkSession, d: str) -> DataFrame:
     return findings.deduplicate(_findings(s, d))
 

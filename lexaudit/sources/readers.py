@@ -47,11 +47,28 @@ def read_pdf_pages(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return spark.read.format("binaryFile").load(paths).select("path", "length", "content").mapInPandas(run, "doc_id string, path string, n_bytes long, page int, text string")
 
 
-def join_pages(pages: DataFrame) -> DataFrame:
-    """doc_id, text: the non-empty pages in order, each after its number and before a blank line."""
+def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """doc_id, path, n_bytes, text of text, Markdown and PDF files, each read by its own extension; an error names files of other kinds."""
+    kinds = {".txt": [], ".md": [], ".pdf": []}
+    for path in paths:
+        ext = next((e for e in kinds if path.lower().endswith(e)), None)
+        if ext is None:
+            raise ValueError(f"Unsupported file format: {path}")
+        kinds[ext].append(path)
+    found = []
+    if kinds[".txt"] or kinds[".md"]:
+        found.append(read_documents(spark, kinds[".txt"] + kinds[".md"]))
+    if kinds[".pdf"]:
+        pages = read_pdf_pages(spark, kinds[".pdf"])
+        found.append(join_pages(pages, ["doc_id", "path", "n_bytes"]))
+    return found[0] if len(found) == 1 else found[0].unionByName(found[1])
+
+
+def join_pages(pages: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """The keys (doc_id) and text: the non-empty pages in order, each after its number and before a blank line."""
     page = F.struct("page", F.format_string("[Page %d] %s\n\n", F.col("page"), F.col("text")).alias("text"))
     full = F.sort_array(F.collect_list(F.when(F.coalesce("text", F.lit("")) != "", page)))
-    return pages.groupBy("doc_id").agg(F.array_join(F.transform(full, lambda p: p["text"]), "").alias("text"))
+    return pages.groupBy(*(keys or ["doc_id"])).agg(F.array_join(F.transform(full, lambda p: p["text"]), "").alias("text"))
 
 
 def concepts(text: Column) -> Column:

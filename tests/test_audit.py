@@ -123,3 +123,27 @@ def test_command_line(spark, tmp_path, capsys):
     assert report["document"] == "a.txt" and report["findings"][0]["section"] == "1. Storage" and report["analysis_type"] == "progressive"
     assert spark.read.json(str(tmp_path / "out")).count() == 1
     assert main([*base, "analyze", str(doc), "--framework", "none"], spark) == 1 and "available: demo" in capsys.readouterr().err
+
+
+def test_long_indicator_lists_give_the_same_matches(spark):
+    from lexaudit.operators import violations
+
+    rows = spark.createDataFrame([(1, 0, "Users MUST agree, and agree again"), (2, 0, ""), (3, 0, None), (4, 0, "no")], "doc_id int, chunk_index int, text string")
+    wanted = spark.createDataFrame([(0, i, "p", "", x, []) for i, x in enumerate(("must AGREE", "agree", "a", "none"))], "pattern_ord int, indicator_ord int, pattern string, description string, indicator string, related_refs array<string>")
+    found = lambda **options: sorted((r.doc_id, r.indicator, r.context) for r in violations.scan_indicators(rows, wanted, **options).collect())
+    assert found() == found(max_rows=0) and [x[1] for x in found()] == ["a", "agree", "must AGREE"]
+
+
+def test_files_of_each_kind(spark, tmp_path):
+    """Text and PDF files together; the PDF package is replaced by one that takes lines for pages."""
+    import pytest
+
+    stub = tmp_path / "pypdf.py"
+    stub.write_text("class Page:\n    def __init__(self, text):\n        self.text = text\n\n    def extract_text(self):\n        return self.text\n\n\nclass PdfReader:\n    def __init__(self, stream):\n        self.pages = [Page(x) for x in stream.read().decode().split('|')]\n")
+    spark.sparkContext.addPyFile(str(stub))
+    (tmp_path / "a.PDF").write_text("first||third")
+    (tmp_path / "b.md").write_text("text")
+    got = {r.path.rsplit("/", 1)[1]: (r.n_bytes, r.text) for r in readers.read_files(spark, [str(tmp_path / "a.PDF"), str(tmp_path / "b.md")]).collect()}
+    assert got == {"a.PDF": (12, "[Page 1] first\n\n[Page 3] third\n\n"), "b.md": (4, "text")}
+    with pytest.raises(ValueError, match="c.doc"):
+        readers.read_files(spark, ["b.md", "c.doc"])
