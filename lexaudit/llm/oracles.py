@@ -99,4 +99,50 @@ g AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FIL
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op4_exact_top_k": _OP4, "op5_license_scan": _OP5, "op6_chat_formatting": _OP6, "op8_minhash_near_dedup": _OP8, "op9_secret_scan": _OP9, "op10_benchmark_decontamination": _OP10}
+_OP13 = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (SELECT q.vec_id AS anchor_id, c.vec_id, q.label = c.label AS same, list_dot_product(q.v, c.v)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0),
+positives AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM pairs WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+found AS (SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+  FROM positives JOIN pairs USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score)
+SELECT * FROM found WHERE rank <= 3
+"""
+
+# The checksum bit by bit, as it is defined. A way to a state of the grammar is its cost, in twelve digits, and its audit: the least string is the best way.
+_CRC32 = "xor(list_reduce(list_prepend(4294967295, list_transform(string_split(k, ''), lambda c: ascii(c)::BIGINT)), lambda a, c: list_reduce([xor(a, c), 0, 0, 0, 0, 0, 0, 0, 0], lambda b, z: xor(b >> 1, (b & 1) * 3988292384))), 4294967295)"
+_STEP = lambda way, cost, letter: f"lpad((left({way}, 12)::BIGINT + {cost})::VARCHAR, 12, '0') || substring({way}, 13) || '{letter}'"
+_NEVER = 10**9
+_KEPT = lambda way, initial: _STEP(way, f"charge + if(initial = '{initial}', 0, {_NEVER})", "K")
+_BEFORE_USER = "least(w1, w2, w4)"
+_OP11 = rf"""
+WITH RECURSIVE c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+f AS (SELECT *, {_CRC32} % 20 AS fault FROM c),
+d AS (SELECT conv_id, turn, CASE fault WHEN 4 THEN 'user' ELSE role END AS role, CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+  unnest(CASE fault WHEN 0 THEN [] WHEN 3 THEN [1, 2] ELSE [1] END) AS copy FROM f),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(role) || ':' || role || text), copy) AS i,
+  row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS seen, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare FROM d),
+r AS (SELECT conv_id, i, turn, role, text, left(role, 1) AS initial, CASE WHEN bare = '' THEN 1 WHEN seen > 1 THEN 2 WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS kind,
+  lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS previous FROM o),
+n AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (kind = 1) AS blank, count(*) FILTER (kind = 2) AS duplicate, count(*) FILTER (kind = 3) AS truncated,
+  count(*) FILTER (previous IS NOT NULL AND previous || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY conv_id),
+x AS (SELECT conv_id, i, initial, CASE kind WHEN 0 THEN 0 WHEN 3 THEN 5 ELSE {_NEVER} END AS charge FROM r),
+ways AS (SELECT conv_id, 0::BIGINT AS i, '000000000000' AS w1, lpad('{_NEVER}', 12, '0') AS w2, '000000000005I' AS w3, '000000000010II' AS w4 FROM n
+  UNION ALL SELECT conv_id, i, n1, n2, m3, least(n4, {_STEP("m3", 5, "I")}) FROM (SELECT *, least(n3, {_STEP("least(n1, n2, n4)", 5, "I")}) AS m3 FROM (
+    SELECT x.conv_id, x.i, least({_STEP("w1", 2, "D")}, {_KEPT("w1", "")}) AS n1, least({_STEP("w2", 2, "D")}, {_KEPT("w1", "s")}, {_KEPT("w2", "")}) AS n2,
+      least({_STEP("w3", 2, "D")}, {_STEP(_BEFORE_USER, "1 + charge", "R")}, {_KEPT(_BEFORE_USER, "u")}, {_KEPT("w3", "")}) AS n3,
+      least({_STEP("w4", 2, "D")}, {_STEP("w3", "1 + charge", "R")}, {_KEPT("w3", "a")}, {_KEPT("w4", "")}) AS n4
+    FROM ways JOIN x ON x.conv_id = ways.conv_id AND x.i = ways.i + 1))),
+best AS (SELECT conv_id, least(w1, w4) AS way FROM ways JOIN n USING (conv_id) WHERE i = n),
+l AS (SELECT conv_id, unnest(string_split(substring(way, 13), '')) AS letter, generate_subscripts(string_split(substring(way, 13), ''), 1) AS p FROM best WHERE length(way) > 12),
+a AS (SELECT *, sum(CASE letter WHEN 'I' THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY p) AS i FROM l),
+e AS (SELECT a.conv_id, p, letter, role, coalesce(text, '') AS text, letter = 'K' AND initial = 's' AS system, CASE WHEN letter = 'K' AND initial = '' THEN 0 ELSE 1 END AS counts FROM a LEFT JOIN r ON r.conv_id = a.conv_id AND r.i = a.i AND letter <> 'I' WHERE letter <> 'D'),
+z AS (SELECT conv_id, p, text, CASE letter WHEN 'K' THEN role ELSE CASE (sum(counts) OVER (PARTITION BY conv_id ORDER BY p) - max(system::INTEGER) OVER (PARTITION BY conv_id)) % 2 WHEN 1 THEN 'user' ELSE 'assistant' END END AS role FROM e),
+repaired AS (SELECT conv_id, string_agg(role || ':' || text, chr(10) ORDER BY p) AS body FROM z GROUP BY conv_id)
+SELECT i.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(left(way, 12)::BIGINT, 0) AS cost, coalesce(substring(way, 13), '') AS audit, sha256(coalesce(body, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) i LEFT JOIN n USING (conv_id) LEFT JOIN best USING (conv_id) LEFT JOIN repaired USING (conv_id)
+"""
+
+ORACLES: dict[str, str] = {"op4_exact_top_k": _OP4, "op11_conversation_repair": _OP11, "op13_hard_negatives": _OP13, "op5_license_scan": _OP5, "op6_chat_formatting": _OP6, "op8_minhash_near_dedup": _OP8, "op9_secret_scan": _OP9, "op10_benchmark_decontamination": _OP10}

@@ -15,9 +15,10 @@ from .knn import top_k
 from .language_id import fit_language_model, fold, identify_languages
 from .licenses import scan_licenses
 from .near_dup import near_duplicates
+from .negatives import mine_negatives
 from .quality import fit_quality, score_quality
+from .repair import repair_conversations
 from .secrets import scan_secrets, span_text
-
 from .toxicity import fit_toxicity, score_toxicity
 
 
@@ -100,6 +101,30 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return find_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def damaged(conversations: DataFrame) -> DataFrame:
+    """conv_id, turn, role and text with the faults that crc32(``conv_id:turn``) % 20 names: 0 drops a row, 1 empties its text, 2 takes its full stops, 3 repeats it, 4 makes it a user's."""
+    part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    fault = F.crc32(F.encode(F.concat(part("conv_id"), F.lit(":"), part("turn")), "UTF-8")) % 20
+    text = F.when(F.col("fault") == 1, "").when(F.col("fault") == 2, F.regexp_replace(part("text"), "[.!?]", "")).otherwise(part("text"))
+    role = F.when(F.col("fault") == 4, "user").otherwise(part("role"))
+    times = F.explode(F.sequence(F.lit(1), F.when(F.col("fault") == 3, 2).otherwise(1)))
+    return conversations.withColumn("fault", fault).where("fault <> 0").select("conv_id", "turn", role.alias("role"), text.alias("text"), times.alias("copy")).drop("copy")
+
+
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    found = repair_conversations(damaged(rows)).withColumnRenamed("conv_id", "id")
+    every = rows.select("conv_id").distinct().join(found, F.col("conv_id").eqNullSafe(F.col("id")), "left")
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    nothing = F.coalesce("repaired_sha256", F.sha2(F.lit(b""), 256)).alias("repaired_sha256")
+    return every.select("conv_id", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts), F.coalesce("audit", F.lit("")).alias("audit"), nothing)
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine_negatives(_table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % 50 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_toxicity": op2_toxicity,
@@ -111,4 +136,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_secret_scan": op9_secret_scan,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op13_hard_negatives": op13_hard_negatives,
 }
