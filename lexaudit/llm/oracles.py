@@ -145,4 +145,40 @@ SELECT i.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coales
 FROM (SELECT DISTINCT conv_id FROM conversations) i LEFT JOIN n USING (conv_id) LEFT JOIN best USING (conv_id) LEFT JOIN repaired USING (conv_id)
 """
 
-ORACLES: dict[str, str] = {"op4_exact_top_k": _OP4, "op11_conversation_repair": _OP11, "op13_hard_negatives": _OP13, "op5_license_scan": _OP5, "op6_chat_formatting": _OP6, "op8_minhash_near_dedup": _OP8, "op9_secret_scan": _OP9, "op10_benchmark_decontamination": _OP10}
+_PII = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+_PLAIN_DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
+_PII_CHECK = {
+    "email": "true",
+    "ip": "len(list_filter(string_split(m, '.'), lambda x: coalesce(TRY_CAST(x AS HUGEINT), 256) > 255)) = 0",
+    "card": f"length({_PLAIN_DIGITS}) BETWEEN 12 AND 19 AND list_sum(list_transform(string_split(reverse({_PLAIN_DIGITS}), ''), lambda x, i: CASE WHEN i % 2 = 1 THEN x::INTEGER WHEN x::INTEGER > 4 THEN 2 * x::INTEGER - 9 ELSE 2 * x::INTEGER END)) % 10 = 0",
+    "phone": f"length({_PLAIN_DIGITS}) BETWEEN 9 AND 15",
+}
+_PII_ENTITY = {"email": "lower(m)", "ip": "m", "card": _PLAIN_DIGITS, "phone": _PLAIN_DIGITS}
+_RUN = r"[\p{L}\p{N}]+"
+_TERMS_OF = lambda t: f"list_filter(list_transform(regexp_extract_all({t}, '{_RUN}'), lambda w: lower(w)), lambda w: length(w) BETWEEN 3 AND 40)"
+_REVEALS = "ln(least(n_et, n_t) * n::DOUBLE / (n_t::DOUBLE * n_e)) / ln(n::DOUBLE / n_e)"
+_OP12 = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+k AS ({" UNION ALL ".join(f"SELECT rid, t, '{k}' AS kind, {i} AS ord, regexp_extract_all(t, '{p}') AS ms, string_split_regex(t, '{p}') AS gs FROM d" for i, (k, p) in enumerate(_PII.items()))}),
+u AS (SELECT rid, kind, ord, gs, unnest(ms) AS m, generate_subscripts(ms, 1) AS i FROM k),
+p AS (SELECT *, sum(length(gs[i]) + length(m)) OVER (PARTITION BY rid, kind ORDER BY i) AS stop FROM u),
+base AS (SELECT rid, kind, ord, m, gs[i] AS before, gs[i + 1] AS after, (stop - length(m))::BIGINT AS start, stop::BIGINT AS stop FROM p WHERE CASE kind {" ".join(f"WHEN '{k}' THEN {c}" for k, c in _PII_CHECK.items())} END),
+windows AS (SELECT kind || ':' || CASE kind {" ".join(f"WHEN '{k}' THEN {c}" for k, c in _PII_ENTITY.items())} END AS entity,
+  CASE WHEN length(before) > 100 THEN regexp_replace(right(before, 100), '^{_RUN}', '') ELSE before END AS l, CASE WHEN length(after) > 100 THEN regexp_replace(left(after, 100), '{_RUN}$', '') ELSE after END AS r FROM base),
+w AS (SELECT entity, l, r, list_concat({_TERMS_OF("l")}, {_TERMS_OF("r")}) AS terms FROM windows),
+about AS (SELECT entity, sum(len(terms)) AS n_e FROM w GROUP BY entity),
+pairs AS (SELECT entity, l || chr(0) || r AS context, unnest(terms) AS term FROM w),
+words AS (SELECT rid, regexp_extract_all(t, '{_RUN}') AS ms, string_split_regex(t, '{_RUN}') AS gs FROM d),
+each AS (SELECT rid, gs, unnest(ms) AS m, generate_subscripts(ms, 1) AS i FROM words),
+placed AS (SELECT rid, lower(m) AS term, length(m) AS size, (sum(length(gs[i]) + length(m)) OVER (PARTITION BY rid ORDER BY i))::BIGINT AS stop FROM each),
+counted AS (SELECT term, count(*) AS n_t FROM placed WHERE length(term) BETWEEN 3 AND 40 GROUP BY term),
+total AS (SELECT sum(n_t) AS n FROM counted),
+near AS (SELECT entity, term, count(*) AS n_et, count(DISTINCT context) AS contexts FROM pairs GROUP BY entity, term),
+terms AS (SELECT DISTINCT term FROM near JOIN counted USING (term) JOIN about USING (entity), total WHERE contexts >= 3 AND {_REVEALS} >= 0.9),
+hits AS (SELECT rid, 'term' AS kind, 4 AS ord, stop - size AS start, stop FROM placed h JOIN terms USING (term) WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = h.rid AND h.stop - h.size < b.stop AND h.stop > b.start)),
+spans AS (SELECT rid, kind, ord, start, stop FROM base UNION ALL SELECT * FROM hits),
+g AS (SELECT rid, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in _PII)}, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, ord) FILTER (kind <> 'term') AS base, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, ord) AS spans FROM spans GROUP BY rid)
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in _PII)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (rid)
+"""
+
+ORACLES: dict[str, str] = {"op12_pii": _OP12, "op4_exact_top_k": _OP4, "op11_conversation_repair": _OP11, "op13_hard_negatives": _OP13, "op5_license_scan": _OP5, "op6_chat_formatting": _OP6, "op8_minhash_near_dedup": _OP8, "op9_secret_scan": _OP9, "op10_benchmark_decontamination": _OP10}

@@ -16,6 +16,9 @@ from .language_id import fit_language_model, fold, identify_languages
 from .licenses import scan_licenses
 from .near_dup import near_duplicates
 from .negatives import mine_negatives
+from .pii import KINDS as PII_KINDS
+from .pii import scan_pii
+from .pii import span_text as pii_text
 from .quality import fit_quality, score_quality
 from .repair import repair_conversations
 from .secrets import scan_secrets, span_text
@@ -120,6 +123,15 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return every.select("conv_id", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts), F.coalesce("audit", F.lit("")).alias("audit"), nothing)
 
 
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_pii(_table(spark, sf_dir, "documents"))
+    *base, term = PII_KINDS
+    plain = f"transform({term}, s -> struct(s.start, s.kind, s.end))"
+    together = f"concat({', '.join(base)})"
+    counts = (F.size(k).cast("long").alias(f"n_{k}") for k in base)
+    return found.select("doc_id", *counts, F.sha2(F.encode(pii_text(together), "UTF-8"), 256).alias("base_sha256"), pii_text(f"concat({', '.join(base)}, {plain})").alias("spans"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return mine_negatives(_table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % 50 == 0)
@@ -137,5 +149,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_secret_scan": op9_secret_scan,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_pii": op12_pii,
     "op13_hard_negatives": op13_hard_negatives,
 }
