@@ -91,7 +91,7 @@ _PIECES = rf"(?s).{{1,{PIECE_CHARS}}}(?![\p{{L}}\p{{N}}])|.{{1,{PIECE_CHARS}}}"
 def _words(found: DataFrame) -> DataFrame:
     """row, start, end and term of every term of ``body``."""
     pieces = located(found.select("row", "body"), "p", "body", _PIECES, F.col("body") != "").select("row", F.explode(F.arrays_zip(F.col("p_m").alias("piece"), F.col("p_at").alias("at"))).alias("x"))
-    words = located(pieces.select("row", "x.at", "x.piece"), "w", "piece", _WORD).select("row", "at", F.explode(F.arrays_zip(F.col("w_m").alias("word"), F.col("w_at").alias("start"))).alias("w"))
+    words = located(pieces.select("row", "x.at", "x.piece"), "w", "piece", _WORD, F.lit(True)).select("row", "at", F.explode(F.arrays_zip(F.col("w_m").alias("word"), F.col("w_at").alias("start"))).alias("w"))
     start = (F.col("at") + F.col("w.start")).cast("long")
     return words.select("row", start.alias("start"), (start + F.length("w.word")).alias("end"), F.lower("w.word").alias("term")).where(F.length("term").between(*TERM_CHARS))
 
@@ -129,6 +129,7 @@ def _located_terms(found: DataFrame, ws: Workspace) -> DataFrame:
     """row and ``term``: an array of (start, kind, end, mark)."""
     terms = revealing_terms(found, ws).select("term", "mark")
     hits = _words(found).join(F.broadcast(terms) if terms.count() <= BROADCAST_TERMS else terms, "term").select("row", "start", "end", "mark")
+    hits = ws.save(hits, "hits")  # else the optimiser joins all words with the base spans first
     # a base span reaches the terms that start in its buckets of the text or in the one before
     base = found.select(F.col("row").alias("r"), F.explode(F.concat(*PATTERNS)).alias("s"))
     cover = base.select("r", "s.start", "s.end", F.explode(F.expr(f"sequence(s.start div {_BUCKET} - 1, (s.end - 1) div {_BUCKET})")).alias("bucket"))
