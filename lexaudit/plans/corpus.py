@@ -5,7 +5,12 @@ The phrases are ASCII, so that engines agree on words, cases and lengths.
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..sources.readers import spread
 
@@ -191,3 +196,54 @@ def build(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
 def literal(spark: SparkSession, **columns: str) -> DataFrame:
     """One row of texts."""
     return spark.range(1).selectExpr(*("'" + v.replace("\\", "\\\\").replace("'", "\\'") + f"' AS {k}" for k, v in columns.items()))
+
+
+def make_pdf(pages: list[str], packed: bool = False) -> bytes:
+    """A PDF file of these texts. ``packed``: objects lie in an object stream, places in a cross-reference stream."""
+    flate = lambda data, entries="": f"<< /Length {len(z := zlib.compress(data))} /Filter /FlateDecode {entries} >>\nstream\n".encode() + z + b"\nendstream"
+    chars = sorted(set("".join(pages)) - {"\n"})
+    codes = {c: f"{i + 1:04X}" for i, c in enumerate(chars)}
+    listed = "".join(f"<{codes[c]}> <{c.encode('utf-16-be').hex()}>\n" for c in chars)
+    plain = {1: b"<< /Type /Catalog /Pages 2 0 R >>", 3: b"<< /Type /Font /Subtype /Type0 /BaseFont /F /Encoding /Identity-H /ToUnicode 4 0 R >>"}
+    streams = {4: flate(f"begincmap\n{len(chars)} beginbfchar\n{listed}endbfchar\nendcmap".encode())}
+    kids = []
+    for i, text in enumerate(pages):
+        lines = " T*\n".join("<" + "".join(codes[c] for c in line) + "> Tj" if line else "" for line in text.split("\n"))
+        streams[6 + 2 * i] = flate(f"BT /F1 10 Tf 12 TL 50 800 Td\n{lines}\nET".encode() if text else b"q Q")
+        plain[5 + 2 * i] = f"<< /Type /Page /Parent 2 0 R /Contents {6 + 2 * i} 0 R >>".encode()
+        kids.append(f"{5 + 2 * i} 0 R")
+    plain[2] = f"<< /Type /Pages /Count {len(kids)} /Kids [{' '.join(kids)}] /Resources << /Font << /F1 3 0 R >> >> >>".encode()
+    size, out, places = 5 + 2 * len(pages), bytearray(b"%PDF-1.5\n"), {}
+    if packed:
+        order = sorted(plain)
+        starts = [sum(len(plain[n]) + 1 for n in order[:k]) for k in range(len(order))]
+        head = " ".join(f"{n} {at}" for n, at in zip(order, starts)).encode() + b"\n"
+        streams[size] = flate(head + b"\n".join(plain[n] for n in order), f"/Type /ObjStm /N {len(order)} /First {len(head)}")
+        size += 1
+    for n, body in sorted((streams if packed else {**plain, **streams}).items()):
+        places[n] = len(out)
+        out += f"{n} 0 obj\n".encode() + body + b"\nendobj\n"
+    start = len(out)
+    if packed:
+        places[size] = start
+        entry = lambda n: bytes([1]) + places[n].to_bytes(4, "big") + b"\0\0" if n in places else bytes([2]) + (size - 1).to_bytes(4, "big") + order.index(n).to_bytes(2, "big") if n else bytes(7)
+        rows = b"".join(b"\2" + bytes((a - b) & 255 for a, b in zip(entry(n), entry(n - 1) if n else bytes(7))) for n in range(size + 1))
+        body = flate(rows, f"/Type /XRef /Size {size + 1} /W [1 4 2] /Root 1 0 R /DecodeParms << /Predictor 12 /Columns 7 >>")
+        out += f"{size} 0 obj\n".encode() + body + b"\nendobj\n"
+    else:
+        out += f"xref\n0 {size}\n0000000000 65535 f \n".encode() + b"".join(f"{places[n]:010d} 00000 n \n".encode() for n in range(1, size))
+        out += f"trailer\n<< /Size {size} /Root 1 0 R >>\n".encode()
+    return bytes(out + f"startxref\n{start}\n%%EOF\n".encode())
+
+
+def conversation_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path, length, content: each conversation as a PDF file, a page for each turn; every second one is packed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            files = [make_pdf([t["text"] or "" for t in turns], conv % 2 == 1) for conv, turns in zip(batch.column("conv_id").to_pylist(), batch.column("turns").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array([len(f) for f in files]), pa.array(files, pa.binary())], names=["path", "length", "content"])
+
+    turns = F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("turns")
+    rows = table(spark, sf_dir, "conversations").where("conv_id is not null").groupBy("conv_id").agg(turns).withColumn("path", F.concat(F.col("conv_id").cast("string"), F.lit(".pdf")))
+    return rows.mapInArrow(run, "path string, length long, content binary")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.values import CONTENT_INDICATORS, DEFAULT_DATA_TERMS, DEFAULT_MODEL, DEFAULT_REGULATORY_TERMS
 from ..operators import answers, documents, findings, judges, prompts, reports, retrieval, routing, violations
-from ..sources import readers
+from ..sources import pdf, readers
 from . import audit
 from . import corpus as C
 
@@ -151,6 +151,19 @@ def page_join(s, d):
     return readers.join_pages(pages)
 
 
+@query
+def pdf_pages(s, d):
+    """Conversations as PDF files, read back: each turn is a page."""
+    pages = pdf.pdf_pages(C.conversation_files(s, d))
+    return pages.select(F.split_part("doc_id", F.lit("."), F.lit(1)).cast("long").alias("doc_id"), F.col("page").cast("long").alias("page"), "text")
+
+
+@query
+def pdf_join(s, d):
+    pages = pdf.pdf_pages(C.conversation_files(s, d)).withColumn("doc_id", F.split_part("doc_id", F.lit("."), F.lit(1)).cast("long"))
+    return readers.join_pages(pages)
+
+
 @query
 def term_scan(s, d):
     return _terms(s).select("term_type", F.col("term_ord").cast("long").alias("term_ord"), "term")

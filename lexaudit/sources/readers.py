@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.values import ARTICLE_STARTS, CONCEPTS, DEFAULT_DATA_TERMS, DEFAULT_REGULATORY_TERMS, FRAMEWORK_FILES, MODELS
+from .pdf import read_pdf_pages
 
 #: Fewer bytes are not worth a shuffle.
 SPREAD_BYTES = 100_000
@@ -31,22 +29,6 @@ def read_documents(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return rows.select(F.col("_metadata.file_path").alias("doc_id"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("n_bytes"), F.col("value").alias("text"))
 
 
-def read_pdf_pages(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """doc_id, path, n_bytes, page (from 1), text of PDF files. Needs the optional package pypdf on the executors."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import io
-
-        import pypdf
-
-        for frame in frames:
-            for path, length, content in zip(frame["path"], frame["length"], frame["content"]):
-                pages = pypdf.PdfReader(io.BytesIO(content)).pages
-                yield pd.DataFrame([(path, path, length, i + 1, p.extract_text() or "") for i, p in enumerate(pages)], columns=["doc_id", "path", "n_bytes", "page", "text"])
-
-    return spark.read.format("binaryFile").load(paths).select("path", "length", "content").mapInPandas(run, "doc_id string, path string, n_bytes long, page int, text string")
-
-
 def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
     """doc_id, path, n_bytes, text of text, Markdown and PDF files, each read by its own extension; an error names files of other kinds."""
     kinds = {".txt": [], ".md": [], ".pdf": []}

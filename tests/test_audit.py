@@ -135,15 +135,13 @@ def test_long_indicator_lists_give_the_same_matches(spark):
 
 
 def test_files_of_each_kind(spark, tmp_path):
-    """Text and PDF files together; the PDF package is replaced by one that takes lines for pages."""
+    """Text and PDF files together."""
     import pytest
 
-    stub = tmp_path / "pypdf.py"
-    stub.write_text("class Page:\n    def __init__(self, text):\n        self.text = text\n\n    def extract_text(self):\n        return self.text\n\n\nclass PdfReader:\n    def __init__(self, stream):\n        self.pages = [Page(x) for x in stream.read().decode().split('|')]\n")
-    spark.sparkContext.addPyFile(str(stub))
-    (tmp_path / "a.PDF").write_text("first||third")
+    content = C.make_pdf(["first", "", "third"])
+    (tmp_path / "a.PDF").write_bytes(content)
     (tmp_path / "b.md").write_text("text")
     got = {r.path.rsplit("/", 1)[1]: (r.n_bytes, r.text) for r in readers.read_files(spark, [str(tmp_path / "a.PDF"), str(tmp_path / "b.md")]).collect()}
-    assert got == {"a.PDF": (12, "[Page 1] first\n\n[Page 3] third\n\n"), "b.md": (4, "text")}
+    assert got == {"a.PDF": (len(content), "[Page 1] first\n\n[Page 3] third\n\n"), "b.md": (4, "text")}
     with pytest.raises(ValueError, match="c.doc"):
         readers.read_files(spark, ["b.md", "c.doc"])
