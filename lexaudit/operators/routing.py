@@ -7,9 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import let
 from ..functions.values import LONG_CHUNK, MIN_SCORE, SHORT_CHUNK
-
-#: Characters of a term by which long lists are joined.
-KEY_CHARS = 4
+from .needles import find_needles
 
 
 def term_score(text: Column, terms) -> Column:
@@ -32,26 +30,9 @@ def route(chunk_rows: DataFrame, data_terms, regulatory_terms) -> DataFrame:
     return scored.withColumn("should_analyze", should_analyze(F.col("text"), F.col("total_score")))
 
 
-def substring_join(lowered: DataFrame, needles: DataFrame, needle: str, max_rows: int) -> DataFrame:
-    """Rows with a ``lowered`` text × ``needles`` whose column ``needle`` that text contains.
-
-    Substring search has no key to shuffle by, so the needles are broadcast; their number is checked first. A longer list is joined by
-    the first characters of the needles.
-    """
-    if needles.count() <= max_rows:
-        return lowered.join(F.broadcast(needles), F.contains(lowered["lowered"], needles[needle]))
-    # a needle is found by its first characters, at any place of the text
-    places = F.sequence(F.lit(1), F.greatest(F.length("lowered"), F.lit(1)))
-    starts = F.array_union(F.transform(places, lambda i: F.substring(F.col("lowered"), i, F.lit(KEY_CHARS))), F.array(F.lit("")))
-    short = F.transform(places, lambda i: F.array(*(F.substring(F.col("lowered"), i, F.lit(k)) for k in range(1, KEY_CHARS))))
-    found = lowered.withColumn("term_key", F.explode(F.array_distinct(F.concat(starts, F.flatten(short)))))
-    keyed = needles.withColumn("term_key", F.left(needle, F.lit(KEY_CHARS)))
-    return found.join(keyed, "term_key").where(F.contains(F.col("lowered"), F.col(needle))).drop("term_key")
-
-
-def join_terms(chunk_rows: DataFrame, terms: DataFrame, max_terms: int = 100_000) -> DataFrame:
-    """chunk × (term_type, term) for every term that the lower-cased text contains. Terms must be distinct."""
-    return substring_join(chunk_rows.withColumn("lowered", F.lower("text")), terms, "term", max_terms).drop("lowered")
+def join_terms(chunk_rows: DataFrame, terms: DataFrame) -> DataFrame:
+    """chunk × (term_type, term) for every term that the lower-cased text contains."""
+    return find_needles(chunk_rows.withColumn("lowered", F.lower("text")), "lowered", terms, "term").drop("lowered", "at")
 
 
 def batches(chunk_rows: DataFrame, batch_size: int) -> DataFrame:

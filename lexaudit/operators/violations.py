@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import strip
 from ..functions.values import CONTEXT_CHARS, TOP_VIOLATIONS
-from .routing import substring_join
+from .needles import find_needles
 
 
 def indicator_rows(patterns: DataFrame) -> DataFrame:
@@ -16,16 +16,12 @@ def indicator_rows(patterns: DataFrame) -> DataFrame:
     return rows.select("pattern_ord", "indicator_ord", "pattern", "description", "indicator", "related_refs")
 
 
-def scan_indicators(chunk_rows: DataFrame, indicators: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Every indicator that a chunk holds in any case, with the text around its first place.
-
-    Up to ``max_rows`` indicators are broadcast; a longer list is joined by the first characters of the indicators.
-    """
-    found = substring_join(chunk_rows.withColumn("lowered", F.lower("text")), indicators.withColumn("wanted", F.lower("indicator")), "wanted", max_rows)
-    at = F.instr(F.col("lowered"), F.col("wanted"))
-    start = F.greatest(at - CONTEXT_CHARS, F.lit(1))
-    context = F.substring(F.col("text"), start, at + F.length("indicator") + CONTEXT_CHARS - start)
-    return found.withColumn("context", context).drop("lowered", "wanted")
+def scan_indicators(chunk_rows: DataFrame, indicators: DataFrame) -> DataFrame:
+    """Every indicator that a chunk holds in any case, with the text around its first place."""
+    found = find_needles(chunk_rows.withColumn("lowered", F.lower("text")), "lowered", indicators.withColumn("wanted", F.lower("indicator")), "wanted")
+    start = F.greatest(F.col("at") - CONTEXT_CHARS, F.lit(1))
+    context = F.substring(F.col("text"), start, F.col("at") + F.length("indicator") + CONTEXT_CHARS - start)
+    return found.withColumn("context", context).drop("lowered", "wanted", "at")
 
 
 def top_violations(found: DataFrame, k: int = TOP_VIOLATIONS) -> DataFrame:
