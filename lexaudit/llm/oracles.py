@@ -73,11 +73,14 @@ SELECT d.doc_id, coalesce(n, 0) AS n_matches, license, dice, coalesce(licenses,
 _P = {k: "'" + p.replace("'", "''") + "'" for k, p in secrets.KINDS.items()}
 _SIZES = sorted({len(x) for _, _, x in secrets.ENCODINGS})
 _ALPHABET = "CASE " + " ".join(f"WHEN regexp_matches(m, '{p}') THEN '{x}'" for _, p, x in secrets.ENCODINGS if p) + f" ELSE '{secrets.ENCODINGS[-1][2]}' END"
-_COST = f"CASE WHEN contains('{secrets.FREQUENT}', c) THEN {secrets.COSTS[0]} WHEN c BETWEEN 'a' AND 'z' THEN {secrets.COSTS[1]} WHEN c BETWEEN 'A' AND 'Z' THEN {secrets.COSTS[2]} WHEN c BETWEEN '0' AND '9' THEN {secrets.COSTS[3]} ELSE {secrets.COSTS[4]} END"
+_COST = "CASE " + " ".join(f"WHEN contains('{x}', c) THEN k{i}" for i, x in enumerate(secrets.CLASSES[:-1])) + f" ELSE k{len(secrets.CLASSES) - 1} END"
+_SEEN = ", ".join(f"sum(length(t) - length(translate(t, '{x}', ''))) + 1 AS n{i}" for i, x in enumerate(secrets.CLASSES))
+_COSTS = ", ".join(f"least({secrets.MOST_COST[i]}, floor(-64 * log2(n{i}::DOUBLE / ({' + '.join(f'n{j}' for j in range(len(secrets.CLASSES)))}) / {len(x)}))::BIGINT) AS k{i}" for i, x in enumerate(secrets.CLASSES))
 _CHOOSE = lambda cases: "CASE size " + " ".join(f"WHEN {k} THEN {v}" for k, v in cases.items()) + " END"
 _TAIL = lambda z: f"floor(64 * ({math.log2(secrets.POWER + 1)}::DOUBLE + {secrets.POWER} * (1.0::DOUBLE - log2(1 + exp(least(700.0::DOUBLE, 1.5976::DOUBLE * {z} + 0.07056::DOUBLE * {z} * {z} * {z}))))))::BIGINT"
 _OP9 = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+seen AS (SELECT {_SEEN} FROM d), costs AS (SELECT {_COSTS} FROM seen),
 k AS ({" UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, {i} AS ord, regexp_extract_all(t, {_P[k]}) AS ms, regexp_extract_all(t, {_P[k]}, {2 if k == 'assign' else 0}) AS vs, string_split_regex(t, {_P[k]}) AS gs FROM d" for i, k in enumerate(secrets.KINDS))}),
 u AS (SELECT doc_id, kind, ord, unnest(ms) AS m, unnest(vs) AS v, unnest(gs[:len(ms)]) AS g, generate_subscripts(ms, 1) AS i FROM k),
 p AS (SELECT *, sum(len(g) + len(m)) OVER (PARTITION BY doc_id, kind ORDER BY i) AS stop FROM u),
@@ -86,7 +89,7 @@ t1 AS (SELECT doc_id, kind, ord, start, stop, len(m)::BIGINT AS n, string_split(
 t2 AS (SELECT *, len(a) AS size, list_transform(chars, lambda c: (2 * instr(a, c) - 1 - len(a))::BIGINT) AS y FROM t1),
 t3 AS (SELECT *, list_sum(list_transform(list_distinct(y), lambda s: len(list_filter(y, lambda v: v = s)) * len(list_filter(y, lambda v: v = s)))) AS squares,
   1 + len(list_filter(range(2, n + 1), lambda i: (y[i - 1] > 0) <> (y[i] > 0))) AS runs, list_sum(list_transform(range(2, n + 1), lambda i: y[i - 1] * y[i])) AS neighbours,
-  list_sum(list_transform(y, lambda v: v * v)) AS power, list_sum(list_transform(chars, lambda c: {_COST})) - n * {_CHOOSE({a: round(64 * math.log2(a)) for a in _SIZES})} - {round(64 * math.log2(len(secrets.ENCODINGS)))} AS evidence FROM t2),
+  list_sum(list_transform(y, lambda v: v * v)) AS power, list_sum(list_transform(chars, lambda c: {_COST})) - n * {_CHOOSE({a: round(64 * math.log2(a)) for a in _SIZES})} - {round(64 * math.log2(secrets.TESTS_MEAN * len(secrets.ENCODINGS)))} AS evidence FROM t2, costs),
 t4 AS (SELECT *, abs(power((size::DOUBLE * squares / n - n) / (size - 1), 1.0::DOUBLE / 3) - (1 - 2.0::DOUBLE / (9 * (size - 1)))) / sqrt(2.0::DOUBLE / (9 * (size - 1))) AS chi,
   abs(2 * runs - n - 1) / sqrt(n - 1.0::DOUBLE) AS even, abs(neighbours::DOUBLE) * n / (power * sqrt(n - 1.0::DOUBLE)) AS independent FROM t3),
 t5 AS (SELECT *, greatest(0, least({secrets.MAX_BITS}, (evidence + {_TAIL("chi")} + {_TAIL("even")} + {_TAIL("independent")}) // 64)) AS bits FROM t4),

@@ -9,17 +9,22 @@ text between them (prefix sums), in code points. The kind ``random`` covers othe
   with digits, base64, base64url, else all of their symbols), which gives an alphabet of A symbols;
 * three tests of the token being uniform over its alphabet give a p-value each: chi-squared on the symbol counts
   (Wilson and Hilferty), runs above and below the middle of the alphabet, and lag-1 serial correlation, all two-sided;
-* the hypothesis to reject is that the token is ordinary text. The evidence against it is an e-value: the likelihood ratio of
-  uniform symbols to a text model with fixed costs of characters, divided by the number of encodings, times 4 p^3 for each of
-  the three p-values. That factor has mean 1 over uniform tokens, so the product stays an e-value; sorted, repeated or
+* the hypothesis to reject is that the token's characters are drawn like the characters of all texts. The evidence against it is an e-value: the likelihood ratio of
+  uniform symbols to that model, divided by the number of encodings, times 4 p^3 for each of the three p-values. The tests depend on each other, so over
+  uniform tokens the product of these factors has a mean above 1: from 1.26 to 1.88 by simulation, over all alphabets and lengths from ``MIN_TOKEN`` (a test repeats it).
+  It is divided by ``TESTS_MEAN`` = 2, so the whole stays an e-value; sorted, repeated or
   patterned tokens lose by it what their symbols gain. The evidence grows with the length, so a short token needs improbable symbols;
 * the e-value Benjamini-Hochberg procedure over all tokens of the table keeps the share of false discoveries below
   ``FALSE_DISCOVERIES``, however the tokens depend on each other.
 
+The model of text has five classes of characters, whose shares are counted over all texts; the characters of a class share its probability evenly. Costs are rounded
+down and have an upper bound for each class, both of which only lessen the evidence, so it stays an e-value.
+
 Evidence is counted in whole 1/64 bits. One scan writes each document's spans and the evidence of its tokens; the threshold comes
 from a histogram of evidence in whole bits.
 
-Defined results: null text is empty and gives no span. Overlapping spans of different kinds are all reported.
+Defined results: null text is empty and gives no span; null ids are kept. Repeated rows are scanned each and counted each, in the model of text and among the tests. Tokens of equal
+evidence are all found or all left. Overlapping spans of different kinds are all reported. An empty table gives no rows. A very long text is scanned whole, as one row.
 Extra columns are ignored by ``scan_secrets`` and passed on by ``redact_secrets``.
 """
 
@@ -59,11 +64,13 @@ ENCODINGS = (
     ("base64url", "^[A-Za-z0-9_-]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
     ("mixed", "", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_"),
 )
-#: Cost of a character in ordinary text, in 1/64 bit: frequent and other lower-case letters (shares of 0.055 and 0.0125 each),
-#: capitals (0.002), digits (0.0095) and the rest (0.0035). The shares of all characters of a token add up to 1 at most.
-FREQUENT, COSTS = "etaoinshrdlu", (268, 405, 574, 430, 522)
+#: Classes of the characters of tokens; the frequent letters are a class of their own.
+CLASSES = ("etaoinshrdlu", "bcfgjkmpqvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "+/_-")
+#: The most that a character of each class costs, in 1/64 bit: shares of 0.055, 0.0125, 0.002, 0.0095 and 0.0035. Where texts hold fewer digits or capitals, names and numbers still do.
+MOST_COST = (268, 405, 574, 430, 522)
 #: The factor of a p-value is (POWER + 1) * p ** POWER.
 POWER = 3
+TESTS_MEAN = 2.0
 FALSE_DISCOVERIES = 0.01
 MAX_BITS = 1000
 
@@ -78,18 +85,25 @@ def _choose(value: str, cases: dict) -> str:
     return f"CASE {value} " + " ".join(f"WHEN {k} THEN {v}" for k, v in cases.items()) + " END"
 
 
-def _battery(df: DataFrame) -> DataFrame:
+def character_costs(docs: DataFrame, text: Column) -> list[int]:
+    """The cost of a character of each class in ordinary text, in 1/64 bit, from all texts."""
+    counts = docs.select(*(F.sum(F.length(text) - F.length(F.translate(text, c, ""))).alias(f"n{i}") for i, c in enumerate(CLASSES))).first()  # one row
+    seen = [(n or 0) + 1 for n in counts]
+    return [min(most, math.floor(-64 * math.log2(n / sum(seen) / len(c)))) for n, c, most in zip(seen, CLASSES, MOST_COST)]
+
+
+def _battery(df: DataFrame, costs: list[int]) -> DataFrame:
     """``battery``: for each token its place and the bits of evidence against text."""
     alphabet = "CASE " + " ".join(f"WHEN t.token RLIKE '{p}' THEN '{s}'" for _, p, s in ENCODINGS if p) + f" ELSE '{ENCODINGS[-1][2]}' END"
     sizes = sorted({len(s) for _, _, s in ENCODINGS})
     bits = _choose("t.size", {a: round(64 * math.log2(a)) for a in sizes})
-    cost = f"CASE WHEN instr('{FREQUENT}', c) > 0 THEN {COSTS[0]}L WHEN c BETWEEN 'a' AND 'z' THEN {COSTS[1]}L WHEN c BETWEEN 'A' AND 'Z' THEN {COSTS[2]}L WHEN c BETWEEN '0' AND '9' THEN {COSTS[3]}L ELSE {COSTS[4]}L END"
+    cost = "CASE " + " ".join(f"WHEN instr('{c}', c) > 0 THEN {k}L" for c, k in zip(CLASSES[:-1], costs)) + f" ELSE {costs[-1]}L END"
     total = lambda array: f"aggregate({array}, 0L, (acc, v) -> acc + v)"
     squares = total("transform(array_distinct(t.y), s -> cast(size(filter(t.y, v -> v = s)) as bigint) * size(filter(t.y, v -> v = s)))")
     runs = "1 + size(filter(sequence(1, t.n - 1), i -> (t.y[i - 1] > 0) <> (t.y[i] > 0)))"
     neighbours = total("transform(sequence(1, t.n - 1), i -> cast(t.y[i - 1] as bigint) * t.y[i])")
     power = total("transform(t.y, v -> cast(v as bigint) * v)")
-    evidence = f"{total(f'transform(t.chars, c -> {cost})')} - t.n * {bits} - {round(64 * math.log2(len(ENCODINGS)))}"
+    evidence = f"{total(f'transform(t.chars, c -> {cost})')} - t.n * {bits} - {round(64 * math.log2(TESTS_MEAN * len(ENCODINGS)))}"
     chi = "abs(power((cast(t.size as double) * t.squares / t.n - t.n) / (t.size - 1), 1D / 3) - (1 - 2D / (9 * (t.size - 1)))) / sqrt(2D / (9 * (t.size - 1)))"
     even = "abs(2 * t.runs - t.n - 1) / sqrt(t.n - 1D)"
     independent = "abs(cast(t.neighbours as double)) * t.n / (t.power * sqrt(t.n - 1D))"
@@ -106,7 +120,7 @@ def _battery(df: DataFrame) -> DataFrame:
     return df
 
 
-def _scan(docs: DataFrame, text: Column) -> DataFrame:
+def _scan(docs: DataFrame, text: Column, costs: list[int]) -> DataFrame:
     """``docs`` with arrays of spans of each kind, and the battery of the tokens."""
     df = docs.withColumn("body", F.coalesce(text, F.lit("")))
     for kind, pattern in KINDS.items():
@@ -123,7 +137,7 @@ def _scan(docs: DataFrame, text: Column) -> DataFrame:
         least = MIN_VALUE if kind == "assign" else 0
         zipped = f"zip_with(zip_with(at_{kind}, {m}, (s, m) -> struct(s AS start, m)), v_{kind}, (p, v) -> struct(p.start, p.m, v))"
         df = df.withColumn(f"spans_{kind}", F.expr(f"filter(transform({zipped}, at -> {span}), s -> length(s.value) >= {least})"))
-    return _battery(df)
+    return _battery(df, costs)
 
 
 def _quoted(pattern: str) -> str:
@@ -144,7 +158,8 @@ def _evidence_limit(found: DataFrame) -> int:
 
 def _found(docs: DataFrame, keep: list[str], text_col: str, ws: Workspace) -> tuple[DataFrame, int]:
     spans = [F.expr(f"transform(spans_{k}, s -> struct(s.start, {i} AS kind, s.end))").alias(k) for i, k in enumerate(KINDS) if k != "random"]
-    found = ws.save(_scan(docs, F.col(text_col)).select(*keep, *spans, "battery"), "found")
+    costs = character_costs(docs, F.coalesce(F.col(text_col), F.lit("")))
+    found = ws.save(_scan(docs, F.col(text_col), costs).select(*keep, *spans, "battery"), "found")
     return found, _evidence_limit(found)
 
 
