@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .sampling import bounded_sample
+from .sampling import bounded_rows, bounded_sample
 from .shingles import U64, mix, text_blocks, word_hashes
 
 PASSAGE_WORDS = 64
@@ -224,10 +224,11 @@ class QualityModel:
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, training: Column, label_col: str = "quality") -> QualityModel:
-    """Learn from a bounded sample of the labelled documents that meet ``training`` (over doc_id)."""
+    """Learn from a bounded sample of the labelled documents that meet ``training`` (over doc_id): of ids, and of the rows with these ids."""
     known = labels.where(training & F.col(label_col).isin(0, 1)).select("doc_id", F.col(label_col).alias("label"))
     chosen = bounded_sample(known.withColumn("all", F.lit(True)), "doc_id", "all", SAMPLE_DOCS).drop("all")
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", F.col("label").cast("int").alias("label"))
+    rows = bounded_rows(rows, SAMPLE_DOCS)
     kind = rows.schema["doc_id"].dataType.simpleString()
     found = rows.mapInArrow(_describe_sample, f"doc_id {kind}, label int, x binary").toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending"), ("x", "ascending")])
     bags = [np.frombuffer(x, np.float32).reshape(-1, N_FEATURES) for x in found["x"].to_pylist()]

@@ -23,3 +23,9 @@ def bounded_sample(rows: DataFrame, id_col: str, group: str, n: int, max_groups:
     cut = rows.join(F.broadcast(sizes), group).where(hash_share(id_col) * F.col("_size") <= 4.0 * n + 64).drop("_size")
     order = Window.partitionBy(group).orderBy(F.xxhash64(id_col), id_col)
     return cut.withColumn("_at", F.row_number().over(order)).where(F.col("_at") <= n).drop("_at")
+
+
+def bounded_rows(rows: DataFrame, n: int) -> DataFrame:
+    """Up to ``n`` of ``rows``, drawn row by row where there are more, so that an id that many rows share can't fill the driver."""
+    keyed = rows.withColumns({"_row": F.xxhash64(F.monotonically_increasing_id()), "_all": F.lit(True)})
+    return bounded_sample(keyed, "_row", "_all", n).select(*rows.columns)

@@ -21,7 +21,7 @@ A text's features are the decision on its best window, and the logarithms of the
 model turns them into the score.
 
 Defined results: null, empty and letterless texts get the score of a text without a sentence, which is low. Repeated rows are each
-scored, and trained each if labelled. A text beyond ``_PIECE`` characters is scored in pieces, cut after a line end or
+scored, and trained each if labelled, within the bound of the sample. A text beyond ``_PIECE`` characters is scored in pieces, cut after a line end or
 a space, so memory doesn't grow with it beyond the text itself. Without both labels in training every score is 0. Extra
 columns are ignored; an empty table gives no rows.
 """
@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .language_id import letters
-from .sampling import bounded_sample
+from .sampling import bounded_rows, bounded_sample
 from .shingles import U64, text_blocks
 
 LENGTH, SPAN, DECAY = 4, 5, 0.6
@@ -47,7 +47,8 @@ WINDOWS = (6, 9, 12)
 BUCKET_BITS = 20
 LANDMARKS, ROUNDS = 192, 3
 RIDGE = 2e-3
-#: The bounded training sample: labelled documents of each kind, chosen by a hash of doc_id; sentences of each, chosen by their own hash.
+#: The bounded training sample: labelled documents of each kind, chosen by a hash of doc_id; sentences of each, chosen by their own hash;
+#: of a sentence beyond MAX_SENTENCE characters one part of that length, chosen by its hash.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 1_500, 2_500
 SENTENCES_TOXIC, SENTENCES_CLEAN = 40, 16
 MAX_SENTENCE = 400
@@ -60,6 +61,8 @@ DISTURBED_WEIGHT = 0.25
 #: A place counts as toxic from this decision on.
 TOXIC_FROM = 0.3
 _PIECE = 1_000_000
+#: A long training sentence in parts that end at white space where there is some.
+_PARTS = re.compile(rf".{{1,{MAX_SENTENCE}}}(?!\S)|.{{1,{MAX_SENTENCE}}}", re.S)
 _CHOICES = [(0, *rest) for rest in combinations(range(1, SPAN), LENGTH - 1)]
 _MULT = [U64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)][:LENGTH]
 _STOPS = [ord(c) for c in ".!?"]
@@ -390,26 +393,31 @@ def _pieces(text: str) -> Iterator[str]:
     yield text[at:]
 
 
+def _hash(text: str) -> int:
+    return zlib.crc32(text.encode("utf-8", "surrogatepass"))
+
+
 def _sample_sentences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A bounded part of each document: the sentences with the smallest hashes, in order of their places."""
+    """A bounded part of each document: the sentences with the smallest hashes, in order of their places. Of a long sentence the part with the smallest hash is taken."""
     for batch in batches:
         texts = []
         for text, label in zip(batch.column("text"), batch.column("label").to_pylist()):
-            own = [s[:MAX_SENTENCE] for s in re.split(r"(?<=[.!?])\s|\n", text.as_py()) if s.strip()]
+            own = [min(_PARTS.findall(s), key=_hash) for s in re.split(r"(?<=[.!?])\s|\n", text.as_py()) if s.strip()]
             own = [s for k, s in enumerate(own) if k == 0 or s != own[k - 1]]
             most = SENTENCES_TOXIC if label else SENTENCES_CLEAN
             if len(own) > most:
-                kept = sorted(sorted(range(len(own)), key=lambda k: (zlib.crc32(own[k].encode("utf-8", "surrogatepass")), k))[:most])
+                kept = sorted(sorted(range(len(own)), key=lambda k: (_hash(own[k]), k))[:most])
                 own = [own[k] for k in kept]
             texts.append("\n".join(own))
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(texts, pa.string())], names=["doc_id", "label", "text"])
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, training: Column, label_col: str = "toxic") -> ToxicityModel:
-    """Learn from sentences of the labelled documents that meet ``training`` (over doc_id), a bounded sample of each label."""
+    """Learn from sentences of the labelled documents that meet ``training`` (over doc_id), a bounded sample of each label: of ids, and of the rows with these ids."""
     known = labels.where(training & F.col(label_col).isin(0, 1)).select("doc_id", F.col(label_col).cast("int").alias("label"))
     chosen = bounded_sample(known.where("label = 1"), "doc_id", "label", SAMPLE_TOXIC).union(bounded_sample(known.where("label = 0"), "doc_id", "label", SAMPLE_CLEAN))
     rows = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
+    rows = bounded_rows(rows.where("label = 1"), SAMPLE_TOXIC).union(bounded_rows(rows.where("label = 0"), SAMPLE_CLEAN))
     kind = rows.schema["doc_id"].dataType.simpleString()
     found = rows.mapInArrow(_sample_sentences, f"doc_id {kind}, label int, text string").toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending"), ("text", "ascending")])
     return ToxicityModel.train(found["text"].to_pylist(), found["label"].to_pylist())

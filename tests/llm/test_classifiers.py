@@ -161,3 +161,30 @@ def test_quality_equals_a_loop_over_passages():
         gate = [np.exp((np.tanh(v @ p["V"]) / (1 + np.exp(-(v @ p["U"])))) @ p["w"]) for v in h]
         z = sum(g * v for g, v in zip(gate, h)) / sum(gate)
         assert abs(score - 1 / (1 + np.exp(-(z @ p["c"] + p["d"])))) < 1e-5
+
+
+def test_training_rows_are_bounded_where_an_id_repeats(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE_TOXIC", 40)
+    monkeypatch.setattr(toxicity, "SAMPLE_CLEAN", 60)
+    monkeypatch.setattr(quality, "SAMPLE_DOCS", 50)
+    seen = {}
+    monkeypatch.setattr(ToxicityModel, "train", classmethod(lambda cls, texts, labels: seen.update(toxic=labels) or cls(np.zeros(1 << BUCKET_BITS), 0.0, None)))
+    monkeypatch.setattr(QualityModel, "train_described", classmethod(lambda cls, x, bags, labels: seen.update(quality=labels)))
+    docs = spark.range(6_000).selectExpr("if(id < 5000, 1, id) AS doc_id", "concat('some text ', id) AS text")
+    labels = spark.range(0, 60).selectExpr("if(id = 0, 1, 5000 + id) AS doc_id", "cast((id + 1) % 2 AS int) AS toxic", "cast(id % 2 AS int) AS quality")
+    fit_toxicity(docs, labels, F.lit(True))
+    assert sum(seen["toxic"]) == 40 and seen["toxic"].count(0) == 30
+    quality.fit_quality(docs, labels, F.lit(True))
+    assert len(seen["quality"]) == 50
+
+
+def test_any_part_of_a_long_training_sentence_can_be_drawn():
+    import pyarrow as pa
+
+    texts = [" ".join(f"word{i}x{k}" for i in range(900)) + ". Short one." for k in range(60)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(60)), pa.array([1] * 60), pa.array(texts)], names=["doc_id", "label", "text"])
+    (out,) = toxicity._sample_sentences(iter([batch]))
+    drawn = [t.split("\n") for t in out["text"].to_pylist()]
+    assert all(short == "Short one." and long in text and len(long) <= toxicity.MAX_SENTENCE for (long, short), text in zip(drawn, texts))
+    places = [text.index(long) for (long, _), text in zip(drawn, texts)]
+    assert min(places) < 3_000 and max(places) > 5_000 and len(set(places)) > 10
