@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import DEFAULT_CONFIDENCE
+from ..sources.tables import shared_path, written
 
 
 def rule_findings(found: DataFrame) -> DataFrame:
@@ -38,32 +39,30 @@ Under COMPLIANCE POINTS: do the same with POINT 1:. Without any, write No compli
 
 
 def restructure(judged: DataFrame, answer: Callable[[list[str]], list[str]], table: str | None = None, rows_per_call: int = 4, template: str = SECOND_TEMPLATE) -> DataFrame:
-    """Findings of a second request that puts each answer into fields. ``table``: where the second answers are written.
+    """Findings of a second request that puts each answer into fields. ``table``: where the second answers are written; by default a table in the shared folder.
 
-    Where the second request fails, the first answer is read line by line instead. Answers with an error are not asked about.
+    Each answer is asked about once, and the answers are written before they are parsed, so no finding depends on a second evaluation. Where the second request fails, the first
+    answer, which travels with it, is read line by line instead. Answers with an error are not asked about.
     """
     from . import answers
 
-    first = judged.where("should_analyze and error is null").select("doc_id", "chunk_index", "position", "should_analyze", "response")
+    first = judged.where("should_analyze and error is null").select("doc_id", "chunk_index", "position", "should_analyze", F.col("response").alias("first"))
     before, after = (F.lit(part) for part in template.split("{response}", 1))
-    second = judge(first.withColumn("prompt", F.concat(before, F.col("response"), after)), answer, rows_per_call)
-    if table:
-        second.write.mode("overwrite").parquet(table)
-        second = judged.sparkSession.read.parquet(table)
-    done = second.where("error is null").drop("error").withColumn("in_fields", F.lit(True))
-    failed = first.join(second.where("error is not null").select("doc_id", "chunk_index"), ["doc_id", "chunk_index"], "left_semi").withColumn("in_fields", F.lit(False))
-    return answers.structured_findings(done.unionByName(failed))
+    second = judge(first.withColumn("prompt", F.concat(before, F.col("first"), after)), answer, rows_per_call, ("first",))
+    second = written(second, table or shared_path(judged.sparkSession, "second-answers"))
+    in_fields = F.col("error").isNull()
+    return answers.structured_findings(second.withColumns({"response": F.when(in_fields, F.col("response")).otherwise(F.col("first")), "in_fields": in_fields}).drop("first", "error"))
 
 
-def judge(prompts: DataFrame, answer: Callable[[list[str]], list[str]], rows_per_call: int = 4) -> DataFrame:
-    """doc_id, chunk_index, position, should_analyze, response, error, for the rows to analyse; the others get an empty response.
+def judge(prompts: DataFrame, answer: Callable[[list[str]], list[str]], rows_per_call: int = 4, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, chunk_index, position, should_analyze, the columns ``keep``, response, error, for the rows to analyse; the others get an empty response.
 
     ``answer`` maps a list of prompts to a list of answers on the executors. The filter stands before the function, so skipped
     rows never reach it. A failing call is repeated row by row, and the rows that still fail carry their error. Write the
     result to a table before it is used twice: answers are neither cheap nor repeatable.
     """
-    keep = prompts.select("doc_id", "chunk_index", "position", "should_analyze", "prompt")
-    schema = "doc_id {}, chunk_index int, position string, should_analyze boolean, response string, error string".format(keep.schema["doc_id"].dataType.simpleString())
+    rows = prompts.select("doc_id", F.col("chunk_index").cast("int").alias("chunk_index"), "position", "should_analyze", *keep, "prompt")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("prompt").schema) + ", response string, error string"
 
     def one(prompt: str) -> tuple[str, str | None]:
         try:
@@ -84,6 +83,6 @@ def judge(prompts: DataFrame, answer: Callable[[list[str]], list[str]], rows_per
                     results = [one(t) for t in texts]
                 yield part.drop(columns="prompt").assign(response=[r for r, _ in results], error=[e for _, e in results])
 
-    analysed = keep.where("should_analyze").mapInPandas(run, schema)
-    skipped = keep.where("not coalesce(should_analyze, false)").select("doc_id", F.col("chunk_index").cast("int"), "position", F.lit(False).alias("should_analyze"), F.lit("").alias("response"), F.lit(None).cast("string").alias("error"))
+    analysed = rows.where("should_analyze").mapInPandas(run, schema)
+    skipped = rows.where("not coalesce(should_analyze, false)").select("doc_id", "chunk_index", "position", F.lit(False).alias("should_analyze"), *keep, F.lit("").alias("response"), F.lit(None).cast("string").alias("error"))
     return analysed.unionByName(skipped)

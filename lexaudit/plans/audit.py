@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.values import DEFAULT_CHUNK_OVERLAP, DEFAULT_CHUNK_SIZE, DEFAULT_DATA_TERMS, DEFAULT_REGULATORY_TERMS, RETRIEVED, RETRIEVED_BATCH
 from ..operators import answers, documents, findings, judges, prompts, reports, retrieval, routing, violations
+from ..operators.answer_store import AnswerStore
 from ..sources import readers
 
 
@@ -121,13 +122,16 @@ def prompt_rows(routed: DataFrame, rules: Framework, embed: Callable[[Column], C
     )
 
 
-def model_audit(docs: DataFrame, rules: Framework, embed: Callable[[Column], Column], answer: Callable[[list[str]], list[str]], table: str | None = None, progressive: bool = True, rows_per_call: int = 4, **options) -> tuple[DataFrame, DataFrame]:
-    """(routed chunks, findings) of a judge that answers prompts. ``table``: where the answers are written before they are parsed."""
+def model_audit(docs: DataFrame, rules: Framework, embed: Callable[[Column], Column], answer: Callable[[list[str]], list[str]], table: str | None = None, progressive: bool = True, rows_per_call: int = 4, store: AnswerStore | None = None, **options) -> tuple[DataFrame, DataFrame]:
+    """(routed chunks, findings) of a judge that answers prompts.
+
+    ``table``: where the answers are written before they are parsed. ``store``: where they are kept instead, so that a later audit asks only what is new.
+    """
     spark = docs.sparkSession
     routed = routed_chunks(docs, rules, progressive=progressive, **options)
     requests = prompt_rows(routed, rules, embed, RETRIEVED if progressive else RETRIEVED_BATCH)
-    judged = judges.judge(requests, answer, rows_per_call)
-    if table:
+    judged = store.ask(requests, answer, rows_per_call) if store else judges.judge(requests, answer, rows_per_call)
+    if table and not store:
         judged.write.mode("overwrite").parquet(table)
         judged = spark.read.parquet(table)
     return routed, answers.parse_answers(judged)

@@ -304,6 +304,7 @@ ORACLES: dict[str, str] = {
     "chunk_pack_overlap": f"WITH {_CHUNKS} SELECT * FROM chunks",
     "chunk_lines_overlap": "WITH rows AS (SELECT doc_id, replace(text, chr(10), chr(10) || chr(10)) AS text, 'Document' AS title, 0 AS level, 0 AS section_ord FROM documents), " + _chunks("rows", "2500", "250", "") + " SELECT doc_id, chunk_index, position, text FROM chunks",
     "chunk_tiers": f"WITH {_SECTIONS}, sized AS (SELECT *, CASE WHEN n_bytes * 20 < 10000 THEN 10000 WHEN n_bytes * 20 < 50000 THEN 5000 WHEN n_bytes * 20 < 200000 THEN 2500 ELSE 500 END / 10 AS size, CASE WHEN n_bytes * 20 < 10000 THEN 0 WHEN n_bytes * 20 < 50000 THEN 500 WHEN n_bytes * 20 < 200000 THEN 250 ELSE 100 END AS overlap FROM sections), {_chunks('sized', 'size', 'overlap', '')} SELECT doc_id, chunk_index, position, len(text)::INTEGER AS n_chars FROM chunks",
+    "stored_answers": f"WITH {_RESPONSES}, r AS (SELECT doc_id, chunk_index, should_analyze, left(response, 200) AS p FROM responses), k AS (SELECT DISTINCT p FROM r WHERE should_analyze AND doc_id % 2 = 0) SELECT doc_id, chunk_index, should_analyze, CASE WHEN should_analyze THEN length(r.p) || ' ' || left(r.p, 30) ELSE '' END AS response, should_analyze AND k.p IS NOT NULL AS kept FROM r LEFT JOIN k ON r.p = k.p",
     "pdf_pages": "SELECT conv_id AS doc_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS page, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL",
     "pdf_join": "WITH p AS (SELECT conv_id AS doc_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS page, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL) SELECT doc_id, coalesce(string_agg(CASE WHEN text <> '' THEN '[Page ' || page || '] ' || text || chr(10) || chr(10) END, '' ORDER BY page), '') AS text FROM p GROUP BY doc_id",
     "page_join": "SELECT conv_id AS doc_id, coalesce(string_agg(CASE WHEN text <> '' THEN '[Page ' || (turn + 1) || '] ' || text || chr(10) || chr(10) END, '' ORDER BY turn), '') AS text FROM conversations GROUP BY conv_id",

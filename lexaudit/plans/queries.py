@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.values import CONTENT_INDICATORS, DEFAULT_DATA_TERMS, DEFAULT_MODEL, DEFAULT_REGULATORY_TERMS
 from ..operators import answers, documents, findings, judges, prompts, reports, retrieval, routing, violations
+from ..operators.answer_store import AnswerStore
 from ..sources import pdf, readers
+from ..sources.tables import shared_path
 from . import audit
 from . import corpus as C
 
@@ -410,6 +412,16 @@ def restructure(s, d):
     return judges.restructure(judged, answer, template="{response}").select("doc_id", "kind", "ord", "description", "regulation", "confidence", "citation", "explanation")
 
 
+@query
+def stored_answers(s, d):
+    """Requests of every second document are answered first, then those of all: what was kept is not asked again."""
+    rows = _responses(s, d).select("doc_id", "chunk_index", "position", "should_analyze", F.substring("response", 1, 200).alias("prompt"))
+    store = AnswerStore(s, shared_path(s, "answers"))
+    answer = lambda texts: [f"{len(t)} {t[:30]}" for t in texts]
+    store.ask(rows.where("doc_id % 2 = 0"), answer, 100)
+    return store.ask(rows, answer, 100, slices=2).select("doc_id", "chunk_index", "should_analyze", "response", "kept")
+
+
 def _deduped(s: SparkSession, d: str) -> DataFrame:
     return findings.deduplicate(_findings(s, d))
 
