@@ -85,3 +85,11 @@ MODELS = (
 )
 DEFAULT_MODEL = "small"
 FRAMEWORK_FILES = ("articles.txt", "common_patterns.txt", "context.txt", "handler.py", "prompts.json")
+
+# The fields of answers in JSON.
+JSON_ISSUES, JSON_TAGS, JSON_FIELDS = "issues", "topic_tags", ("issue", "regulation", "confidence", "explanation", "citation")
+CONTRADICTION_FIELDS, CONTRADICTION = ("issue", "section", "confidence", "explanation", "finding_type"), "contradiction"
+CONFIDENCES = ("High", "Medium", "Low")
+
+#: Words by which a statement denies something.
+DENIALS = ("no", "not", "never", "none", "nobody", "nothing", "without", "cannot", "lacks", "missing", "fails")

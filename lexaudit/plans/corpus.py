@@ -127,6 +127,19 @@ STRUCTURED = (
     "No headings at all",
 )
 
+#: Answers in JSON; << and >> stand for braces, @A and @B for statements. Good, fenced, cut off, with a comma missing, without JSON, empty, with fields missing, with odd tags.
+JSON_ANSWERS = (
+    '<<"issues": [<<"issue": "@A", "regulation": "Article 5(1)(e)", "confidence": "High", "explanation": "why", "citation": "words">>, <<"issue": "@B", "regulation": "Article 7", "confidence": "low", "explanation": "", "citation": null>>], "topic_tags": ["data_retention", "consent"]>>',
+    'Here it is:\\n```json\\n<<"issues": [<<"issue": "@A", "regulation": "Article 17", "confidence": "Medium", "explanation": "line break", "citation": "a [b]">>],\\n "topic_tags": ["data_retention", "erasure"]>>\\n```\\nDone.',
+    '<<"topic_tags": ["Data Retention", "sharing"], "issues": [<<"issue": "@A", "regulation": "Article 5", "confidence": "High", "explanation": "e", "citation": "c">>, <<"issue": "@B", "regulation": "Arti',
+    '<<"issues": [<<"issue": "@A", "regulation": "Article 32", "confidence": "High", "explanation": "e", "citation": "c">> <<"issue": "@B", "confidence": "High">>], "topic_tags": ["security", "data_retention"]>>',
+    "No issue stands out in this section.",
+    '<<"issues": [], "topic_tags": ["data_retention"]>>',
+    '<<"issues": [<<"issue": "@A">>, <<"issue": "  ", "regulation": "Article 1">>, <<"issue": "@B", "regulation": " ", "confidence": "certain", "explanation": 5>>], "topic_tags": ["consent", "data_retention"]>>',
+    '<<"issues": [<<"issue": "@A", "regulation": "Article 6", "confidence": "HIGH", "explanation": "e", "citation": "c">>], "topic_tags": ["Data-Retention", "data retention", " ", "SECURITY!"]>>',
+)
+CLAIMS = ("Records are kept for two years", "Records are never deleted", "Consent is asked for", "Consent cannot be withdrawn", "Data goes to third parties", "No data leaves the company", "Security measures are missing", "Every table is encrypted", "Users may erase their data")
+
 
 def _pick(phrases, key: str) -> str:
     quote = lambda s: "'" + s.replace("'", "''").replace("\\n", f"' || {NL} || '") + "'"
@@ -161,6 +174,12 @@ FROM {{orders}}
 #: doc_id, response of the field format.
 AUDIT_STRUCTURED = f"SELECT o_orderkey AS doc_id, {_pick(STRUCTURED, 'o_orderkey')} AS response FROM {{orders}}"
 
+#: doc_id, chunk_index, position, should_analyze, response of the JSON format: documents of many sections, most of which share a tag.
+AUDIT_JSON = f"""
+SELECT o_custkey % 40 AS doc_id, CAST(o_orderkey AS INT) AS chunk_index, 'Section ' || CAST(o_orderkey % 9 AS VARCHAR(9)) AS position, o_orderkey % 13 <> 0 AS should_analyze,
+replace(replace(replace(replace({_pick(JSON_ANSWERS, 'o_orderkey')}, '@A', {_pick(CLAIMS, 'o_orderkey * 5 + o_custkey')}), '@B', {_pick(CLAIMS, 'o_orderkey * 3 + 1')}), '<<', chr(123)), '>>', chr(125)) AS response FROM {{orders}}
+"""
+
 #: Findings with all confidences and repeated descriptions: the columns of parsed findings.
 AUDIT_FINDINGS = f"""
 SELECT o_custkey AS doc_id, CAST(o_orderkey AS INT) AS chunk_index, CASE WHEN o_orderkey % 3 = 0 THEN 'point' ELSE 'issue' END AS kind, 0 AS ord,

@@ -288,6 +288,20 @@ a AS (SELECT doc_id, count(*) FILTER (kind = 'issue') AS n, count(*) FILTER (kin
 SELECT doc_id, '{{"document":' || to_json(regexp_extract(path, '[^/]*$')) || ',"document_type":' || to_json({_TYPE}) || ',"regulation_framework":"demo","findings":[' || coalesce(entries, '') || '],"compliance_points":[' || coalesce(others, '') || '],"analysis_type":"progressive","summary":"The document contains '
   || coalesce(n, 0) || ' potential compliance issue(s) and ' || coalesce(m, 0) || ' compliance point(s) related to demo."}}' AS report FROM docs LEFT JOIN a USING (doc_id)"""
 
+_FIELD = lambda f: f"trim(coalesce(json_extract_string(item, '$.{f}'), ''))"
+_JSON_FINDINGS = rf"""answers AS ({C.AUDIT_JSON.format(orders="orders")}),
+bodies AS (SELECT *, regexp_extract(response, '(?s)\{{.*\}}', 0) AS body FROM answers), checked AS (SELECT *, body <> '' AND json_valid(body) AS valid FROM bodies),
+listed AS (SELECT doc_id, chunk_index, position, NOT valid AS repaired, CASE WHEN valid THEN json_extract(body, '$.issues[*]')::VARCHAR[] ELSE list_filter(regexp_extract_all(response, '\{{[^{{}}]*\}}'), lambda x: json_valid(x)) END AS items,
+  CASE WHEN valid THEN json_extract_string(body, '$.topic_tags[*]') ELSE regexp_extract_all(regexp_extract(response, '"topic_tags"\s*:\s*\[([^\]]*)', 1), '"([^"]*)"', 1) END AS named FROM checked),
+numbered AS (SELECT doc_id, chunk_index, position, repaired, unnest(items) AS item, generate_subscripts(items, 1) - 1 AS ord,
+  list_sort(list_distinct(list_filter(list_transform(named, lambda t: regexp_replace(regexp_replace(lower(t), '[^a-z0-9]+', '_', 'g'), '^_|_$', '', 'g')), lambda t: t <> ''))) AS tags FROM listed),
+json_found AS (SELECT doc_id, chunk_index, ord::INTEGER AS ord, {_FIELD('issue')} AS description, CASE WHEN {_FIELD('regulation')} = '' THEN 'Unknown Regulation' ELSE {_FIELD('regulation')} END AS regulation,
+  CASE lower({_FIELD('confidence')}) WHEN 'high' THEN 'High' WHEN 'low' THEN 'Low' ELSE 'Medium' END AS confidence, {_FIELD('citation')} AS citation, {_FIELD('explanation')} AS explanation, position AS section, repaired, tags FROM numbered WHERE {_FIELD('issue')} <> '')"""
+_PAIRS = r"""said AS (SELECT doc_id, chunk_index, ord, section, description, regexp_matches(lower(description), '\b(no|not|never|none|nobody|nothing|without|cannot|lacks|missing|fails)\b') AS denies, unnest(tags) AS tag FROM json_found),
+met AS (SELECT a.doc_id, b.chunk_index AS earlier_chunk, b.ord AS earlier_ord, b.section AS earlier_section, b.description AS earlier_description, a.chunk_index AS later_chunk, a.ord AS later_ord, a.section AS later_section, a.description AS later_description, a.tag
+  FROM said a JOIN said b ON a.doc_id = b.doc_id AND a.tag = b.tag AND a.denies <> b.denies AND b.chunk_index < a.chunk_index
+  QUALIFY row_number() OVER (PARTITION BY a.doc_id, a.tag, a.chunk_index, a.ord ORDER BY b.chunk_index DESC, b.ord DESC) = 1)"""
+
 ORACLES: dict[str, str] = {
     "doc_type": f"WITH {_DOCS} SELECT doc_id, {_TYPE} AS document_type FROM docs",
     "data_mentions": f"WITH {_DOCS} SELECT doc_id, {_words(DATA_MENTIONS)} AS mentions FROM docs",
@@ -304,6 +318,8 @@ ORACLES: dict[str, str] = {
     "chunk_pack_overlap": f"WITH {_CHUNKS} SELECT * FROM chunks",
     "chunk_lines_overlap": "WITH rows AS (SELECT doc_id, replace(text, chr(10), chr(10) || chr(10)) AS text, 'Document' AS title, 0 AS level, 0 AS section_ord FROM documents), " + _chunks("rows", "2500", "250", "") + " SELECT doc_id, chunk_index, position, text FROM chunks",
     "chunk_tiers": f"WITH {_SECTIONS}, sized AS (SELECT *, CASE WHEN n_bytes * 20 < 10000 THEN 10000 WHEN n_bytes * 20 < 50000 THEN 5000 WHEN n_bytes * 20 < 200000 THEN 2500 ELSE 500 END / 10 AS size, CASE WHEN n_bytes * 20 < 10000 THEN 0 WHEN n_bytes * 20 < 50000 THEN 500 WHEN n_bytes * 20 < 200000 THEN 250 ELSE 100 END AS overlap FROM sections), {_chunks('sized', 'size', 'overlap', '')} SELECT doc_id, chunk_index, position, len(text)::INTEGER AS n_chars FROM chunks",
+    "json_findings": f"WITH {_JSON_FINDINGS} SELECT * EXCLUDE (tags), array_to_string(tags, '|') AS tags FROM json_found",
+    "contradiction_pairs": f"WITH {_JSON_FINDINGS}, {_PAIRS} SELECT * EXCLUDE (tag), string_agg(tag, '|' ORDER BY tag) AS tags FROM met WHERE earlier_section <> later_section GROUP BY ALL",
     "stored_answers": f"WITH {_RESPONSES}, r AS (SELECT doc_id, chunk_index, should_analyze, left(response, 200) AS p FROM responses), k AS (SELECT DISTINCT p FROM r WHERE should_analyze AND doc_id % 2 = 0) SELECT doc_id, chunk_index, should_analyze, CASE WHEN should_analyze THEN length(r.p) || ' ' || left(r.p, 30) ELSE '' END AS response, should_analyze AND k.p IS NOT NULL AS kept FROM r LEFT JOIN k ON r.p = k.p",
     "pdf_pages": "SELECT conv_id AS doc_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS page, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL",
     "pdf_join": "WITH p AS (SELECT conv_id AS doc_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS page, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL) SELECT doc_id, coalesce(string_agg(CASE WHEN text <> '' THEN '[Page ' || page || '] ' || text || chr(10) || chr(10) END, '' ORDER BY page), '') AS text FROM p GROUP BY doc_id",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.values import CONTENT_INDICATORS, DEFAULT_DATA_TERMS, DEFAULT_MODEL, DEFAULT_REGULATORY_TERMS
-from ..operators import answers, documents, findings, judges, prompts, reports, retrieval, routing, violations
+from ..operators import answers, contradictions, documents, findings, json_answers, judges, prompts, reports, retrieval, routing, violations
 from ..operators.answer_store import AnswerStore
 from ..sources import pdf, readers
 from ..sources.tables import shared_path
@@ -412,6 +412,19 @@ def restructure(s, d):
     return judges.restructure(judged, answer, template="{response}").select("doc_id", "kind", "ord", "description", "regulation", "confidence", "citation", "explanation")
 
 
+@query
+def json_findings(s, d):
+    """Good, fenced, cut off and broken answers in JSON."""
+    found = json_answers.parse_json_answers(C.build(s, d, C.AUDIT_JSON))
+    return found.select("doc_id", "chunk_index", "ord", "description", "regulation", "confidence", "citation", "explanation", "section", "repaired", *_joined("tags"))
+
+
+@query
+def contradiction_pairs(s, d):
+    pairs = contradictions.candidate_pairs(json_answers.parse_json_answers(C.build(s, d, C.AUDIT_JSON)))
+    return pairs.select("doc_id", "earlier_chunk", "earlier_ord", "earlier_section", "earlier_description", "later_chunk", "later_ord", "later_section", "later_description", *_joined("tags"))
+
+
 @query
 def stored_answers(s, d):
     """Requests of every second document are answered first, then those of all: what was kept is not asked again."""
