@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import importlib
+import os
 import sys
 from datetime import datetime
 
@@ -75,8 +76,9 @@ def analyze(spark: SparkSession, args) -> int:
     described = docs.withColumn("document_type", audit.T.document_type(F.col("text")))
     for row in reports.report_json(described, findings.deduplicate(raw), rules.name, options["progressive"]).toLocalIterator():
         print(row.report)
-    if args.export:
-        audit.write_reports(docs, routed, raw, rules, None, args.export, args.date or datetime.now().strftime("%Y-%m-%d %H:%M:%S"), options["progressive"])
+    if args.export or args.export_files:
+        folder = args.export_files and os.path.abspath(args.export_files)
+        audit.write_reports(docs, routed, raw, rules, None, args.export, args.date or datetime.now().strftime("%Y-%m-%d %H:%M:%S"), options["progressive"], folder)
     return 0
 
 
@@ -90,6 +92,7 @@ def parser() -> argparse.ArgumentParser:
     a.add_argument("--chunk-size", type=int, default=DEFAULT_CHUNK_SIZE)
     a.add_argument("--overlap", type=int, default=DEFAULT_CHUNK_OVERLAP)
     a.add_argument("--export", help="folder of the text reports")
+    a.add_argument("--export-files", help="folder for a text report of its own for each document")
     a.add_argument("--model", default=DEFAULT_MODEL, choices=[m[0] for m in MODELS])
     a.add_argument("--judge", help="module:function that maps prompts to answers; the rule judge without it")
     a.add_argument("--embedder", help="module:function, a pandas UDF of text to vectors; hashed words without it")

@@ -12,7 +12,7 @@ from ..functions import text as T
 from ..functions.values import DEFAULT_CHUNK_OVERLAP, DEFAULT_CHUNK_SIZE, DEFAULT_DATA_TERMS, DEFAULT_REGULATORY_TERMS, RETRIEVED, RETRIEVED_BATCH
 from ..operators import answers, documents, findings, judges, prompts, reports, retrieval, routing, violations
 from ..operators.answer_store import AnswerStore
-from ..sources import readers
+from ..sources import readers, report_files
 
 
 @dataclass
@@ -137,11 +137,17 @@ def model_audit(docs: DataFrame, rules: Framework, embed: Callable[[Column], Col
     return routed, answers.parse_answers(judged)
 
 
-def write_reports(docs: DataFrame, routed: DataFrame, raw: DataFrame, rules: Framework, json_path: str | None, text_path: str | None, date: str, progressive: bool = True) -> None:
-    """The JSON reports (one line per document) and the text reports (one row of text per document) as files."""
+def write_reports(docs: DataFrame, routed: DataFrame, raw: DataFrame, rules: Framework, json_path: str | None, text_path: str | None, date: str, progressive: bool = True, files_path: str | None = None) -> None:
+    """The JSON reports (one line per document), the text reports (one row of text per document), and the text reports as files of their own (``files_path``)."""
     merged = findings.deduplicate(raw)
     described = documents.with_metadata(docs)
     if json_path:
         reports.report_json(described, merged, rules.name, progressive).select("report").write.mode("overwrite").text(json_path)
+    if not text_path and not files_path:
+        return
+    texts = reports.report_text(reports.report_lines(described, routed, raw, merged, rules.name, date, progressive))
     if text_path:
-        reports.report_text(reports.report_lines(described, routed, raw, merged, rules.name, date, progressive)).write.mode("overwrite").json(text_path)
+        texts.write.mode("overwrite").json(text_path)
+    if files_path:
+        names = report_files.file_names(docs, F.col("path") if "path" in docs.columns else F.col("doc_id").cast("string"))
+        report_files.write_files(texts.join(names, "doc_id").select("name", F.col("report").alias("text")), files_path)

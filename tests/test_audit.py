@@ -122,6 +122,8 @@ def test_command_line(spark, tmp_path, capsys):
     report = json.loads(capsys.readouterr().out)
     assert report["document"] == "a.txt" and report["findings"][0]["section"] == "1. Storage" and report["analysis_type"] == "progressive"
     assert spark.read.json(str(tmp_path / "out")).count() == 1
+    assert main([*base, "analyze", str(doc), "--framework", "demo", "--export-files", str(tmp_path / "files"), "--date", "now"], spark) == 0 and capsys.readouterr()
+    assert [p.name for p in (tmp_path / "files").iterdir()] == ["a_report.txt"] and "Document: a.txt\n" in (tmp_path / "files" / "a_report.txt").read_text()
     assert main([*base, "analyze", str(doc), "--framework", "none"], spark) == 1 and "available: demo" in capsys.readouterr().err
 
 
