@@ -146,6 +146,24 @@ def _pick(phrases, key: str) -> str:
     return f"(CASE ({key}) % {len(phrases)} " + " ".join(f"WHEN {i} THEN {quote(p)}" for i, p in enumerate(phrases)) + " END)"
 
 
+def _text(text: str) -> str:
+    """SQL of a text with quotes and line ends."""
+    return "'" + text.replace("'", "' || chr(39) || '").replace("\n", f"' || {NL} || '") + "'"
+
+
+#: Rule files of a framework for each customer: framework (and term_type), text. Each has the same rules and some of its own.
+PATTERN_FILES = f"""
+SELECT 'f' || CAST(c_custkey AS VARCHAR(9)) AS framework, {_text(PATTERNS)} || {NL} || {NL} || repeat('Pattern: of ' || c_mktsegment || {NL} || 'Description: found at ' || c_name || {NL}
+|| 'Indicators: ' || CASE WHEN c_custkey % 2 = 0 THEN '"' || c_name || '", "x"' ELSE c_name || ', y, z' END || {NL} || 'Related Articles: Article ' || CAST(c_custkey % 9 AS VARCHAR(9)) || {NL} || {NL}, c_custkey % 4) AS text FROM {{customer}}
+"""
+ARTICLE_FILES = f"""
+SELECT 'f' || CAST(c_custkey AS VARCHAR(9)) AS framework, {_text(ARTICLES)} || repeat('Article ' || CAST(c_custkey AS VARCHAR(9)) || ' - Duties of ' || c_name || {NL} || 'Consent and data of ' || c_mktsegment || {NL}, c_custkey % 3) AS text FROM {{customer}}
+"""
+TERM_FILES = f"""
+SELECT 'f' || CAST(c_custkey AS VARCHAR(9)) AS framework, CASE WHEN c_custkey % 2 = 0 THEN 'data_terms' ELSE 'regulatory_keywords' END AS term_type,
+CASE WHEN c_custkey % 2 = 0 THEN {_text(TERMS)} ELSE {_text(KEYWORDS)} END || '# of ' || c_name || {NL} || ' ' || c_mktsegment || {NL} || {NL} || 'phone ' || CAST(c_custkey AS VARCHAR(9)) AS text FROM {{customer}}
+"""
+
 #: doc_id, path, n_bytes, text. Headers of all kinds, blank-line paragraphs, short and long sections, texts without headers.
 AUDIT_DOCS = f"""
 SELECT doc_id, path, CAST(length(text) AS BIGINT) AS n_bytes, text FROM (

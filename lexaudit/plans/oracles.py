@@ -87,10 +87,13 @@ _SCORES = (
 FROM chunks c LEFT JOIN terms t ON contains(lower(c.text), t.term) GROUP BY ALL),
 routed AS (SELECT *, data_score + regulatory_score AS total_score, CASE WHEN len(text) < 100 THEN false ELSE data_score + regulatory_score >= 3 OR len(text) > 1500 END AS should_analyze FROM scored)"""
 )
-_PATTERNS = f"""blocks AS (SELECT unnest(string_split({_q(C.PATTERNS)}, chr(10) || chr(10))) AS block, generate_subscripts(string_split({_q(C.PATTERNS)}, chr(10) || chr(10)), 1) - 1 AS pattern_ord),
-fields AS (SELECT pattern_ord::INTEGER AS pattern_ord, regexp_extract(block, '(?m)^Pattern:(.*)$', 1) AS p, regexp_extract(block, '(?m)^Description:(.*)$', 1) AS d, regexp_extract(block, '(?m)^Indicators:(.*)$', 1) AS i, regexp_extract(block, '(?m)^Related[^:]*:(.*)$', 1) AS r FROM blocks WHERE len(string_split(block, chr(10))) >= 3),
-patterns AS (SELECT pattern_ord, trim(p) AS pattern, trim(d) AS description, CASE WHEN contains(i, '"') THEN regexp_extract_all(i, '"([^"]*)"', 1) ELSE list_transform(string_split(i, ','), lambda x: trim(x)) END AS indicators, list_transform(string_split(trim(r), ','), lambda x: trim(x)) AS related_refs FROM fields WHERE p <> ''),
-inds AS (SELECT pattern_ord, (generate_subscripts(indicators, 1) - 1)::INTEGER AS indicator_ord, pattern, description, unnest(indicators) AS indicator, related_refs FROM patterns)"""
+_FILE = lambda text: f"(SELECT 'demo' AS framework, {_q(text)} AS text)"
+_FILES = lambda sql: f"({sql.format(customer='customer')})"
+_PATTERNS_OF = lambda source: f"""blocks AS (SELECT framework, unnest(string_split(text, chr(10) || chr(10))) AS block, generate_subscripts(string_split(text, chr(10) || chr(10)), 1) - 1 AS pattern_ord FROM {source} f),
+fields AS (SELECT framework, pattern_ord::INTEGER AS pattern_ord, regexp_extract(block, '(?m)^Pattern:(.*)$', 1) AS p, regexp_extract(block, '(?m)^Description:(.*)$', 1) AS d, regexp_extract(block, '(?m)^Indicators:(.*)$', 1) AS i, regexp_extract(block, '(?m)^Related[^:]*:(.*)$', 1) AS r FROM blocks WHERE len(string_split(block, chr(10))) >= 3),
+patterns AS (SELECT framework, pattern_ord, trim(p) AS pattern, trim(d) AS description, CASE WHEN contains(i, '"') THEN regexp_extract_all(i, '"([^"]*)"', 1) ELSE list_transform(string_split(i, ','), lambda x: trim(x)) END AS indicators, list_transform(string_split(trim(r), ','), lambda x: trim(x)) AS related_refs FROM fields WHERE p <> ''),
+inds AS (SELECT pattern_ord, (generate_subscripts(indicators, 1) - 1)::INTEGER AS indicator_ord, pattern, description, unnest(indicators) AS indicator, related_refs FROM patterns)"""
+_PATTERNS = _PATTERNS_OF(_FILE(C.PATTERNS))
 
 
 def _scan(source: str, keys: str) -> str:
@@ -99,12 +102,13 @@ def _scan(source: str, keys: str) -> str:
   FROM {source} JOIN inds ON contains(lower(text), lower(indicator)))"""
 
 
-_ARTICLE_LINES = f"""lines AS (SELECT unnest(string_split({_q(C.ARTICLES)}, chr(10))) AS line, generate_subscripts(string_split({_q(C.ARTICLES)}, chr(10)), 1) AS n),
+_ARTICLE_LINES = lambda source: f"""lines AS (SELECT framework, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM {source} f),
 flags AS (SELECT *, regexp_matches(trim(line), '^((Article|Section|Rule|Standard|Requirement|Principle|Regulation|Part|Chapter)\\s+\\S+|\\d+\\.\\s*[A-Z]|[A-Z][A-Z\\s]+[A-Z]$|\\d+\\.\\d+\\s+)') AS starts FROM lines),
-grouped AS (SELECT *, sum(starts::INTEGER) OVER (ORDER BY n) AS art, CASE WHEN starts THEN CASE WHEN contains(line, ' - ') THEN trim(substr(line, instr(line, ' - ') + 3)) ELSE '' END ELSE line END AS tagged FROM flags)""".replace("\\\\", "\\")
+grouped AS (SELECT *, sum(starts::INTEGER) OVER (PARTITION BY framework ORDER BY n) AS art, CASE WHEN starts THEN CASE WHEN contains(line, ' - ') THEN trim(substr(line, instr(line, ' - ') + 3)) ELSE '' END ELSE line END AS tagged FROM flags)""".replace("\\\\", "\\")
 _CONCEPTS_OF = lambda x: f"list_sort(list_filter({_list(CONCEPTS)}, lambda c: regexp_matches(lower({x}), '\\b' || c || '\\b')))"
-_ARTICLES = _ARTICLE_LINES + f""", articles AS (SELECT (row_number() OVER (ORDER BY art) - 1)::INTEGER AS art_ord, coalesce(max(CASE WHEN starts THEN trim(string_split(line, ' - ')[1]) END), '') AS id,
-  coalesce(max(CASE WHEN starts THEN tagged END), '') AS title, string_agg(line || chr(10), '' ORDER BY n) AS text, flatten(list({_CONCEPTS_OF('tagged')} ORDER BY n)) AS related_concepts FROM grouped GROUP BY art)"""
+_ARTICLES_OF = lambda source: _ARTICLE_LINES(source) + f""", articles AS (SELECT framework, (row_number() OVER (PARTITION BY framework ORDER BY art) - 1)::INTEGER AS art_ord, coalesce(max(CASE WHEN starts THEN trim(string_split(line, ' - ')[1]) END), '') AS id,
+  coalesce(max(CASE WHEN starts THEN tagged END), '') AS title, string_agg(line || chr(10), '' ORDER BY n) AS text, flatten(list({_CONCEPTS_OF('tagged')} ORDER BY n)) AS related_concepts FROM grouped GROUP BY framework, art)"""
+_ARTICLES = _ARTICLES_OF(_FILE(C.ARTICLES))
 _KNN = """reps AS (SELECT label AS art_ord, arg_min(embedding, vec_id) AS v FROM embeddings GROUP BY label),
 pairs AS (SELECT vec_id, art_ord, round(list_sum(list_transform(range(1, len(v) + 1), lambda i: (embedding[i]::DOUBLE - v[i]::DOUBLE) * (embedding[i]::DOUBLE - v[i]::DOUBLE))), 6) AS distance FROM embeddings, reps),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY distance, art_ord)::INTEGER AS rank FROM pairs)"""
@@ -324,7 +328,7 @@ ORACLES: dict[str, str] = {
     "pdf_pages": "SELECT conv_id AS doc_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS page, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL",
     "pdf_join": "WITH p AS (SELECT conv_id AS doc_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS page, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL) SELECT doc_id, coalesce(string_agg(CASE WHEN text <> '' THEN '[Page ' || page || '] ' || text || chr(10) || chr(10) END, '' ORDER BY page), '') AS text FROM p GROUP BY doc_id",
     "page_join": "SELECT conv_id AS doc_id, coalesce(string_agg(CASE WHEN text <> '' THEN '[Page ' || (turn + 1) || '] ' || text || chr(10) || chr(10) END, '' ORDER BY turn), '') AS text FROM conversations GROUP BY conv_id",
-    "term_scan": f"WITH {_TERMS} SELECT * FROM terms",
+    "term_scan": f"WITH l AS (SELECT framework, term_type, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS term_ord FROM {_FILES(C.TERM_FILES)} f) SELECT framework, term_type, term_ord::BIGINT AS term_ord, {_strip('line')} AS term FROM l WHERE NOT starts_with(line, '#') AND {_strip('line')} <> ''",
     "term_score": f"WITH {_SCORES} SELECT doc_id, chunk_index, data_score, regulatory_score, total_score FROM routed",
     "route": f"WITH {_SCORES} SELECT doc_id, chunk_index, should_analyze FROM routed",
     "route_documents": f"WITH s AS (SELECT text, len(list_filter({_list(DEFAULT_DATA_TERMS)}, lambda t: contains(lower(text), t))) + len(list_filter({_list(DEFAULT_REGULATORY_TERMS)}, lambda t: contains(lower(text), t))) AS n FROM documents) SELECT n::INTEGER AS total_score, len(text) >= 100 AND (n >= 3 OR len(text) > 1500) AS should_analyze, count(*) AS n, min(len(text))::INTEGER AS shortest, max(len(text))::INTEGER AS longest FROM s GROUP BY 1, 2",
@@ -332,11 +336,11 @@ ORACLES: dict[str, str] = {
     "skip_union": f"WITH {_SCORES} SELECT doc_id, chunk_index, position, should_analyze, CASE WHEN should_analyze THEN 1 ELSE 0 END AS n_issues FROM routed",
     "batching": f"WITH {_CHUNKS} SELECT doc_id, chunk_index, (chunk_index // 4 + 1)::INTEGER AS batch_no, ((count(*) OVER (PARTITION BY doc_id) + 3) // 4)::INTEGER AS n_batches FROM chunks",
     "term_join": f"WITH {_CHUNKS}, {_TERMS} SELECT doc_id, chunk_index, term_type, count(*) AS score FROM chunks JOIN terms ON contains(lower(text), term) GROUP BY ALL",
-    "pattern_parse": f"WITH {_PATTERNS} SELECT pattern_ord, pattern, description, array_to_string(indicators, '|') AS indicators, array_to_string(related_refs, '|') AS related_refs FROM patterns",
-    "pattern_count": f"SELECT len(regexp_extract_all({_q(C.PATTERNS)}, 'Pattern:'))::BIGINT AS n_patterns",
-    "article_parse": f"WITH {_ARTICLES} SELECT art_ord, id, title, text FROM articles",
+    "pattern_parse": f"WITH {_PATTERNS_OF(_FILES(C.PATTERN_FILES))} SELECT framework, pattern_ord, pattern, description, array_to_string(indicators, '|') AS indicators, array_to_string(related_refs, '|') AS related_refs FROM patterns",
+    "pattern_count": f"SELECT framework, len(regexp_extract_all(text, 'Pattern:'))::BIGINT AS n_patterns FROM {_FILES(C.PATTERN_FILES)} f",
+    "article_parse": f"WITH {_ARTICLES_OF(_FILES(C.ARTICLE_FILES))} SELECT framework, art_ord, id, title, text FROM articles",
     "concept_tag": f"WITH {_DOCS} SELECT doc_id, array_to_string({_CONCEPTS_OF('text')}, '|') AS concepts FROM docs",
-    "concept_bag": f"WITH {_ARTICLES} SELECT art_ord, array_to_string(related_concepts, '|') AS related_concepts FROM articles",
+    "concept_bag": f"WITH {_ARTICLES_OF(_FILES(C.ARTICLE_FILES))} SELECT framework, art_ord, array_to_string(related_concepts, '|') AS related_concepts FROM articles",
     "indicator_scan": f"WITH {_CHUNKS}, {_PATTERNS}, {_scan('chunks', 'doc_id, chunk_index')} SELECT doc_id, chunk_index, pattern_ord, indicator_ord, pattern, description, indicator, context, array_to_string(related_refs, '|') AS related_refs FROM found",
     "top5_violations": f"WITH {_DOCS}, {_PATTERNS}, {_scan('docs', 'doc_id')}, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pattern_ord, indicator_ord)::INTEGER AS rank FROM found) SELECT doc_id, rank, pattern_ord, indicator_ord, indicator FROM r WHERE rank <= 5",
     "benchmark_needles": f"WITH inds AS (SELECT item_id AS pattern_ord, 0 AS indicator_ord, '' AS pattern, '' AS description, text AS indicator, [] AS related_refs FROM benchmark), {_scan('documents', 'doc_id')} SELECT doc_id, pattern_ord, context FROM found",
@@ -345,8 +349,8 @@ ORACLES: dict[str, str] = {
     "knn_join_meta": f"WITH {_KNN} SELECT vec_id, rank, 'Article ' || art_ord AS id, '' AS title, 'data' AS related_concepts FROM ranked WHERE rank <= 5",
     "doc_meta_join": f"WITH {_CHUNKS} SELECT doc_id, chunk_index, document_type FROM chunks",
     "model_lookup": f"WITH w AS (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'large' WHEN 1 THEN 'medium' ELSE lower(c_mktsegment) END AS asked FROM customer) SELECT c_custkey, key, name, batch_size, context_window, temperature FROM w JOIN {_MODELS} ON m.key = CASE WHEN asked IN ('small', 'medium', 'large') THEN asked ELSE 'small' END",
-    "models": f"SELECT * FROM {_MODELS}",
-    "framework_files": f"SELECT id, file FROM (VALUES ('demo'), ('example')) f(id), (SELECT unnest({_list(FRAMEWORK_FILES)}) AS file) WHERE (id, file) NOT IN (('demo', 'articles.txt'), ('demo', 'common_patterns.txt'), ('demo', 'handler.py'), ('example', 'handler.py'))",
+    "models": f"WITH a AS (SELECT CASE c_custkey % 4 WHEN 0 THEN 'large' WHEN 1 THEN 'medium' ELSE lower(c_mktsegment) END AS key, count(*) AS n FROM customer GROUP BY 1) SELECT m.*, coalesce(n, 0) AS n_customers FROM {_MODELS} LEFT JOIN a ON a.key = m.key",
+    "framework_files": f"WITH e AS (SELECT n_nationkey, n_name AS id, unnest({_list(FRAMEWORK_FILES)}) AS file FROM nation) SELECT id, file FROM e WHERE NOT EXISTS (SELECT 1 FROM customer c WHERE c.c_nationkey = e.n_nationkey AND c.c_custkey % 3 = 0 AND {_list(FRAMEWORK_FILES)}[c.c_custkey % {len(FRAMEWORK_FILES)} + 1] = e.file)",
     "regulation_norm": f"WITH {_FINDINGS} SELECT doc_id, chunk_index, {_norm_reg('regulation')} AS norm, {_norm_reg('regulation', False)} AS norm_plain FROM findings",
     "text_norm": f"WITH {_FINDINGS} SELECT doc_id, chunk_index, {_norm_text('description')} AS norm FROM findings",
     "dedup_key": f"WITH {_FINDINGS} SELECT doc_id, chunk_index, {_KEY} AS key FROM findings",
@@ -375,7 +379,7 @@ ORACLES: dict[str, str] = {
     "finding_defaults": f"WITH {_FINDINGS}, {_RESPONSES} SELECT f.doc_id, f.chunk_index, CASE WHEN f.chunk_index % 2 = 0 THEN section ELSE position END AS section, response AS text, CASE WHEN f.chunk_index % 3 = 0 THEN false ELSE r.should_analyze END AS should_analyze FROM findings f JOIN responses r USING (doc_id, chunk_index)",
     "first_issues": f"WITH {_FINDINGS}, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, kind ORDER BY chunk_index)::INTEGER AS place FROM findings) SELECT doc_id, kind, place, chunk_index AS ord, description FROM r WHERE place <= 3",
     "labels_breakdown": "SELECT quality, count(*) AS n, count(*) FILTER (toxic = 1) AS toxic FROM labels GROUP BY quality",
-    "format_regulations": f"WITH {_ARTICLES} SELECT 'VIOLATION PATTERNS: 4 patterns available' || string_agg(chr(10) || chr(10) || 'REGULATION ' || (art_ord + 1) || ': ' || id || CASE WHEN title <> '' THEN ' - ' || title ELSE '' END || CASE WHEN len(related_concepts) > 0 THEN chr(10) || 'RELATED CONCEPTS: ' || array_to_string(related_concepts, ', ') ELSE '' END || chr(10) || text, '' ORDER BY art_ord) AS regulations FROM articles WHERE art_ord < 5",
+    "format_regulations": f"WITH {_ARTICLES_OF(_FILES(C.ARTICLE_FILES))} SELECT framework, 'VIOLATION PATTERNS: 4 patterns available' || string_agg(chr(10) || chr(10) || 'REGULATION ' || (art_ord + 1) || ': ' || id || CASE WHEN title <> '' THEN ' - ' || title ELSE '' END || CASE WHEN len(related_concepts) > 0 THEN chr(10) || 'RELATED CONCEPTS: ' || array_to_string(related_concepts, ', ') ELSE '' END || chr(10) || text, '' ORDER BY art_ord) AS regulations FROM articles WHERE art_ord < 5 GROUP BY framework",
     "structured_parse": _STRUCTURED_ITEMS,
     "simple_items": _SIMPLE_ITEMS,
     "restructure": f"WITH f AS ({_STRUCTURED_ITEMS.replace('SELECT doc_id, ' + _strip('f1'), 'SELECT doc_id, ord, ' + _strip('f1'))}), l AS ({_SIMPLE_ITEMS}) SELECT doc_id, 'issue' AS kind, ord, title AS description, regulation, confidence, coalesce(citation, '') AS citation, explanation FROM f UNION ALL SELECT doc_id, kind, item_ord - 1, title, regulation, confidence, coalesce(citation, ''), explanation FROM l WHERE NOT (kind = 'issue' AND doc_id IN (SELECT doc_id FROM f))",

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.values import CONTENT_INDICATORS, DEFAULT_DATA_TERMS, DEFAULT_MODEL, DEFAULT_REGULATORY_TERMS
+from ..functions.values import CONTENT_INDICATORS, DEFAULT_DATA_TERMS, DEFAULT_MODEL, DEFAULT_REGULATORY_TERMS, FRAMEWORK_FILES
 from ..operators import answers, contradictions, documents, findings, json_answers, judges, prompts, reports, retrieval, routing, violations
 from ..operators.answer_store import AnswerStore
 from ..sources import pdf, readers
@@ -168,7 +168,7 @@ def pdf_join(s, d):
 
 @query
 def term_scan(s, d):
-    return _terms(s).select("term_type", F.col("term_ord").cast("long").alias("term_ord"), "term")
+    return readers.parse_terms(C.build(s, d, C.TERM_FILES)).select("framework", "term_type", F.col("term_ord").cast("long").alias("term_ord"), "term")
 
 
 @query
@@ -213,18 +213,18 @@ def term_join(s, d):
 
 @query
 def pattern_parse(s, d):
-    rows = readers.parse_patterns(C.literal(s, framework="demo", text=C.PATTERNS))
-    return rows.select("pattern_ord", "pattern", "description", *_joined("indicators", "related_refs"))
+    rows = readers.parse_patterns(C.build(s, d, C.PATTERN_FILES))
+    return rows.select("framework", "pattern_ord", "pattern", "description", *_joined("indicators", "related_refs"))
 
 
 @query
 def pattern_count(s, d):
-    return C.literal(s, text=C.PATTERNS).select(readers.count_patterns(F.col("text")).cast("long").alias("n_patterns"))
+    return C.build(s, d, C.PATTERN_FILES).select("framework", readers.count_patterns(F.col("text")).cast("long").alias("n_patterns"))
 
 
 @query
 def article_parse(s, d):
-    return readers.parse_articles(C.literal(s, framework="demo", text=C.ARTICLES)).select("art_ord", "id", "title", "text")
+    return readers.parse_articles(C.build(s, d, C.ARTICLE_FILES)).select("framework", "art_ord", "id", "title", "text")
 
 
 @query
@@ -234,7 +234,7 @@ def concept_tag(s, d):
 
 @query
 def concept_bag(s, d):
-    return readers.parse_articles(C.literal(s, framework="demo", text=C.ARTICLES)).select("art_ord", *_joined("related_concepts"))
+    return readers.parse_articles(C.build(s, d, C.ARTICLE_FILES)).select("framework", "art_ord", *_joined("related_concepts"))
 
 
 @query
@@ -299,14 +299,19 @@ def model_lookup(s, d):
 
 @query
 def models(s, d):
-    return readers.models(s)
+    """Each model, and how many customers ask for it by its key."""
+    asked = C.table(s, d, "customer").groupBy(F.when(F.col("c_custkey") % 4 == 0, "large").when(F.col("c_custkey") % 4 == 1, "medium").otherwise(F.lower("c_mktsegment")).alias("key")).agg(F.count("*").alias("n_customers"))
+    return readers.models(s).join(asked, "key", "left").na.fill(0, ["n_customers"])
 
 
 @query
 def framework_files(s, d):
-    frameworks = s.createDataFrame([("demo", "Demo", "1.0", "EU", "first"), ("example", "Example", "0.1", "US", "second")], "id string, name string, version string, region string, description string")
-    present = s.createDataFrame([("demo", "articles.txt"), ("demo", "common_patterns.txt"), ("demo", "handler.py"), ("example", "handler.py")], "id string, file string")
-    return readers.missing_files(frameworks, present)
+    """Nations stand for frameworks; every third customer stands for a file that his nation has."""
+    frameworks = C.table(s, d, "nation").select(F.col("n_name").alias("id"), "n_nationkey")
+    files = F.array(*map(F.lit, FRAMEWORK_FILES))
+    held = C.table(s, d, "customer").where("c_custkey % 3 = 0").select("c_nationkey", F.get(files, (F.col("c_custkey") % len(FRAMEWORK_FILES)).cast("int")).alias("file"))
+    present = held.join(frameworks, held["c_nationkey"] == frameworks["n_nationkey"]).select("id", "file")
+    return readers.missing_files(frameworks.select("id"), present)
 
 
 @query
@@ -519,8 +524,9 @@ def labels_breakdown(s, d):
 
 @query
 def format_regulations(s, d):
-    hits = readers.parse_articles(C.literal(s, framework="demo", text=C.ARTICLES)).groupBy("framework").agg(F.sort_array(F.collect_list(F.struct("art_ord", "id", "title", "text", "related_concepts"))).alias("hits"))
-    return hits.select(prompts.format_regulations(F.transform("hits", lambda h: F.struct(h["id"].alias("id"), h["title"].alias("title"), h["text"].alias("text"), h["related_concepts"].alias("related_concepts"))), n_patterns=4).alias("regulations"))
+    hits = readers.parse_articles(C.build(s, d, C.ARTICLE_FILES)).groupBy("framework").agg(F.sort_array(F.collect_list(F.struct("art_ord", "id", "title", "text", "related_concepts"))).alias("hits"))
+    rows = F.transform("hits", lambda h: F.struct(h["id"].alias("id"), h["title"].alias("title"), h["text"].alias("text"), h["related_concepts"].alias("related_concepts")))
+    return hits.select("framework", prompts.format_regulations(rows, n_patterns=4).alias("regulations"))
 
 
 def _audit(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:

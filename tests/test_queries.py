@@ -11,9 +11,8 @@ def test_matches_sql(spark, name):
     assert assert_same(QUERIES[name](spark, DATA), ORACLES[name]) > 0
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
-def test_gives_rows(spark, name):
-    assert QUERIES[name](spark, DATA).count() > 0
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(ORACLES)
 
 
 def test_entry(spark):
