@@ -1,6 +1,8 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from lexaudit.llm.decontaminate import drop_contaminated
 
@@ -62,3 +64,18 @@ def test_many_languages_drop_no_clean_document(spark):
     noise = [(9000 + i, " ".join(word() for _ in range(150)), None, "s", 0) for i in range(5)]
     docs = spark.createDataFrame(rows + noise, spark.read.parquet(TABLE).schema)
     assert {r.doc_id for r in corpus_pipeline.language_id(spark, docs, "").collect()} == {r[0] for r in rows}
+
+
+def test_long_text_and_clashing_columns(spark, tmp_path):
+    words = "the house and the sea and a garden by the road "
+    rows = [(1, words * 20_000, "en", "s", 1), (2, f'a letter about the garden and the sea, token = "{"0123456789abcdef" * 3}" ends here', "en", "s", 1), (3, words, "en", "s", 1)]
+    docs = spark.createDataFrame(rows, spark.read.parquet(TABLE).schema)
+    extra = ("pipeline_lang", "Pipeline_Score", "doc", "body", "new", "spans", "row", "id", "kept", "label", "battery", "item_id", "ids_", "text_")
+    given = docs.select("*", *(F.lit(c).alias(c) for c in extra))
+    spark.createDataFrame([(1, "no such passage stands in any of these documents at all")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for name, stage in corpus_pipeline.STAGES:
+        given = stage(spark, given, str(tmp_path))
+        if name != "bpe_encoding":
+            assert given.columns == [*docs.columns, *extra]
+            assert all(r[c] == c for r in given.collect() for c in extra)
+    assert {r.doc_id for r in given.collect()} == {1, 2, 3}
