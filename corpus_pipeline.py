@@ -7,6 +7,9 @@
 3. decontamination drops documents that hold a benchmark item (five-word shingles, 0.8 of the item).
 4. secret_redaction replaces secrets in the text and adjusts n_chars.
 5. bpe_encoding returns the packed token ids and the decoded text of each document.
+
+Defined results: null and empty texts, and texts without a letter, have no determined language and go at stage 1. Texts of any length are read whole. Rows that repeat a doc_id
+stay or go together in stage 2 and are each kept otherwise. Extra columns of any name are passed on up to stage 4. An empty table gives an empty table of each stage.
 """
 
 from __future__ import annotations
@@ -26,10 +29,18 @@ MIN_LANGUAGE_RATE = 0.05
 TOKENIZER = "word_bpe_49k.json"
 
 
+def _new_name(docs: DataFrame, name: str) -> str:
+    """``name``, made longer while ``docs`` has a column of it."""
+    while name in map(str.lower, docs.columns):
+        name += "_"
+    return name
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = fit_language_model(docs, fold(F.col("doc_id"), 5) != 0)
-    found = identify_languages(docs, model, "pipeline_lang", "pipeline_score", "pipeline_rate")
-    return found.where((F.col("pipeline_lang") != UNDETERMINED) & (F.col("pipeline_rate") >= MIN_LANGUAGE_RATE)).select(*docs.columns)
+    lang, score, rate = (_new_name(docs, f"pipeline_{c}") for c in ("lang", "score", "rate"))
+    found = identify_languages(docs, model, lang, score, rate)
+    return found.where((F.col(lang) != UNDETERMINED) & (F.col(rate) >= MIN_LANGUAGE_RATE)).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

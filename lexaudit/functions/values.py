@@ -93,3 +93,6 @@ CONFIDENCES = ("High", "Medium", "Low")
 
 #: Words by which a statement denies something.
 DENIALS = ("no", "not", "never", "none", "nobody", "nothing", "without", "cannot", "lacks", "missing", "fails")
+
+#: Noncharacters that mark places in texts; in a text itself they become the replacement character.
+MARKS, UNMARKED = "\ufdd0\ufdd1", "\ufffd\ufffd"

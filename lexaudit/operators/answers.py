@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.values import DEFAULT_CONFIDENCE, UNKNOWN_ARTICLE
+from ..functions.values import DEFAULT_CONFIDENCE, MARKS, UNKNOWN_ARTICLE, UNMARKED
 
-#: Mark of an item: a noncharacter.
-_ITEM = "\ufdd0"
+#: Mark of an item.
+_ITEM = MARKS[0]
 _KINDS = {"issue": ("ISSUES", "compliance issues", "no issues", "This violates"), "point": ("POINTS", "compliance points", "no points", "This supports")}
 
 
@@ -41,7 +41,7 @@ def parse_answers(responses: DataFrame, kinds: tuple[str, ...] = tuple(_KINDS))
 
     ``responses`` has doc_id, chunk_index, position, should_analyze, response.
     """
-    clean = responses.withColumn("response", without_fences(F.coalesce("response", F.lit(""))))
+    clean = responses.withColumn("response", without_fences(F.translate(F.coalesce("response", F.lit("")), MARKS, UNMARKED)))
     arrays = []
     for kind in kinds:
         _, heading, none, _ = _KINDS[kind]

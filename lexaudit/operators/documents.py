@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.values import DEFAULT_CHUNK_OVERLAP, DEFAULT_CHUNK_SIZE, HEADER
+from ..functions.values import DEFAULT_CHUNK_OVERLAP, DEFAULT_CHUNK_SIZE, HEADER, MARKS, UNMARKED
 
-#: Marks of headers: noncharacters, which texts for interchange don't hold.
-_HEAD, _TAIL = "\ufdd0", "\ufdd1"
+#: Marks of headers.
+_HEAD, _TAIL = MARKS
 BLANK_LINE = r"(?U)\n\s*\n"
 
 
@@ -27,9 +27,9 @@ def sections(docs: DataFrame) -> DataFrame:
 
     Each header is marked in one pass of the pattern, and the text is split at the marks; a header takes its line ends, so a
     header on the very next line is not one. A text without headers is one section ``Document`` with the whole text.
-    Text before the first header, unless blank, is ``Introduction/Header`` with section_ord 0; headers count from 1.
+    Noncharacters that mark headers become U+FFFD where a text holds them. Text before the first header, unless blank, is ``Introduction/Header`` with section_ord 0; headers count from 1.
     """
-    marked = F.regexp_replace("text", "(?Ud)" + HEADER, f"{_HEAD}$0{_TAIL}")
+    marked = F.regexp_replace(F.translate("text", MARKS, UNMARKED), "(?Ud)" + HEADER, f"{_HEAD}$0{_TAIL}")
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
     pieces = docs.select("doc_id", *rest, F.posexplode(F.split(marked, _HEAD, -1)).alias("piece_ord", "piece"), F.contains(marked, F.lit(_HEAD)).alias("has_headers"))
     header = F.substring_index("piece", _TAIL, 1)

@@ -103,6 +103,17 @@ def confidence_breakdown(deduped: DataFrame) -> DataFrame:
     )
 
 
+def rollups(deduped: DataFrame) -> DataFrame:
+    """doc_id, of, kind, confidence, regulation, n_findings, n_analyzed: counts by document, by kind, by kind and confidence and by kind and regulation, from one shuffle.
+
+    ``of`` (document, kind, confidence, regulation) names the grouping; columns that it leaves out are null. Confidences are in upper case.
+    """
+    rows = deduped.select("doc_id", "kind", F.upper("confidence").alias("confidence"), "regulation", "should_analyze")
+    sets = (["doc_id"], ["doc_id", "kind"], ["doc_id", "kind", "confidence"], ["doc_id", "kind", "regulation"])
+    of = F.when(F.grouping("confidence") == 0, "confidence").when(F.grouping("regulation") == 0, "regulation").when(F.grouping("kind") == 0, "kind").otherwise("document")
+    return rows.groupingSets(sets, "doc_id", "kind", "confidence", "regulation").agg(of.alias("of"), F.count("*").alias("n_findings"), F.count_if("should_analyze").alias("n_analyzed"))
+
+
 def by_regulation(deduped: DataFrame) -> DataFrame:
     """Per document, kind and regulation: the number of findings and the place of the first."""
     return in_order(deduped).groupBy("doc_id", "kind", "regulation").agg(F.count("*").alias("n_findings"), F.min("position").alias("first_position"))

@@ -82,7 +82,7 @@ def load_framework(spark, name: str, folder: str) -> Framework:
 
 def routed_chunks(docs: DataFrame, rules: Framework, size: int = DEFAULT_CHUNK_SIZE, overlap: int = DEFAULT_CHUNK_OVERLAP, progressive: bool = True, optimize: bool = True) -> DataFrame:
     """Chunks with scores and should_analyze. ``optimize``: sizes follow the documents' bytes. Not ``progressive``: every chunk is analysed."""
-    rows = docs.withColumn("document_type", T.document_type(F.col("text")))
+    rows = (docs if docs.isStreaming else readers.spread(docs)).withColumn("document_type", T.document_type(F.col("text")))
     if optimize:
         by_size, by_overlap = T.chunk_parameters(F.octet_length("text"), size, overlap)
         rows = rows.withColumns({"chunk_size": by_size, "chunk_overlap": by_overlap})

@@ -371,6 +371,7 @@ ORACLES: dict[str, str] = {
     "section_display": _MERGED + f"SELECT doc_id, kind, key, {_SHOWN} AS shown FROM merged",
     "dedup_counts": _MERGED + "SELECT r.*, coalesce(final_issues, 0) AS final_issues, coalesce(final_points, 0) AS final_points FROM (SELECT doc_id, count(*) FILTER (kind = 'issue') AS original_issues, count(*) FILTER (kind = 'point') AS original_points FROM findings GROUP BY 1) r LEFT JOIN (SELECT doc_id, count(*) FILTER (kind = 'issue') AS final_issues, count(*) FILTER (kind = 'point') AS final_points FROM merged GROUP BY 1) USING (doc_id)",
     "confidence_breakdown": _MERGED + "SELECT doc_id, kind, count(*) AS total, count(*) FILTER (upper(confidence) = 'HIGH') AS high, count(*) FILTER (upper(confidence) = 'MEDIUM') AS medium, count(*) FILTER (upper(confidence) = 'LOW') AS low, count(*) FILTER (should_analyze) AS analyzed, count(*) FILTER (NOT should_analyze) AS skipped FROM merged GROUP BY ALL",
+    "finding_rollups": _MERGED + "SELECT doc_id, CASE WHEN GROUPING(confidence) = 0 THEN 'confidence' WHEN GROUPING(regulation) = 0 THEN 'regulation' WHEN GROUPING(kind) = 0 THEN 'kind' ELSE 'document' END AS of, kind, confidence, regulation, count(*) AS n_findings, count(*) FILTER (should_analyze) AS n_analyzed FROM (SELECT * REPLACE (upper(confidence) AS confidence) FROM merged) m GROUP BY GROUPING SETS ((doc_id), (doc_id, kind), (doc_id, kind, confidence), (doc_id, kind, regulation))",
     "by_regulation": _MERGED + "SELECT doc_id, kind, regulation, count(*) AS n_findings, min(place) AS first_position FROM placed GROUP BY ALL",
     "by_regulation_issue": _MERGED + ", each AS (SELECT doc_id, kind, regulation, description, place, unnest(sections) AS section, generate_subscripts(sections, 1) AS spot FROM placed), once AS (SELECT doc_id, kind, regulation, description, section, min(place * 1000 + spot) AS spot FROM each GROUP BY ALL), u AS (SELECT doc_id, kind, regulation, description, string_agg(section, '|' ORDER BY spot) AS sections FROM once GROUP BY ALL), f AS (SELECT doc_id, kind, regulation, description, arg_min(confidence, place) AS confidence, arg_min(should_analyze, place) AS should_analyze, min(place) AS first_position FROM placed GROUP BY ALL) SELECT * FROM u JOIN f USING (doc_id, kind, regulation, description)",
     "sorted_findings": _MERGED + "SELECT doc_id, kind, place AS position, key FROM placed",

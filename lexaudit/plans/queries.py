@@ -477,6 +477,11 @@ def confidence_breakdown(s, d):
     return findings.confidence_breakdown(_deduped(s, d))
 
 
+@query
+def finding_rollups(s, d):
+    return findings.rollups(_deduped(s, d))
+
+
 @query
 def by_regulation(s, d):
     return findings.by_regulation(_deduped(s, d))

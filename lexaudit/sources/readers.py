@@ -14,13 +14,14 @@ SPREAD_BYTES = 100_000
 
 
 def spread(rows: DataFrame, *keys: str) -> DataFrame:
-    """The rows over at least as many partitions as there are cores; unchanged where the scan gives as many, or holds less than ``SPREAD_BYTES``.
+    """The rows over as many partitions as there are cores, where their size, by Spark's estimate, gives a scan fewer partitions and isn't below ``SPREAD_BYTES``.
 
-    For a few files or row groups that hold many documents, before costly work on each of them.
+    For a few files or row groups that hold many documents, before costly work on each of them. A table that fills the cores is left as it is.
     """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return rows.repartition(cores, *keys) if size >= SPREAD_BYTES and rows.rdd.getNumPartitions() < cores else rows
+    spark = rows.sparkSession
+    cores, split = spark.sparkContext.defaultParallelism, int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.repartition(cores, *keys) if SPREAD_BYTES <= size < cores * split else rows
 
 
 def read_documents(spark: SparkSession, paths: str | list[str]) -> DataFrame:

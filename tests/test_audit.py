@@ -127,6 +127,43 @@ def test_command_line(spark, tmp_path, capsys):
     assert main([*base, "analyze", str(doc), "--framework", "none"], spark) == 1 and "available: demo" in capsys.readouterr().err
 
 
+def test_few_large_files_are_spread(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(f"d{i}", "All personal data of a user is retained. " * 50) for i in range(60)], "doc_id string, text string").coalesce(1)
+    docs.write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    spread = lambda: "RepartitionBy" in readers.spread(docs)._jdf.queryExecution().analyzed().toString() or "Repartition " in readers.spread(docs)._jdf.queryExecution().analyzed().toString()
+    assert not spread()  # a small table isn't worth a shuffle
+    monkeypatch.setattr(readers, "SPREAD_BYTES", 100)
+    assert spread() and "Repartition" in audit.routed_chunks(docs, rules(spark))._jdf.queryExecution().analyzed().toString()
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64b")
+    try:
+        assert not spread()  # the scan gives partitions enough
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_marks_in_texts(spark):
+    from lexaudit.operators import answers, documents
+
+    text = "1. First\nbody \ufdd0 with \ufdd1 marks\n2. Second\nmore"
+    got = [(r.title, r.text) for r in documents.sections(spark.createDataFrame([(1, text)], "doc_id int, text string")).orderBy("section_ord").collect()]
+    assert [t for t, _ in got] == ["1. First", "2. Second"] and "body \ufffd with \ufffd marks" in got[0][1]
+    rows = spark.createDataFrame([(1, 0, "S", True, "COMPLIANCE ISSUES:\n1. a long \ufdd0 item here\n2. another long item")], "doc_id int, chunk_index int, position string, should_analyze boolean, response string")
+    assert [r.description for r in answers.parse_answers(rows).orderBy("ord").collect()][0].startswith("a long \ufffd item here")
+
+
+def test_rollups_shuffle_once(spark):
+    from lexaudit.operators import findings
+
+    rows = spark.createDataFrame([(1, "issue", "high", "A", True), (1, "issue", "Low", "A", False), (1, "point", "High", "B", True), (2, "issue", None, None, None)], "doc_id int, kind string, confidence string, regulation string, should_analyze boolean")
+    rolled = findings.rollups(rows)
+    plan = rolled._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+    got = {(r.doc_id, r["of"], r.kind, r.confidence, r.regulation): (r.n_findings, r.n_analyzed) for r in rolled.collect()}
+    assert got[1, "document", None, None, None] == (3, 2) and got[1, "kind", "issue", None, None] == (2, 1) and got[1, "confidence", "issue", "HIGH", None] == (1, 1) and got[1, "regulation", "issue", None, "A"] == (2, 1)
+    assert got[2, "regulation", "issue", None, None] == (1, 0) and len(got) == 12
+
+
 def test_indicators_in_any_case(spark):
     from lexaudit.operators import violations
 
