@@ -52,9 +52,11 @@ def _lines(rows: DataFrame, groups: list[tuple[list, list]]) -> DataFrame:
     return rows.select("doc_id", F.inline(F.array(*placed))).select("doc_id", "at", F.posexplode("lines").alias("n", "line"))
 
 
-def report_lines(docs: DataFrame, chunk_results: DataFrame, raw: DataFrame, deduped: DataFrame, framework: str, date: str, progressive: bool = True) -> DataFrame:
+def report_lines(docs: DataFrame, chunk_results: DataFrame, raw: DataFrame, deduped: DataFrame, framework: str, date: str, progressive: bool | None = None) -> DataFrame:
     """doc_id, line_no, line: the text report of every document.
 
+    Unless ``progressive`` says so, a document's analysis was progressive if any of its chunks was routed: if its should_analyze isn't null.
+
     ``docs`` has doc_id, document_type and the two lists of mentions; ``chunk_results`` doc_id, chunk_index, position, text,
     should_analyze; ``raw`` the findings as parsed, ``deduped`` as merged. Write expensive inputs to tables first: each is read
     a few times. The lines come from five row sources (documents, regulations, merged findings, chunks, findings).
@@ -64,13 +66,17 @@ def report_lines(docs: DataFrame, chunk_results: DataFrame, raw: DataFrame, dedu
     levels = ("total", "high", "medium", "low", "analyzed", "skipped")
     per_kind = G.confidence_breakdown(deduped).groupBy("doc_id").agg(*(F.sum(F.when(F.col("kind") == kind, F.col(c))).alias(f"{kind}_{c}") for kind in TITLES for c in levels))
     wide = docs.join(G.counts(raw), "doc_id", "left").join(per_kind, "doc_id", "left").na.fill(0)
+    if progressive is None:
+        wide = wide.join(chunk_results.groupBy("doc_id").agg(F.bool_or(F.col("should_analyze").isNotNull()).alias("progressive")), "doc_id", "left")
+    else:
+        wide = wide.withColumn("progressive", F.lit(progressive))
     mentions = lambda c: F.array_join(c, ", ")
     method = ["Analysis Method: Progressive (focused on relevant sections)", say("- From analyzed sections: %d", count("issue_analyzed")), say("- From skipped sections: %d", count("issue_skipped"))]
     head = [
         RULE, f"{framework.upper()} COMPLIANCE ANALYSIS REPORT", RULE, "",
         say("Document: %s", T.basename(F.col("path")) if "path" in docs.columns else F.col("doc_id").cast("string")), say("Document Type: %s", F.col("document_type")), f"Regulation: {framework}", f"Analysis Date: {date}", "",
         "POTENTIAL DATA CONTEXT:", say("Data mentions: %s", mentions("potential_data_mentions")), say("Compliance indicators: %s", mentions("compliance_indicators")), "",
-        say("Total Issues Found: %d", count("issue_total")), *(method if progressive else []),
+        say("Total Issues Found: %d", count("issue_total")), *(F.when(F.col("progressive"), line) for line in method),
         "", "PROCESSING SUMMARY:",
         say("- Original issues: %d → Final: %d", count("original_issues"), count("final_issues")), say("- Original compliance points: %d → Final: %d", count("original_points"), count("final_points")),
     ]

@@ -137,12 +137,12 @@ def model_audit(docs: DataFrame, rules: Framework, embed: Callable[[Column], Col
     return routed, answers.parse_answers(judged)
 
 
-def write_reports(docs: DataFrame, routed: DataFrame, raw: DataFrame, rules: Framework, json_path: str | None, text_path: str | None, date: str, progressive: bool = True, files_path: str | None = None) -> None:
+def write_reports(docs: DataFrame, routed: DataFrame, raw: DataFrame, rules: Framework, json_path: str | None, text_path: str | None, date: str, progressive: bool | None = None, files_path: str | None = None) -> None:
     """The JSON reports (one line per document), the text reports (one row of text per document), and the text reports as files of their own (``files_path``)."""
     merged = findings.deduplicate(raw)
     described = documents.with_metadata(docs)
     if json_path:
-        reports.report_json(described, merged, rules.name, progressive).select("report").write.mode("overwrite").text(json_path)
+        reports.report_json(described, merged, rules.name, progressive is not False).select("report").write.mode("overwrite").text(json_path)
     if not text_path and not files_path:
         return
     texts = reports.report_text(reports.report_lines(described, routed, raw, merged, rules.name, date, progressive))

@@ -142,6 +142,17 @@ def test_few_large_files_are_spread(spark, tmp_path, monkeypatch):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+def test_progressive_from_the_chunks(spark):
+    from lexaudit.operators import findings, reports
+
+    docs = spark.createDataFrame([(1, "p"), (2, "q"), (3, "r")], "doc_id int, document_type string").withColumns({"potential_data_mentions": C.F.array().cast("array<string>"), "compliance_indicators": C.F.array().cast("array<string>")})
+    chunk = "doc_id int, chunk_index int, position string, text string, should_analyze boolean"
+    chunks = spark.createDataFrame([(1, 0, "S", "t", True), (1, 1, "S", "t", None), (2, 0, "S", "t", None)], chunk)
+    raw = spark.createDataFrame([], "doc_id int, chunk_index int, kind string, ord int, description string, regulation string, confidence string, citation string, explanation string, section string, should_analyze boolean")
+    shown = lambda **o: {r.doc_id for r in reports.report_lines(docs, chunks, raw, findings.deduplicate(raw), "demo", "now", **o).where("line like 'Analysis Method: Progressive%'").collect()}
+    assert shown() == {1} and shown(progressive=True) == {1, 2, 3} and shown(progressive=False) == set()
+
+
 def test_marks_in_texts(spark):
     from lexaudit.operators import answers, documents
 
