@@ -118,8 +118,8 @@ def revealing_terms(found: DataFrame, ws: Workspace) -> DataFrame:
     terms = ws.save(terms, "terms")
     stem = F.left("term", F.lit(STEM)).alias("stem")
     wanted = terms.where(F.length("term") > STEM).select(stem).distinct()
-    stems = counted.select(stem, "n_t").join(wanted, "stem").groupBy("stem").agg(F.sum("n_t").alias("n_t"))
-    near_stem = pairs.select("entity", stem).join(wanted, "stem").groupBy("entity", "stem").agg(F.count("*").alias("n_et"))
+    stems = counted.groupBy(stem).agg(F.sum("n_t").alias("n_t")).join(wanted, "stem")
+    near_stem = near.groupBy("entity", stem).agg(F.sum("n_et").alias("n_et")).join(wanted, "stem")
     open_stems = near_stem.join(stems, "stem").join(about, "entity").crossJoin(F.broadcast(total)).withColumn("disclosure", share).groupBy("stem").agg(F.max("disclosure").alias("most")).where(F.col("most") < DISCLOSURE)
     general = terms.join(open_stems, (F.left("term", F.lit(STEM)) == F.col("stem")) & (F.length("term") > STEM), "left")
     return ws.save(general.select("term", "disclosure", F.coalesce(F.concat("stem", F.lit("*")), F.lit(REMOVED)).alias("mark")), "revealing")
