@@ -16,7 +16,7 @@ of a word. Its special tokens are found in the raw text first. Decoding joins th
 is what a file without a decoder asks for.
 
 Defined results: a null text is empty; an empty text gives no ids and an empty decoded text. Ids are packed as
-little-endian unsigned 32-bit integers. Extra columns are ignored; an empty table gives an empty table.
+little-endian unsigned 32-bit integers. Null ids are kept, and repeated rows are each encoded. A very long text is encoded whole, word by word. Extra columns are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations

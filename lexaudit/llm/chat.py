@@ -14,7 +14,7 @@ The loss mask is an array of spans (code points) that cover the texts of assista
 
 Defined results: null texts and roles are empty. A parent that is not in its conversation makes its node a root.
 Nodes on a cycle have no path to a root and are left out. Of rows that repeat a node the first in order of role and
-text stays. Rows with a null conv_id form one conversation. An empty table gives no rows; extra columns are ignored.
+text stays. Rows with a null conv_id form one conversation. A conversation is formatted within one row, so its texts together must fit a row. An empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations

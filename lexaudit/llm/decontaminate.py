@@ -13,7 +13,7 @@ threshold). Candidates are verified on the exact sets: shingles of the item that
 The items are the query side. They go to the executors in blocks of bounded size; the documents are read once per block.
 
 Defined results: shingles are runs of n lower-cased words, or the whole sequence of a shorter text. Null or empty texts
-and items have none and match nothing. Items that repeat each give their own rows; documents too. Empty tables give
+and items have none and match nothing. Items that repeat each give their own rows; documents too. A very long text is read whole, in windows. Empty tables give
 no rows. Extra columns are ignored by ``find_items`` and passed on by ``drop_contaminated``.
 """
 

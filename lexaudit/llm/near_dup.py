@@ -20,6 +20,7 @@ components is lost.
 Defined results: null text, or no word: n_shingles 0, linked with nothing, kept. Null doc_id: component_id null,
 kept. Rows that repeat a doc_id are one node, also if their texts
 differ: the links of each text are the node's, and a row without a word goes with the others. An empty table gives an empty table. Extra columns are ignored.
+A very long text is hashed whole, in one task (README has its memory).
 """
 
 from __future__ import annotations
