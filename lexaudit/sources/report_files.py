@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import shutil
+import time
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,13 +31,15 @@ class Staged(WriterCommitMessage):
 
 class ReportWriter(DataSourceWriter):
     def __init__(self, folder: str):
+        """On the driver. Tasks can't make the staging folder anew, so one that outlives an abort fails."""
         self.folder = folder
         self.staging = f"{folder}/_staging-{uuid.uuid4().hex}"
+        os.makedirs(self.staging)
 
     def write(self, iterator: Iterator[Row]) -> Staged:
         context = TaskContext.get()
         own = f"{self.staging}/{context.partitionId()}-{context.taskAttemptId()}"
-        os.makedirs(own)
+        os.mkdir(own)
         names = []
         for row in iterator:
             if not row.name or "/" in row.name or row.name.startswith((".", "_staging")):
@@ -50,14 +53,22 @@ class ReportWriter(DataSourceWriter):
         staged = [(m.folder, name) for m in messages if m for name in m.names]
         names = [name for _, name in staged]
         if len(set(names)) < len(names):
-            shutil.rmtree(self.staging, ignore_errors=True)
+            self._clear()
             raise ValueError(f"two rows have the name {next(n for n in names if names.count(n) > 1)}")
         for folder, name in staged:
             os.replace(f"{folder}/{name}", f"{self.folder}/{name}")
-        shutil.rmtree(self.staging, ignore_errors=True)
+        self._clear()
 
     def abort(self, messages: list[Staged | None]) -> None:
-        shutil.rmtree(self.staging, ignore_errors=True)
+        self._clear()
+
+    def _clear(self) -> None:
+        """Delete the staging folder; tasks that still run may put a file into it meanwhile."""
+        for _ in range(100):
+            shutil.rmtree(self.staging, ignore_errors=True)
+            if not os.path.exists(self.staging):
+                return
+            time.sleep(0.05)
 
 
 class ReportFiles(DataSource):

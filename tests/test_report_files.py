@@ -39,7 +39,7 @@ def test_nothing_is_left_by_a_job_that_fails(spark, tmp_path):
 def test_attempts_that_spark_does_not_accept_leave_nothing(tmp_path):
     writer = ReportWriter(str(tmp_path))
     for attempt, text in (("0-1", "lost"), ("0-2", "kept")):
-        (tmp_path / writer.staging.rsplit("/", 1)[1] / attempt).mkdir(parents=True)
+        (tmp_path / writer.staging.rsplit("/", 1)[1] / attempt).mkdir()
         (tmp_path / writer.staging.rsplit("/", 1)[1] / attempt / "a.txt").write_text(text)
     writer.commit([Staged(f"{writer.staging}/0-2", ["a.txt"]), None])
     assert listed(tmp_path) == {"a.txt": "kept"}
