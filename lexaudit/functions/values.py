@@ -96,3 +96,14 @@ DENIALS = ("no", "not", "never", "none", "nobody", "nothing", "without", "cannot
 
 #: Noncharacters that mark places in texts; in a text itself they become the replacement character.
 MARKS, UNMARKED = "\ufdd0\ufdd1", "\ufffd\ufffd"
+
+# The headings of a judge's answers, what it writes when there is nothing, how an item that has no reason is dismissed, and the fields of an item.
+ANSWER_KINDS = {"issue": ("ISSUES", "compliance issues", "no issues", "This violates"), "point": ("POINTS", "compliance points", "no points", "This supports")}
+ANSWER_BLOCK = r"(?Uis)COMPLIANCE\s+@HEADING:?\s*\n(.*?)@END"
+ANSWER_NOTHING = "NO COMPLIANCE @HEADING DETECTED"
+ANSWER_FIELDS = r"(?is)@NAME\s*\d+:\s*(.+?)\s*\nArticle:\s*(.+?)\s*\nConfidence:\s*(High|Medium|Low)\s*\nExplanation:\s*(.+?)\s*\n(?:Citation:\s*(?:\"(.+?)\"|(.+?)))?(?:\n\n|\n@NAME|\z)"
+
+# Labels of the blocks of a request.
+VIOLATIONS_TITLE, PATTERNS_LINE = "PRE-SCAN DETECTED POTENTIAL VIOLATIONS:\n", "VIOLATION PATTERNS: %d patterns available"
+VIOLATION_LINES = ("%d. Potential '%s' pattern detected\n", "   Description: %s\n", "   Indicator: '%s'\n   Context: \"...%s...\"\n", "   Related articles: %s\n")
+REGULATION_LABELS = (" CONTEXT:\n", "\nRELATED CONCEPTS: ")

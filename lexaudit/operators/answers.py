@@ -6,11 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.values import DEFAULT_CONFIDENCE, MARKS, UNKNOWN_ARTICLE, UNMARKED
+from ..functions.values import ANSWER_BLOCK, ANSWER_FIELDS, ANSWER_KINDS, ANSWER_NOTHING, DEFAULT_CONFIDENCE, MARKS, UNKNOWN_ARTICLE, UNMARKED
 
 #: Mark of an item.
 _ITEM = MARKS[0]
-_KINDS = {"issue": ("ISSUES", "compliance issues", "no issues", "This violates"), "point": ("POINTS", "compliance points", "no points", "This supports")}
+_KINDS = ANSWER_KINDS
 
 
 def without_fences(response: Column) -> Column:
@@ -21,8 +21,8 @@ def block(response: Column, kind: str) -> Column:
     """The part of an answer under the heading of ``kind``; empty if the answer says there is none."""
     heading = _KINDS[kind][0]
     end = r"(?:COMPLIANCE\s+POINTS:|\n?\z)" if kind == "issue" else r"\n?\z"
-    text = F.regexp_extract(response, rf"(?Uis)COMPLIANCE\s+{heading}:?\s*\n(.*?){end}", 1)
-    return F.when(F.contains(response, F.lit(f"NO COMPLIANCE {heading} DETECTED")), "").otherwise(T.strip(text))
+    text = F.regexp_extract(response, ANSWER_BLOCK.replace("@HEADING", heading).replace("@END", end), 1)
+    return F.when(F.contains(response, F.lit(ANSWER_NOTHING.replace("@HEADING", heading))), "").otherwise(T.strip(text))
 
 
 def items(text: Column) -> Column:
@@ -69,8 +69,7 @@ def split_blocks(response: Column) -> tuple[Column, Column]:
 
 def structured_items(text: Column, kind: str) -> Column:
     """Array of (title, regulation, confidence, explanation, citation) of blocks with the fields Article, Confidence, Explanation, Citation."""
-    name = kind.upper()
-    head = rf"(?is){name}\s*\d+:\s*(.+?)\s*\nArticle:\s*(.+?)\s*\nConfidence:\s*(High|Medium|Low)\s*\nExplanation:\s*(.+?)\s*\n(?:Citation:\s*(?:\"(.+?)\"|(.+?)))?(?:\n\n|\n{name}|\z)"
+    head = ANSWER_FIELDS.replace("@NAME", kind.upper())
     field = lambda n: F.regexp_extract_all(text, F.lit(head), F.lit(n))
     zipped = F.arrays_zip(field(1).alias("title"), field(2).alias("article"), field(3).alias("confidence"), field(4).alias("explanation"), field(5).alias("quoted"), field(6).alias("plain"))
 

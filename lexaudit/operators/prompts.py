@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.values import TOP_REGULATIONS, TOP_VIOLATIONS
+from ..functions.values import PATTERNS_LINE, REGULATION_LABELS, TOP_REGULATIONS, TOP_VIOLATIONS, VIOLATION_LINES, VIOLATIONS_TITLE
 
 #: Parts in braces are replaced by columns. A framework may bring its own.
 DEFAULT_TEMPLATE = """You audit documents for compliance. Find the issues and the points of compliance of this section.
@@ -33,12 +33,12 @@ GUIDANCE = {"high": "This section is of HIGH RISK: report every violation, subtl
 
 def format_regulations(hits: Column, label: str = "REGULATION", context: str = "", n_patterns: int = 0) -> Column:
     """Text of an array of (id, title, text, related_concepts)."""
-    first = [F.lit(f"{label} CONTEXT:\n{context}")] if context else []
-    first += [F.lit(f"VIOLATION PATTERNS: {n_patterns} patterns available")] if n_patterns else []
+    first = [F.lit(label + REGULATION_LABELS[0] + context)] if context else []
+    first += [F.lit(PATTERNS_LINE % n_patterns)] if n_patterns else []
 
     def one(hit: Column, i: Column) -> Column:
         title = F.when(F.coalesce(hit["title"], F.lit("")) != "", F.concat(F.lit(" - "), hit["title"])).otherwise("")
-        concepts = F.when(F.size(hit["related_concepts"]) > 0, F.concat(F.lit("\nRELATED CONCEPTS: "), F.array_join(hit["related_concepts"], ", "))).otherwise("")
+        concepts = F.when(F.size(hit["related_concepts"]) > 0, F.concat(F.lit(REGULATION_LABELS[1]), F.array_join(hit["related_concepts"], ", "))).otherwise("")
         return F.concat(F.lit(f"{label} "), (i + 1).cast("string"), F.lit(": "), hit["id"], title, concepts, F.lit("\n"), hit["text"])
 
     texts = F.transform(F.slice(hits, 1, TOP_REGULATIONS), one)
@@ -48,13 +48,15 @@ def format_regulations(hits: Column, label: str = "REGULATION", context: str = "
 def format_violations(violations: Column) -> Column:
     """Text of the first of an array of (pattern, description, indicator, context, related_refs)."""
 
+    head, described, shown, related = VIOLATION_LINES
+
     def one(v: Column, i: Column) -> Column:
-        description = F.when(F.coalesce(v["description"], F.lit("")) != "", F.concat(F.lit("   Description: "), v["description"], F.lit("\n"))).otherwise("")
-        refs = F.when(F.size(v["related_refs"]) > 0, F.concat(F.lit("   Related articles: "), F.array_join(v["related_refs"], ", "), F.lit("\n"))).otherwise("")
-        return F.concat((i + 1).cast("string"), F.lit(". Potential '"), v["pattern"], F.lit("' pattern detected\n"), description, F.lit("   Indicator: '"), v["indicator"], F.lit("'\n   Context: \"..."), v["context"], F.lit('..."\n'), refs, F.lit("\n"))
+        description = F.when(F.coalesce(v["description"], F.lit("")) != "", F.format_string(described, v["description"])).otherwise("")
+        refs = F.when(F.size(v["related_refs"]) > 0, F.format_string(related, F.array_join(v["related_refs"], ", "))).otherwise("")
+        return F.concat(F.format_string(head, i + 1, v["pattern"]), description, F.format_string(shown, v["indicator"], v["context"]), refs, F.lit("\n"))
 
     text = F.array_join(F.transform(F.slice(violations, 1, TOP_VIOLATIONS), one), "")
-    return F.when(F.size(violations) > 0, F.concat(F.lit("PRE-SCAN DETECTED POTENTIAL VIOLATIONS:\n"), text)).otherwise("")
+    return F.when(F.size(violations) > 0, F.concat(F.lit(VIOLATIONS_TITLE), text)).otherwise("")
 
 
 def build_prompt(section: Column, text: Column, regulations: Column, indicators: Column, violations: Column, risk_level: str = "unknown", template: str = DEFAULT_TEMPLATE) -> Column:

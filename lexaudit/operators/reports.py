@@ -61,6 +61,7 @@ def report_lines(docs: DataFrame, chunk_results: DataFrame, raw: DataFrame, dedu
     should_analyze; ``raw`` the findings as parsed, ``deduped`` as merged. Write expensive inputs to tables first: each is read
     a few times. The lines come from five row sources (documents, regulations, merged findings, chunks, findings).
     """
+    # Fixed values, here and below: the literal lines of the report.
     say = F.format_string
     count = lambda c: F.col(c).cast("long")
     levels = ("total", "high", "medium", "low", "analyzed", "skipped")
