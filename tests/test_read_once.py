@@ -33,3 +33,14 @@ def test_judge_reads_its_input_once(spark):
 def test_large_ids_beside_null_ones_stay_exact(spark):
     rows = spark.createDataFrame([(2**60 + 1, 0, "s", True, "p"), (None, 0, "s", True, "q")], "doc_id long, chunk_index int, position string, should_analyze boolean, prompt string").coalesce(1)
     assert {r.doc_id for r in judges.judge(rows, lambda texts: texts).collect()} == {2**60 + 1, None}
+
+
+def test_a_text_is_marked_once(spark):
+    docs = spark.createDataFrame([(1, "1. One\na\n2. Two\nb"), (2, "none"), (3, "intro\nONE TWO\nc")], "doc_id int, text string")
+    assert plan(documents.sections(docs)).count(MARKING) == 1
+
+
+def test_queries_split_documents_once(spark):
+    assert plan(QUERIES["skip_union"](spark, DATA)).count(MARKING) == 1
+    for name in ("canned_judge", "prompt_build"):  # what reads chunks several times reads a table of them
+        assert "DATA USAGE" not in plan(QUERIES[name](spark, DATA)), name
