@@ -44,3 +44,14 @@ def test_queries_split_documents_once(spark):
     assert plan(QUERIES["skip_union"](spark, DATA)).count(MARKING) == 1
     for name in ("canned_judge", "prompt_build"):  # what reads chunks several times reads a table of them
         assert "DATA USAGE" not in plan(QUERIES[name](spark, DATA)), name
+
+
+def test_tasks_grow_with_the_table(spark, tmp_path, monkeypatch):
+    spark.range(20_000).selectExpr("id AS c_custkey", "'n' AS c_name", "'m' AS c_mktsegment").coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    monkeypatch.setattr(readers, "SPREAD_BYTES", 100)
+    cores = spark.sparkContext.defaultParallelism
+    parts = {}
+    for task_bytes in (1_000_000, 1_000):
+        monkeypatch.setitem(corpus.TASK_BYTES, "customer", task_bytes)
+        parts[task_bytes] = corpus.build(spark, str(tmp_path), corpus.AUDIT_DOCS).rdd.getNumPartitions()
+    assert parts[1_000_000] == cores and parts[1_000] > 4 * cores
