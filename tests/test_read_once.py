@@ -55,3 +55,7 @@ def test_tasks_grow_with_the_table(spark, tmp_path, monkeypatch):
         monkeypatch.setitem(corpus.TASK_BYTES, "customer", task_bytes)
         parts[task_bytes] = corpus.build(spark, str(tmp_path), corpus.AUDIT_DOCS).rdd.getNumPartitions()
     assert parts[1_000_000] == cores and parts[1_000] > 4 * cores
+
+
+def test_answers_are_parsed_once_for_pairs(spark):
+    assert "from_json" not in plan(QUERIES["contradiction_pairs"](spark, DATA))
