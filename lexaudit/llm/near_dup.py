@@ -11,11 +11,13 @@ within the distance is lost. Two sets of similarity 0.8 differ in 20 of 100 posi
 a probability of about 4e-6, which falls to 1e-9 at 0.85.
 
 Buckets are not expanded into all pairs. (1) Each member meets its bucket's smallest member; the pairs within the
-distance span families. (2) Members of one bucket that lie in different families meet each other. (3) Each member's
-closest pair is confirmed on the full shingle sets, which gives components. (4) In a family that still has several
-components, every member outside the largest meets all members outside its own component, block by block, on full
-sets, and only confirmed links leave a task. Pairs inside a component need no look, so no link between different
-components is lost.
+distance span families. (2) Members of one bucket that lie in different families meet each other: in a bucket of up to
+``BUCKET_PAIRS`` members by a join; in a larger one block by block, where those outside its largest family meet all others and
+a block gives at most one pair within the distance less than it has families. Families that such pairs connect become one.
+(3) Each member's closest pair and the pairs of (2) are confirmed on the full shingle sets, which gives components. (4) In a
+family that still has several components, every member outside the largest meets all members outside its own component, block
+by block, on full sets, and only confirmed links leave a task. Pairs inside a component need no look, so no link between
+different components is lost.
 
 Defined results: null text, or no word: n_shingles 0, linked with nothing, kept. Null doc_id: component_id null,
 kept. Rows that repeat a doc_id are one node, also if their texts
@@ -41,6 +43,8 @@ POSITIONS = CHUNKS * WIDTH
 MAX_DISTANCE = CHUNKS * (ERRORS + 1) - 1
 #: A side of a confirmation block holds about so many sets and so many shingles.
 BLOCK_SETS, BLOCK_SHINGLES = 512, 400_000
+#: Members of a bucket that are joined pair by pair at most, and those on a side of a block of a larger bucket.
+BUCKET_PAIRS, BUCKET_BLOCK = 64, 4_096
 #: Ids of documents whose texts are read again are broadcast up to this number; beyond it they are joined by a shuffle.
 BROADCAST_IDS = 500_000
 
@@ -174,6 +178,36 @@ def _block_links(percent: int):
     return run
 
 
+def _bridges(percent: int):
+    """Pairs within the distance that connect the families of a block, at most one less than there are families: of the probe rows and its other rows."""
+
+    def run(table: pa.Table) -> pa.Table:
+        probe = np.array(table["probe"].to_pylist(), dtype=bool)
+        rep, family, n = (table[c].to_numpy() for c in ("rep", "family", "n"))
+        sig, rest = _matrix(table["sig"]), np.flatnonzero(~probe)
+        root, links = {}, []
+
+        def find(x: int) -> int:
+            while (up := root.get(x, x)) != x:
+                root[x] = root.get(up, up)
+                x = up
+            return x
+
+        for p in np.flatnonzero(probe):
+            near = rest[(family[rest] != family[p]) & (100 * np.minimum(n[rest], n[p]) >= percent * np.maximum(n[rest], n[p]))]
+            d = (sig[near] != sig[p]).sum(axis=1)
+            near = near[np.argsort(d, kind="stable")[: np.count_nonzero(d <= MAX_DISTANCE)]]
+            for q in near[np.unique(family[near], return_index=True)[1]]:  # the closest row of each family
+                x, y = find(int(family[p])), find(int(family[q]))
+                if x != y:
+                    root[max(x, y)] = min(x, y)
+                    links.append((p, q))
+        a, b = np.array(links, dtype=np.int64).reshape(-1, 2).T
+        return pa.table({"a": rep[a], "b": rep[b], "fa": family[a], "fb": family[b]})
+
+    return run
+
+
 def _pairs_with(pairs: DataFrame, side: DataFrame, value: str, names: tuple[str, str]) -> DataFrame:
     for key, name in zip("ab", names):
         pairs = pairs.join(side.select(F.col("rep").alias(key), F.col(value).alias(name)), key)
@@ -207,17 +241,32 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     families = ws.save(connected_components(stars, ws, "family"), "families").select(F.col("node").alias("rep"), F.col("component").alias("family"))
 
     placed = buckets.where("members > 2 and rep <> leader").select("key", "rep").join(families, "rep", "left").withColumn("family", F.coalesce("family", "rep"))
-    mixed = placed.groupBy("key").agg(F.min("family").alias("lo"), F.max("family").alias("hi")).where("lo <> hi").select("key")
-    across = ws.save(placed.join(mixed, "key").join(reps.select("rep", "n", "sig").mapInArrow(_add_nibbles, "rep long, n long, " + ", ".join(f"s{k} long" for k in range(_SKETCH_WORDS))), "rep"), "across")
+    mixed = placed.groupBy("key").agg(F.min("family").alias("lo"), F.max("family").alias("hi"), F.count("*").alias("placed")).where("lo <> hi").select("key", "placed")
+    mixed = ws.save(placed.join(mixed, "key"), "mixed")
+    across = ws.save(mixed.where(F.col("placed") <= BUCKET_PAIRS).drop("placed").join(reps.select("rep", "n", "sig").mapInArrow(_add_nibbles, "rep long, n long, " + ", ".join(f"s{k} long" for k in range(_SKETCH_WORDS))), "rep"), "across")
     x, y = across.alias("x"), across.alias("y")
     differ = lambda k: f"(x.s{k} ^ y.s{k})"
     folded = lambda k: f"({differ(k)} | shiftrightunsigned({differ(k)}, 1) | shiftrightunsigned({differ(k)}, 2) | shiftrightunsigned({differ(k)}, 3))"
     apart = " + ".join(f"bit_count({folded(k)} & 1229782938247303441L)" for k in range(_SKETCH_WORDS))
     met = x.join(y, F.expr(f"x.key = y.key and x.rep < y.rep and x.family <> y.family and 100L * least(x.n, y.n) >= {percent}L * greatest(x.n, y.n) and {apart} <= {MAX_DISTANCE}"))
     crossing = near(met.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct())
+    own = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    crowd = mixed.where(F.col("placed") > BUCKET_PAIRS)
+    per_family = crowd.groupBy("key", "family").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "family")).alias("m"), F.sum("c").alias("c"))
+    in_blocks = lambda c: F.ceil(c / BUCKET_BLOCK).cast("int")
+    crowd = crowd.join(per_family.select("key", F.col("m.family").alias("main"), in_blocks(F.col("c")).alias("all_blocks"), in_blocks(F.col("c") - F.col("m.c")).alias("probe_blocks")), "key").join(reps, "rep")
+    row = ["key", "rep", "family", "n", "sig"]
+    probes = crowd.where("family <> main").select(*row, F.lit(True).alias("probe"), own("probe_blocks").alias("pb"), every("all_blocks").alias("ab"))
+    others = crowd.select(*row, F.lit(False).alias("probe"), own("all_blocks").alias("ab"), every("probe_blocks").alias("pb")).select(*row, "probe", "pb", "ab")
+    bridges = ws.save(probes.union(others).groupBy("key", "pb", "ab").applyInArrow(_bridges(percent), "a long, b long, fa long, fb long"), "bridges")
+    joined = connected_components(bridges.select(F.col("fa").alias("a"), F.col("fb").alias("b")), ws, "bridge").select(F.col("node").alias("family"), F.col("component").alias("whole"))
+    alone = bridges.select(F.explode(F.array("fa", "fb")).alias("rep")).select("rep", F.col("rep").alias("family"))
+    families = families.union(alone).distinct().join(joined, "family", "left").select("rep", F.coalesce("whole", "family").alias("family"))
+    families = ws.save(families, "whole-families")
     closest = stars.groupBy("b").agg(F.min(F.struct("d", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
-    pairs = ws.save(closest.union(crossing.select("a", "b")), "pairs")
-    ws.drop("across", "buckets")
+    pairs = ws.save(closest.union(crossing.select("a", "b")).union(bridges.select("a", "b").distinct()), "pairs")
+    ws.drop("across", "mixed", "buckets", "bridges", "families")
 
     involved = stars.select(F.explode(F.array("a", "b")).alias("rep")).union(pairs.select(F.explode(F.array("a", "b")))).distinct()
     involved = ws.save(classes.join(involved, "rep", "left_semi").select("rep", "fa", "fb", "n", F.col("first_id").alias("id")), "involved")
@@ -237,13 +286,11 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     split = per_label.groupBy("family").agg(F.max(F.struct("c", (-F.col("component")).alias("k"))).alias("m"), F.count("*").alias("labels"), blocks("c", "s").alias("all_blocks")).where("labels > 1").select("family", (-F.col("m.k")).alias("main"), "all_blocks")
     outside = per_label.join(split, "family").where("component <> main").groupBy("family").agg(blocks("c", "s").alias("probe_blocks"))
     rows = members.join(split.join(outside, "family"), "family").join(sets, "rep")
-    own = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     probes = rows.where("component <> main").select("family", "component", "shingles", F.lit(True).alias("probe"), own("probe_blocks").alias("pb"), every("all_blocks").alias("ab"))
     others = rows.select("family", "component", "shingles", F.lit(False).alias("probe"), own("all_blocks").alias("ab"), every("probe_blocks").alias("pb")).select("family", "component", "shingles", "probe", "pb", "ab")
     more = probes.union(others).groupBy("family", "pb", "ab").applyInArrow(_block_links(percent), "a long, b long")
     second = connected_components(more, ws, "second").select(F.col("node").alias("component"), F.col("component").alias("root"))
-    ws.drop("families", "sets")
+    ws.drop("whole-families", "sets")
     labels = first.select(F.col("node").alias("rep"), "component").union(members.select("rep", "component")).distinct().join(second, "component", "left").select("rep", F.coalesce("root", "component").alias("root"))
     labels = ws.save(labels, "labels")
     # a class of a differing id may have no other link; components meet at the labels of its classes

@@ -69,6 +69,42 @@ def test_blocks_of_a_large_family(spark, monkeypatch):
     check(spark, corpus(3, groups=2, size=60), 2)
 
 
+def test_a_bucket_of_many_families(spark, monkeypatch):
+    """Near copies of one text, many of them too far from the first: families of one bucket are connected block by block, and no link is lost."""
+    monkeypatch.setattr(near_dup, "BUCKET_PAIRS", 2)
+    monkeypatch.setattr(near_dup, "BUCKET_BLOCK", 50)
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(300)]
+    texts = []
+    for k in range(120):
+        copy = list(base)
+        for at in rng.sample(range(300), rng.choice([2, 11, 11, 11])):
+            copy[at] = f"own{k}x{at}"
+        texts.append((k, " ".join(copy)))
+    check(spark, texts, 5)
+
+
+def test_families_of_a_block_are_connected_by_few_pairs():
+    """200 rows of 40 families that all lie within the distance, and one that doesn't."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    sig = np.repeat(rng.integers(0, 1 << 16, (1, near_dup.POSITIONS)), 201, axis=0).astype("<u2")
+    for row in sig[:200]:
+        row[rng.permutation(near_dup.POSITIONS)[:15]] += 1
+    sig[200] += 1
+    rows = list(range(201)) * 2
+    block = {"rep": rows, "family": [r % 40 if r < 200 else 200 for r in rows], "n": [100] * 402, "sig": [sig[r].tobytes() for r in rows], "probe": [i < 201 for i in range(402)]}
+    links = near_dup._bridges(80)(pa.table(block)).to_pylist()
+    assert len(links) == 39
+    assert all(x["a"] % 40 == x["fa"] and x["b"] % 40 == x["fb"] and (sig[x["a"]] != sig[x["b"]]).sum() <= near_dup.MAX_DISTANCE for x in links)
+    reached = {0}
+    for _ in links:
+        reached |= {f for x in links for f in (x["fa"], x["fb"]) if {x["fa"], x["fb"]} & reached}
+    assert reached == set(range(40))
+
+
 def test_edge_cases(spark):
     long = " ".join(f"x{i % 9000}" for i in range(60_000))
     texts = [(1, None), (2, ""), (3, " \n\t"), (4, "one"), (5, "ONE"), (6, long), (7, long + " y"), (8, "é à"), (9, "É à"), (None, "one"), (10, "a b"), (10, "a b")]
