@@ -1,7 +1,9 @@
 import zlib
 
+import pyarrow as pa
 import pytest
 
+from lexaudit.plans import corpus
 from lexaudit.plans.corpus import make_pdf
 from lexaudit.sources import pdf
 from lexaudit.sources.pdf import Document, Lexer, inflate, page_text
@@ -107,3 +109,16 @@ def test_on_executors(spark, tmp_path):
     with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
         pdf.read_pdf_pages(spark, str(folder / "missing.pdf")).collect()
     assert join_pages(pdf.read_pdf_pages(spark, str(folder / "none.pdf"))).count() == 0
+
+
+def test_pages_and_files_are_handed_on_in_small_batches(spark, tmp_path):
+    """However many rows Spark puts into a batch, a worker holds a few files or pages as objects."""
+    many = [f"page {i}" for i in range(500)]
+    parts = list(pdf._take_apart(iter([pa.RecordBatch.from_pydict({"path": ["a"], "length": [1], "content": [make_pdf(many)]})])))
+    decoded = list(pdf._decode(iter(parts)))
+    assert len(parts) == 1 and max(map(len, decoded)) == pdf.RANGE_PAGES
+    assert [t for b in decoded for t in b["text"].to_pylist()] == many
+    rows = [(conv, turn, f"text {conv} {turn}") for conv in range(300) for turn in range(2)]
+    spark.createDataFrame(rows, "conv_id long, turn int, text string").coalesce(1).write.parquet(str(tmp_path / "conversations.parquet"))
+    files = corpus.conversation_files(spark, str(tmp_path))
+    assert {(r.doc_id, r.page, r.text) for r in pdf.pdf_pages(files).collect()} == {(f"{c}.pdf", t + 1, x) for c, t, x in rows}
